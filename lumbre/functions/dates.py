@@ -65,7 +65,7 @@ def parse(c: Column, name: str, zone: str | None = None) -> Column:
         ts = F.try_to_timestamp(text, F.lit(fmt.pattern))
         if zone:
             ts = F.to_utc_timestamp(ts, zone)
-    in_range = F.year(ts).between(1970, 2100)
+    in_range = ts.between(F.lit("1970-01-01").cast("timestamp"), F.lit("2100-12-31 23:59:59.999999").cast("timestamp"))
     return F.when(F.trim(c).rlike(f"^(?:{fmt.shape})$") & in_range, ts)
 
 

@@ -26,40 +26,25 @@ def unit_mark(c: Column) -> Column:
     return F.coalesce(F.nullif(before, F.lit("")), F.nullif(after, F.lit("")))
 
 
-def hints_point(c: Column) -> Column:
-    """The value can only be read with ``.`` as decimal mark."""
-    return F.coalesce(_unsigned(c).rlike(r"\.\d{1,2}$|\.\d{4,}$|^0\.|,\d{3}\.\d"), F.lit(False))
+def body_hints_point(b: Column) -> Column:
+    """The number can only be read with ``.`` as decimal mark. (``body_…`` functions take the result of ``body``.)"""
+    return b.rlike(r"\.\d{1,2}$|\.\d{4,}$|^[+-]*0\.|,\d{3}\.\d")
 
 
-def hints_comma(c: Column) -> Column:
-    return F.coalesce(_unsigned(c).rlike(r",\d{1,2}$|,\d{4,}$|^0,|\.\d{3},\d"), F.lit(False))
+def body_hints_comma(b: Column) -> Column:
+    return b.rlike(r",\d{1,2}$|,\d{4,}$|^[+-]*0,|\.\d{3},\d")
 
 
-def has_point(c: Column) -> Column:
-    return F.coalesce(body(c).contains("."), F.lit(False))
-
-
-def _unsigned(c: Column) -> Column:
-    return F.regexp_replace(body(c), r"^[+-]+", "")
-
-
-def reads_as(c: Column, decimal: str) -> Column:
+def body_value(b: Column, decimal: str) -> Column:
     """Strict: thousands only group three by three, one decimal mark at most."""
-    shape = _PLAIN_POINT if decimal == "." else _PLAIN_COMMA
-    return F.coalesce(body(c).rlike(shape) & body(c).rlike(r"\d"), F.lit(False))
+    if decimal == ".":
+        return F.when(b.rlike(_PLAIN_POINT), F.translate(b, ",", "").try_cast("double"))
+    return F.when(b.rlike(_PLAIN_COMMA), F.translate(F.translate(b, ".", ""), ",", ".").try_cast("double"))
 
 
 def parse(c: Column, decimal: str = ".") -> Column:
     """The number as double under the column's decimal mark; bad values give NULL."""
-    thousands = "," if decimal == "." else "."
-    digits = F.translate(body(c), thousands, "")
-    if decimal == ",":
-        digits = F.translate(digits, ",", ".")
-    return F.when(reads_as(c, decimal), digits.try_cast("double"))
-
-
-def has_fraction(c: Column, decimal: str) -> Column:
-    return F.coalesce(body(c).contains(decimal), F.lit(False))
+    return body_value(body(c), decimal)
 
 
 def needs_cleaning(c: Column, decimal: str) -> Column:

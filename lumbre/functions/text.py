@@ -46,18 +46,34 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def stem(token: Column) -> Column:
-    """Light suffix stripping for English and Spanish words of five letters or more."""
-    long_enough = F.length(token) >= 5
-    return F.when(long_enough, F.regexp_replace(token, r"(?:mente|ciones|cion|ción|iendo|ando|ings?|edly|ed|ly|es|os|as|s)$", "")) \
-        .otherwise(token)
+# Endings of English and Spanish words that a light stemmer drops.
+_ENDINGS = "mente|ciones|cion|ción|iendo|ando|ings?|edly|ed|ly|es|os|as|s"
+
+
+def spaced_words(c: Column) -> Column:
+    """The words in lower case, each with a blank of its own on either side: counting and
+    finding a word or a phrase is then plain text search, compiled with the rest of the plan."""
+    return F.regexp_replace(F.concat(F.lit(" "), F.lower(c), F.lit(" ")), r"[^\p{L}\p{N}]+", "  ")
+
+
+def stemmed(spaced: Column) -> Column:
+    """Light suffix stripping of every word of five letters or more."""
+    return F.regexp_replace(spaced, rf"(?<= )(?=[\p{{L}}\p{{N}}]{{5}})([\p{{L}}\p{{N}}]*?)(?:{_ENDINGS})(?= )", "$1")
+
+
+def word_count(spaced: Column) -> Column:
+    return (F.length(spaced) - F.length(F.replace(spaced, F.lit("  "), F.lit("")))) / 2 - 1
+
+
+def occurrences(spaced: Column, word: str) -> Column:
+    """How often a word occurs in ``spaced_words``."""
+    mark = f" {word} "
+    return (F.length(spaced) - F.length(F.replace(spaced, F.lit(mark), F.lit("")))) / F.lit(len(mark))
 
 
 def contains_phrase(c: Column, phrase: str) -> Column:
     """The phrase as whole words anywhere in the text, whatever the case."""
-    words = F.concat(F.lit(" "), F.array_join(tokens(c), " "), F.lit(" "))
-    wanted = F.concat(F.lit(" "), F.array_join(tokens(F.lit(phrase)), " "), F.lit(" "))
-    return words.contains(wanted)
+    return spaced_words(c).contains(spaced_words(F.lit(phrase)))
 
 
 def strip_line(c: Column) -> Column:

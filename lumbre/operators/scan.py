@@ -87,14 +87,11 @@ def out_of_order(df: DataFrame, keys: list[str], arrival: str, ts: str, chunk_si
 def sequence_numbers(df: DataFrame, keys: list[str], ts: str, tie: str, reset: Column, step: Column) -> DataFrame:
     """Running number per key that restarts where ``reset`` holds; idle rows may consume more than one (``step``).
 
-    The order is (ts, tie); equal times are told apart by the tie before the scan.
+    The order is (ts, tie), which must be unique within a key.
     """
     us = micros(F.col(ts))
-    ranked = df.withColumns({"_us": us, "_step": step.cast("bigint"), "_reset": reset})
-    w = Window.partitionBy(*keys, "_us").orderBy(tie)
-    # The tie rank gives equal times an order of their own; a time never holds a million rows of one key.
-    ranked = ranked.withColumn("_o", F.col("_us") * 1_000_000 + F.row_number().over(w) - 1)
-    totals = chunked_scan(ranked, keys, "_o", time_chunk(F.col("_us")), _run=("sum", "_step"))
+    rows = df.withColumns({"_us": us, "_o": F.struct(us.alias("us"), F.col(tie).alias("tie")), "_step": step.cast("bigint"), "_reset": reset})
+    totals = chunked_scan(rows, keys, "_o", time_chunk(F.col("_us")), _run=("sum", "_step"))
     totals = totals.withColumn("_base", F.when(F.col("_reset"), F.col("_run") - F.col("_step")))
     based = chunked_scan(totals, keys, "_o", time_chunk(F.col("_us")), _start=("last", "_base"))
     return based.withColumn("sequence", F.col("_run") - F.coalesce("_start", F.lit(0))) \

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from lumbre.functions.text import fold, stem, tokens
+from lumbre.functions.text import fold, occurrences, spaced_words, stemmed, word_count
 
 K1, B = 1.2, 0.75
 # Weight of words and of meaning in the mix.
@@ -18,43 +18,40 @@ RANK_LEAD = 3
 DIMENSIONS = 64
 
 
-def _terms(spark, query: str, stemmed: bool) -> list[str]:
+def _terms(spark, query: str, stem: bool) -> list[str]:
     """Distinct words of the query, normalised like the texts (one tiny row, evaluated while planning)."""
-    ts = tokens(F.lit(query))
-    ts = F.transform(ts, stem) if stemmed else ts
-    return spark.range(1).select(F.array_sort(F.array_distinct(ts)).alias("t")).first()["t"]
+    words = spaced_words(F.lit(query))
+    words = stemmed(words) if stem else words
+    return sorted(set(spark.range(1).select(words.alias("w")).first()["w"].split()))
 
 
-def bm25(docs: DataFrame, id_column: str, text: str, query: str, n: int = 5, stemmed: bool = False) -> DataFrame:
+def bm25(docs: DataFrame, id_column: str, text: str, query: str, n: int = 5, stem: bool = False) -> DataFrame:
     """Top ``n`` texts for a query by BM25.
 
-    Term counts are computed inside each row; the collection statistics
-    (texts, mean length, texts per term) are one aggregate that feeds the
-    scores as scalars, so no posting is shuffled.
+    Words are counted inside each row; the collection statistics (texts, mean
+    length, texts per word) are one aggregate that feeds the scores as
+    scalars, so no posting is shuffled.
     """
-    terms = _terms(docs.sparkSession, query, stemmed)
-    words = tokens(F.col(text))
-    words = F.transform(words, stem) if stemmed else words
-    base = docs.select(id_column, words.alias("_w"))
-    base = base.select(id_column, F.size("_w").alias("len"),
-                       *[F.size(F.filter("_w", lambda w, t=t: w == t)).alias(f"tf{i}") for i, t in enumerate(terms)])
+    terms = _terms(docs.sparkSession, query, stem)
+    words = spaced_words(F.col(text))
+    base = docs.select(id_column, (stemmed(words) if stem else words).alias("_w"))
+    base = base.select(id_column, word_count(F.col("_w")).alias("len"), *[occurrences(F.col("_w"), t).alias(f"tf{i}") for i, t in enumerate(terms)])
     stats = base.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"),
                               F.array(*[F.count_if(F.col(f"tf{i}") > 0) for i in range(len(terms))]).alias("df")).alias("s")).scalar()
-    scored = base.withColumn("_s", stats)
+    scored = base.where(reduce(lambda a, b: a | b, [F.col(f"tf{i}") > 0 for i in range(len(terms))], F.lit(False))).withColumn("_s", stats)
     score = F.lit(0.0)
     for i in range(len(terms)):
         df_i = F.get(F.col("_s.df"), i)
         idf = F.log(1 + (F.col("_s.n") - df_i + 0.5) / (df_i + 0.5))
         tf = F.col(f"tf{i}")
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("_s.avg")))
-    matching = reduce(lambda a, b: a | b, [F.col(f"tf{i}") > 0 for i in range(len(terms))], F.lit(False))
-    return scored.where(matching).select(id_column, score.alias("score")).orderBy(F.desc("score"), F.asc(id_column)).limit(n)
+    return scored.select(id_column, score.alias("score")).orderBy(F.desc("score"), F.asc(id_column)).limit(n)
 
 
 def lexical(docs: DataFrame, id_column: str, text: str, query: str, n: int = 5) -> DataFrame:
     """Plain and stemmed words together: each text takes the better of its two scores."""
     plain = bm25(docs, id_column, text, query, n)
-    return plain.unionByName(bm25(docs, id_column, text, query, n, stemmed=True)).groupBy(id_column) \
+    return plain.unionByName(bm25(docs, id_column, text, query, n, stem=True)).groupBy(id_column) \
         .agg(F.max("score").alias("score")).orderBy(F.desc("score"), F.asc(id_column)).limit(n)
 
 
@@ -63,9 +60,9 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def vector_top(vectors: DataFrame, id_column: str, vector: str, query: Column, k: int = 10) -> DataFrame:
-    """Top ``k`` by inner product with one query vector (a literal or a scalar subquery)."""
-    return vectors.select(id_column, dot(F.col(vector), query).alias("score")).where(F.col("score").isNotNull()) \
+def vector_top(vectors: DataFrame, id_column: str, vector: str, query: list[float], k: int = 10) -> DataFrame:
+    """Top ``k`` by inner product with one query vector."""
+    return vectors.select(id_column, dot(F.col(vector), F.lit([float(x) for x in query])).alias("score")).where(F.col("score").isNotNull()) \
         .orderBy(F.desc("score"), F.asc(id_column)).limit(k)
 
 
@@ -78,13 +75,32 @@ def vector_top_many(vectors: DataFrame, id_column: str, vector: str, queries: di
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def hash_vector(text: Column, dimensions: int = DIMENSIONS) -> Column:
-    """Normalised bag of hashed stems, for when no model supplies vectors. Native, no Python in the scan."""
-    cells = F.transform(F.transform(tokens(text), stem), lambda t: F.pmod(F.xxhash64(t), F.lit(dimensions)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)),
-                         lambda i: F.size(F.filter(cells, lambda c: c == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.when(norm > 0, F.transform(counts, lambda x: x / norm))
+def hash_cells(texts: DataFrame, id_column: str, text: str, dimensions: int = DIMENSIONS) -> DataFrame:
+    """(id, cell, weight): each text as a normalised bag of hashed stems, for when no model supplies vectors.
+
+    Counted per text and cell before the shuffle, so a text sends at most ``dimensions`` rows however long it is.
+    """
+    words = F.explode(F.split(F.trim(stemmed(spaced_words(F.col(text)))), " +")).alias("word")
+    cells = texts.select(id_column, words).where(F.col("word") != "") \
+        .groupBy(id_column, F.pmod(F.xxhash64("word"), F.lit(dimensions)).cast("int").alias("cell")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    norms = cells.groupBy(id_column).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("_norm"))
+    return cells.join(norms, id_column).select(id_column, "cell", (F.col("n") / F.col("_norm")).alias("weight"))
+
+
+def hash_vectors(texts: DataFrame, id_column: str, text: str, dimensions: int = DIMENSIONS, out: str = "embedding") -> DataFrame:
+    """The same as one array per text."""
+    entries = hash_cells(texts, id_column, text, dimensions).groupBy(id_column).agg(F.map_from_entries(F.collect_list(F.struct("cell", "weight"))).alias("m"))
+    return entries.select(id_column, F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)),
+                                                 lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias(out))
+
+
+def hashed_top(texts: DataFrame, id_column: str, text: str, query: str, k: int = 10, dimensions: int = DIMENSIONS) -> DataFrame:
+    """Top ``k`` by inner product of the hashed texts with the hashed query."""
+    asked = hash_cells(texts.sparkSession.range(1).select(F.lit(0).alias("q"), F.lit(query).alias("t")), "q", "t", dimensions)
+    # The query has as many cells as dimensions at most, so it is broadcast.
+    q = F.broadcast(asked.select("cell", F.col("weight").alias("q")))
+    return hash_cells(texts, id_column, text, dimensions).join(q, "cell").groupBy(id_column).agg(F.sum(F.col("weight") * F.col("q")).alias("score")) \
+        .orderBy(F.desc("score"), F.asc(id_column)).limit(k)
 
 
 def embed(df: DataFrame, text: str, encode, dimensions: int, out: str = "embedding", batch: int = 100) -> DataFrame:

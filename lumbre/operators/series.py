@@ -196,7 +196,7 @@ def anomaly_grades(series: DataFrame, values: list[str], history: int = 48, shin
     for v in values:
         hist, now = F.col(f"_p_{v}"), F.col(f"_m_{v}")
         centre = _median(hist)
-        spread = _median(F.transform(hist, lambda x, centre=centre: F.abs(x - centre)))
+        spread = _median(F.transform(hist, lambda x: F.abs(x - centre)))
         scale = F.greatest(1.4826 * spread, 0.05 * F.abs(centre), F.lit(1e-9))
         scores.append(F.when(F.size(hist) >= minimum, F.abs(now - centre) / scale).otherwise(F.lit(0.0)))
     z = sum(scores[1:], scores[0]) / F.lit(float(len(scores)))

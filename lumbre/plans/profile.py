@@ -52,35 +52,41 @@ def _native(dtype: T.DataType) -> str:
     return "text"
 
 
-def _flags(value: Column, weight: Column) -> dict[str, Column]:
-    t = F.trim(value)
+# Names of the answers, in the order of their bits.
+_TESTS = ("bool", "long_bool", "zero_code", "body", "hint_point", "hint_comma", "point", "ip",
+          *[f"{stem}_{tag}" for tag in "pc" for stem in ("reads", "whole", "fraction", "dirty")],
+          *[f"date_{i}" for i in range(len(dates.DATE_FORMATS))], *[f"epoch_{name}" for name, _ in dates.EPOCHS])
+
+
+def _tests(t: Column, b: Column, point: Column, comma: Column) -> dict[str, Column]:
+    """Yes/no questions about one trimmed value, its numeric body and the number it is under each decimal mark."""
     low = F.lower(t)
-    every = lambda test: F.coalesce(F.bool_and(test), F.lit(False))  # noqa: E731 - NULL values are skipped
-    some = lambda test: F.coalesce(F.bool_or(test), F.lit(False))
-    integer_in = lambda d: F.coalesce(numbers.parse(t, d) == F.floor(numbers.parse(t, d)), F.lit(False))
     out = {
-        "all_bool": every(low.isin("true", "false", "yes", "no", "y", "n", "t", "f")),
-        "long_bool": some(low.isin("true", "false", "yes", "no")),
-        "zero_code": some(t.rlike(r"^0\d+$")),
-        "all_body": every(F.when(t.isNotNull(), numbers.body(t).isNotNull())),
-        "hint_point": some(numbers.hints_point(t)), "hint_comma": some(numbers.hints_comma(t)),
-        "any_point": some(numbers.has_point(t)),
-        "all_ip": every(F.when(t.isNotNull(), net.is_ip(t))),
-        "length": F.sum(F.length(t) * weight), "spaced": F.sum(F.when(t.contains(" "), weight)),
-        "unit": F.min(numbers.unit_mark(t)),
+        "bool": low.isin("true", "false", "yes", "no", "y", "n", "t", "f"), "long_bool": low.isin("true", "false", "yes", "no"),
+        "zero_code": t.rlike(r"^0\d+$"), "body": b.isNotNull(), "hint_point": numbers.body_hints_point(b),
+        "hint_comma": numbers.body_hints_comma(b), "point": b.contains("."), "ip": net.is_ip(t),
     }
-    for d, tag in ((".", "p"), (",", "c")):
-        out[f"all_{tag}"] = every(F.when(t.isNotNull(), numbers.reads_as(t, d)))
-        out[f"whole_{tag}"] = every(F.when(t.isNotNull(), integer_in(d)))
-        out[f"fraction_{tag}"] = some(numbers.has_fraction(t, d))
-        out[f"dirty_{tag}"] = some(numbers.needs_cleaning(t, d))
-    for i, f in enumerate(dates.DATE_FORMATS):
-        out[f"date_{i}"] = every(F.when(t.isNotNull(), dates.parse(t, f.name).isNotNull()))
-    for name, shape in dates.EPOCHS:
-        out[f"epoch_{name}"] = every(t.rlike(f"^{shape}$"))
+    for d, tag, value in ((".", "p", point), (",", "c", comma)):
+        out |= {f"reads_{tag}": value.isNotNull(), f"whole_{tag}": value == F.floor(value), f"fraction_{tag}": b.contains(d),
+                f"dirty_{tag}": numbers.needs_cleaning(t, d)}
+    out |= {f"date_{i}": dates.parse(t, f.name).isNotNull() for i, f in enumerate(dates.DATE_FORMATS)}
+    out |= {f"epoch_{name}": t.rlike(f"^{shape}$") for name, shape in dates.EPOCHS}
     return out
 
 
+def _with_bits(values: DataFrame) -> DataFrame:
+    """All answers about each value packed into one number: bit_and over a column says "every", bit_or says "some"."""
+    staged = values.withColumn("b", numbers.body(F.col("value"))) \
+        .withColumns({"point": numbers.body_value(F.col("b"), "."), "comma": numbers.body_value(F.col("b"), ",")})
+    answers = _tests(F.col("value"), F.col("b"), F.col("point"), F.col("comma"))
+    tests = [answers[n] for n in _TESTS]
+    zero = F.lit(0).cast("bigint")
+    packed = [F.when(F.coalesce(test, F.lit(False)), F.lit(2 ** i).cast("bigint")).otherwise(zero) for i, test in enumerate(tests)]
+    # Separate columns, added up in a projection of their own, keep each generated method small.
+    split = staged.select("column", "value", "n", *[x.alias(f"t{i}") for i, x in enumerate(packed)])
+    return split.select("column", "value", "n", sum((F.col(f"t{i}") for i in range(1, len(packed))), F.col("t0")).alias("bits"))
+
+
 def profile(df: DataFrame, table: str = "", exact: bool = True) -> DataFrame:
     """One row per column: counts, top values, type, date format, number locale, dimension.
 
@@ -97,8 +103,7 @@ def profile(df: DataFrame, table: str = "", exact: bool = True) -> DataFrame:
     filled = F.col("value").isNotNull()
     counts = values.groupBy("position", "column").agg(
         F.sum(weight).alias("rows"), F.coalesce(F.sum(F.when(~filled, weight)), F.lit(0)).alias("empties"),
-        (F.count(F.when(filled, F.lit(1))) if exact else F.approx_count_distinct("value")).alias("distinct"),
-        *[c.alias(n) for n, c in _flags(F.col("value"), weight).items()])
+        (F.count(F.when(filled, F.lit(1))) if exact else F.approx_count_distinct("value")).alias("distinct"))
     if exact:
         w = Window.partitionBy("column").orderBy(F.desc("n"), "value")
         top = values.where(filled).withColumn("r", F.row_number().over(w)).where(F.col("r") <= TOP_VALUES) \
@@ -106,45 +111,59 @@ def profile(df: DataFrame, table: str = "", exact: bool = True) -> DataFrame:
     else:
         top = values.where(filled).groupBy("column").agg(
             F.transform(F.expr(f"approx_top_k(value, {TOP_VALUES})"), lambda s: s["item"]).alias("frequent"))
+    # Only columns that arrive as text (or as numbers that may be epochs) need their values read.
+    read = [n for n, k in kinds.items() if k in ("text", "integer")]
+    texts = values.where(F.col("column").isin(*read) & filled).select("column", F.trim("value").alias("value"), weight.alias("n"))
+    bits = _with_bits(texts).groupBy("column").agg(
+        F.bit_and("bits").alias("every"), F.bit_or("bits").alias("some"), F.sum(F.length("value") * F.col("n")).alias("length"),
+        F.sum(F.when(F.col("value").contains(" "), F.col("n"))).alias("spaced"), F.min(numbers.unit_mark(F.col("value"))).alias("unit"))
     kind_map = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])
-    return _decide(counts.join(top, "column", "left").withColumn("native", kind_map[F.col("column")]), table)
+    decided = _decide(counts.join(top, "column", "left").join(bits, "column", "left").withColumn("native", kind_map[F.col("column")]), table)
+    # One row per column of the table: metadata, kept as such so that rules over it plan as over any small table.
+    return df.sparkSession.createDataFrame(decided.collect(), decided.schema)
 
 
 def _decide(p: DataFrame, table: str) -> DataFrame:
-    """The precedence of types, as one projection over the flags."""
+    """The precedence of types, as one projection over the packed answers."""
     name, native = F.col("column"), F.col("native")
+    order = {n: i for i, n in enumerate(_TESTS)}
+    bit = lambda column, n: F.coalesce(F.getbit(column, F.lit(order[n])) == 1, F.lit(False))
+    every, some = (lambda n: bit(F.col("every"), n)), (lambda n: bit(F.col("some"), n))
     text = native == "text"
     is_id, is_time = name.rlike(ID_NAME), name.rlike(TIME_NAME)
-    date_chain = reduce(lambda acc, i: acc.when(F.col(f"date_{i}"), F.lit(dates.DATE_FORMATS[i].name)),
-                        range(1, len(dates.DATE_FORMATS)), F.when(F.col("date_0"), F.lit(dates.DATE_FORMATS[0].name)))
-    epoch_chain = F.when(is_time & F.col("epoch_UNIX_MS"), F.lit("UNIX_MS")).when(is_time & F.col("epoch_UNIX"), F.lit("UNIX"))
-    date_format = F.when(text & ~F.col("all_bool"), F.coalesce(date_chain, epoch_chain)).when(native == "integer", epoch_chain)
-    clash = F.col("hint_point") & F.col("hint_comma")
-    decimal = F.when(~F.col("all_body") | clash, None).when(F.col("hint_point"), F.lit(".")).when(F.col("hint_comma"), F.lit(",")) \
-        .when(F.col("any_point"), F.lit(",")).otherwise(F.lit("."))
-    decimal = F.when((decimal == ".") & F.col("all_p"), F.lit(".")).when((decimal == ",") & F.col("all_c"), F.lit(","))
-    by_decimal = lambda stem: F.when(decimal == ".", F.col(f"{stem}_p")).otherwise(F.col(f"{stem}_c"))
-    number = F.when(by_decimal("fraction") | ~by_decimal("whole"), F.lit("float")).otherwise(F.lit("integer"))
+    date_chain = reduce(lambda acc, i: acc.when(every(f"date_{i}"), F.lit(dates.DATE_FORMATS[i].name)),
+                        range(1, len(dates.DATE_FORMATS)), F.when(every("date_0"), F.lit(dates.DATE_FORMATS[0].name)))
+    epoch_chain = F.when(is_time & every("epoch_UNIX_MS"), F.lit("UNIX_MS")).when(is_time & every("epoch_UNIX"), F.lit("UNIX"))
+    decimal = F.when(~every("body") | (some("hint_point") & some("hint_comma")), None).when(some("hint_point"), F.lit(".")) \
+        .when(some("hint_comma"), F.lit(",")).when(some("point"), F.lit(",")).otherwise(F.lit("."))
     filled = F.col("rows") - F.col("empties")
-    free_text = (F.col("length") / filled > 60) & (F.coalesce(F.col("spaced"), F.lit(0)) > F.floor(filled / 2))
+    # Settled step by step in columns of their own, so that no expression is repeated inside another.
+    p = p.withColumns({"_decimal": F.when((decimal == ".") & every("reads_p"), F.lit(".")).when((decimal == ",") & every("reads_c"), F.lit(",")),
+                       "_date": F.when(text & ~every("bool"), F.coalesce(date_chain, epoch_chain)).when(native == "integer", epoch_chain),
+                       "_free": (F.col("length") / filled > 60) & (F.coalesce(F.col("spaced"), F.lit(0)) > F.floor(filled / 2))})
+    decimal, date_format = F.col("_decimal"), F.col("_date")
+    by_decimal = lambda test: F.when(decimal == ".", test("p")).otherwise(test("c"))
+    number = F.when(by_decimal(lambda d: some(f"fraction_{d}") | ~every(f"whole_{d}")), F.lit("float")).otherwise(F.lit("integer"))
     kind = F.when(filled == 0, F.lit("string")).when(native == "boolean", F.lit("boolean")) \
-        .when((native == "nested"), F.lit("string")) \
+        .when(native == "nested", F.lit("string")) \
         .when(is_id & (native != "date"), F.lit("string")) \
         .when(native == "date", F.lit("date")) \
-        .when((native == "integer") & epoch_chain.isNotNull(), F.lit("date")) \
+        .when((native == "integer") & date_format.isNotNull(), F.lit("date")) \
         .when(native.isin("integer", "float"), native) \
-        .when(F.col("all_bool") & F.col("long_bool"), F.lit("boolean")) \
+        .when(every("bool") & some("long_bool"), F.lit("boolean")) \
         .when(date_format.isNotNull(), F.lit("date")) \
-        .when(F.col("zero_code"), F.lit("string")) \
+        .when(some("zero_code"), F.lit("string")) \
         .when(decimal.isNotNull(), number) \
-        .when(F.col("all_ip"), F.lit("ip")) \
-        .when(free_text, F.lit("text")).otherwise(F.lit("string"))
+        .when(every("ip"), F.lit("ip")) \
+        .when(F.col("_free"), F.lit("text")).otherwise(F.lit("string"))
+    p = p.withColumn("_kind", kind).withColumn("_dirty", by_decimal(lambda d: some(f"dirty_{d}")))
+    kind = F.col("_kind")
     typed = p.select(
         F.lit(table).alias("table"), "position", "column", "native", "rows", "empties", "distinct",
         F.coalesce("frequent", F.array().cast("array<string>")).alias("frequent"), kind.alias("type"),
         F.when(kind == "date", date_format).alias("date_format"),
         F.when(kind.isin("integer", "float") & text, decimal).alias("decimal"),
-        F.when(kind.isin("integer", "float") & text, by_decimal("dirty")).otherwise(F.lit(False)).alias("clean_number"),
+        F.when(kind.isin("integer", "float") & text, F.col("_dirty")).otherwise(F.lit(False)).alias("clean_number"),
         F.when(kind.isin("integer", "float"), F.col("unit")).alias("unit"),
         (F.col("length") / filled).alias("mean_length"))
     return typed.withColumn("dimension", dimension(F.col("type"), name, F.col("rows"), F.col("empties"), F.col("distinct")))

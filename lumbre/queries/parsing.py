@@ -118,18 +118,18 @@ def syslog_5424_roundtrip(t):
                      F.col("log.syslog.facility.code").alias("facility"), F.col("log.syslog.severity.code").alias("severity"))
 
 
-@query("P18", f"""SELECT event_id AS pid, event_type AS app, 'value ' || CAST(user_id AS VARCHAR) AS msg, strftime(ts, {FMT}) AS at FROM events""")
+@query("P18", f"""SELECT event_id + 1 AS pid, event_type AS app, 'value ' || CAST(user_id AS VARCHAR) AS msg, strftime(ts, {FMT}) AS at FROM events""")
 def syslog_3164_roundtrip(t):
-    lines = t.events.select(F.concat(F.lit("<34>"), F.date_format("ts", "MMM dd HH:mm:ss"), F.lit(" host1 "), F.col("event_type"), F.lit("["), text("event_id"),
+    lines = t.events.select(F.concat(F.lit("<34>"), F.date_format("ts", "MMM dd HH:mm:ss"), F.lit(" host1 "), F.col("event_type"), F.lit("["), (F.col("event_id") + 1).cast("string"),
                                      F.lit("]: value "), text("user_id")).alias("value"))
     df = formats.parse_lines(lines, "syslog_3164", year=2024)
     return df.select(F.col("process.pid").cast("bigint").alias("pid"), F.col("process.name").alias("app"), F.col("message").alias("msg"), iso(F.col("@timestamp")).alias("at"))
 
 
-@query("P19", f"""SELECT event_id AS pid, event_type AS app, 'value ' || CAST(user_id AS VARCHAR) AS msg, strftime(ts, {FMT}) AS at FROM events""")
+@query("P19", f"""SELECT event_id + 1 AS pid, event_type AS app, 'value ' || CAST(user_id AS VARCHAR) AS msg, strftime(ts, {FMT}) AS at FROM events""")
 def syslog_iso_roundtrip(t):
     lines = t.events.select(F.concat(F.lit("<134>"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(" bastion-01 "), F.col("event_type"), F.lit("["),
-                                     text("event_id"), F.lit("]: value "), text("user_id")).alias("value"))
+                                     (F.col("event_id") + 1).cast("string"), F.lit("]: value "), text("user_id")).alias("value"))
     df = formats.parse_lines(lines, "syslog_iso")
     return df.select(F.col("process.pid").cast("bigint").alias("pid"), F.col("process.name").alias("app"), F.col("message").alias("msg"), iso(F.col("@timestamp")).alias("at"))
 

@@ -1 +1,119 @@
+"""Text search over documents, conversations and embeddings."""
 
+from pyspark.sql import functions as F
+
+from lumbre.functions import text as tx
+from lumbre.operators import search as sr
+from lumbre.queries.registry import query
+
+WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+ASK = "other than with the ing"
+_TERMS = ("ing", "other", "than", "the", "with")
+_TF = ", ".join(f"len(list_filter(w, lambda x: x = '{q}')) AS tf{i}" for i, q in enumerate(_TERMS))
+_DF = ", ".join(f"count(*) FILTER (WHERE tf{i} > 0) AS df{i}" for i in range(len(_TERMS)))
+_SCORE = " + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * len / avg))" for i in range(len(_TERMS)))
+
+
+@query("SR1 F18 A25", f"""WITH b AS (SELECT doc_id, len(w) AS len, {_TF} FROM (SELECT doc_id, {WORDS} AS w FROM documents)),
+s AS (SELECT count(*) AS n, avg(len) AS avg, {_DF} FROM b)
+SELECT doc_id, round({_SCORE}, 6) AS score FROM b, s WHERE {' OR '.join(f'tf{i} > 0' for i in range(len(_TERMS)))} ORDER BY {_SCORE} DESC, doc_id LIMIT 10""")
+def bm25_topk(t):
+    return sr.bm25(t.documents, "doc_id", "text", ASK, 10).withColumn("score", F.round("score", 6))
+
+
+@query("SR1 F18")
+def lexical_topk(t):
+    return sr.lexical(t.documents, "doc_id", "text", ASK, 10)
+
+
+@query("SR2", """WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0)
+SELECT vec_id, round(list_sum(list_transform(list_zip(embedding, e), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 6) AS score FROM embeddings, q
+ORDER BY list_sum(list_transform(list_zip(embedding, e), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) DESC, vec_id LIMIT 10""")
+def vector_topk(t):
+    q = t.embeddings.where("vec_id = 0").first()["embedding"]
+    return sr.vector_top(t.embeddings, "vec_id", "embedding", q, 10).withColumn("score", F.round("score", 6))
+
+
+@query("SR2", """WITH q AS (SELECT 'q' || vec_id AS query, embedding AS e FROM embeddings WHERE vec_id IN (1, 2, 3)),
+s AS (SELECT query, vec_id, list_sum(list_transform(list_zip(embedding, e), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))) AS score FROM embeddings, q)
+SELECT query, vec_id, rank FROM (SELECT query, vec_id, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) WHERE rank <= 5""")
+def vector_topk_many(t):
+    asked = {f"q{r['vec_id']}": [float(x) for x in r["embedding"]] for r in t.embeddings.where("vec_id IN (1, 2, 3)").collect()}
+    return sr.vector_top_many(t.embeddings, "vec_id", "embedding", asked, 5).select("query", "vec_id", "rank")
+
+
+@query("SR3 D5")
+def hybrid_topk(t):
+    docs = t.documents.select("doc_id", "text")
+    k = sr.list_size(10)
+    words = sr.lexical(docs, "doc_id", "text", ASK, k)
+    meaning = sr.hashed_top(docs, "doc_id", "text", ASK, k)
+    return sr.hybrid(words, meaning, "doc_id", 10)
+
+
+@query("SR3", """WITH w AS (SELECT doc_id, n_chars * 1.0 AS s FROM documents ORDER BY n_chars DESC, doc_id LIMIT 10), m AS (SELECT doc_id, doc_id * 1.0 AS s FROM documents ORDER BY doc_id LIMIT 10),
+a AS (SELECT doc_id, (s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()) AS w FROM w), b AS (SELECT doc_id, (s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()) AS m FROM m)
+SELECT doc_id, round(0.3 * coalesce(w, 0) + 0.7 * coalesce(m, 0), 6) AS score FROM a FULL JOIN b USING (doc_id) ORDER BY 0.3 * coalesce(w, 0) + 0.7 * coalesce(m, 0) DESC, doc_id LIMIT 5""")
+def hybrid_merge(t):
+    top = lambda c, o: t.documents.select("doc_id", F.col(c).cast("double").alias("score")).orderBy(o, "doc_id").limit(10)
+    return sr.hybrid(top("n_chars", F.desc("n_chars")), top("doc_id", F.asc("doc_id")), "doc_id", 5).withColumn("score", F.round("score", 6))
+
+
+@query("SR4 W11 O5", "SELECT query, id, hybrid_rank, lexical_rank FROM (VALUES ('a', 1, 1, 9), ('b', 2, 2, -1)) AS v(query, id, hybrid_rank, lexical_rank) WHERE (SELECT count(*) FROM documents) > 0")
+def searches_that_show(t):
+    q = lambda name, score: F.struct(F.lit(name).alias("query"), F.lit(score).alias("s"))
+    docs = t.documents.where("doc_id < 10").select(F.col("doc_id").cast("int").alias("id"))
+    both = docs.select("id", F.explode(F.array(q("a", 0), q("b", 1), q("c", 2))).alias("x")).select("x.query", "id")
+    hybrid = sr.ranked(both.withColumn("score", -F.abs(F.col("id") - F.when(F.col("query") == "a", 1).otherwise(3)).cast("double")), ["query"])
+    lexical = sr.ranked(both.where(~((F.col("query") == "b") & (F.col("id") == 2))).withColumn(
+        "score", F.when(F.col("query") == "a", F.abs(F.col("id") - 1)).otherwise(-F.col("id")).cast("double")), ["query"])
+    targets = t.spark.createDataFrame([("a", 1), ("b", 2), ("c", 9)], "query string, id int")
+    proven = sr.pick_searches(sr.finds_target(targets, lexical, hybrid), 5)
+    return proven.select("query", "id", "hybrid_rank", F.coalesce(F.when(F.col("lexical_rank") > 8, 9).otherwise(F.col("lexical_rank")), F.lit(-1)).alias("lexical_rank"))
+
+
+@query("SR6", """WITH j AS (SELECT 'q' || (doc_id % 20) AS query, doc_id, quality * 1.0 AS rating, CAST(row_number() OVER (PARTITION BY doc_id % 20 ORDER BY doc_id) AS INTEGER) AS rank FROM labels),
+k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rating DESC, rank) AS ideal, sum(CASE WHEN rank <= 10 AND rating >= 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY query ORDER BY rank ROWS UNBOUNDED PRECEDING) AS good FROM j)
+SELECT query, round(sum(CASE WHEN rank <= 10 THEN (pow(2, rating) - 1) / log2(rank + 1) ELSE 0 END) / sum(CASE WHEN ideal <= 10 THEN (pow(2, rating) - 1) / log2(ideal + 1) ELSE 0 END), 6) AS ndcg,
+round(count(*) FILTER (WHERE rank <= 10 AND rating >= 0.5) / count(*) FILTER (WHERE rank <= 10), 6) AS precision,
+round(sum(CASE WHEN rank <= 10 AND rating >= 0.5 THEN good / rank ELSE 0 END) / count(*) FILTER (WHERE rating >= 0.5), 6) AS average_precision FROM k GROUP BY 1""")
+def relevance_metrics(t):
+    ranked = sr.ranked(t.labels.select(F.concat(F.lit("q"), (F.col("doc_id") % 20).cast("string")).alias("query"), F.col("doc_id").alias("id"),
+                                       F.col("quality").cast("double").alias("rating"), (-F.col("doc_id")).cast("double").alias("score")), ["query"])
+    return sr.relevance(ranked.select("query", "rank", "rating")).select("query", *[F.round(c, 6).alias(c) for c in ("ndcg", "precision", "average_precision")])
+
+
+@query("N5 N6", "SELECT p_partkey, upper(p_name) AS spaced FROM part")
+def readable_codes(t):
+    code = F.concat(F.regexp_replace(F.upper("p_name"), " ", "_"), F.lit(""))
+    return t.part.select("p_partkey", tx.readable(code).alias("spaced"))
+
+
+@query("N6 SR7", "SELECT CASE WHEN 2 * count(*) FILTER (WHERE len(string_split(p_name, ' ')) >= 2) >= count(*) THEN 1 ELSE 0 END AS phrases, 0 AS codes FROM part")
+def phrase_share(t):
+    return t.part.agg(tx.share_at_least_half(tx.is_phrase(F.col("p_name")), F.col("p_name")).cast("int").alias("phrases"),
+                      tx.share_at_least_half(tx.is_worded_code(F.col("p_type")), F.col("p_type")).cast("int").alias("codes"))
+
+
+@query("N4", """SELECT doc_id, trim(regexp_replace(regexp_replace(translate(lower(text), 'áàâäãåéèêëíìîïóòôöõúùûüñçýÿ', 'aaaaaaeeeeiiiiooooouuuuncyy'), '[^\\x00-\\x7F]', '', 'g'), '\\s+', ' ', 'g')) AS folded
+FROM documents""".replace("AS folded", "AS f").replace("SELECT doc_id,", "SELECT doc_id, md5(") .replace(" AS f\n", ") AS digest\n"))
+def folded_texts(t):
+    return t.documents.select("doc_id", F.md5(tx.fold(F.col("text"))).alias("digest"))
+
+
+@query("SR5 SR8 U4", "SELECT 't1' AS theme, 3 AS by_meaning, 1 AS by_words WHERE (SELECT count(*) FROM part) > 0")
+def theme_coverage(t):
+    words = t.part.select(F.col("p_name").alias("text")).distinct()
+    known = words.orderBy("text").limit(4).select("text")
+    proposals = known.agg(F.array_sort(F.collect_list("text")).alias("forms")).select(F.lit("t1").alias("theme"), "forms") \
+        .unionByName(known.agg(F.array_sort(F.collect_list("text")).alias("forms")).select(F.lit("t2").alias("theme"), F.slice("forms", 1, 3).alias("forms")))
+    themes = sr.valid_themes(proposals, words)
+    forms = themes.select("theme", F.explode("forms").alias("text"))
+    semantic = forms.select("theme", F.concat("text", F.lit(", control")).alias("text"), F.row_number().over(_by_theme()).alias("r")).where("r <= 3").drop("r")
+    lexical = forms.withColumn("r", F.row_number().over(_by_theme())).where("r = 1").drop("r")
+    return sr.theme_coverage(forms, semantic, lexical).select("theme", F.col("by_meaning").cast("int").alias("by_meaning"), F.col("by_words").cast("int").alias("by_words"))
+
+
+def _by_theme():
+    from pyspark.sql import Window
+    return Window.partitionBy("theme").orderBy("text")

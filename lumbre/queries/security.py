@@ -1 +1,105 @@
+"""Detection rules over a security view of the events table."""
 
+from pyspark.sql import functions as F
+
+from lumbre.operators import security as sec
+from lumbre.operators.security import Rule
+from lumbre.queries.registry import query
+
+RULES = [
+    Rule("errors of big value", "critical", {"event_type": "error", "band": ["high", "top"]}, ("attack.t1110",)),
+    Rule("signup at the top", "high", {"event_type": ["signup", "purchase"], "band": "top"}),
+    Rule("errors of the first users", "medium", {"event_type": "error", "user_id": [1, 2, 3]}),
+    Rule("views at the top", "low", {"event_type": "view", "band": "top"}),
+]
+_B = "CASE WHEN value > 95 THEN 'top' WHEN value > 80 THEN 'high' ELSE 'low' END"
+_CONDITIONS = (("errors of big value", "critical", 1, f"event_type = 'error' AND {_B} IN ('high', 'top')"),
+               ("signup at the top", "high", 2, f"event_type IN ('signup', 'purchase') AND {_B} = 'top'"),
+               ("errors of the first users", "medium", 3, "event_type = 'error' AND user_id IN (1, 2, 3)"),
+               ("views at the top", "low", 4, f"event_type = 'view' AND {_B} = 'top'"))
+_FINDINGS = " UNION ALL ".join(f"SELECT event_id, '{r}' AS rule, '{lv}' AS level, {sv} AS severity FROM events WHERE {c}" for r, lv, sv, c in _CONDITIONS)
+
+
+def banded(t):
+    v = F.col("value")
+    return t.events.withColumn("band", F.when(v > 95, F.lit("top")).when(v > 80, F.lit("high")).otherwise(F.lit("low")))
+
+
+@query("F13 SE1", _FINDINGS)
+def sigma_findings(t):
+    return sec.findings(banded(t), RULES).select("event_id", "rule", "level", "severity")
+
+
+@query("SE2", f"SELECT level, severity, count(*) AS n, count(DISTINCT event_id) AS events FROM ({_FINDINGS}) GROUP BY 1, 2")
+def findings_by_level(t):
+    return sec.findings(banded(t), RULES).groupBy("level", "severity").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("events"))
+
+
+@query("F19 SE6", " UNION ALL ".join(f"SELECT '{r}' AS rule, round(avg(CASE WHEN {c} THEN 1 ELSE 0 END), 6) AS coverage, CASE WHEN avg(CASE WHEN {c} THEN 1 ELSE 0 END) <= 0.2 THEN 1 ELSE 0 END AS accepted FROM events"
+                                     for r, _, _, c in (*_CONDITIONS, ("everything", "low", 4, "event_type IN ('error', 'view', 'click')"))))
+def rule_coverage(t):
+    rules = [*RULES, Rule("everything", "low", {"event_type": ["error", "view", "click"]})]
+    return sec.rule_coverage(banded(t), rules).select("rule", F.round("coverage", 6).alias("coverage"), F.col("accepted").cast("int").alias("accepted"))
+
+
+@query("F20 J12", "SELECT 'ghost' AS rule, 'event_type' AS field, 'never_seen' AS value")
+def ungrounded_literals(t):
+    return sec.ungrounded(banded(t), [*RULES, Rule("ghost", "low", {"event_type": ["error", "never_seen"], "band": "top"})]).select("rule", "field", "value")
+
+
+@query("SE6 F19 F20", """SELECT * FROM (VALUES ('errors of big value', 'critical', 'attack.t1110'), ('signup at the top', 'high', ''), ('errors of the first users', 'medium', ''), ('views at the top', 'low', '')) AS v(rule, level, tags)""")
+def validated_rules(t):
+    proposals = [*RULES, Rule("everything", "low", {"event_type": ["error", "view", "click"]}), Rule("ghost", "low", {"event_type": "never_seen"}),
+                 Rule("bad level", "urgent", {"event_type": "error"}), Rule("unknown field", "low", {"nope": "x"})]
+    return sec.validate(banded(t), proposals).select("rule", "level", F.array_join("tags", ",").alias("tags"))
+
+
+def siem_view(t):
+    """The events as the normalised rows of four security sources."""
+    k, u, v = F.col("event_type"), F.col("user_id"), F.col("value")
+    return t.events.select(
+        "event_id", "ts", "user_id",
+        F.when(k == "error", F.lit("waf")).when(k == "view", F.lit("cloudaudit")).when(k == "click", F.lit("auth")).otherwise(F.lit("fortigate")).alias("dataset"),
+        F.when(k == "purchase", F.lit("intrusion_detection")).otherwise(F.lit("other")).alias("category"),
+        F.when(v > 60, F.lit("critical")).otherwise(F.lit("low")).alias("severity_text"),
+        F.when(u % 5 == 0, F.lit("true")).otherwise(F.lit("false")).alias("threat_matched"),
+        F.when(k == "click", F.when(v > 30, F.lit("ssh_login")).otherwise(F.lit("sudo"))).when(k == "view", F.when(v > 30, F.lit("createAccessKey")).otherwise(F.lit("deleteTracker"))).alias("action"),
+        F.when(k == "click", F.when(u % 2 == 0, F.lit("failure")).otherwise(F.lit("success"))).alias("outcome"),
+        F.when(u % 7 == 0, F.lit("root")).when(u % 7 == 1, F.lit("contractor_ext")).otherwise(F.lit("other")).alias("user_name"),
+        F.when(v < 10, F.lit("T1003")).alias("technique"),
+        F.when(k == "error", F.when(v > 50, F.lit("sqli")).when(v > 25, F.lit("webshell")).otherwise(F.lit("xss"))).alias("rule_name"))
+
+
+_SIEM = (("event_type = 'purchase' AND value > 60 AND user_id % 5 = 0", "critical"), ("event_type = 'click' AND value > 30 AND user_id % 2 = 0 AND user_id % 7 = 0", "high"),
+         ("event_type = 'click' AND value <= 30 AND value < 10", "critical"), ("event_type = 'view' AND value > 30 AND user_id % 7 = 1", "high"),
+         ("event_type = 'view' AND value <= 30 AND user_id % 7 = 1", "critical"), ("event_type = 'error' AND value > 50 AND user_id % 5 = 0", "high"),
+         ("event_type = 'error' AND value > 25 AND value <= 50 AND user_id % 5 = 0", "critical"))
+
+
+@query("SE3", " UNION ALL ".join(f"SELECT '{r.title}' AS rule, '{lv}' AS level, count(*) AS n FROM events WHERE {c}" for r, (c, lv) in zip(sec.SIEM_RULES, _SIEM)))
+def curated_siem_rules(t):
+    return sec.findings(siem_view(t), sec.SIEM_RULES).groupBy("rule", "level").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SE3 F12", "SELECT 'Blocked access to an administration port' AS rule, count(*) AS n FROM events WHERE event_type IN ('error', 'click') AND user_id IN (22, 33) UNION ALL "
+                  "SELECT 'Virus blocked', count(*) FROM events WHERE event_type = 'error' AND value > 50")
+def curated_firewall_rules(t):
+    k = F.col("event_type")
+    fw = t.events.select("event_id", F.when(k == "error", F.lit("blocked")).when(k == "click", F.lit("dropped")).otherwise(F.lit("accept")).alias("action"),
+                         F.when(F.col("value") > 50, F.lit("virus")).otherwise(F.lit("forward")).alias("subtype"),
+                         F.when(F.col("user_id") == 33, F.lit(3389)).otherwise(F.col("user_id")).cast("int").alias("dstport"), F.lit("low").alias("severity"))
+    return sec.findings(fw, sec.FIREWALL_RULES).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SE7 N17", "SELECT strftime(min(o_orderdate), '%Y-%m') AS first_month, strftime(max(o_orderdate) + INTERVAL 1 MONTH, '%Y-%m') AS last_month FROM orders")
+def month_range(t):
+    return sec.month_range(t.orders, "o_orderdate")
+
+
+@query("R19 J5", """SELECT CASE event_type WHEN 'error' THEN 'T1190' WHEN 'click' THEN 'T1110' WHEN 'signup' THEN 'T1078' ELSE '' END AS technique, count(*) AS n FROM events GROUP BY 1""")
+def mitre_enrichment(t):
+    # The dimension is a literal list of a few rows, so it is broadcast.
+    table = t.spark.createDataFrame([("error", "T1190", "Initial Access"), ("click", "T1110", "Credential Access"), ("signup", "T1078", "Persistence")],
+                                    "event_type string, technique string, tactic string")
+    out = t.events.join(F.broadcast(table), "event_type", "left")
+    return out.groupBy(F.coalesce("technique", F.lit("")).alias("technique")).agg(F.count(F.lit(1)).alias("n"))

@@ -183,7 +183,7 @@ def record_start(records: DataFrame, separator: str = ",", value: str = "value")
     options = []
     for _, shape in START_SHAPES:
         rx = rf'^"?{shape}"?{sep}'
-        fits = F.get(lines, 0).rlike(rx) & ~F.exists(F.slice(lines, F.lit(2), F.size(lines)), lambda x, rx=rx: x.rlike(rx))
+        fits = F.get(lines, 0).rlike(rx) & ~F.exists(F.slice(lines, F.lit(2), F.size(lines)), lambda x: x.rlike(rx))
         options.append(F.when(F.bool_and(fits), F.lit(rx)))
     return records.agg(F.coalesce(*options).alias("start"))
 
