@@ -38,14 +38,15 @@ def bm25(docs: DataFrame, id_column: str, text: str, query: str, n: int = 5, ste
     base = base.select(id_column, word_count(F.col("_w")).alias("len"), *[occurrences(F.col("_w"), t).alias(f"tf{i}") for i, t in enumerate(terms)])
     stats = base.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"),
                               F.array(*[F.count_if(F.col(f"tf{i}") > 0) for i in range(len(terms))]).alias("df")).alias("s")).scalar()
-    scored = base.where(reduce(lambda a, b: a | b, [F.col(f"tf{i}") > 0 for i in range(len(terms))], F.lit(False))).withColumn("_s", stats)
+    scored = base.withColumn("_s", stats)
     score = F.lit(0.0)
     for i in range(len(terms)):
         df_i = F.get(F.col("_s.df"), i)
         idf = F.log(1 + (F.col("_s.n") - df_i + 0.5) / (df_i + 0.5))
         tf = F.col(f"tf{i}")
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("_s.avg")))
-    return scored.select(id_column, score.alias("score")).orderBy(F.desc("score"), F.asc(id_column)).limit(n)
+    # Texts without any of the words score 0; dropping them after the limit keeps the filter from repeating the counts.
+    return scored.select(id_column, score.alias("score")).orderBy(F.desc("score"), F.asc(id_column)).limit(n).where(F.col("score") > 0)
 
 
 def lexical(docs: DataFrame, id_column: str, text: str, query: str, n: int = 5) -> DataFrame:
@@ -76,30 +77,37 @@ def vector_top_many(vectors: DataFrame, id_column: str, vector: str, queries: di
 
 
 def hash_cells(texts: DataFrame, id_column: str, text: str, dimensions: int = DIMENSIONS) -> DataFrame:
-    """(id, cell, weight): each text as a normalised bag of hashed stems, for when no model supplies vectors.
+    """(id, cell, n): each text as a bag of hashed stems, for when no model supplies vectors.
 
     Counted per text and cell before the shuffle, so a text sends at most ``dimensions`` rows however long it is.
     """
     words = F.explode(F.split(F.trim(stemmed(spaced_words(F.col(text)))), " +")).alias("word")
-    cells = texts.select(id_column, words).where(F.col("word") != "") \
+    return texts.select(id_column, words).where(F.col("word") != "") \
         .groupBy(id_column, F.pmod(F.xxhash64("word"), F.lit(dimensions)).cast("int").alias("cell")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+
+
+def hash_weights(texts: DataFrame, id_column: str, text: str, dimensions: int = DIMENSIONS) -> DataFrame:
+    """(id, cell, weight) with weights normalised to length 1."""
+    cells = hash_cells(texts, id_column, text, dimensions)
     norms = cells.groupBy(id_column).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("_norm"))
     return cells.join(norms, id_column).select(id_column, "cell", (F.col("n") / F.col("_norm")).alias("weight"))
 
 
 def hash_vectors(texts: DataFrame, id_column: str, text: str, dimensions: int = DIMENSIONS, out: str = "embedding") -> DataFrame:
     """The same as one array per text."""
-    entries = hash_cells(texts, id_column, text, dimensions).groupBy(id_column).agg(F.map_from_entries(F.collect_list(F.struct("cell", "weight"))).alias("m"))
+    entries = hash_weights(texts, id_column, text, dimensions).groupBy(id_column).agg(F.map_from_entries(F.collect_list(F.struct("cell", "weight"))).alias("m"))
     return entries.select(id_column, F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)),
                                                  lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias(out))
 
 
 def hashed_top(texts: DataFrame, id_column: str, text: str, query: str, k: int = 10, dimensions: int = DIMENSIONS) -> DataFrame:
     """Top ``k`` by inner product of the hashed texts with the hashed query."""
-    asked = hash_cells(texts.sparkSession.range(1).select(F.lit(0).alias("q"), F.lit(query).alias("t")), "q", "t", dimensions)
+    asked = hash_weights(texts.sparkSession.range(1).select(F.lit(0).alias("q"), F.lit(query).alias("t")), "q", "t", dimensions)
     # The query has as many cells as dimensions at most, so it is broadcast.
     q = F.broadcast(asked.select("cell", F.col("weight").alias("q")))
-    return hash_cells(texts, id_column, text, dimensions).join(q, "cell").groupBy(id_column).agg(F.sum(F.col("weight") * F.col("q")).alias("score")) \
+    # Product and norm come out of one aggregation over the cells of each text.
+    score = F.sum(F.col("n") * F.coalesce("q", F.lit(0.0))) / F.sqrt(F.sum(F.col("n") * F.col("n")))
+    return hash_cells(texts, id_column, text, dimensions).join(q, "cell", "left").groupBy(id_column).agg(score.alias("score")) \
         .orderBy(F.desc("score"), F.asc(id_column)).limit(k)
 
 

@@ -7,10 +7,12 @@ not on the number of events; ordered windows below run on such rows only.
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lumbre.operators.joins import nearest
+from lumbre.session import cut_lineage
 
 DAY_MINUTES = 1440
 TARGET_STEPS = 600
@@ -21,28 +23,24 @@ ERROR_ORIGINS = 50
 GRADE_ALERT = 0.7
 
 
+# Widths of a step, in minutes, that divide a day.
+STEP_MINUTES = (1, 2, 3, 4, 5, 6, 10, 12, 15, 20, 30, 60, 120, 180, 240, 360, 480, 720, 1440)
+
+
 def forecast_interval(first: dt.datetime, last: dt.datetime, rows: int, steps: int = TARGET_STEPS, minimum: int = MIN_STEPS) -> int:
-    """Minutes per step: about ``steps`` of them, a divisor or multiple of a day, and enough steps to learn from.
+    """Minutes per step: a divisor or a multiple of a day, so that the daily cycle always falls on the same steps.
 
-    With few rows the steps are fewer, so that each one has rows in it.
+    About ``steps`` of them, fewer when that would leave less than ten rows in
+    each, never less than ``minimum`` if a narrower step allows it.
     """
     span = max((last - first).total_seconds() / 60.0, 1.0)
-    # A step should hold a couple of rows on average, but never fewer than ``minimum`` steps.
-    ideal = span / steps if rows >= 2 * steps else span / max(min(steps, rows / 2.0), 1.0)
-    ideal = max(1.0, ideal)
-    divisors = [m for m in range(1, DAY_MINUTES + 1) if DAY_MINUTES % m == 0]
+    ideal = span / max(minimum, min(steps, rows // 10))
     if ideal <= DAY_MINUTES:
-        interval = next(m for m in divisors if m >= ideal)
+        interval = next(m for m in STEP_MINUTES if m >= ideal)
     else:
-        interval = -(-int(-(-ideal // 1)) // DAY_MINUTES) * DAY_MINUTES
-    while span / interval < minimum:
-        if interval > DAY_MINUTES:
-            interval -= DAY_MINUTES
-        else:
-            smaller = [m for m in divisors if m < interval]
-            if not smaller:
-                break
-            interval = smaller[-1]
+        interval = math.ceil(ideal / DAY_MINUTES) * DAY_MINUTES
+    while span // interval < minimum and interval > 1:
+        interval = interval - DAY_MINUTES if interval > DAY_MINUTES else max(m for m in STEP_MINUTES if m < interval)
     return interval
 
 
@@ -91,6 +89,11 @@ def fill_gaps(series: DataFrame, minutes: int, values: list[str], by: list[str]
                        *[F.coalesce(F.col(v), F.lit(0)).alias(v) for v in values])
 
 
+def materialized(series: DataFrame) -> DataFrame:
+    """The series written out once (it has one row per interval), so that the steps after it do not read the events again."""
+    return cut_lineage(series.coalesce(1), "series")
+
+
 def moving_average(series: DataFrame, value: str, n: int = 7, by: list[str] = (), name: str = "trend") -> DataFrame:
     """Mean of the last ``n`` steps, NULL until there are that many."""
     w = Window.partitionBy(*by).orderBy("bucket").rowsBetween(-(n - 1), 0)

@@ -6,8 +6,10 @@ boolean aggregate, so the result does not depend on how rows are partitioned.
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from functools import lru_cache, reduce
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T, Window
 
 from lumbre.functions import dates, missing, net, numbers
@@ -78,13 +80,20 @@ def _with_bits(values: DataFrame) -> DataFrame:
     """All answers about each value packed into one number: bit_and over a column says "every", bit_or says "some"."""
     staged = values.withColumn("b", numbers.body(F.col("value"))) \
         .withColumns({"point": numbers.body_value(F.col("b"), "."), "comma": numbers.body_value(F.col("b"), ",")})
+    tests, bits = _packed(id(SparkContext._gateway))
+    return staged.select("column", "value", "n", *tests).select("column", "value", "n", bits)
+
+
+@lru_cache(maxsize=1)
+def _packed(_gateway: int) -> tuple[list[Column], Column]:
+    """The questions as one column each, and their sum; built once, since they do not depend on the table.
+
+    Separate columns, added up in a projection of their own, keep each generated method small.
+    """
     answers = _tests(F.col("value"), F.col("b"), F.col("point"), F.col("comma"))
-    tests = [answers[n] for n in _TESTS]
     zero = F.lit(0).cast("bigint")
-    packed = [F.when(F.coalesce(test, F.lit(False)), F.lit(2 ** i).cast("bigint")).otherwise(zero) for i, test in enumerate(tests)]
-    # Separate columns, added up in a projection of their own, keep each generated method small.
-    split = staged.select("column", "value", "n", *[x.alias(f"t{i}") for i, x in enumerate(packed)])
-    return split.select("column", "value", "n", sum((F.col(f"t{i}") for i in range(1, len(packed))), F.col("t0")).alias("bits"))
+    tests = [F.when(F.coalesce(answers[n], F.lit(False)), F.lit(2 ** i).cast("bigint")).otherwise(zero).alias(f"t{i}") for i, n in enumerate(_TESTS)]
+    return tests, sum((F.col(f"t{i}") for i in range(1, len(tests))), F.col("t0")).alias("bits")
 
 
 def profile(df: DataFrame, table: str = "", exact: bool = True) -> DataFrame:
@@ -111,8 +120,8 @@ def profile(df: DataFrame, table: str = "", exact: bool = True) -> DataFrame:
     else:
         top = values.where(filled).groupBy("column").agg(
             F.transform(F.expr(f"approx_top_k(value, {TOP_VALUES})"), lambda s: s["item"]).alias("frequent"))
-    # Only columns that arrive as text (or as numbers that may be epochs) need their values read.
-    read = [n for n, k in kinds.items() if k in ("text", "integer")]
+    # Only columns that arrive as text, or as integers named like a time (they may be epochs), need their values read.
+    read = [n for n, k in kinds.items() if k == "text" or (k == "integer" and re.search(TIME_NAME, n))]
     texts = values.where(F.col("column").isin(*read) & filled).select("column", F.trim("value").alias("value"), weight.alias("n"))
     bits = _with_bits(texts).groupBy("column").agg(
         F.bit_and("bits").alias("every"), F.bit_or("bits").alias("some"), F.sum(F.length("value") * F.col("n")).alias("length"),

@@ -16,7 +16,7 @@ FILLED = (HOURLY + ", f AS (SELECT g.step, coalesce(n, 0) AS n, coalesce(errors,
 
 def _hourly(t):
     raw = se.bucketed(t.events, "ts", 60, {"n": F.count(F.lit(1)), "errors": F.count_if(F.col("event_type") == "error")})
-    return se.fill_gaps(raw, 60, ["n", "errors"])
+    return se.materialized(se.fill_gaps(raw, 60, ["n", "errors"]))
 
 
 @query("AN1 A9", "SELECT CAST(floor(epoch(ts) / 14400) AS BIGINT) AS step, count(*) AS event_volume, CAST(count(*) FILTER (WHERE event_type = 'error') AS BIGINT) AS critical_events, round(sum(value), 2) AS measure_sum FROM events GROUP BY 1")
@@ -30,7 +30,7 @@ def gap_filled_hours(t):
     return _hourly(t).select("step", "n", "errors")
 
 
-@query("AN2 AN3 A30", "SELECT CAST(CASE WHEN count(*) >= 1200 THEN 72 ELSE 90 END AS BIGINT) AS forecast_minutes, CAST(43 AS BIGINT) AS detection_minutes FROM events WHERE true")
+@query("AN2 AN3 A30", "SELECT CAST(CASE WHEN count(*) >= 6000 THEN 120 ELSE 480 END AS BIGINT) AS forecast_minutes, CAST(43 AS BIGINT) AS detection_minutes FROM events WHERE true")
 def chosen_intervals(t):
     b = t.events.agg(F.min("ts"), F.max("ts"), F.count(F.lit(1))).first()
     minutes = se.forecast_interval(b[0], b[1], b[2])

@@ -1 +1,111 @@
+"""The streaming jobs run once over a driver table; their result must equal the batch answer."""
 
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from lumbre.functions.dates import iso
+from lumbre.functions.keys import fingerprint
+from lumbre.queries.registry import query
+from lumbre.queries.security import RULES, _FINDINGS
+from lumbre.session import scratch_path
+from lumbre.sources import readers
+from lumbre.streaming import jobs
+
+FMT = "'%Y-%m-%d %H:%M:%S'"
+
+
+def _stream(t):
+    return jobs.event_stream(t.spark, t.base, "events", t.events.schema)
+
+
+@query("X1 X2 X4 K2", "SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM events")
+def stream_dedup(t):
+    copies = _stream(t).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("id", fingerprint(F.col("event_id"), F.col("user_id")))
+    out = jobs.run_once(jobs.dedup(copies, "id", "ts").select("event_id"), scratch_path(t.spark, "dedup"))
+    return out.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("ids"))
+
+
+# The last window stays open until the watermark passes it, so both sides leave out the hours after it.
+_CLOSED = "date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"
+
+
+@query("X6 X8 X9 A23", f"""SELECT strftime(date_trunc('hour', ts), {FMT}) AS hour, event_type, count(*) AS events, round(sum(value), 2) AS value_sum FROM events WHERE {_CLOSED} GROUP BY 1, 2""")
+def stream_hourly_rollup(t):
+    out = jobs.run_once(jobs.hourly_rollup(_stream(t), "ts", ["event_type"], ["value"]), scratch_path(t.spark, "rollup"))
+    return out.select(iso(F.col("hour")).alias("hour"), "event_type", "events", F.round("value_sum", 2).alias("value_sum"))
+
+
+@query("X10", f"""SELECT strftime(start, {FMT}) AS start, count(*) AS n FROM (SELECT unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR, date_trunc('hour', ts) - INTERVAL 2 HOUR, date_trunc('hour', ts) - INTERVAL 3 HOUR]) AS start FROM events)
+WHERE start + INTERVAL 4 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY 1""")
+def stream_sliding_windows(t):
+    out = jobs.run_once(jobs.sliding_sums(_stream(t), "ts", "1 hour", "4 hours", "10 minutes", {"n": F.count(F.lit(1))}), scratch_path(t.spark, "sliding"))
+    return out.select(iso(F.col("start")).alias("start"), "n")
+
+
+@query("X5 A21 A22", f"""SELECT user_id AS entity, count(*) AS events, round(sum(value), 2) AS sum_value, round(avg(value), 4) AS avg_value, strftime(max(ts), {FMT}) AS last FROM events GROUP BY 1""")
+def stream_entity_profile(t):
+    path = scratch_path(t.spark, "profile")
+    jobs.for_each_batch(_stream(t), jobs.profile_merger(path, "user_id", "ts", ["value"]), f"{path}__checkpoint").awaitTermination()
+    out = jobs.read_profile(t.spark, path, ["value"])
+    return out.select("entity", "events", F.round("sum_value", 2).alias("sum_value"), F.round("avg_value", 4).alias("avg_value"), iso(F.col("last")).alias("last"))
+
+
+@query("X7 A25", "SELECT md5(text) AS digest, count(*) AS count FROM conversations GROUP BY text")
+def stream_distinct_texts(t):
+    path = scratch_path(t.spark, "texts")
+    source = t.spark.readStream.schema(t.conversations.schema).option("pathGlobFilter", "conversations.parquet").parquet(t.base)
+    jobs.for_each_batch(source, jobs.text_merger(path, "text"), f"{path}__checkpoint").awaitTermination()
+    from lumbre.sources.sinks import current_table
+    return current_table(t.spark, path).select(F.md5("text").alias("digest"), "count")
+
+
+@query("X11 F13", _FINDINGS)
+def stream_rule_findings(t):
+    v = F.col("value")
+    banded = _stream(t).withColumn("band", F.when(v > 95, F.lit("top")).when(v > 80, F.lit("high")).otherwise(F.lit("low")))
+    return jobs.run_once(jobs.rule_findings(banded, RULES).select("event_id", "rule", "level", "severity"), scratch_path(t.spark, "findings"))
+
+
+@query("X12", f"""SELECT strftime(time_bucket(INTERVAL 10 minutes, ts), {FMT}) AS checked_at, count(*) AS hits FROM events WHERE value >= 70
+AND time_bucket(INTERVAL 10 minutes, ts) + INTERVAL 10 MINUTE <= (SELECT max(ts) FROM events WHERE value >= 70) - INTERVAL 10 MINUTE GROUP BY 1""")
+def stream_grade_monitor(t):
+    grades = _stream(t).select(F.col("ts").alias("bucket"), (F.col("value") / 100).alias("grade"))
+    return jobs.run_once(jobs.high_grades(grades), scratch_path(t.spark, "monitor")).select(iso(F.col("checked_at")).alias("checked_at"), "hits")
+
+
+@query("X13", f"""WITH RECURSIVE a AS (SELECT DISTINCT event_type AS monitor, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events WHERE value > 80),
+r AS (SELECT monitor, min(s) AS s FROM a GROUP BY 1 UNION ALL SELECT r.monitor, (SELECT min(a.s) FROM a WHERE a.monitor = r.monitor AND a.s >= r.s + 3600) FROM r WHERE (SELECT min(a.s) FROM a WHERE a.monitor = r.monitor AND a.s >= r.s + 3600) IS NOT NULL)
+SELECT monitor, s FROM r""")
+def throttled_alerts(t):
+    alerts = t.events.where("value > 80").select(F.col("event_type").alias("monitor"), F.date_trunc("second", F.col("ts").cast("timestamp")).alias("at"))
+    return jobs.throttled_alerts(alerts, "monitor", "at").select("monitor", F.unix_seconds("at").alias("s"))
+
+
+@query("X13")
+def stream_throttled_alerts(t):
+    alerts = _stream(t).where("value > 80").select(F.col("event_type").alias("monitor"), F.date_trunc("second", "ts").alias("at"))
+    return jobs.run_once(jobs.throttled_alert_stream(alerts, "monitor", "at"), scratch_path(t.spark, "throttle"))
+
+
+@query("X18 J2")
+def stream_correlation(t):
+    k = F.col("event_type")
+    pairs = jobs.correlate_streams(_stream(t).where(k == "error"), _stream(t).where(k == "purchase"), "user_id", "ts", 60)
+    return jobs.run_once(pairs, scratch_path(t.spark, "correlation"))
+
+
+@query("X14", """SELECT strftime(m, '%Y_%m') AS month, date_diff('day', m, DATE '2001-08-15') AS age_days,
+CASE WHEN date_diff('day', m, DATE '2001-08-15') >= 121 THEN 'drop' WHEN date_diff('day', m, DATE '2001-08-15') >= 35 THEN 'warm' ELSE 'hot' END AS action
+FROM (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS m FROM orders)""")
+def retention_plan(t):
+    months = t.orders.select(F.date_format("o_orderdate", "yyyy_MM").alias("month")).distinct()
+    return jobs.retention_plan(months, dt.date(2001, 8, 15), 90).withColumn("age_days", F.col("age_days").cast("bigint"))
+
+
+@query("X1 S1 K6", "SELECT count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events")
+def stream_text_ingest(t):
+    src, out = scratch_path(t.spark, "arrivals"), scratch_path(t.spark, "ingested")
+    t.events.select(F.concat(F.lit("id="), F.col("event_id").cast("string"), F.lit("\r")).alias("value")).write.option("compression", "gzip").text(src)
+    parsed = readers.stream_lines(t.spark, src, max_files=2).select(F.regexp_extract("value", r"^id=(\d+)$", 1).try_cast("bigint").alias("id"))
+    return jobs.run_once(parsed, out).agg(F.count("id").alias("n"), F.sum("id").alias("ids"))

@@ -134,7 +134,7 @@ def throttled_alerts(alerts: DataFrame, monitor: str, at: str, minutes: int = 60
     gap = F.lit(minutes * 60).cast("bigint")
     sent = F.aggregate(times, F.array().cast("array<bigint>"), lambda acc, t: F.when(
         (F.size(acc) > 0) & (t - F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) < gap), acc).otherwise(F.array_append(acc, t)))
-    return alerts.groupBy(monitor).agg(sent.alias("_s")).select(monitor, F.timestamp_seconds(F.explode("_s")).alias(at))
+    return alerts.groupBy(monitor).agg(sent.alias("_s")).select(monitor, F.explode("_s").alias("_t")).select(monitor, F.timestamp_seconds("_t").alias(at))
 
 
 def throttled_alert_stream(alerts: DataFrame, monitor: str, at: str, minutes: int = 60) -> DataFrame:
