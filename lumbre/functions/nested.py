@@ -7,17 +7,33 @@ from collections import OrderedDict
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row, however often ``use`` refers to it.
+
+    Inside a lambda an outer expression would be evaluated again for every
+    element; a lambda variable is not.
+    """
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def pairs_to_map(keys: Column, values: Column, keep: str = "last") -> Column:
     """A map from parallel arrays; a repeated key keeps its first or last value.
 
     ``map_from_arrays`` refuses repeated keys, so each distinct key looks up
     the position of the occurrence that wins.
     """
-    if keep == "first":
-        value_of = lambda k: F.get(values, F.array_position(keys, k).cast("int") - 1)
-    else:
-        value_of = lambda k: F.get(values, F.size(keys) - F.array_position(F.reverse(keys), k).cast("int"))
-    return F.map_from_arrays(F.array_distinct(keys), F.transform(F.array_distinct(keys), value_of))
+    def build(s: Column) -> Column:
+        k, v, distinct = s["k"], s["v"], s["d"]
+        if keep == "first":
+            value_of = lambda x: F.get(v, F.array_position(k, x).cast("int") - 1)
+        else:
+            value_of = lambda x: F.get(v, s["n"] - F.array_position(s["r"], x).cast("int"))
+        return F.map_from_arrays(distinct, F.transform(distinct, value_of))
+
+    def prepare(s: Column) -> Column:
+        extra = [] if keep == "first" else [F.size(s["k"]).alias("n"), F.reverse(s["k"]).alias("r")]
+        return let(F.struct(s["k"].alias("k"), s["v"].alias("v"), F.array_distinct(s["k"]).alias("d"), *extra), build)
+    return let(F.struct(keys.alias("k"), values.alias("v")), prepare)
 
 
 def delete_if(m: Column, condition) -> Column:

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lumbre.functions.nested import pairs_to_map
+from lumbre.functions.nested import let, pairs_to_map
 from lumbre.plans.grok import capture
 
 # Tag → (field name, type). s text, t long text, f decimal, i integer, d UTC time.
@@ -135,9 +135,8 @@ def tag_map(payload: Column) -> Column:
     """tag → raw value; the first occurrence of a repeated tag wins."""
     message = F.regexp_extract(payload, r"(8=FIX[\s\S]*)$", 1)
     parts = F.filter(F.split(message, r"[|\x01]"), lambda p: p.rlike(r"^\d+="))
-    keys = F.transform(parts, lambda p: F.substring_index(p, "=", 1))
-    values = F.transform(parts, lambda p: F.substr(p, F.instr(p, "=") + F.lit(1)))
-    return pairs_to_map(keys, values, keep="first")
+    return let(parts, lambda ps: pairs_to_map(F.transform(ps, lambda p: F.substring_index(p, "=", 1)),
+                                              F.transform(ps, lambda p: F.substr(p, F.instr(p, "=") + F.lit(1))), keep="first"))
 
 
 def label(tag: int, code: Column) -> Column:

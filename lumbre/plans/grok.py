@@ -11,6 +11,7 @@ import re
 from pyspark.sql import Column, functions as F
 
 from lumbre.functions import net
+from lumbre.functions.nested import let
 
 # The public core pattern library, by name. ``%{NAME}`` refers to
 # another entry; every inner group is non-capturing.
@@ -173,8 +174,7 @@ def capture(c: Column, regex: str, names: list[str]) -> Column:
         # A name used twice (in alternatives) takes the first group that captured something.
         return F.struct(*[F.coalesce(*[F.nullif(F.get(p, i), F.lit("")) for i in idx]).alias(n)
                           for n, idx in order.items()])
-    # ``transform`` binds the split once, so its parts share a single match.
-    return F.when(c.rlike(regex), F.get(F.transform(F.array(parts), fields), 0))
+    return F.when(c.rlike(regex), let(parts, fields))
 
 
 def grok(c: Column, patterns: str | list[str], extra: dict[str, str] | None = None) -> Column:
