@@ -11,6 +11,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lumbre.functions.nested import let
 from lumbre.operators.joins import nearest
 from lumbre.session import cut_lineage
 
@@ -198,10 +199,10 @@ def anomaly_grades(series: DataFrame, values: list[str], history: int = 48, shin
     scores = []
     for v in values:
         hist, now = F.col(f"_p_{v}"), F.col(f"_m_{v}")
-        centre = _median(hist)
-        spread = _median(F.transform(hist, lambda x: F.abs(x - centre)))
-        scale = F.greatest(1.4826 * spread, 0.05 * F.abs(centre), F.lit(1e-9))
-        scores.append(F.when(F.size(hist) >= minimum, F.abs(now - centre) / scale).otherwise(F.lit(0.0)))
+        robust = let(_median(hist), lambda centre: F.struct(
+            centre.alias("c"), _median(F.transform(hist, lambda x: F.abs(x - centre))).alias("s")))
+        scores.append(F.when(F.size(hist) >= minimum, let(robust, lambda r: F.abs(now - r["c"]) / F.greatest(
+            1.4826 * r["s"], 0.05 * F.abs(r["c"]), F.lit(1e-9)))).otherwise(F.lit(0.0)))
     z = sum(scores[1:], scores[0]) / F.lit(float(len(scores)))
     grade = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (z - 3) / 7))
     return df.select(*by, "step", "bucket", *values, F.round(grade, 4).alias("grade"))
@@ -209,10 +210,10 @@ def anomaly_grades(series: DataFrame, values: list[str], history: int = 48, shin
 
 def _median(values: Column) -> Column:
     """Middle of a short array."""
-    s = F.array_sort(values)
-    n = F.size(values)
-    low, high = F.get(s, F.floor((n - 1) / 2).cast("int")), F.get(s, F.floor(n / 2).cast("int"))
-    return (low + high) / 2
+    def middle(s: Column) -> Column:
+        n = F.size(s)
+        return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
+    return let(F.array_sort(values), middle)
 
 
 def anomaly_listing(grades: DataFrame, n: int = 20, minimum: float = 0.0) -> DataFrame:

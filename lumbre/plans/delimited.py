@@ -47,7 +47,7 @@ def choose_separator(lines: DataFrame, value: str = "value") -> DataFrame:
 
 def _is_data(c: Column) -> Column:
     date_like = F.coalesce(*[dates.parse(c, f.name) for f in dates.DATE_FORMATS]).isNotNull()
-    return numbers.body(c).isNotNull() | date_like
+    return numbers.body(c).isNotNull() | (c.rlike(r"^\s*\d") & date_like)
 
 
 def looks_like_header(lines: DataFrame, header: str, separator: str = ",", value: str = "value") -> DataFrame:

@@ -155,39 +155,35 @@ def expand(pattern: str, extra: dict[str, str] | None = None) -> tuple[str, list
     return _REFERENCE.sub(one, pattern), names
 
 
-def capture(c: Column, regex: str, names: list[str]) -> Column:
+def capture(c: Column, regex: str, names: list[str], fields: list[str] | None = None) -> Column:
     """Struct of captures of ``regex`` (group *i* is ``names[i]``), NULL when it does not match.
 
     One replacement joins all groups with a separator and one split takes them
     apart, so the line is matched once however many fields there are.
+    ``fields`` names the fields of the struct when it should hold more than the captures.
     """
     head = "" if regex.startswith("^") else r"^[\s\S]*?"
     tail = "" if regex.endswith("$") else r"[\s\S]*$"
+    # The input holds no separator, so one at the start tells a match from an untouched line.
     joined = F.regexp_replace(F.translate(c, _SEPARATOR, " "), head + regex + tail,
-                              _SEPARATOR.join(f"${i + 1}" for i in range(len(names))))
-    parts = F.split(joined, _SEPARATOR)
-    order: dict[str, list[int]] = {}
+                              "".join(f"{_SEPARATOR}${i + 1}" for i in range(len(names))))
+    order: dict[str, list[int]] = {n: [] for n in fields or []}
     for i, n in enumerate(names):
-        order.setdefault(n, []).append(i)
+        order.setdefault(n, []).append(i + 1)
 
-    def fields(p: Column) -> Column:
+    def struct(p: Column) -> Column:
         # A name used twice (in alternatives) takes the first group that captured something.
-        return F.struct(*[F.coalesce(*[F.nullif(F.get(p, i), F.lit("")) for i in idx]).alias(n)
-                          for n, idx in order.items()])
-    return F.when(c.rlike(regex), let(parts, fields))
+        return F.when(F.size(p) > 1, F.struct(*[
+            (F.coalesce(*[F.nullif(F.get(p, i), F.lit("")) for i in idx]) if idx else F.lit(None).cast("string")).alias(n)
+            for n, idx in order.items()]))
+    return let(F.split(joined, _SEPARATOR), struct)
 
 
 def grok(c: Column, patterns: str | list[str], extra: dict[str, str] | None = None) -> Column:
     """Struct of all named captures; with several patterns the first that matches wins."""
-    if isinstance(patterns, str):
-        patterns = [patterns]
-    expanded = [expand(p, extra) for p in patterns]
+    expanded = [expand(p, extra) for p in ([patterns] if isinstance(patterns, str) else patterns)]
     every = list(dict.fromkeys(n for _, names in expanded for n in names))
-    options = []
-    for regex, names in expanded:
-        hit = capture(c, regex, names)
-        full = F.struct(*[(hit.getField(n) if n in names else F.lit(None).cast("string")).alias(n) for n in every])
-        options.append(F.when(hit.isNotNull(), full))
+    options = [capture(c, regex, names, every) for regex, names in expanded]
     return options[0] if len(options) == 1 else F.coalesce(*options)
 
 

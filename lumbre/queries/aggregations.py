@@ -17,7 +17,7 @@ top AS (SELECT user_id FROM errors GROUP BY 1 ORDER BY count(*) DESC, user_id LI
 SELECT strftime(date_trunc('day', ts), {FMT}) AS day, user_id, count(*) AS n
 FROM errors WHERE user_id IN (SELECT user_id FROM top) GROUP BY 1, 2""")
 def top5_error_users_daily(t):
-    e = t.events
+    e = t.spread("events", "ts", "user_id", "event_type")
     lines = e.select(F.concat_ws(" ", F.concat(F.lit("ts="), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")),
                                  F.concat(F.lit("user_id="), F.col("user_id").cast("string")),
                                  F.concat(F.lit("event_type="), F.col("event_type"))).alias("value"))

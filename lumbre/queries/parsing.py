@@ -20,7 +20,7 @@ def text(c):
 
 @query("P5 R2", "SELECT event_id, user_id, event_type, value FROM events")
 def kv_line_roundtrip(t):
-    e = t.events
+    e = t.spread("events")
     lines = e.select(F.concat(F.lit("event_id="), text("event_id"), F.lit(' user_id="'), text("user_id"), F.lit('" event_type='),
                               F.col("event_type"), F.lit(" value="), text("value")).alias("value"))
     m = keyvalue.parse_lines(lines)
@@ -31,7 +31,7 @@ def kv_line_roundtrip(t):
 
 @query("P7 P8 P5", "SELECT event_id, event_type AS carrier, user_id AS version FROM events")
 def nested_kv_roundtrip(t):
-    lines = t.events.select(F.concat(F.lit("2024-01-01 - id="), text("event_id"), F.lit("|kind=x|detail=carrier="), F.col("event_type"),
+    lines = t.spread("events").select(F.concat(F.lit("2024-01-01 - id="), text("event_id"), F.lit("|kind=x|detail=carrier="), F.col("event_type"),
                                      F.lit("~version="), text("user_id")).alias("value"))
     df = keyvalue.parse_lines(lines, "|", ["day", None], nested={"detail": "~"})
     get = lambda m, k: F.try_element_at(m, F.lit(k))
@@ -41,7 +41,7 @@ def nested_kv_roundtrip(t):
 
 @query("P6 P7 F9", "SELECT count(*) AS lines, count(*) AS kv_lines, '|' AS separator, 2 AS envelope, true AS is_kv FROM events")
 def kv_detection(t):
-    lines = t.events.select(F.concat(F.lit("2024-01-01 - id="), text("event_id"), F.lit("|kind=x|type="), F.col("event_type")).alias("value"))
+    lines = t.spread("events").select(F.concat(F.lit("2024-01-01 - id="), text("event_id"), F.lit("|kind=x|type="), F.col("event_type")).alias("value"))
     return keyvalue.detect(lines)
 
 
@@ -58,20 +58,20 @@ def csv_line_roundtrip(t):
 
 @query("P12", "SELECT ';' AS separator, 4 AS columns")
 def delimiter_choice(t):
-    lines = t.orders.select(F.concat_ws(";", text("o_orderkey"), F.col("o_orderstatus"), text("o_totalprice"),
+    lines = t.spread("orders").select(F.concat_ws(";", text("o_orderkey"), F.col("o_orderstatus"), text("o_totalprice"),
                                         F.concat(F.lit('"a;b,'), F.col("o_orderpriority"), F.lit('"'))).alias("value"))
     return delimited.choose_separator(lines)
 
 
 @query("P13", "SELECT true AS is_header")
 def header_detection(t):
-    lines = t.orders.select(F.concat_ws(",", text("o_orderkey"), F.col("o_orderstatus"), text("o_totalprice")).alias("value"))
+    lines = t.spread("orders").select(F.concat_ws(",", text("o_orderkey"), F.col("o_orderstatus"), text("o_totalprice")).alias("value"))
     return delimited.looks_like_header(lines, "Order key,Status,Total", ",")
 
 
 @query("P2 P4 R1", f"""SELECT event_id, user_id, event_type, strftime(ts, {FMT}) AS at FROM events""")
 def grok_line_roundtrip(t):
-    lines = t.events.select(F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" ["), F.col("event_type"), F.lit("] user "),
+    lines = t.spread("events").select(F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" ["), F.col("event_type"), F.lit("] user "),
                                      text("user_id"), F.lit(" did event #"), text("event_id"), F.lit(" from 10.0.0.1")).alias("value"))
     g = grok.grok(F.col("value"), r"^%{TIMESTAMP_ISO8601:at} \[%{WORD:kind}\] user %{INT:user} did event #%{INT:id} from %{IP:ip}$")
     df = lines.select(g.alias("g")).where(F.col("g.ip") == "10.0.0.1")
@@ -89,7 +89,7 @@ def dissect_roundtrip(t):
 
 @query("P15", f"SELECT user_id, event_type, CAST(200 + event_id % 5 AS BIGINT) AS status, event_id AS bytes, strftime(ts, {FMT}) AS at FROM events")
 def apache_common_roundtrip(t):
-    lines = t.events.select(F.concat(F.lit("10.1.2.3 - u"), text("user_id"), F.lit(" ["), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"),
+    lines = t.spread("events").select(F.concat(F.lit("10.1.2.3 - u"), text("user_id"), F.lit(" ["), F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"),
                                      F.lit(' +0000] "GET /'), F.col("event_type"), F.lit(' HTTP/1.1" '), (200 + F.col("event_id") % 5).cast("string"),
                                      F.lit(" "), text("event_id")).alias("value"))
     df = formats.parse_lines(lines, "apache_common")
@@ -102,7 +102,7 @@ count(*) AS n FROM events GROUP BY 1, 2""")
 def apache_combined_agents(t):
     agent = F.when(F.col("event_id") % 2 == 0, F.lit("Mozilla/5.0 (X11; Linux x86_64; rv:109.0) Gecko/20100101 Firefox/115.0")) \
         .otherwise(F.lit("Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/120.0 Safari/537.36"))
-    lines = t.events.select(F.concat(F.lit('10.1.2.3 - - [01/Jan/2024:10:00:00 +0000] "GET /a HTTP/1.1" 200 12 "http://x/" "'), agent, F.lit('"')).alias("value"))
+    lines = t.spread("events").select(F.concat(F.lit('10.1.2.3 - - [01/Jan/2024:10:00:00 +0000] "GET /a HTTP/1.1" 200 12 "http://x/" "'), agent, F.lit('"')).alias("value"))
     df = formats.parse_lines(lines, "apache_combined")
     return df.groupBy(net.browser(F.col("user_agent.original")).alias("browser"), net.system(F.col("user_agent.original")).alias("system")) \
         .agg(F.count(F.lit(1)).alias("n"))
@@ -111,7 +111,7 @@ def apache_combined_agents(t):
 @query("P17 E18", f"""SELECT event_id AS pid, event_type AS app, strftime(ts, {FMT}) AS at, CAST((event_id % 190 + 1) // 8 AS BIGINT) AS facility,
 CAST((event_id % 190 + 1) % 8 AS BIGINT) AS severity FROM events""")
 def syslog_5424_roundtrip(t):
-    lines = t.events.select(F.concat(F.lit("<"), (F.col("event_id") % 190 + 1).cast("string"), F.lit(">1 "), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS"),
+    lines = t.spread("events").select(F.concat(F.lit("<"), (F.col("event_id") % 190 + 1).cast("string"), F.lit(">1 "), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS"),
                                      F.lit("Z web-01 "), F.col("event_type"), F.lit(" "), text("event_id"), F.lit(" ID1 something happened")).alias("value"))
     df = formats.parse_lines(lines, "syslog_5424")
     return df.select(F.col("process.pid").cast("bigint").alias("pid"), F.col("process.name").alias("app"), iso(F.col("@timestamp")).alias("at"),
@@ -120,7 +120,7 @@ def syslog_5424_roundtrip(t):
 
 @query("P18", f"""SELECT event_id + 1 AS pid, event_type AS app, 'value ' || CAST(user_id AS VARCHAR) AS msg, strftime(ts, {FMT}) AS at FROM events""")
 def syslog_3164_roundtrip(t):
-    lines = t.events.select(F.concat(F.lit("<34>"), F.date_format("ts", "MMM dd HH:mm:ss"), F.lit(" host1 "), F.col("event_type"), F.lit("["), (F.col("event_id") + 1).cast("string"),
+    lines = t.spread("events").select(F.concat(F.lit("<34>"), F.date_format("ts", "MMM dd HH:mm:ss"), F.lit(" host1 "), F.col("event_type"), F.lit("["), (F.col("event_id") + 1).cast("string"),
                                      F.lit("]: value "), text("user_id")).alias("value"))
     df = formats.parse_lines(lines, "syslog_3164", year=2024)
     return df.select(F.col("process.pid").cast("bigint").alias("pid"), F.col("process.name").alias("app"), F.col("message").alias("msg"), iso(F.col("@timestamp")).alias("at"))
@@ -128,7 +128,7 @@ def syslog_3164_roundtrip(t):
 
 @query("P19", f"""SELECT event_id + 1 AS pid, event_type AS app, 'value ' || CAST(user_id AS VARCHAR) AS msg, strftime(ts, {FMT}) AS at FROM events""")
 def syslog_iso_roundtrip(t):
-    lines = t.events.select(F.concat(F.lit("<134>"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(" bastion-01 "), F.col("event_type"), F.lit("["),
+    lines = t.spread("events").select(F.concat(F.lit("<134>"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(" bastion-01 "), F.col("event_type"), F.lit("["),
                                      (F.col("event_id") + 1).cast("string"), F.lit("]: value "), text("user_id")).alias("value"))
     df = formats.parse_lines(lines, "syslog_iso")
     return df.select(F.col("process.pid").cast("bigint").alias("pid"), F.col("process.name").alias("app"), F.col("message").alias("msg"), iso(F.col("@timestamp")).alias("at"))
@@ -143,7 +143,7 @@ def ssh_messages(t):
     msg = F.when(kind == "error", F.concat(F.lit("Failed password for invalid user "), user, addr)) \
         .when(kind == "signup", F.concat(F.lit("Accepted password for "), user, addr)).otherwise(F.lit("session opened technique=T1003"))
     program = F.when(kind == "purchase", F.lit("sudo")).otherwise(F.lit("sshd"))
-    lines = t.events.select(F.concat(F.lit("<134>2024-01-02T03:04:05Z bastion-01 "), program, F.lit("[12]: "), msg).alias("value"))
+    lines = t.spread("events").select(F.concat(F.lit("<134>2024-01-02T03:04:05Z bastion-01 "), program, F.lit("[12]: "), msg).alias("value"))
     df = formats.parse_lines(lines, "syslog_iso")
     out = df.select(*nested.nest(formats.ssh_fields(F.col("message"), F.col("process.name"))))
     return out.groupBy(F.coalesce("event.outcome", F.lit("")).alias("outcome"), F.coalesce("event.action", F.lit("")).alias("action"),
@@ -152,7 +152,7 @@ def ssh_messages(t):
 
 @query("P20", "SELECT event_id, 'user ' || CAST(user_id AS VARCHAR) AS suser, event_type AS act, CAST(event_id % 65536 AS BIGINT) AS spt, CAST(event_id % 10 AS BIGINT) AS severity FROM events")
 def cef_roundtrip(t):
-    lines = t.events.select(F.concat(F.lit("CEF:0|Acme|Guard|1.0|"), text("event_id"), F.lit("|name|"), (F.col("event_id") % 10).cast("string"),
+    lines = t.spread("events").select(F.concat(F.lit("CEF:0|Acme|Guard|1.0|"), text("event_id"), F.lit("|name|"), (F.col("event_id") % 10).cast("string"),
                                      F.lit("|src=10.0.0.1 suser=user "), text("user_id"), F.lit(" act="), F.col("event_type"), F.lit(" spt="),
                                      (F.col("event_id") % 65536).cast("string")).alias("value"))
     df = formats.parse_lines(lines, "cef")
@@ -163,7 +163,7 @@ def cef_roundtrip(t):
 @query("P21", f"""SELECT CASE event_type WHEN 'error' THEN 'ERROR' ELSE 'INFO' END AS level, CASE event_id % 3 WHEN 0 THEN 'main' WHEN 1 THEN 'pool-1' ELSE '' END AS thread,
 strftime(min(ts), {FMT}) AS first_at, count(*) AS n FROM events GROUP BY 1, 2""")
 def log4j_alternatives(t):
-    e = t.events
+    e = t.spread("events")
     ts, level = F.date_format("ts", "yyyy-MM-dd HH:mm:ss,SSS"), F.when(F.col("event_type") == "error", F.lit("ERROR")).otherwise(F.lit("INFO"))
     body = F.when(F.col("event_id") % 3 == 0, F.lit(" - [main] Client.run(): done")).when(F.col("event_id") % 3 == 1, F.lit(" [pool-1] com.x.Bar - doing")) \
         .otherwise(F.lit(" plain message"))
@@ -177,7 +177,7 @@ def format_dispatch(t):
     n = F.col("event_id") % 4
     line = F.when(n == 0, F.lit("CEF:0|a|b|c|d|e|5|src=1.1.1.1")).when(n == 1, F.lit("[2024-01-01 10:00:00,123] INFO x")) \
         .when(n == 2, F.lit("<13>2024-01-01T00:00:00Z h app: x")).otherwise(F.lit("20240101-10:00:00.000 : 8=FIX.4.4|35=D|"))
-    return t.events.select(formats.detect(line).alias("format")).groupBy("format").agg(F.count(F.lit(1)).alias("n"))
+    return t.spread("events").select(formats.detect(line).alias("format")).groupBy("format").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("P1 F8 F9", """SELECT CASE event_type WHEN 'error' THEN 'waf' WHEN 'view' THEN 'cloudaudit' WHEN 'click' THEN 'auth' ELSE 'fortigate' END AS dataset, count(*) AS n FROM events GROUP BY 1""")
@@ -193,7 +193,7 @@ round(l_quantity * l_extendedprice, 2) AS monto, 'entrante' AS direccion, 'MKT'
 def fix_roundtrip(t):
     base = F.lit("2024-01-02 09:00:00.000").cast("timestamp")
     received = F.timestamp_millis(F.unix_millis(base) + F.col("l_orderkey") % 900)
-    lines = t.lineitem.select(F.concat(
+    lines = t.spread("lineitem").select(F.concat(
         F.date_format(received, "yyyy-MM-dd HH:mm:ss.SSS"), F.lit(" INFO [t1] quickfix.incoming - FIX.4.4:OMS->MKT: 8=FIX.4.4|9=100|35=8|49=MKT|56=OMS|52=20240102-12:00:00.000|11="),
         text("l_orderkey"), F.lit("-"), text("l_linenumber"), F.lit("|54="), F.when(F.col("l_returnflag") == "R", F.lit("2")).otherwise(F.lit("1")),
         F.lit("|54=9|32="), text("l_quantity"), F.lit("|31="), text("l_extendedprice"), F.lit("|10=000|")).alias("value"))
@@ -209,7 +209,7 @@ def fix_session_events(t):
     k = F.col("event_type")
     msg = F.when(k == "error", F.concat(F.lit("MsgSeqNum too high, expecting 100 but received "), (100 + F.col("event_id") % 50).cast("string"))) \
         .when(k == "view", F.lit("Received logon")).when(k == "click", F.lit("Disconnecting: socket closed")).otherwise(F.lit("checking"))
-    lines = t.events.select(F.concat(F.lit("2024-01-02 09:00:00.000 INFO [t] quickfix.event - FIX.4.4:OMS->MKT: "), msg).alias("value"))
+    lines = t.spread("events").select(F.concat(F.lit("2024-01-02 09:00:00.000 INFO [t] quickfix.event - FIX.4.4:OMS->MKT: "), msg).alias("value"))
     d = fix.decode(lines, "slf4j")
     return d.groupBy(F.col("fix_tipo_evento").alias("kind")).agg(F.coalesce(F.max("fix_salto_secuencia"), F.lit(0)).cast("bigint").alias("jump"), F.count(F.lit(1)).alias("n"))
 
@@ -224,7 +224,7 @@ def json_flatten_roundtrip(t):
     user = F.to_json(F.struct(F.col("event_type").alias("user_name")))
     doc = F.to_json(F.struct(F.struct(F.col("event_id").alias("id"), F.struct(F.col("user_id").alias("uid")).alias("deep")).alias("a"),
                              F.array(F.from_json("props", "k bigint")).alias("items"), user.alias("user")))
-    parsed = t.events.select(F.from_json(doc, "a struct<id:bigint,deep:struct<uid:bigint>>, items array<struct<k:bigint>>, user string").alias("d")).select("d.*")
+    parsed = t.spread("events").select(F.from_json(doc, "a struct<id:bigint,deep:struct<uid:bigint>>, items array<struct<k:bigint>>, user string").alias("d")).select("d.*")
     flat = nested.flatten(parsed)
     return flat.select(F.col("a_id").alias("event_id"), F.from_json("user", "user_name string")["user_name"].alias("user_name"),
                        F.col("a_deep_uid").alias("user_id_text"), F.col("items_k").alias("first_k"))

@@ -8,6 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from lumbre.session import configure, table
+from lumbre.sources.readers import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +24,11 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return table(self.spark, self.base, name)
 
+    def spread(self, name: str, *columns: str) -> DataFrame:
+        """The table over all cores, for work that is heavy per row."""
+        df = table(self.spark, self.base, name)
+        return spread(df.select(*columns) if columns else df)
+
 
 def query(ops: str, sql: str | None = None):
     """Register a function of ``Tables`` under its name, with the operators it shows and its SQL."""

@@ -18,12 +18,12 @@ _SCORE = " + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 /
 s AS (SELECT count(*) AS n, avg(len) AS avg, {_DF} FROM b)
 SELECT doc_id, round({_SCORE}, 6) AS score FROM b, s WHERE {' OR '.join(f'tf{i} > 0' for i in range(len(_TERMS)))} ORDER BY {_SCORE} DESC, doc_id LIMIT 10""")
 def bm25_topk(t):
-    return sr.bm25(t.documents, "doc_id", "text", ASK, 10).withColumn("score", F.round("score", 6))
+    return sr.bm25(t.spread("documents", "doc_id", "text"), "doc_id", "text", ASK, 10).withColumn("score", F.round("score", 6))
 
 
 @query("SR1 F18")
 def lexical_topk(t):
-    return sr.lexical(t.documents, "doc_id", "text", ASK, 10)
+    return sr.lexical(t.spread("documents", "doc_id", "text"), "doc_id", "text", ASK, 10)
 
 
 @query("SR2", """WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0)
@@ -44,7 +44,7 @@ def vector_topk_many(t):
 
 @query("SR3 D5")
 def hybrid_topk(t):
-    docs = t.documents.select("doc_id", "text")
+    docs = t.spread("documents", "doc_id", "text")
     k = sr.list_size(10)
     words = sr.lexical(docs, "doc_id", "text", ASK, k)
     meaning = sr.hashed_top(docs, "doc_id", "text", ASK, k)
@@ -98,7 +98,7 @@ def phrase_share(t):
 @query("N4", """SELECT doc_id, trim(regexp_replace(regexp_replace(translate(lower(text), 'áàâäãåéèêëíìîïóòôöõúùûüñçýÿ', 'aaaaaaeeeeiiiiooooouuuuncyy'), '[^\\x00-\\x7F]', '', 'g'), '\\s+', ' ', 'g')) AS folded
 FROM documents""".replace("AS folded", "AS f").replace("SELECT doc_id,", "SELECT doc_id, md5(") .replace(" AS f\n", ") AS digest\n"))
 def folded_texts(t):
-    return t.documents.select("doc_id", F.md5(tx.fold(F.col("text"))).alias("digest"))
+    return t.spread("documents", "doc_id", "text").select("doc_id", F.md5(tx.fold(F.col("text"))).alias("digest"))
 
 
 @query("SR5 SR8 U4", "SELECT 't1' AS theme, 3 AS by_meaning, 1 AS by_words WHERE (SELECT count(*) FROM part) > 0")

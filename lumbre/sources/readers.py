@@ -42,6 +42,12 @@ def stream_lines(spark: SparkSession, path: str, archive: str | None = None, max
     return reader.load(path).select(strip_line(F.col("value")).alias("value")).where(F.col("value") != "")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Over all cores when the source comes in fewer pieces than there are cores (a gzip file cannot be split), else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def sample_lines(lines: DataFrame, n: int = 200) -> DataFrame:
     """A look at the source: the first non-empty lines."""
     return lines.where(F.trim("value") != "").limit(n)
