@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from lumbre.functions.text import fold, occurrences, spaced_words, stemmed, word_count
+from lumbre.session import cut_lineage
 
 K1, B = 1.2, 0.75
 # Weight of words and of meaning in the mix.
@@ -25,35 +24,57 @@ def _terms(spark, query: str, stem: bool) -> list[str]:
     return sorted(set(spark.range(1).select(words.alias("w")).first()["w"].split()))
 
 
-def bm25(docs: DataFrame, id_column: str, text: str, query: str, n: int = 5, stem: bool = False) -> DataFrame:
-    """Top ``n`` texts for a query by BM25.
+def word_counts(docs: DataFrame, id_column: str, text: str, variants: dict[str, tuple[list[str], bool]]) -> DataFrame:
+    """Length of each text and how often each query word occurs in it: a few numbers per text, from one reading of it.
 
-    Words are counted inside each row; the collection statistics (texts, mean
-    length, texts per word) are one aggregate that feeds the scores as
-    scalars, so no posting is shuffled.
+    ``variants`` names lists of words, each to be looked up in plain or in stemmed text.
     """
-    terms = _terms(docs.sparkSession, query, stem)
-    words = spaced_words(F.col(text))
-    base = docs.select(id_column, (stemmed(words) if stem else words).alias("_w"))
-    base = base.select(id_column, word_count(F.col("_w")).alias("len"), *[occurrences(F.col("_w"), t).alias(f"tf{i}") for i, t in enumerate(terms)])
-    stats = base.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"),
-                              F.array(*[F.count_if(F.col(f"tf{i}") > 0) for i in range(len(terms))]).alias("df")).alias("s")).scalar()
-    scored = base.withColumn("_s", stats)
+    spaced = docs.select(id_column, spaced_words(F.col(text)).alias("_plain"))
+    if any(stem for _, stem in variants.values()):
+        spaced = spaced.withColumn("_stem", stemmed(F.col("_plain")))
+    counts = []
+    for name, (terms, stem) in variants.items():
+        words = F.col("_stem" if stem else "_plain")
+        counts.append(F.struct(word_count(words).alias("len"), F.array(*[occurrences(words, t) for t in terms]).cast("array<double>").alias("tf")).alias(name))
+    return spaced.select(id_column, *counts)
+
+
+def _score(counts: DataFrame, id_column: str, name: str, n_terms: int) -> DataFrame:
+    """BM25 of every text; the collection statistics are one aggregate that feeds the scores as a scalar."""
+    tf = lambda i: F.get(F.col(f"{name}.tf"), i)
+    stats = counts.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg(f"{name}.len").alias("avg"),
+                                F.array(*[F.count_if(tf(i) > 0) for i in range(n_terms)]).alias("df")).alias("s")).scalar()
+    scored = counts.withColumn("_s", stats)
     score = F.lit(0.0)
-    for i in range(len(terms)):
+    for i in range(n_terms):
         df_i = F.get(F.col("_s.df"), i)
         idf = F.log(1 + (F.col("_s.n") - df_i + 0.5) / (df_i + 0.5))
-        tf = F.col(f"tf{i}")
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("_s.avg")))
-    # Texts without any of the words score 0; dropping them after the limit keeps the filter from repeating the counts.
-    return scored.select(id_column, score.alias("score")).orderBy(F.desc("score"), F.asc(id_column)).limit(n).where(F.col("score") > 0)
+        score = score + idf * tf(i) * (K1 + 1) / (tf(i) + K1 * (1 - B + B * F.col(f"{name}.len") / F.col("_s.avg")))
+    return scored.select(id_column, score.alias("score"))
+
+
+def _leaders(scored: DataFrame, id_column: str, n: int) -> DataFrame:
+    # Texts without any of the words score 0; they go after the limit, so the filter does not repeat the counts.
+    return scored.orderBy(F.desc("score"), F.asc(id_column)).limit(n).where(F.col("score") > 0)
+
+
+def bm25(docs: DataFrame, id_column: str, text: str, query: str, n: int = 5, stem: bool = False) -> DataFrame:
+    """Top ``n`` texts for a query by BM25.
+
+    Words are counted inside each row and only the counts are kept, in a table
+    that both the statistics and the scores read; no posting is shuffled.
+    """
+    terms = _terms(docs.sparkSession, query, stem)
+    counts = cut_lineage(word_counts(docs, id_column, text, {"w": (terms, stem)}), "words")
+    return _leaders(_score(counts, id_column, "w", len(terms)), id_column, n)
 
 
 def lexical(docs: DataFrame, id_column: str, text: str, query: str, n: int = 5) -> DataFrame:
-    """Plain and stemmed words together: each text takes the better of its two scores."""
-    plain = bm25(docs, id_column, text, query, n)
-    return plain.unionByName(bm25(docs, id_column, text, query, n, stem=True)).groupBy(id_column) \
-        .agg(F.max("score").alias("score")).orderBy(F.desc("score"), F.asc(id_column)).limit(n)
+    """Plain and stemmed words together, from one reading of the texts: each takes the better of its two scores."""
+    plain, stems = _terms(docs.sparkSession, query, False), _terms(docs.sparkSession, query, True)
+    counts = cut_lineage(word_counts(docs, id_column, text, {"p": (plain, False), "s": (stems, True)}), "words")
+    both = _leaders(_score(counts, id_column, "p", len(plain)), id_column, n).unionByName(_leaders(_score(counts, id_column, "s", len(stems)), id_column, n))
+    return both.groupBy(id_column).agg(F.max("score").alias("score")).orderBy(F.desc("score"), F.asc(id_column)).limit(n)
 
 
 def dot(a: Column, b: Column) -> Column:

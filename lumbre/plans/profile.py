@@ -101,7 +101,7 @@ def profile(df: DataFrame, table: str = "", exact: bool = True) -> DataFrame:
     """One row per column: counts, top values, type, date format, number locale, dimension.
 
     ``exact=False`` counts distinct values and top values with mergeable
-    sketches, so no value is shuffled: the choice for high-cardinality tables.
+    sketches; only the different texts of text columns are shuffled then.
     """
     kinds = {f.name: _native(f.dataType) for f in df.schema.fields}
     if exact:
@@ -124,6 +124,9 @@ def profile(df: DataFrame, table: str = "", exact: bool = True) -> DataFrame:
     # Only columns that arrive as text, or as integers named like a time (they may be epochs), need their values read.
     read = [n for n, k in kinds.items() if k == "text" or (k == "integer" and re.search(TIME_NAME, n))]
     texts = values.where(F.col("column").isin(*read) & filled).select("column", F.trim("value").alias("value"), weight.alias("n"))
+    if not exact:
+        # Reading a value costs far more than counting it, so each different text is read once.
+        texts = texts.groupBy("column", "value").agg(F.sum("n").alias("n"))
     bits = _with_bits(texts).groupBy("column").agg(
         F.bit_and("bits").alias("every"), F.bit_or("bits").alias("some"), F.sum(F.length("value") * F.col("n")).alias("length"),
         F.sum(F.when(F.col("value").contains(" "), F.col("n"))).alias("spaced"), F.min(numbers.unit_mark(F.col("value"))).alias("unit"))
