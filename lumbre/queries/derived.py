@@ -24,19 +24,19 @@ def entity_profile_top15(t):
     return derived.profile_order(derived.entity_profile(t.events, "user_id", "ts"), "events").select("entity", "events")
 
 
-@query("A23", f"""SELECT strftime(date_trunc('hour', ts), {FMT}) AS hour, event_type, count(*) AS events, round(sum(value), 2) AS value_sum, round(avg(value), 4) AS value_avg,
+@query("A23", f"""SELECT strftime(date_trunc('hour', ts), {FMT}) AS hour, event_type, count(*) AS events, round(sum(value), 2) AS value_sum, round(avg(value), 6) AS value_avg,
 min(value) AS value_min, max(value) AS value_max, count(value) AS value_count, count(user_id) AS user_id_count FROM events GROUP BY 1, 2""")
 def hourly_rollup_events(t):
     r = derived.hourly_rollup(t.events, "ts", ["event_type"], ["value", "user_id"], count_only=("user_id",))
-    return r.withColumns({"hour": iso(F.col("hour")), "value_sum": F.round("value_sum", 2), "value_avg": F.round("value_avg", 4)})
+    return r.withColumns({"hour": iso(F.col("hour")), "value_sum": F.round("value_sum", 2), "value_avg": F.round("value_avg", 6)})
 
 
 @query("A24 A23", f"""SELECT strftime(date_trunc('day', ts), {FMT}) AS bucket, count(*) AS events, round(sum(value), 2) AS value_sum, min(value) AS value_min, max(value) AS value_max,
-round(avg(value), 4) AS value_avg, count(value) AS value_count FROM events GROUP BY 1""")
+round(avg(value), 6) AS value_avg, count(value) AS value_count FROM events GROUP BY 1""")
 def rollup_requery_daily(t):
     r = derived.hourly_rollup(t.events, "ts", ["event_type"], ["value"])
     out = derived.requery_rollup(derived.answer_from(r, t.events, [], ["value"]), "day", [], ["value"])
-    return out.withColumns({"bucket": iso(F.col("bucket")), "value_sum": F.round("value_sum", 2), "value_avg": F.round("value_avg", 4)})
+    return out.withColumns({"bucket": iso(F.col("bucket")), "value_sum": F.round("value_sum", 2), "value_avg": F.round("value_avg", 6)})
 
 
 @query("A25", "SELECT md5(text) AS digest, count(*) AS count FROM conversations GROUP BY text")

@@ -81,8 +81,8 @@ def curated_siem_rules(t):
     return sec.findings(siem_view(t), sec.SIEM_RULES).groupBy("rule", "level").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SE3 F12", "SELECT 'Blocked access to an administration port' AS rule, count(*) AS n FROM events WHERE event_type IN ('error', 'click') AND user_id IN (22, 33) UNION ALL "
-                  "SELECT 'Virus blocked', count(*) FROM events WHERE event_type = 'error' AND value > 50")
+@query("SE3 F12", "SELECT * FROM (SELECT 'Blocked access to an administration port' AS rule, count(*) AS n FROM events WHERE event_type IN ('error', 'click') AND user_id IN (22, 33) UNION ALL "
+                  "SELECT 'Virus blocked', count(*) FROM events WHERE event_type = 'error' AND value > 50) WHERE n > 0")
 def curated_firewall_rules(t):
     k = F.col("event_type")
     fw = t.events.select("event_id", F.when(k == "error", F.lit("blocked")).when(k == "click", F.lit("dropped")).otherwise(F.lit("accept")).alias("action"),
