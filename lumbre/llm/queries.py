@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumbre.llm import conversations, decontamination, packing
+from lumbre.llm import conversations, decontamination, jaccard, packing, substrings
 from lumbre.session import configure, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,24 @@ def op9_chat_formatting(spark, base):
     more = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
     events = rows.unionByName(more).withColumns({"kind": F.lit("message"), "msg_id": F.lit(None).cast("string")})
     return conversations.digest(conversations.render(conversations.fold(events, sequence="turn")))
+
+
+_SPACED = r"[^\x20\x09-\x0D]+"
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '{_SPACED}'), []) AS w FROM documents),
+g AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM d, unnest(range(1, len(w) - 33)) AS t(i)),
+r AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 35)) AS p FROM g WHERE h IN (SELECT h FROM r))),
+per AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY 1),
+k AS (SELECT d.doc_id, len(w) AS n, coalesce(len(ps), 0) AS m, list_filter(w, lambda x, i: NOT coalesce(list_contains(ps, i), false)) AS kept FROM d LEFT JOIN per USING (doc_id))
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(m AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k""")
+def op4_substring_dedup(spark, base):
+    marked = substrings.mark_repeats(table(spark, base, "documents").select("doc_id", "text"))
+    return marked.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op7_ngram_jaccard_join(spark, base):
+    return jaccard.near_duplicates(table(spark, base, "documents").select("doc_id", "text"))
