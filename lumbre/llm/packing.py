@@ -9,6 +9,8 @@ one is cut into sequences whose lengths are powers of two, which need no padding
 
 from __future__ import annotations
 
+import json
+import os
 import unicodedata
 from collections.abc import Iterator
 
@@ -22,8 +24,8 @@ from lumbre.llm import scan
 
 # Characters with the Unicode property White_Space (fixed values).
 WHITE_SPACE = {9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
-OTHER, LETTER, NUMBER, SPACE, UNKNOWN = 0, 1, 2, 3, 255
-MAX_CACHED = 1_000_000
+OTHER, LETTER, NUMBER, SPACE, UNASSIGNED, UNKNOWN = 0, 1, 2, 3, 4, 255
+MAX_CACHED = 300_000
 
 PIECES = "sequence_id long, offset long, start long, length long, doc_tokens long, ids binary"
 
@@ -31,21 +33,45 @@ PIECES = "sequence_id long, offset long, start long, length long, doc_tokens lon
 def _kind(code: int) -> int:
     if code in WHITE_SPACE:
         return SPACE
-    return {"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(code))[0], OTHER)
+    category = unicodedata.category(chr(code))
+    return UNASSIGNED if category == "Cn" else {"L": LETTER, "N": NUMBER}.get(category[0], OTHER)
+
+
+def merges_by_rank(path: str) -> dict[bytes, int] | None:
+    """Token bytes and ids of a byte-level BPE file, if its ids rise in the order of its merges; else none."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
+    byte = {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(sorted(set(range(256)) - set(plain)))}
+    vocabulary = model.get("vocab", {})
+    merged = [vocabulary.get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in model.get("merges", [])]
+    if model.get("type") != "BPE" or merged != sorted(merged) or not all(c in vocabulary for c in byte) or any(vocabulary[c] >= merged[0] for c in byte):
+        return None
+    known = set(merged) | {vocabulary[c] for c in byte}
+    return {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if i in known}
 
 
 class Encoder:
     """Ids of whole texts by a byte-level BPE tokenizer.
 
     Such a tokenizer encodes each pre-token (a word with the space before it, a number, punctuation, white space) by
-    itself, so texts are cut into pre-tokens with numpy and each different one is encoded by the tokenizer once.
+    itself, so texts are cut into pre-tokens with numpy and each different one is encoded once: by the merges of the file
+    in order of rank, which tiktoken applies faster, or by the tokenizer where its ids do not follow the merges.  Texts with
+    characters that this Python's Unicode does not know are left to the tokenizer whole.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        ranks = merges_by_rank(path)
+        self.split = ranks[b"\0"] if ranks else None
+        if ranks:
+            import tiktoken
+
+            self.merges = tiktoken.Encoding("pre-tokens", pat_str=r"\x00|[^\x00]+", mergeable_ranks=ranks, special_tokens={})
         self.kinds = np.full(0x110000, UNKNOWN, np.uint8)
         self.clear()
 
@@ -78,12 +104,12 @@ class Encoder:
             start[quote[more] + length[more]] = True
         return np.flatnonzero(start)
 
-    def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the texts (UTF-8 ``data`` cut at ``bounds``), one behind the other, and where each text's ids start."""
+    def encode(self, data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+        """Ids of each text (UTF-8 ``data`` cut at ``bounds``)."""
         text = data.tobytes().decode("utf-8", "replace")
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
         if not len(codes):
-            return np.zeros(0, np.uint32), np.zeros(len(bounds), np.int64)
+            return [np.zeros(0, np.uint32)] * (len(bounds) - 1)
         places = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[bounds]
         starts = self.cut(codes, places)
         ends = np.append(starts[1:], len(codes))
@@ -94,23 +120,43 @@ class Encoder:
         found[found] = self.known[at[found]] == unique[found]
         if not found.all():
             self.learn(unique[~found], [text[starts[i]:ends[i]] for i in first[~found]])
-            if len(self.known) > MAX_CACHED:
-                self.clear()
-                self.learn(unique, [text[starts[i]:ends[i]] for i in first])
             at = np.searchsorted(self.known, unique)
         size = self.size[at][inverse]
         total = np.concatenate([[0], np.cumsum(size)])
-        source = np.repeat(self.at[at][inverse] - total[:-1], size) + np.arange(total[-1])
-        return self.ids[source], total[np.searchsorted(starts, places)]
+        source = np.repeat(self.at[at][inverse] - total[:-1], size)
+        source += np.arange(total[-1])
+        ids = self.ids[source]
+        if len(self.known) > MAX_CACHED:
+            self.keep(at)
+        at = total[np.searchsorted(starts, places)]
+        out = [ids[a:b] for a, b in zip(at[:-1], at[1:])]
+        for row in np.unique(np.searchsorted(places, np.flatnonzero(self.kinds[codes] == UNASSIGNED), "right") - 1):
+            out[row] = self.whole(text[places[row]:places[row + 1]])
+        return out
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        if self.split is None or any("\0" in t for t in texts):
+            got = [self.whole(t) for t in texts]
+            flat, size = np.concatenate(got), np.fromiter(map(len, got), np.int64, len(got))
+        else:
+            flat = np.array(self.merges.encode_ordinary("\0".join(texts)), np.uint32)
+            stops = np.append(np.flatnonzero(flat == self.split), len(flat))
+            size = np.diff(np.append(-1, stops)) - 1
+            flat = np.delete(flat, stops[:-1])
         at = len(self.ids) + np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))])
-        known = np.concatenate([self.known, hashes])
-        order = np.argsort(known, kind="stable")
-        self.known, self.at, self.size = known[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
+        self.ids = np.concatenate([self.ids, flat])
+        place = np.searchsorted(self.known, hashes)
+        self.known, self.at, self.size = (np.insert(old, place, new) for old, new in ((self.known, hashes), (self.at, at), (self.size, size)))
+
+    def keep(self, at: np.ndarray) -> None:
+        """Forget all pre-tokens but those of the last texts."""
+        size = self.size[at]
+        total = np.concatenate([[0], np.cumsum(size)])
+        self.ids = self.ids[np.repeat(self.at[at] - total[:-1], size) + np.arange(total[-1])]
+        self.known, self.at, self.size = self.known[at], total[:-1], size
 
 
 class SumOfSquares:
@@ -229,10 +275,10 @@ def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column
                                     ("ids", pa.binary())])
             keys = batch.column(0).to_pylist()
             data, offsets = scan.text_column(batch.column(1))
-            for lo, hi in scan.chunks(offsets):
-                ids, at = encoder.encode(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
+            for lo, hi in scan.chunks(offsets, scan.CHUNK_BYTES // 2):
+                ids = encoder.encode(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
                 for row in range(lo, hi):
-                    own = np.append(ids[at[row - lo]:at[row - lo + 1]], np.uint32(end_id)).astype("<u4")
+                    own = np.append(ids[row - lo], np.uint32(end_id)).astype("<u4")
                     name = (keys[row], len(own))
                     whole = len(own) - len(own) % length
                     for start in range(0, whole, length):
