@@ -9,11 +9,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumbre.llm import decontamination, packing
-from lumbre.llm.queries import tokenizer_path
+from lumbre.llm import decontamination, jaccard, packing, substrings, toxicity
+from lumbre.llm.queries import held_out, tokenizer_path
 from lumbre.session import configure, cut_lineage, table
 
 
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not likely toxic, judged as ``op2_toxicity`` does."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return toxicity.score(rows, model).where("score < 0.7").select("row.*")
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest id."""
+    return jaccard.one_of_each(docs)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without passages that occur more than once; texts that lose nothing stay as they are."""
+    columns = docs.columns
+    kept = substrings.mark_repeats(docs.select(F.struct(*columns).alias("row"), "doc_id", "text"))
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text"))
+    count = F.when(F.col("n_removed") > 0, F.char_length("kept").cast("long")).otherwise(F.col("row.n_chars"))
+    return kept.select(*[{"text": text, "n_chars": count}.get(c, F.col(f"row.{c}")).alias(c) for c in columns])
+
+
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark window."""
     return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -25,7 +46,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-STAGES = [("benchmark decontamination", without_benchmark), ("packing", packed)]
+STAGES = [("toxicity", without_toxic), ("near duplicates", without_near_duplicates), ("substring dedup", without_repeats), ("benchmark decontamination", without_benchmark), ("packing", packed)]
 
 #: packing and the learnt stages have no SQL; tests hold the stages against brute force
 ORACLE_SQL = None

@@ -14,7 +14,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
@@ -187,12 +187,12 @@ def spanning_links(sets: list[np.ndarray], visitors: list[np.ndarray], labels: l
 
 def link_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80,
                  rows_per_bucket: int = tally.ROWS_PER_BUCKET, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
-    """Every row's (``key``, ``n_shingles``, ``class``), and the classes' (``node``, ``root``) where linked ones have one root."""
+    """Every row's (``key``, ``text_hash``, ``n_shingles``, ``class``), and the classes' (``node``, ``root``) where linked ones have one root."""
     d, n = tally.bucketed(docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")), "key", "text", rows_per_bucket)
-    d = d.select("bucket", "key", "text")
+    d = d.select("bucket", "key", F.xxhash64("text").alias("text_hash"), "text")
     sketches = lambda first: tally.unique(np.concatenate([s[:SKETCH] for _, s in first.values()]) if first else np.zeros(0, np.uint64))
     notes = tally.add_up(tally.send(d, lambda t: sketches(_classes(t, size)[2]), max(8, n // 4)))
-    schema = StructType([StructField("key", docs.schema[key].dataType), StructField("n_shingles", LongType()), StructField("class", BinaryType()),
+    schema = StructType([StructField("key", docs.schema[key].dataType), StructField("text_hash", LongType()), StructField("n_shingles", LongType()), StructField("class", BinaryType()),
                          StructField("keys", ArrayType(LongType())), StructField("shingles", BinaryType())])
     arrow = to_arrow_schema(schema)
 
@@ -210,7 +210,7 @@ def link_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
                 rarest = rarest[total[rarest] > 1]
                 if len(rarest):
                     keys[row], sets[row] = sketch[rarest].view(np.int64).tolist(), own.tobytes()
-        return pa.Table.from_arrays([table.column("key"), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())], schema=arrow)
+        return pa.Table.from_arrays([table.column("key"), table.column("text_hash"), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())], schema=arrow)
 
     rows = cut_lineage(tally.deliver(d, notes, finish, schema), "classes")
     wanted = rows.where("keys IS NOT NULL")
@@ -284,3 +284,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **
     named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("class", "component_id")
     out = rows.join(named, "class", "left")
     return out.select(F.col("key").alias(key), "n_shingles", F.when(F.col("class").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, one of each group of linked ones: that with the smallest key, of equal keys one of them.
+
+    Rows without words are linked with nothing and stay.  Columns are those of ``docs``.
+    """
+    rows, roots = link_classes(docs, key, text, **options)
+    rows = rows.join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "text_hash")).alias("first")
+    keep = rows.where("class IS NOT NULL").groupBy("root").agg(first).select("first.key", "first.text_hash", F.lit(True).alias("once"))
+    keep = keep.union(rows.where("class IS NULL").select("key", "text_hash", F.lit(False)).distinct())
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text_hash"))
+    keep = keep.select(F.col("key").alias("k"), F.col("text_hash").alias("h"), "once")
+    d = d.join(keep, d["key"].eqNullSafe(keep["k"]) & (d["text_hash"] == keep["h"]))
+    d = d.withColumn("n", F.row_number().over(Window.partitionBy("key", "text_hash").orderBy("once")))
+    return d.where("NOT once OR n = 1").select("row.*")

@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumbre.llm import conversations, decontamination, jaccard, packing, substrings
+from lumbre.llm import conversations, decontamination, jaccard, packing, substrings, toxicity
 from lumbre.session import configure, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,16 @@ def op4_substring_dedup(spark, base):
 @query()
 def op7_ngram_jaccard_join(spark, base):
     return jaccard.near_duplicates(table(spark, base, "documents").select("doc_id", "text"))
+
+
+def held_out(column: str = "doc_id", parts: int = 3, part: int = 1):
+    """Whether the row is kept back from learning: crc32 of the key as text, modulo ``parts``."""
+    return F.crc32(F.col(column).cast("string")) % parts == part
+
+
+@query()
+def op2_toxicity(spark, base):
+    docs = table(spark, base, "documents").select("doc_id", "text")
+    labels = table(spark, base, "labels").where(~held_out())
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
