@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumbre.llm import conversations, decontamination, jaccard, packing, substrings, toxicity
+from lumbre.llm import conversations, decontamination, jaccard, packing, quality, substrings, toxicity
 from lumbre.session import configure, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,11 @@ def op2_toxicity(spark, base):
     labels = table(spark, base, "labels").where(~held_out())
     scored = toxicity.score(docs, toxicity.fit(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query()
+def op8_quality_classifier(spark, base):
+    docs = table(spark, base, "documents").select("doc_id", "text")
+    labels = table(spark, base, "labels").where(~held_out())
+    scored = quality.score(docs, quality.fit(docs, labels))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
