@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumbre.llm import conversations, decontamination, jaccard, packing, quality, substrings, toxicity
+from lumbre.llm import conversations, decontamination, fingerprints, jaccard, packing, quality, substrings, toxicity, urls
 from lumbre.session import configure, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,22 @@ def op8_quality_classifier(spark, base):
     labels = table(spark, base, "labels").where(~held_out())
     scored = quality.score(docs, quality.fit(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
+
+@query()
+def op1_url_filters(spark, base):
+    # a page's label is that of the document its path ends with: bad if of low quality or toxic
+    pages = table(spark, base, "pages").select("page_id", "url")
+    _, path = urls.host_and_path(F.col("url"))
+    pages = pages.withColumn("doc_id", F.regexp_extract(path, r"([0-9]{1,18})[^0-9/]*/?$", 1).try_cast("long"))
+    bad = table(spark, base, "labels").groupBy("doc_id").agg(F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("long")).alias("bad"))
+    judged = urls.judge(pages.join(bad, "doc_id", "left").drop("doc_id"), RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query()
+def op10_document_fingerprints(spark, base):
+    return fingerprints.compare_with_next(table(spark, base, "documents").select("doc_id", "text"))
