@@ -1,4 +1,4 @@
-"""Connected components by random contraction."""
+"""Connected components by contraction."""
 
 from __future__ import annotations
 
@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from lumbre.session import cut_lineage
 
+NATURAL = 4
+
 
 def components(edges: DataFrame, a: str, b: str, most_rounds: int = 200) -> DataFrame:
     """(``node``, ``root``) for each node of an edge; nodes of one component have one root, a node of it.
 
-    In each round every node moves to the neighbour (or itself) that comes first in an order that is random for the round,
-    so the number of nodes falls by a constant factor.  Edges and nodes stay tables; a node with many edges is one row of a
+    In each round every node moves to its neighbour (or itself) that comes first: in the order of nodes in the first rounds, so
+    that stars round their first node are done at once, and then in an order that is random for the round, so that the number
+    of nodes falls by a constant factor whatever their names.  Edges and nodes stay tables; a node with many edges is one row of a
     partial aggregate, and joins on it are split by the planner.  Null ends and loops are ignored.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
@@ -22,7 +25,7 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 200) -> Data
         if e.isEmpty():
             return nodes
         both = e.union(e.select("v", "u"))
-        rank = lambda c: F.struct(F.xxhash64(F.lit(n), c).alias("h"), F.col(c).alias("x"))
+        rank = lambda c, n=n: F.struct((F.lit(0).cast("long") if n < NATURAL else F.xxhash64(F.lit(n), c)).alias("h"), F.col(c).alias("x"))
         moved = both.groupBy("u").agg(F.min(rank("v")).alias("best")).select("u", F.least("best", rank("u"))["x"].alias("to"))
         moved = cut_lineage(moved.where("u <> to"), "moved")
         one, two = (moved.select(F.col("u").alias(k), F.col("to").alias(t)) for k, t in (("u", "tu"), ("v", "tv")))

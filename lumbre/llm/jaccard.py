@@ -185,6 +185,24 @@ def spanning_links(sets: list[np.ndarray], visitors: list[np.ndarray], labels: l
     return links
 
 
+def joined(names: list[bytes], links: list[tuple[int, int]]) -> list[bytes]:
+    """The smallest name each is joined with."""
+    parent = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for x, y in links:
+        x, y = find(x), find(y)
+        if names[y] < names[x]:
+            x, y = y, x
+        parent[y] = x
+    return [names[find(x)] for x in range(len(names))]
+
+
 def link_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80,
                  rows_per_bucket: int = tally.ROWS_PER_BUCKET, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """Every row's (``key``, ``text_hash``, ``n_shingles``, ``class``), and the classes' (``node``, ``root``) where linked ones have one root."""
@@ -222,11 +240,14 @@ def link_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     # one set of each class of a group of several
     sets = wanted.select("class", "shingles").join(groups.withColumnRenamed("node", "class"), "class").groupBy("class", "root").agg(F.first("shingles").alias("shingles"))
     sets = cut_lineage(sets.join(big, "root").withColumn("shard", F.pmod(F.xxhash64("class"), F.col("shards"))), "sets")
-    found = _compare(sets.select("root", "shard", F.lit(0).alias("block"), "class", "shingles", F.lit(None).cast("binary").alias("label"), F.lit(False).alias("visitor")).unionByName(_leaders(sets)), percent)
-    links = cut_lineage(found, "links")
+    own = sets.select("root", "shard", "shards", F.lit(0).alias("block"), "class", "shingles", F.lit(None).cast("binary").alias("label"), F.lit(False).alias("visitor"))
+    links = cut_lineage(_compare(own.unionByName(_leaders(sets)), percent), "links")
+    # a group of one shard is done; shards of larger ones are tied together
+    done, tied = links.where("NOT tied").select(F.col("b").alias("node"), F.col("a").alias("root")), links.where("tied").select("a", "b")
     if not sets.where("shards > 1").isEmpty():
-        links = links.unionByName(cut_lineage(_compare(_rest(sets, components(links, "a", "b"), shard), percent), "links"))
-    return rows.drop("keys", "shingles"), components(links, "a", "b")
+        more = cut_lineage(_compare(_rest(sets, components(tied, "a", "b"), shard), percent), "links")
+        done = done.unionByName(components(tied.unionByName(more.select("a", "b")), "a", "b"))
+    return rows.drop("keys", "shingles"), done
 
 
 def _leaders(sets: DataFrame) -> DataFrame:
@@ -234,7 +255,7 @@ def _leaders(sets: DataFrame) -> DataFrame:
     many = sets.where("shards > 1")
     few = many.where(F.col("shard") < LEADERS).groupBy("root", "shard").agg(F.min("class").alias("class")).select("root", "class")
     return (many.drop("shard").join(few, ["root", "class"]).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("shards") - 1).cast("long"))))
-            .select("root", "shard", F.lit(0).alias("block"), "class", "shingles", F.lit(None).cast("binary").alias("label"), F.lit(True).alias("visitor")))
+            .select("root", "shard", "shards", F.lit(0).alias("block"), "class", "shingles", F.lit(None).cast("binary").alias("label"), F.lit(True).alias("visitor")))
 
 
 def _rest(sets: DataFrame, joined: DataFrame, shard: int) -> DataFrame:
@@ -250,13 +271,13 @@ def _rest(sets: DataFrame, joined: DataFrame, shard: int) -> DataFrame:
     own = many.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     visit = (many.where("label <> main").withColumn("block", F.pmod(F.xxhash64("class", F.lit(1)), F.col("blocks")).cast("int"))
              .drop("shard").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("shards") - 1).cast("long")))))
-    columns = lambda x, v: x.select("root", "shard", "block", "class", "shingles", "label", F.lit(v).alias("visitor"))
+    columns = lambda x, v: x.select("root", "shard", "shards", "block", "class", "shingles", "label", F.lit(v).alias("visitor"))
     return columns(own, False).unionByName(columns(visit, True))
 
 
 def _compare(rows: DataFrame, percent: int) -> DataFrame:
-    """Spanning links (``a``, ``b``) between the own sets of each task, and between own sets and visitors."""
-    arrow = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    """What each task joins: stars (``a``, the first class; ``b``, another), and whether its group has other shards (``tied``)."""
+    arrow = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("tied", pa.bool_())])
 
     def run(table: pa.Table) -> pa.Table:
         visitor = table.column("visitor").to_pylist()
@@ -264,10 +285,11 @@ def _compare(rows: DataFrame, percent: int) -> DataFrame:
         names, labels = table.column("class").to_pylist(), table.column("label").to_pylist()
         sets = [np.frombuffer(b, np.uint64) for b in table.column("shingles").to_pylist()]
         n = visitor.count(False)
-        links = spanning_links([sets[i] for i in order[:n]], [sets[i] for i in order[n:]], [labels[i] for i in order], percent)
-        return pa.table([pa.array([names[order[x]] for x, _ in links], pa.binary()), pa.array([names[order[y]] for _, y in links], pa.binary())], schema=arrow)
+        first = joined([names[i] for i in order], spanning_links([sets[i] for i in order[:n]], [sets[i] for i in order[n:]], [labels[i] for i in order], percent))
+        stars = [(a, names[i]) for i, a in zip(order, first) if a != names[i]]
+        return pa.table([pa.array([a for a, _ in stars], pa.binary()), pa.array([b for _, b in stars], pa.binary()), pa.array([table.column("shards")[0].as_py() > 1] * len(stars), pa.bool_())], schema=arrow)
 
-    return rows.groupBy("root", "shard", "block").applyInArrow(run, "a binary, b binary")
+    return rows.groupBy("root", "shard", "block").applyInArrow(run, "a binary, b binary, tied boolean")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
