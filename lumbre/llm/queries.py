@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumbre.llm import conversations, decontamination, fingerprints, jaccard, packing, quality, substrings, toxicity, urls
+from lumbre.llm import conversations, decontamination, fingerprints, jaccard, language_model, packing, quality, substrings, toxicity, urls
 from lumbre.session import configure, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,12 @@ def op1_url_filters(spark, base):
 @query()
 def op10_document_fingerprints(spark, base):
     return fingerprints.compare_with_next(table(spark, base, "documents").select("doc_id", "text"))
+
+
+_TOKENS = rf"list_concat(coalesce(regexp_extract_all({_LOWER}, '{_SPACED}'), []), ['\n'])"
+
+
+@query()
+def op6_lm_scoring(spark, base):
+    docs = table(spark, base, "documents").select("doc_id", "text")
+    return language_model.score(docs, ~held_out(parts=7, part=2))

@@ -63,8 +63,12 @@ def send_on(docs: DataFrame, notes: DataFrame, keys: Callable[[pa.Table, np.ndar
     return docs.groupBy("bucket").cogroup(notes.groupBy("bucket")).applyInArrow(run, NOTES)
 
 
-def add_up(sent: DataFrame, least: int = 0) -> DataFrame:
-    """Totals of each range, returned to the buckets: ``counts`` is aligned with the keys sent, which are not repeated."""
+def add_up(sent: DataFrame, shapes: int = 0) -> DataFrame:
+    """Totals of each range, returned to the buckets: ``counts`` is aligned with the keys sent, which are not repeated.
+
+    With ``shapes``, a range's first row has in ``keys`` the sum of totals and the number of different keys with a total for each
+    value of a key modulo ``shapes`` (read with ``statistics``).
+    """
     def run(table: pa.Table) -> pa.Table:
         if table.column("range")[0].as_py() < 0:
             return table
@@ -79,11 +83,21 @@ def add_up(sent: DataFrame, least: int = 0) -> DataFrame:
         total[order] = np.repeat(sums, np.diff(np.append(first, len(keys))))
         total = np.minimum(total, np.uint64(0xFFFFFFFF)).astype("<u4")
         ends = np.cumsum(sizes)
-        return pa.table([table.column("bucket"), table.column("range"), pa.array([b""] * len(sizes), pa.binary()),
+        told = [b""] * len(sizes)
+        if shapes:
+            shape, counted = (ordered[first] % np.uint64(shapes)).astype(np.int64), sums > 0
+            told[0] = np.stack([np.bincount(shape, weights=w, minlength=shapes) for w in (sums, counted)], axis=1).astype(">i8").tobytes()
+        return pa.table([table.column("bucket"), table.column("range"), pa.array(told, pa.binary()),
                          pa.array([total[e - s:e].tobytes() for s, e in zip(sizes, ends)], pa.binary())], schema=_SCHEMA)
     return sent.groupBy("range").applyInArrow(run, NOTES)
 
 
+def statistics(keys):
+    """Array of (``shape``, ``n``: sum of totals, ``v``: different keys) out of the bytes that ``add_up`` left in ``keys``."""
+    number = lambda i: F.conv(F.hex(F.substring(keys, i * 8 + 1, 8)), 16, 10).cast("long")
+    return F.transform(F.sequence(F.lit(0), (F.length(keys) / 16).cast("int") - 1), lambda i: F.struct(i.alias("shape"), number(i * 2).alias("n"), number(i * 2 + 1).alias("v")))
+
+
 def received(notes: pa.Table) -> tuple[np.ndarray, np.ndarray | None]:
     """Totals in the order of the keys sent, and the passenger."""
     parts = sorted(zip(notes.column("range").to_pylist(), notes.column("counts").to_pylist()))
