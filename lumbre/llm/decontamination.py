@@ -132,12 +132,15 @@ def merged(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _pass(docs: DataFrame, block: Block, text_column: str, fields: list, item_type: pa.DataType, first: bool) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(block)
+    past = {n: f"earlier {n}" for n in ("spans", "items")}
+    if not first:
+        docs = docs.withColumnsRenamed(past)
 
     def run(batch: pa.RecordBatch) -> list:
         known = shared.value
         names = batch.schema.names
         counts, spans, items, longest = [], [], [], []
-        earlier = None if first else (batch.column(names.index("spans")).to_pylist(), batch.column(names.index("items")).to_pylist())
+        earlier = None if first else tuple(batch.column(names.index(n)).to_pylist() for n in past.values())
         for words in scan.words(batch.column(names.index(text_column)), scan.ALNUM, lower=True):
             size = words.counts()
             begin = np.concatenate([[0], np.cumsum(size)])
@@ -154,8 +157,8 @@ def _pass(docs: DataFrame, block: Block, text_column: str, fields: list, item_ty
                 own = {int(i) for w in pairs[edge[r]:edge[r + 1], 1] for i in known.item_of[known.item_at[w]:known.item_at[w + 1]]}
                 own = {known.items[i] for i in own}
                 if earlier is not None:
-                    past = earlier[0][words.first + r]
-                    a, b = merged(np.concatenate([a, [p["start"] for p in past]]).astype(np.int64), np.concatenate([b - a, [p["length"] for p in past]]).astype(np.int64))
+                    runs = earlier[0][words.first + r]
+                    a, b = merged(np.concatenate([a, [p["start"] for p in runs]]).astype(np.int64), np.concatenate([b - a, [p["length"] for p in runs]]).astype(np.int64))
                     own |= set(earlier[1][words.first + r])
                 counts.append(int(size[r]))
                 spans.append([{"start": int(x), "length": int(y - x)} for x, y in zip(a, b)])
@@ -164,7 +167,7 @@ def _pass(docs: DataFrame, block: Block, text_column: str, fields: list, item_ty
         return [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))),
                 pa.array(items, pa.list_(item_type)), pa.array(longest, pa.int64())]
 
-    return scan.append_columns(docs, run, fields)
+    return scan.append_columns(docs, run, fields).drop(*past.values())
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", **options) -> DataFrame:

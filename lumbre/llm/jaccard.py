@@ -209,7 +209,7 @@ def link_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     d, n = tally.bucketed(docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")), "key", "text", rows_per_bucket)
     d = d.select("bucket", "key", F.xxhash64("text").alias("text_hash"), "text")
     sketches = lambda first: tally.unique(np.concatenate([s[:SKETCH] for _, s in first.values()]) if first else np.zeros(0, np.uint64))
-    notes = tally.add_up(tally.send(d, lambda t: sketches(_classes(t, size)[2]), max(8, n // 4)))
+    notes = tally.add_up(tally.send(d, lambda t: sketches(_classes(t, size)[2]), max(64, n // 4)))
     schema = StructType([StructField("key", docs.schema[key].dataType), StructField("text_hash", LongType()), StructField("n_shingles", LongType()), StructField("class", BinaryType()),
                          StructField("keys", ArrayType(LongType())), StructField("shingles", BinaryType())])
     arrow = to_arrow_schema(schema)

@@ -332,7 +332,7 @@ def score(docs: DataFrame, train_on, key: str = "doc_id", text: str = "text", ro
     d, n = tally.bucketed(d, "key", "text", rows_per_bucket)
     d = d.select("bucket", "key", "text", "train")
     shared = docs.sparkSession.sparkContext.broadcast((known, _packed(p)))
-    ranges = max(8, n // 2)
+    ranges = max(64, n // 2)
 
     def counted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         learn = np.array(table.column("train").to_pylist(), bool)

@@ -110,9 +110,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k").select("t", "y")
     pdf = with_statistics(rows, "t").select("y", *STATISTICS).toPandas()
     x, y = pdf[list(STATISTICS)].to_numpy(float), pdf["y"].to_numpy(float)
+    share = (y.sum() + 1) / (len(y) + 2)
+    plain = Rules(float(np.log(share / (1 - share))))
     if not len(y) or y.min() == y.max():
-        share = (y.sum() + 1) / (len(y) + 2)
-        return Rules(float(np.log(share / (1 - share))))
+        return plain
     order = np.lexsort((*x.T, y))  # the order of rows read does not matter
     x, y = x[order], y[order]
     rng, found, residual = np.random.default_rng(seed), {}, y - y.mean()
@@ -131,6 +132,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         if mark not in kept and 0 < held.sum() < len(y):
             kept.add(mark)
             rules.append(path)
+    if not rules:
+        return plain
     matrix = np.stack([found[p] for p in rules], axis=1).astype(float)
     intercept, weights = lasso(matrix, y, penalty)
     used = [i for i in range(len(rules)) if weights[i]]

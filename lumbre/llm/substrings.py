@@ -15,13 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructField, StructType, LongType, ArrayType, BooleanType, StringType, BinaryType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from lumbre.llm import scan, tally
 from lumbre.session import cut_lineage
 
-KEYS_PER_RANGE = 1_000_000
-
 
 def _least(hashes: np.ndarray, width: int) -> np.ndarray:
     """Index of the smallest of ``width`` consecutive values from each place, the first of equal ones."""
@@ -78,7 +76,7 @@ def _member(known: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 def _repeats(docs: DataFrame, window: int, n: int) -> DataFrame:
     """Notes of both levels for each bucket: totals of the full windows, and of the half windows as passenger."""
-    ranges = max(8, n // 4)
+    ranges = max(64, n // 4)
 
     def one(table):
         return tally.unique(_level_one(table, window))
@@ -191,23 +189,8 @@ def longest_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     order = lambda t: t.sort_by([("key", "ascending"), ("text", "ascending")])
     current = cut_lineage(tally.deliver(d, _repeats(d, window, n), lambda t, a, b: begin(order(t), a, b), state), "level")
     length = window
-    while current.where("left > 0").limit(1).count():
-        def push(left, right, length=length):
-            keys, _ = grown(order(left), np.frombuffer(right.column("keys")[0].as_py(), np.uint64), length)
-            return tally._notes(tally.bucket_of(left), *tally.unique(keys), max(8, n // 4))
-
-        def advance(left, right, length=length):
-            left = order(left)
-            kinds = dict(zip(right.column("kind").to_pylist(), range(right.num_rows)))
-            at = kinds["state"]
-            keys, _ = tally.unique(grown(left, np.frombuffer(right.column("keys")[at].as_py(), np.uint64), length)[0])
-            parts = sorted((r, c) for k, r, c in zip(right.column("kind").to_pylist(), right.column("range").to_pylist(), right.column("counts").to_pylist()) if k == "total")
-            totals = np.concatenate([np.frombuffer(c, "<u4") for _, c in parts]) if parts else np.zeros(0, "<u4")
-            keys = keys[totals > 1]
-            _, has = grown(left, keys, 2 * length)
-            longest = np.frombuffer(right.column("counts")[at].as_py(), "<u8")
-            return pa.Table.from_pylist([{"bucket": tally.bucket_of(left), "keys": keys.tobytes(), "longest": np.where(has, 2 * length, longest).astype("<u8").tobytes(), "left": len(keys)}], arrow)
-
+    while not current.where("left > 0").isEmpty():
+        push, advance = _doubling(order, grown, length, max(64, n // 4), arrow)
         totals = tally.add_up(d.groupBy("bucket").cogroup(current.groupBy("bucket")).applyInArrow(push, tally.NOTES))
         notes = totals.select("bucket", F.lit("total").alias("kind"), "range", "keys", "counts").unionByName(
             current.select("bucket", F.lit("state").alias("kind"), F.lit(-1).cast("long").alias("range"), "keys", F.col("longest").alias("counts")))
@@ -219,3 +202,23 @@ def longest_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         return pa.table([left.column("key"), pa.array(np.frombuffer(right.column("longest")[0].as_py(), "<u8").astype(np.int64))], schema=to_arrow_schema(rows))
 
     return d.groupBy("bucket").cogroup(current.groupBy("bucket")).applyInArrow(told, rows).withColumnRenamed("key", key)
+
+
+def _doubling(order, grown, length: int, ranges: int, arrow: pa.Schema):
+    """The two steps of a level: send the windows of twice the length, keep those that repeat."""
+    def push(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys, _ = grown(order(left), np.frombuffer(right.column("keys")[0].as_py(), np.uint64), length)
+        return tally.noted(tally.bucket_of(left), *tally.unique(keys), ranges)
+
+    def advance(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, kinds = order(left), right.column("kind").to_pylist()
+        at = kinds.index("state")
+        keys, _ = tally.unique(grown(left, np.frombuffer(right.column("keys")[at].as_py(), np.uint64), length)[0])
+        parts = sorted((r, c) for k, r, c in zip(kinds, right.column("range").to_pylist(), right.column("counts").to_pylist()) if k == "total")
+        totals = np.concatenate([np.frombuffer(c, "<u4") for _, c in parts]) if parts else np.zeros(0, "<u4")
+        keys = keys[totals > 1]
+        _, has = grown(left, keys, 2 * length)
+        longest = np.where(has, 2 * length, np.frombuffer(right.column("counts")[at].as_py(), "<u8"))
+        return pa.Table.from_pylist([{"bucket": tally.bucket_of(left), "keys": keys.tobytes(), "longest": longest.astype("<u8").tobytes(), "left": len(keys)}], arrow)
+
+    return push, advance

@@ -27,7 +27,7 @@ def bucketed(df: DataFrame, key: str, text: str, rows_per_bucket: int = ROWS_PER
     return df.withColumn("bucket", F.pmod(F.xxhash64(key, text), F.lit(n))), n
 
 
-def _notes(bucket: int, keys: np.ndarray, counts: np.ndarray, ranges: int, passenger: bytes | None = None) -> pa.Table:
+def noted(bucket: int, keys: np.ndarray, counts: np.ndarray, ranges: int, passenger: bytes | None = None) -> pa.Table:
     """Sorted keys cut at the range borders; a passenger travels under a range of its own and is handed on as it is."""
     place = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
     used = np.unique(place)
@@ -50,7 +50,7 @@ def bucket_of(table: pa.Table) -> int:
 
 def send(docs: DataFrame, keys: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], ranges: int) -> DataFrame:
     """First step: the (sorted, different) keys of each bucket and their counts."""
-    return docs.groupBy("bucket").applyInArrow(lambda t: _notes(bucket_of(t), *keys(t), ranges), NOTES)
+    return docs.groupBy("bucket").applyInArrow(lambda t: noted(bucket_of(t), *keys(t), ranges), NOTES)
 
 
 def send_on(docs: DataFrame, notes: DataFrame, keys: Callable[[pa.Table, np.ndarray], tuple[np.ndarray, np.ndarray]], ranges: int) -> DataFrame:
@@ -59,7 +59,7 @@ def send_on(docs: DataFrame, notes: DataFrame, keys: Callable[[pa.Table, np.ndar
         if not left.num_rows:
             return _SCHEMA.empty_table()
         totals, _ = received(right)
-        return _notes(bucket_of(left), *keys(left, totals), ranges, totals.astype("<u4").tobytes())
+        return noted(bucket_of(left), *keys(left, totals), ranges, totals.astype("<u4").tobytes())
     return docs.groupBy("bucket").cogroup(notes.groupBy("bucket")).applyInArrow(run, NOTES)
 
 

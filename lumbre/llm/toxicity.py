@@ -201,7 +201,7 @@ def evidence(rows: int, row: np.ndarray, hashes: np.ndarray, owner: np.ndarray,
     order = np.lexsort((-weight, owner, row))
     row, owner, weight = row[order], owner[order], weight[order]
     first = np.append(True, (row[1:] != row[:-1]) | (owner[1:] != owner[:-1])) if len(row) else np.zeros(0, bool)
-    return np.bincount(row[first], weights=weight[first], minlength=rows)
+    return np.bincount(row[first], weights=weight[first], minlength=rows).astype(float)
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most_labelled: int = 40_000, least_z: float = 3.5,
