@@ -40,8 +40,3 @@ def clean_frame(df: DataFrame) -> DataFrame:
 def zero_if_missing(df: DataFrame, *measures: str) -> DataFrame:
     """Measures that must always be present: NULL becomes 0."""
     return df.withColumns({m: F.coalesce(F.col(m), F.lit(0)) for m in measures})
-
-
-def aggregatable(c: Column, limit: int = 1024) -> Column:
-    """The value, if it is short enough to be used as a group key."""
-    return F.when(F.length(c) <= limit, c)

@@ -19,21 +19,10 @@ def let(value: Column, use) -> Column:
 def pairs_to_map(keys: Column, values: Column, keep: str = "last") -> Column:
     """A map from parallel arrays; a repeated key keeps its first or last value.
 
-    ``map_from_arrays`` refuses repeated keys, so each distinct key looks up
-    the position of the occurrence that wins.
+    The session must let the last of repeated keys win (``spark.sql.mapKeyDedupPolicy``, set by ``configure``); for the first to
+    win the pairs are reversed.
     """
-    def build(s: Column) -> Column:
-        k, v, distinct = s["k"], s["v"], s["d"]
-        if keep == "first":
-            value_of = lambda x: F.get(v, F.array_position(k, x).cast("int") - 1)
-        else:
-            value_of = lambda x: F.get(v, s["n"] - F.array_position(s["r"], x).cast("int"))
-        return F.map_from_arrays(distinct, F.transform(distinct, value_of))
-
-    def prepare(s: Column) -> Column:
-        extra = [] if keep == "first" else [F.size(s["k"]).alias("n"), F.reverse(s["k"]).alias("r")]
-        return let(F.struct(s["k"].alias("k"), s["v"].alias("v"), F.array_distinct(s["k"]).alias("d"), *extra), build)
-    return let(F.struct(keys.alias("k"), values.alias("v")), prepare)
+    return F.map_from_arrays(F.reverse(keys), F.reverse(values)) if keep == "first" else F.map_from_arrays(keys, values)
 
 
 def delete_if(m: Column, condition) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -12,12 +13,24 @@ POINT_MARGIN = dt.timedelta(hours=1)
 COORDINATE = r"(?i)(^|[._])(lat|latitud|latitude|lon|lng|long|longitud|longitude|geo|geo_location|location|coordenadas)($|[._])"
 
 
-def windows(start: dt.datetime, end: dt.datetime | None = None) -> dict[str, dt.datetime]:
-    """The interval and its reference: three times as long, a day at least, right before it. A point gets an hour each side."""
-    if end is None or end <= start:
-        start, end = start - POINT_MARGIN, start + POINT_MARGIN
-    reference = max((end - start) * 3, MIN_BASELINE)
-    return {"start": start, "end": end, "baseline_start": start - reference, "baseline_end": start}
+@dataclass(frozen=True)
+class Comparison:
+    """An interval and the baseline that ends where it starts."""
+
+    start: dt.datetime
+    end: dt.datetime
+    baseline_start: dt.datetime
+
+    @classmethod
+    def of(cls, start: dt.datetime, end: dt.datetime, times: int = 3, least: dt.timedelta = MIN_BASELINE) -> Comparison:
+        """The baseline is ``times`` as long as the interval, ``least`` at the shortest."""
+        if not start < end:
+            raise ValueError("the interval must end after it starts; Comparison.around() takes a point")
+        return cls(start, end, start - max(least, times * (end - start)))
+
+    @classmethod
+    def around(cls, point: dt.datetime, margin: dt.timedelta = POINT_MARGIN, **options) -> Comparison:
+        return cls.of(point - margin, point + margin, **options)
 
 
 def time_literal(df: DataFrame, ts: str, at: dt.datetime):
@@ -31,10 +44,10 @@ def between(df: DataFrame, ts: str, start: dt.datetime, end: dt.datetime) -> Dat
     return df.where((F.col(ts) >= time_literal(df, ts, start)) & (F.col(ts) < time_literal(df, ts, end)))
 
 
-def label_windows(df: DataFrame, ts: str, w: dict[str, dt.datetime]) -> DataFrame:
+def label_windows(df: DataFrame, ts: str, w: Comparison) -> DataFrame:
     """Rows of both windows with ``selected`` telling them apart: one contiguous range, one scan."""
-    both = between(df, ts, w["baseline_start"], w["end"])
-    return both.withColumn("selected", F.col(ts) >= time_literal(df, ts, w["start"]))
+    both = between(df, ts, w.baseline_start, w.end)
+    return both.withColumn("selected", F.col(ts) >= time_literal(df, ts, w.start))
 
 
 def value_shares(labelled: DataFrame, fields: list[str]) -> DataFrame:

@@ -58,8 +58,8 @@ def correlate_within(left: DataFrame, right: DataFrame, key: str, ts: str, minut
                                     F.min(ts).alias("first_at"), F.max(ts).alias("last_at"))
 
 
-def correlate_sources(sources: dict[str, DataFrame], key: str, ts: str, minutes: int = 60, limit: int = 3) -> DataFrame:
-    """Pairs of sources, ``limit`` at most, each correlated in time and labelled."""
+def correlate_sources(sources: dict[str, DataFrame], key: str, ts: str, minutes: int = 60, limit: int | None = None) -> DataFrame:
+    """All pairs of sources (the first ``limit`` if given), each correlated in time and labelled."""
     names = list(sources)
     couples = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]][:limit]
     return reduce(DataFrame.unionByName, [

@@ -13,7 +13,6 @@ from lumbre.functions.text import contains_phrase
 
 # Severity of each level (1 is the highest).
 SEVERITY = {"critical": 1, "high": 2, "medium": 3, "low": 4}
-MAX_RULES = 8
 MAX_COVERAGE = 0.2
 TAG = r"^attack\.[a-z0-9_.]+$"
 
@@ -78,8 +77,8 @@ def ungrounded(df: DataFrame, rules: list[Rule]) -> DataFrame:
     return expected.join(seen, ["field", "value"], "left_anti")
 
 
-def validate(df: DataFrame, rules: list[Rule], columns: list[str] | None = None) -> DataFrame:
-    """Rules worth keeping, eight at most: known level and fields, good tags, grounded values, rare enough."""
+def validate(df: DataFrame, rules: list[Rule], columns: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """Rules worth keeping, all of them or the first ``limit``: known level and fields, good tags, grounded values, rare enough."""
     known = set(columns or df.columns)
     well_formed = []
     for r in rules:
@@ -92,8 +91,8 @@ def validate(df: DataFrame, rules: list[Rule], columns: list[str] | None = None)
         [(i, r.title, r.level, [t for t in r.tags if re.match(TAG, t)]) for i, r in enumerate(well_formed)],
         "position int, rule string, level string, tags array<string>")
     good = rule_coverage(df, well_formed).where("accepted")
-    return facts.join(good, "rule").join(ungrounded(df, well_formed).select("rule").distinct(), "rule", "left_anti") \
-        .orderBy("position").limit(MAX_RULES).select("rule", "level", "tags", "coverage")
+    kept = facts.join(good, "rule").join(ungrounded(df, well_formed).select("rule").distinct(), "rule", "left_anti").orderBy("position")
+    return (kept.limit(limit) if limit else kept).select("rule", "level", "tags", "coverage")
 
 
 def month_range(df: DataFrame, ts: str) -> DataFrame:
@@ -102,30 +101,26 @@ def month_range(df: DataFrame, ts: str) -> DataFrame:
                   F.date_format(F.add_months(F.max(ts), 1), "yyyy-MM").alias("last_month"))
 
 
-# The curated rules of the two security cases.
+# Rules over the standard names the parsers give their columns: one per tactic that these sources can show.
 SIEM_RULES = [
-    Rule("IPS: critical exploit from a listed address", "critical",
-         {"dataset": "fortigate", "category": "intrusion_detection", "severity_text": "critical", "threat_matched": "true"},
-         ("attack.initial_access", "attack.t1190")),
-    Rule("SSH: brute force on root", "high", {"action": "ssh_login", "outcome": "failure", "user_name": "root"},
+    Rule("Critical intrusion signature from a known bad source", "critical",
+         {"event.category": "intrusion_detection", "event.severity_name": "critical", "threat.matched": True}, ("attack.initial_access", "attack.t1190")),
+    Rule("Failed shell login as superuser", "high", {"event.action": "ssh_login", "event.outcome": "failure", "user.name": "root"},
          ("attack.credential_access", "attack.t1110")),
-    Rule("sudo: access to stored credentials", "critical", {"action": "sudo", "technique": "T1003"},
+    Rule("Privileged command that reads stored credentials", "critical", {"event.action": "sudo", "threat.technique.id": "T1003"},
          ("attack.credential_access", "attack.t1003")),
-    Rule("Cloud: access key created by a third party", "high",
-         {"dataset": "cloudaudit", "action": "createAccessKey", "user_name": "contractor_ext"}, ("attack.persistence", "attack.t1098")),
-    Rule("Cloud: audit trail deleted", "critical",
-         {"dataset": "cloudaudit", "action": "deleteTracker", "user_name": ["contractor_ext", "analyst_ro"]},
-         ("attack.defense_evasion", "attack.t1562")),
-    Rule("WAF: SQL injection from a listed address", "high", {"dataset": "waf", "rule_name": "sqli", "threat_matched": "true"},
+    Rule("Outside account made an access key", "high", {"event.action": "createAccessKey", "user.roles": "external"}, ("attack.persistence", "attack.t1098")),
+    Rule("Audit trail removed", "critical", {"event.action": ["deleteTracker", "stopTracker"]}, ("attack.defense_evasion", "attack.t1562")),
+    Rule("Injection into a web form from a known bad source", "high", {"rule.name": ["sqli", "cmdi"], "threat.matched": True},
          ("attack.initial_access", "attack.t1190")),
-    Rule("WAF: webshell from a listed address", "critical", {"dataset": "waf", "rule_name": "webshell", "threat_matched": "true"},
-         ("attack.persistence", "attack.t1505.003")),
+    Rule("Web shell upload", "critical", {"rule.name": "webshell"}, ("attack.persistence", "attack.t1505.003")),
 ]
 FIREWALL_RULES = [
-    Rule("IPS: critical signature blocked", "critical", {"subtype": "ips", "severity": "critical"}, ("attack.initial_access", "attack.t1190")),
-    Rule("Virus blocked", "high", {"subtype": "virus", "action": "blocked"}, ("attack.execution", "attack.t1204")),
-    Rule("Blocked access to an administration port", "high", {"action": ["blocked", "dropped"], "dstport": [22, 3389]},
+    Rule("Critical signature stopped by intrusion prevention", "critical", {"event.module": "ips", "event.severity_name": "critical"},
+         ("attack.initial_access", "attack.t1190")),
+    Rule("Malware stopped", "high", {"event.module": "virus", "event.outcome": "denied"}, ("attack.execution", "attack.t1204")),
+    Rule("Denied connection to a remote administration port", "high", {"event.outcome": "denied", "destination.port": [22, 3389, 5900]},
          ("attack.lateral_movement", "attack.t1021")),
-    Rule("Web filter blocked a site", "medium", {"subtype": "webfilter", "action": "blocked"}, ("attack.command_and_control", "attack.t1071")),
-    Rule("Administrator login", "low", {"subtype": "system", "action": "login"}, ("attack.initial_access", "attack.t1078")),
+    Rule("Forbidden site requested", "medium", {"event.module": "webfilter", "event.outcome": "denied"}, ("attack.command_and_control", "attack.t1071")),
+    Rule("Administrator session opened", "low", {"event.module": "system", "event.action": "login"}, ("attack.initial_access", "attack.t1078")),
 ]

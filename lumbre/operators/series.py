@@ -50,13 +50,9 @@ def detection_interval(first: dt.datetime, last: dt.datetime) -> int:
     return max(1, int((last - first).total_seconds() // 60 // DETECTION_STEPS))
 
 
-def interval_ms(interval: int, unit: str = "Minutes") -> int:
-    return interval * {"Minutes": 60_000, "Hours": 3_600_000, "Days": 86_400_000}.get(unit, 60_000)
-
-
-def anchor_limit(last_ms: int, step_ms: int, horizon: int = HORIZON) -> int:
-    """Latest origin that leaves its whole horizon inside the data."""
-    return int(last_ms) - step_ms * horizon
+def complete_origins(series: DataFrame, horizon: int = HORIZON) -> DataFrame:
+    """Steps of the series whose whole horizon has data: an error can be measured for them."""
+    return series.where(F.col("step") + horizon <= series.agg(F.max("step")).scalar())
 
 
 def bucketed(df: DataFrame, ts: str, minutes: int, features: dict[str, Column], by: list[str] = ()) -> DataFrame:
@@ -126,8 +122,8 @@ def seasonal_backtest(series: DataFrame, value: str, season: int, horizon: int =
                       history: int = 4) -> DataFrame:
     """Every origin forecasts its next ``horizon`` steps with the mean of the same step of the last ``history`` seasons.
 
-    The band comes from quantiles of the one-season differences over the whole
-    series. Only steps fully inside the past of the origin are used: the
+    The band comes from quantiles of the one-season differences that are known
+    at the origin (NULL where there are none yet). Only steps fully inside the past of the origin are used: the
     season must not be shorter than the horizon.
     """
     if season < horizon:
@@ -137,13 +133,15 @@ def seasonal_backtest(series: DataFrame, value: str, season: int, horizon: int =
                                         for k in range(1, history + 1)])).alias("p")).select("p.*")
     predicted = past.groupBy("target").agg(F.avg("y").alias("forecast"))
     lagged = s.join(s.select((F.col("step") + season).alias("step"), F.col("y").alias("y0")), "step")
-    quantile = lambda q: lagged.agg(F.percentile_approx(F.col("y") - F.col("y0"), q, 10_000)).scalar()
+    known = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    quantile = lambda q: F.percentile_approx(F.col("y") - F.col("y0"), q, 10_000).over(known)
+    bands = s.select("step").join(lagged, "step", "left").select(F.col("step").alias("origin"), quantile((1 - band) / 2).alias("low"), quantile((1 + band) / 2).alias("high"))
     edge = s.agg(F.max("step")).scalar()
     origins = s.select(F.col("step").alias("origin"), F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h")) \
         .withColumn("target", F.col("origin") + F.col("h"))
-    return origins.join(predicted, "target").where(F.col("target") <= edge + horizon).select(
+    return origins.join(predicted, "target").join(bands, "origin").where(F.col("target") <= edge + horizon).select(
         "origin", F.col("h").alias("horizon_index"), "target", "forecast",
-        (F.col("forecast") + quantile((1 - band) / 2)).alias("lower"), (F.col("forecast") + quantile((1 + band) / 2)).alias("upper"))
+        (F.col("forecast") + F.col("low")).alias("lower"), (F.col("forecast") + F.col("high")).alias("upper"))
 
 
 def forecast(series: DataFrame, value: str, season: int, horizon: int = HORIZON, **kw) -> DataFrame:

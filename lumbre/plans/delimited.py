@@ -72,9 +72,14 @@ def drop_header(lines: DataFrame, header: str, value: str = "value") -> DataFram
 
 
 def parse_lines(lines: DataFrame, columns: list[str], separator: str = ",", value: str = "value") -> DataFrame:
-    """Named columns through the CSV reader's own parser; empty cells are NULL."""
-    schema = ", ".join(f"`{c}` string" for c in columns)
-    parsed = F.from_csv(F.col(value), F.lit(schema), {"sep": separator, "quote": '"', "escape": '"', "mode": "PERMISSIVE"})
+    """Named columns through the CSV reader's own parser; empty cells are NULL.
+
+    A line with more or fewer cells than columns is flagged in ``parse_errors`` and kept in ``raw_line``.
+    """
+    schema = ", ".join(f"`{c}` string" for c in (*columns, "_odd"))
+    parsed = F.from_csv(F.col(value), F.lit(schema), {"sep": separator, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_odd"})
     kept = [c for c in lines.columns if c != value]
     row = lines.select(*kept, parsed.alias("_row"))
-    return row.select(*kept, *[F.nullif(F.trim(F.col(f"_row.`{c}`")), F.lit("")).alias(c) for c in columns])
+    errors = F.array_compact(F.array(F.when(F.col("_row._odd").isNotNull(), F.lit("_csv_cells"))))
+    return row.select(*kept, *[F.nullif(F.trim(F.col(f"_row.`{c}`")), F.lit("")).alias(c) for c in columns],
+                      F.col("_row._odd").alias("raw_line"), errors.alias("parse_errors"))

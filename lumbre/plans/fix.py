@@ -207,6 +207,7 @@ def decode(lines: DataFrame, envelope: str, value: str = "value", zone: str = LO
     fields["fix_latencia_ms"] = F.when(direction == "entrante", _credible(received, sent))
     fields["log_level"], fields["log_logger"] = get("level"), get("logger")
     fields["parse_errors"] = F.array_compact(F.array(F.when(F.col("_g").isNull(), F.lit("_fix_sin_formato"))))
+    fields["raw_line"] = F.when(F.size(fields["parse_errors"]) > 0, F.col(value))
     return df.select(*kept, *[c.alias(n) for n, c in fields.items()])
 
 

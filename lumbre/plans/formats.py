@@ -108,7 +108,11 @@ def _time(c: Column, fmt: LineFormat, year: int | None, zone: str | None) -> Col
 
 def parse_lines(lines: DataFrame, name: str, value: str = "value", year: int | None = None,
                 zone: str | None = None) -> DataFrame:
-    """Nested columns under standard names, ``@timestamp``, and ``parse_errors`` for lines that do not fit."""
+    """Nested columns under standard names, ``@timestamp``, and ``parse_errors`` for lines that do not fit.
+
+    A line that does not fit is kept in ``raw_line``, so that it can be parsed again; extension keys without a standard name
+    are kept in the map ``extension_other``.
+    """
     fmt = BY_NAME[name]
     kept = [c for c in lines.columns if c != value]
     df = lines.withColumn("_m", grok(F.trim(F.col(value)), list(fmt.patterns)))
@@ -123,12 +127,17 @@ def parse_lines(lines: DataFrame, name: str, value: str = "value", year: int | N
         for key, path, dtype in fmt.extension_fields:
             c = F.try_element_at(F.col("_kv"), F.lit(key))
             out[path] = c.try_cast(dtype) if dtype != "string" else c
+        mapped = [key for key, _, _ in fmt.extension_fields]
+        other = [F.map_filter("_kv", lambda k, v: ~k.isin(*mapped)).alias("extension_other")]
+    else:
+        other = []
     if "log.syslog.priority" in out:
         out["log.syslog.facility.code"] = F.floor(out["log.syslog.priority"] / 8).cast("bigint")
         out["log.syslog.severity.code"] = out["log.syslog.priority"] % 8
     failed = F.array_compact(F.array(F.when(F.col("_m").isNull(), F.lit("_grokparsefailure"))))
     stamped = [_time(F.col(f"_m.{fmt.time}"), fmt, year, zone).alias("@timestamp")] if fmt.time else []
-    return df.select(*kept, *stamped, *nest(out), failed.alias("parse_errors"))
+    raw = F.when(F.size(failed) > 0, F.col(value)).alias("raw_line")
+    return df.select(*kept, *stamped, *nest(out), *other, raw, failed.alias("parse_errors"))
 
 
 def _extension(c: Column) -> Column:

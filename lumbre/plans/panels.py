@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lumbre.functions.dates import iso
 from lumbre.operators import aggregates as ag
@@ -121,12 +121,16 @@ def apply_controls(df: DataFrame, chosen: dict[str, list]) -> DataFrame:
     return df
 
 
-def saved_search_columns(fields: list[dict], volume_field: str = "", n: int = 6) -> list[str]:
-    """Columns of a listing: those with a role first, then the volume field, six at most."""
-    usable = [f for f in fields if f.get("path") and f["path"] != "@timestamp" and f.get("type") != "date"]
-    by_role = sorted(usable, key=lambda f: COLUMN_ROLES.index(f["role"]) if f.get("role") in COLUMN_ROLES else len(COLUMN_ROLES))
-    wanted = [f["path"] for f in by_role[:2]] + ([volume_field] if volume_field else []) + [f["path"] for f in by_role]
-    return list(dict.fromkeys(wanted))[:n]
+def listing_columns(profile: DataFrame, volume: str | None = None, n: int = 6) -> list[str]:
+    """Names of at most ``n`` columns for a listing, out of a profile table (``position``, ``path``, ``type``, ``role``).
+
+    Dates are left out. Columns stand in the order of their roles; the volume column is third, or earlier by its role.
+    """
+    role = F.coalesce(F.nullif(F.array_position(F.lit(list(COLUMN_ROLES)), F.col("role")), F.lit(0)), F.lit(len(COLUMN_ROLES) + 1))
+    place = F.row_number().over(Window.orderBy(role, "position"))
+    shown = profile.where((F.col("path") != "@timestamp") & F.coalesce(F.col("type") != "date", F.lit(True))).select("path", place.alias("place"))
+    third = F.when(F.col("path") == F.lit(volume), F.least("place", F.lit(2.5))).otherwise(F.col("place"))
+    return [r["path"] for r in shown.orderBy(third).limit(n).collect()]
 
 
 def saved_search(df: DataFrame, ts: str, columns: list[str], tie: str, size: int = 500, query: Column | None = None) -> DataFrame:

@@ -69,7 +69,7 @@ def board_firewall(t):
         {"type": "bar", "title": "blocked ports", "field": "user_id", "query": blocked}], "ts")
 
 
-@query("2.18 A4 A29 A31", _all(
+@query("2.18 A4 A31", _all(
     _m("transactions", "count(*)", "events"), _m("active accounts", "count(DISTINCT user_id)", "events"), _m("failed", "count(*)", "events", "event_type = 'error'"), _m("mean steps", "avg(value)", "events"),
     _line("dau", "count(DISTINCT user_id)", "ts", "events"), _line("by operation", "count(*)", "ts", "events", split="event_type"), _top("clients", "user_id", "count(*)", "events")))
 def board_wallet(t):
@@ -104,7 +104,7 @@ def board_media(t):
         {"type": "bar", "title": "titles", "field": "user_id", "metric": "sum", "agg_field": "value"}, {"type": "table", "title": "errors by pop", "field": "user_id", "query": err}], "ts")
 
 
-@query("2.18 A3 A10 A20", _all(
+@query("2.18 A3 A10", _all(
     _m("readings", "count(*)", "lineitem"), _m("oil", "sum(l_quantity)", "lineitem"), _m("stops", "count(*)", "lineitem", "l_returnflag = 'R'"), _line("oil by well", "sum(l_quantity)", "l_shipdate", "lineitem", split="l_suppkey"),
     _line("pressure", "avg(l_tax)", "l_shipdate", "lineitem"), _top("wells", "l_suppkey", "sum(l_quantity)", "lineitem"), _top("water", "l_suppkey", "sum(l_extendedprice)", "lineitem", "l_linestatus = 'F'")))
 def board_wells(t):

@@ -74,7 +74,7 @@ def controls_applied(t):
 
 @query("R17 R14 O3", "SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, event_id, user_id, event_type, value FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 100")
 def saved_search(t):
-    fields = [{"path": "value", "role": "measure"}, {"path": "user_id", "role": "entity_id"}, {"path": "event_type", "role": "primary_dimension"}, {"path": "ts", "type": "date"}]
-    cols = panels.saved_search_columns(fields)
+    fields = [(0, "value", None, "measure"), (1, "user_id", None, "entity_id"), (2, "event_type", None, "primary_dimension"), (3, "ts", "date", None)]
+    cols = panels.listing_columns(t.spark.createDataFrame(fields, "position int, path string, type string, role string"))
     out = panels.saved_search(t.events, "ts", cols, "event_id", 100, F.col("event_type") == "error")
     return out.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "event_id", *cols)

@@ -29,7 +29,7 @@ def correlate_error_then_purchase_1h(t):
     return m.select("user_id", micro("ts").alias("at"), "n_right")
 
 
-@query("J2 SE4", f"""WITH p AS (SELECT e.user_id, e.ts, count(*) AS m FROM (SELECT * FROM events WHERE event_type = 'error') e
+@query("J2", f"""WITH p AS (SELECT e.user_id, e.ts, count(*) AS m FROM (SELECT * FROM events WHERE event_type = 'error') e
 JOIN (SELECT * FROM events WHERE event_type = 'view') v ON e.user_id = v.user_id AND v.ts BETWEEN e.ts - INTERVAL 2 HOUR AND e.ts + INTERVAL 2 HOUR GROUP BY 1, 2)
 SELECT user_id, count(*) AS left_findings, CAST(sum(m) AS BIGINT) AS matches, strftime(min(ts), {FMT}) AS first_at, strftime(max(ts), {FMT}) AS last_at FROM p GROUP BY 1""")
 def correlate_within_2h(t):
@@ -43,7 +43,7 @@ def _pair(a, b):
             f"JOIN (SELECT * FROM events WHERE event_type = '{b}') y ON x.user_id = y.user_id AND y.ts BETWEEN x.ts - INTERVAL 1 HOUR AND x.ts + INTERVAL 1 HOUR")
 
 
-@query("J3", " UNION ALL ".join(_pair(a, b) for a, b in (("error", "view"), ("error", "click"), ("error", "signup"))))
+@query("J3", " UNION ALL ".join(_pair(a, b) for a, b in (("error", "view"), ("error", "click"), ("error", "signup"), ("view", "click"), ("view", "signup"), ("click", "signup"))))
 def correlate_source_pairs(t):
     sources = {k: t.events.where(F.col("event_type") == k) for k in ("error", "view", "click", "signup")}
     return joins.correlate_sources(sources, "user_id", "ts", 60).groupBy("pair") \

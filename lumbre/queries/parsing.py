@@ -1,10 +1,10 @@
 """Lines of every supported format, made from the driver tables, parsed, and compared with the columns they came from."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from lumbre.functions import dates, missing, nested, net, numbers
 from lumbre.functions.dates import iso
-from lumbre.functions.keys import composite_key, fingerprint, masked
+from lumbre.functions.keys import composite_key, fingerprint, in_share, masked
 from lumbre.operators import derived
 from lumbre.plans import delimited, fix, formats, grok, keyvalue
 from lumbre.queries.registry import query
@@ -230,7 +230,7 @@ def json_flatten_roundtrip(t):
                        F.col("a_deep_uid").alias("user_id_text"), F.col("items_k").alias("first_k"))
 
 
-@query("P29 D4 E20", "SELECT event_id, event_type FROM events")
+@query("P29 D4", "SELECT event_id, event_type FROM events")
 def json_array_split(t):
     one = F.to_json(F.struct("event_id", "event_type"))
     per_user = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("["), one, F.lit("]"))).otherwise(one)
@@ -238,7 +238,7 @@ def json_array_split(t):
     return rows.select(F.from_json("value", "event_id bigint, event_type string").alias("r")).select("r.*")
 
 
-@query("S14 S16 X16", "SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS lines, md5(text) AS digest FROM documents")
+@query("S14 S16", "SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS lines, md5(text) AS digest FROM documents")
 def multiline_roundtrip(t):
     lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "value"))
     rec = readers.assemble_records(lines, F.col("pos") == 0, ["doc_id"], "pos", max_lines=1_000_000)
@@ -258,7 +258,7 @@ def record_start_inference(t):
     return readers.record_start(t.conversations.select(F.concat(text("conv_id"), F.lit(',"'), F.col("role"), F.lit('\nmore text"')).alias("value")))
 
 
-@query("S1 S5 S11 S12 E5 K3", f"""SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1""")
+@query("S1 S5 S11 S12", f"""SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1""")
 def text_source_roundtrip(t):
     path = scratch_path(t.spark, "lines")
     e = t.events
@@ -282,7 +282,8 @@ def csv_and_json_sources(t):
     return both.groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
 
 
-@query("S6 S7")
+@query("S7", """WITH b AS (SELECT min(event_id) AS lo, greatest((max(event_id) - min(event_id) + 1) / 50.0, 1e-9) AS width FROM events)
+SELECT e.* FROM events e, b QUALIFY event_id = min(event_id) OVER (PARTITION BY floor((event_id - lo) / width))""")
 def spread_sample_events(t):
     return readers.spread_sample(t.events, "event_id", 50)
 
@@ -442,6 +443,54 @@ def fingerprints(t):
     return t.events.select("event_id", fingerprint(F.col("event_id"), F.col("event_type")).alias("id"))
 
 
-@query("E9")
+@query("E9", "SELECT * FROM events WHERE CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8) AS UBIGINT) < 0.3 * 4294967296")
 def thinned_events(t):
-    return t.events.sample(0.3, seed=11)
+    return t.events.where(in_share(0.3, F.col("event_id")))
+
+
+@query("S14", """SELECT o_orderstatus AS status, count(*) AS lines, md5(string_agg(CAST(o_orderkey AS VARCHAR), chr(10) ORDER BY o_orderkey)) AS body, 0 AS errors FROM orders GROUP BY 1""")
+def long_quoted_records(t):
+    """One record per order status whose quoted cell has a line for each order."""
+    w = Window.partitionBy("o_orderstatus").orderBy("o_orderkey")
+    n, last = F.row_number().over(w), F.lead("o_orderkey").over(w).isNull()
+    line = F.concat(F.when(n == 1, F.concat(F.col("o_orderstatus"), F.lit(',"'))).otherwise(""), text("o_orderkey"), F.when(last, '"').otherwise(""))
+    records = readers.quoted_records(t.orders.select(F.col("o_orderstatus").alias("file"), n.alias("n"), line.alias("value")), ["file"], "n")
+    return records.select(F.substring_index("value", ",", 1).alias("status"), F.col("lines").cast("bigint").alias("lines"),
+                          F.md5(F.regexp_extract("value", r'"([^"]*)"', 1)).alias("body"), F.size("parse_errors").alias("errors"))
+
+
+@query("S12 P25", "SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1")
+def latin1_fix_file(t):
+    """A Latin-1 file of FIX messages, whose fields end with a control character, read back whole."""
+    path = scratch_path(t.spark, "latin1")
+    soh = F.lit("\u0001")
+    line = F.concat(F.lit("2024-01-01 caf\u00e9 8=FIX.4.4"), soh, F.lit("35=D"), soh, F.lit("11="), text("event_id"), soh, F.lit("58="), F.col("event_type"), soh)
+    t.events.select(line.alias("value")).write.option("encoding", "ISO-8859-1").option("sep", "\u0002").option("quote", "\u0000").option("emptyValue", "").csv(path)
+    lines = readers.read_lines(t.spark, path, "ISO-8859-1").where(F.col("value").contains("caf\u00e9"))
+    tags = fix.tag_map(F.col("value"))
+    return lines.select(F.element_at(tags, "58").alias("event_type"), F.element_at(tags, "11").cast("bigint").alias("id")) \
+        .groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+
+
+@query("P20", "SELECT event_type, count(*) AS n, count(*) AS others FROM events GROUP BY 1")
+def cef_other_keys(t):
+    """Extension keys without a standard name stay."""
+    line = F.concat(F.lit("CEF:0|v|p|1|9|n|5|src=10.0.0.1 cs3="), F.col("event_type"), F.lit(" dvc=fw "), F.lit("msg=a b"))
+    other = formats.parse_lines(t.events.select(line.alias("value")), "cef").select("extension_other")
+    return other.groupBy(F.col("extension_other")["cs3"].alias("event_type")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("extension_other")["dvc"] == "fw").alias("others"))
+
+
+@query("P11 K6", "SELECT event_id, CAST(event_id AS VARCHAR) || ',' || event_type || ',surplus' AS raw_line FROM events WHERE event_id % 5 = 0")
+def surplus_cells_flagged(t):
+    line = F.concat_ws(",", text("event_id"), "event_type", F.when(F.col("event_id") % 5 == 0, F.lit("surplus")))
+    rows = delimited.parse_lines(t.events.select(line.alias("value")), ["id", "kind"])
+    return sinks.split_quarantine(rows)[1].select(F.col("id").cast("bigint").alias("event_id"), "raw_line")
+
+
+@query("K6 P19", "SELECT event_id, 'broken ' || event_type AS raw_line FROM events WHERE event_type = 'error'")
+def quarantine_replays(t):
+    """Lines that fail keep their text, so the quarantine can be parsed again."""
+    good = F.concat(F.lit("<13>2024-01-01T00:00:00Z host app[1]: "), F.col("event_type"))
+    line = F.when(F.col("event_type") == "error", F.concat(F.lit("broken "), F.col("event_type"))).otherwise(good)
+    rows = formats.parse_lines(t.events.select("event_id", line.alias("value")), "syslog_iso")
+    return sinks.split_quarantine(rows)[1].select("event_id", "raw_line")

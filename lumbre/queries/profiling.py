@@ -70,7 +70,7 @@ def typed_rows_with_problems(t):
 
 def _catalogue(t, *names: str) -> DataFrame:
     # One profile per table; each is a single aggregate of its own scan.
-    return reduce(DataFrame.unionByName, [pf.profile(getattr(t, n), n, exact=n != "orders") for n in names])
+    return reduce(DataFrame.unionByName, [pf.profile(getattr(t, n), n, exact=False) for n in names])
 
 
 @query("T13", """SELECT * FROM (VALUES ('events', 'ts', 'timestamp'), ('events', 'value', 'measure'), ('events', 'event_id', 'entity_id'), ('events', 'user_id', 'entity_id'), ('events', 'event_type', ''), ('events', 'props', '')) AS v("table", "column", role)""")

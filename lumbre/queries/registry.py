@@ -25,9 +25,9 @@ class Tables:
         return table(self.spark, self.base, name)
 
     def spread(self, name: str, *columns: str) -> DataFrame:
-        """The table over all cores, for work that is heavy per row."""
+        """The table in one piece per core, for work that is heavy per row."""
         df = table(self.spark, self.base, name)
-        return spread(df.select(*columns) if columns else df)
+        return spread(df.select(*columns) if columns else df, self.spark.sparkContext.defaultParallelism)
 
 
 def query(ops: str, sql: str | None = None):

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from lumbre.functions.nested import nest
+
 from lumbre.operators import security as sec
 from lumbre.operators.security import Rule
 from lumbre.queries.registry import query
@@ -55,40 +57,46 @@ def validated_rules(t):
 
 
 def siem_view(t):
-    """The events as the normalised rows of four security sources."""
+    """The events as the normalised rows of four security sources, under standard names."""
     k, u, v = F.col("event_type"), F.col("user_id"), F.col("value")
-    return t.events.select(
-        "event_id", "ts", "user_id",
-        F.when(k == "error", F.lit("waf")).when(k == "view", F.lit("cloudaudit")).when(k == "click", F.lit("auth")).otherwise(F.lit("fortigate")).alias("dataset"),
-        F.when(k == "purchase", F.lit("intrusion_detection")).otherwise(F.lit("other")).alias("category"),
-        F.when(v > 60, F.lit("critical")).otherwise(F.lit("low")).alias("severity_text"),
-        F.when(u % 5 == 0, F.lit("true")).otherwise(F.lit("false")).alias("threat_matched"),
-        F.when(k == "click", F.when(v > 30, F.lit("ssh_login")).otherwise(F.lit("sudo"))).when(k == "view", F.when(v > 30, F.lit("createAccessKey")).otherwise(F.lit("deleteTracker"))).alias("action"),
-        F.when(k == "click", F.when(u % 2 == 0, F.lit("failure")).otherwise(F.lit("success"))).alias("outcome"),
-        F.when(u % 7 == 0, F.lit("root")).when(u % 7 == 1, F.lit("contractor_ext")).otherwise(F.lit("other")).alias("user_name"),
-        F.when(v < 10, F.lit("T1003")).alias("technique"),
-        F.when(k == "error", F.when(v > 50, F.lit("sqli")).when(v > 25, F.lit("webshell")).otherwise(F.lit("xss"))).alias("rule_name"))
-
-
-_SIEM = (("event_type = 'purchase' AND value > 60 AND user_id % 5 = 0", "critical"), ("event_type = 'click' AND value > 30 AND user_id % 2 = 0 AND user_id % 7 = 0", "high"),
-         ("event_type = 'click' AND value <= 30 AND value < 10", "critical"), ("event_type = 'view' AND value > 30 AND user_id % 7 = 1", "high"),
-         ("event_type = 'view' AND value <= 30 AND user_id % 7 = 1", "critical"), ("event_type = 'error' AND value > 50 AND user_id % 5 = 0", "high"),
-         ("event_type = 'error' AND value > 25 AND value <= 50 AND user_id % 5 = 0", "critical"))
-
-
-@query("SE3", " UNION ALL ".join(f"SELECT '{r.title}' AS rule, '{lv}' AS level, count(*) AS n FROM events WHERE {c}" for r, (c, lv) in zip(sec.SIEM_RULES, _SIEM)))
+    named = {
+        "event.category": F.when(k == "purchase", F.lit("intrusion_detection")).otherwise(F.lit("other")),
+        "event.severity_name": F.when(v > 60, F.lit("critical")).otherwise(F.lit("low")),
+        "threat.matched": u % 5 == 0,
+        "event.action": F.when(k == "click", F.when(v > 30, F.lit("ssh_login")).otherwise(F.lit("sudo"))).when(k == "view", F.when(v > 30, F.lit("createAccessKey")).otherwise(F.lit("deleteTracker"))),
+        "event.outcome": F.when(k == "click", F.when(u % 2 == 0, F.lit("failure")).otherwise(F.lit("success"))),
+        "user.name": F.when(u % 7 == 0, F.lit("root")).otherwise(F.lit("other")),
+        "user.roles": F.when(u % 7 == 1, F.lit("external")).otherwise(F.lit("internal")),
+        "threat.technique.id": F.when(v < 10, F.lit("T1003")),
+        "rule.name": F.when(k == "error", F.when(v > 50, F.lit("sqli")).when(v > 25, F.lit("webshell")).otherwise(F.lit("xss")))}
+    return t.events.select("event_id", "ts", "user_id", *nest(named))
+
+
+_SIEM = ("event_type = 'purchase' AND value > 60 AND user_id % 5 = 0", "event_type = 'click' AND value > 30 AND user_id % 2 = 0 AND user_id % 7 = 0", "event_type = 'click' AND value < 10",
+         "event_type = 'view' AND value > 30 AND user_id % 7 = 1", "event_type = 'view' AND value <= 30", "event_type = 'error' AND value > 50 AND user_id % 5 = 0",
+         "event_type = 'error' AND value > 25 AND value <= 50")
+_FIREWALL = ("event_type = 'view' AND value > 60", "event_type = 'click' AND user_id % 2 = 0", "user_id % 2 = 0 AND user_id IN (22, 44)", "event_type = 'error' AND user_id % 2 = 0",
+             "event_type = 'signup' AND value > 50")
+
+
+def _counted(rules, conditions):
+    return " UNION ALL ".join(f"SELECT * FROM (SELECT '{r.title}' AS rule, '{r.level}' AS level, count(*) AS n FROM events WHERE {c}) WHERE n > 0" for r, c in zip(rules, conditions))
+
+
+@query("SE3", _counted(sec.SIEM_RULES, _SIEM))
 def curated_siem_rules(t):
     return sec.findings(siem_view(t), sec.SIEM_RULES).groupBy("rule", "level").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SE3 F12", "SELECT * FROM (SELECT 'Blocked access to an administration port' AS rule, count(*) AS n FROM events WHERE event_type IN ('error', 'click') AND user_id IN (22, 33) UNION ALL "
-                  "SELECT 'Virus blocked', count(*) FROM events WHERE event_type = 'error' AND value > 50) WHERE n > 0")
+@query("SE3 F12", _counted(sec.FIREWALL_RULES, _FIREWALL))
 def curated_firewall_rules(t):
-    k = F.col("event_type")
-    fw = t.events.select("event_id", F.when(k == "error", F.lit("blocked")).when(k == "click", F.lit("dropped")).otherwise(F.lit("accept")).alias("action"),
-                         F.when(F.col("value") > 50, F.lit("virus")).otherwise(F.lit("forward")).alias("subtype"),
-                         F.when(F.col("user_id") == 33, F.lit(3389)).otherwise(F.col("user_id")).cast("int").alias("dstport"), F.lit("low").alias("severity"))
-    return sec.findings(fw, sec.FIREWALL_RULES).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    k, u, v = F.col("event_type"), F.col("user_id"), F.col("value")
+    module = F.when(k == "view", F.lit("ips")).when(k == "click", F.lit("virus")).when(k == "error", F.lit("webfilter")).when(k == "signup", F.lit("system")).otherwise(F.lit("traffic"))
+    port = F.when(u == 44, F.lit(3389)).otherwise(u).cast("int")
+    fw = t.events.select("event_id", *nest({"event.module": module, "event.severity_name": F.when(v > 60, F.lit("critical")).otherwise(F.lit("low")),
+                                             "event.outcome": F.when(u % 2 == 0, F.lit("denied")).otherwise(F.lit("allowed")),
+                                             "event.action": F.when(v > 50, F.lit("login")).otherwise(F.lit("logout")), "destination.port": port}))
+    return sec.findings(fw, sec.FIREWALL_RULES).groupBy("rule", "level").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SE7 N17", "SELECT strftime(min(o_orderdate), '%Y-%m') AS first_month, strftime(max(o_orderdate) + INTERVAL 1 MONTH, '%Y-%m') AS last_month FROM orders")

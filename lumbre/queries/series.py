@@ -51,18 +51,30 @@ def best_365_day_window(t):
 
 _NAIVE = f"""{FILLED}, e AS (SELECT max(step) AS last FROM f),
 p AS (SELECT f.step + 24 * k AS target, avg(n) AS forecast FROM f, (VALUES (1), (2), (3), (4)) AS v(k) GROUP BY 1),
-b AS (SELECT step AS origin, h, step + h AS target FROM f, (SELECT unnest(generate_series(1, 8)) AS h))
+d AS (SELECT f.step AS origin, CAST(f.n - g.n AS DOUBLE) AS d FROM f LEFT JOIN f g ON g.step = f.step - 24),
+q AS (SELECT origin, quantile_disc(d, 0.05) OVER w AS low, quantile_disc(d, 0.95) OVER w AS high FROM d WINDOW w AS (ORDER BY origin)),
+b AS (SELECT step AS origin, h, step + h AS target FROM f, (SELECT unnest(generate_series(1, 8)) AS h)),
+bounded AS (SELECT origin, h AS horizon_index, target, round(forecast, 6) AS forecast, round(forecast + low, 6) AS lower, round(forecast + high, 6) AS upper FROM b JOIN p USING (target) JOIN q USING (origin))
 """
 
 
-@query("AN4 AN6 AN9", f"WITH {_NAIVE} SELECT origin, h AS horizon_index, target, round(forecast, 6) AS forecast FROM b JOIN p USING (target)")
+def _rounded(forecasts):
+    return forecasts.select("origin", F.col("horizon_index").cast("bigint").alias("horizon_index"), "target", *[F.round(c, 6).alias(c) for c in ("forecast", "lower", "upper")])
+
+
+@query("AN4 AN6", f"WITH {_NAIVE} SELECT * FROM bounded")
 def seasonal_backtest(t):
-    return se.seasonal_backtest(_hourly(t), "n", 24).select("origin", F.col("horizon_index").cast("bigint").alias("horizon_index"), "target", F.round("forecast", 6).alias("forecast"))
+    return _rounded(se.seasonal_backtest(_hourly(t), "n", 24))
 
 
-@query("AN4")
+@query("AN4", f"WITH {_NAIVE} SELECT bounded.* FROM bounded, e WHERE origin = last")
 def forecast_next_8(t):
-    return se.forecast(_hourly(t), "n", 24)
+    return _rounded(se.forecast(_hourly(t), "n", 24))
+
+
+@query("AN9", f"WITH {FILLED} SELECT step, n FROM f WHERE step <= (SELECT max(step) FROM f) - 8")
+def complete_origins(t):
+    return se.complete_origins(_hourly(t)).select("step", "n")
 
 
 def _at(c):
@@ -92,7 +104,7 @@ def anomaly_grade_hourly(t):
     return se.anomaly_listing(se.anomaly_grades(_hourly(t), ["errors", "n"], shingle=4), 50)
 
 
-_W = change.windows(dt.datetime(2024, 1, 20), dt.datetime(2024, 1, 22))
+_W = change.Comparison.of(dt.datetime(2024, 1, 20), dt.datetime(2024, 1, 22))
 _SHARES = """w AS (SELECT *, ts >= '2024-01-20' AS selected FROM events WHERE ts >= '2024-01-14' AND ts < '2024-01-22'),
 c AS (SELECT field, value, count(*) FILTER (WHERE selected) AS s, count(*) FILTER (WHERE NOT selected) AS b FROM
 (SELECT selected, 'event_type' AS field, event_type AS value FROM w UNION ALL SELECT selected, 'user_id', CAST(user_id AS VARCHAR) FROM w) GROUP BY 1, 2),

@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from lumbre.functions.text import strip_line
 from lumbre.operators.scan import chunked_scan
 
-MAX_RECORD_LINES = 500
 # What the first line of an event looks like: a date, a syslog priority, a CEF header.
 EVENT_START = (r"^(?:\d{4}-\d{2}-\d{2}|\[\d{4}-\d{2}-\d{2}|\d{2}/\w{3}/\d{4}|\w{3}\s+\d{1,2}\s+\d{2}:\d{2}|<\d+>|CEF:)")
 
@@ -16,15 +15,12 @@ def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8", comments
     """One row per line of every file under a prefix, ``.gz`` included.
 
     Empty files and folder markers are skipped; so are blank lines and, with
-    ``comments``, lines starting with ``#``. ``encoding`` other than UTF-8 goes
-    through the CSV reader, which decodes it.
+    ``comments``, lines starting with ``#``. Lines end with a line feed byte;
+    their bytes are decoded from ``encoding``, control characters included.
     """
-    if encoding.upper() in ("UTF-8", "UTF8"):
-        raw = spark.read.text(path)
-    else:
-        raw = spark.read.schema("value string").option("encoding", encoding).option("sep", "\u0001").option("quote", "") \
-            .option("header", "false").csv(path)
-    columns = [strip_line(F.col("value")).alias("value")]
+    raw = spark.read.text(path)
+    value = F.col("value") if encoding.upper() in ("UTF-8", "UTF8") else F.decode(F.col("value").cast("binary"), encoding)
+    columns = [strip_line(value).alias("value")]
     if metadata:
         columns += [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
                     F.monotonically_increasing_id().alias("line_no")]
@@ -42,10 +38,9 @@ def stream_lines(spark: SparkSession, path: str, archive: str | None = None, max
     return reader.load(path).select(strip_line(F.col("value")).alias("value")).where(F.col("value") != "")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Over all cores when the source comes in fewer pieces than there are cores (a gzip file cannot be split), else as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, parts: int) -> DataFrame:
+    """In ``parts`` even pieces, for a source that cannot be split (a gzip file) and work that is heavy per row. The caller decides."""
+    return df.repartition(parts)
 
 
 def sample_lines(lines: DataFrame, n: int = 200) -> DataFrame:
@@ -120,15 +115,17 @@ def high_water_mark(df: DataFrame, tracking: str) -> int | None:
 
 
 def assemble_records(lines: DataFrame, is_start: Column, part: list[str], order: str, value: str = "value",
-                     max_lines: int = MAX_RECORD_LINES) -> DataFrame:
+                     max_lines: int | None = None) -> DataFrame:
     """Lines joined into records: a start line and the continuations after it.
 
     ``part`` names what a record cannot cross except to continue the previous
     block: ``[file]`` or ``[file, block]`` with the block last. Lines before
     the first start of a file stay records of their own, flagged in
-    ``parse_errors``. A record longer than ``max_lines`` is cut into several,
-    each flagged, so that one runaway record cannot fill a task.
+    ``parse_errors``. A record has any number of lines; a caller who would
+    rather have runaway records in pieces gives ``max_lines``, and each piece
+    is flagged.
     """
+    flagged, max_lines = max_lines is not None, max_lines or 1 << 62
     file, block = part[:-1] if len(part) > 1 else part, part[-1] if len(part) > 1 else None
     lines = lines.withColumn("_start", F.coalesce(is_start, F.lit(False)).cast("int"))
     local = Window.partitionBy(*part).orderBy(order)
@@ -163,7 +160,7 @@ def assemble_records(lines: DataFrame, is_start: Column, part: list[str], order:
                                            lambda s: s["l"])), "\n").alias(value),
         F.sum(F.size("_lines")).alias("lines"), F.bool_or("_loose").alias("_loose"))
     errors = F.array_compact(F.array(F.when(F.col("_loose"), F.lit("_no_record_start")),
-                                     F.when((F.col("_cut") > 0) | (F.col("lines") >= max_lines), F.lit("_record_cut"))))
+                                     F.when(F.lit(flagged) & ((F.col("_cut") > 0) | (F.col("lines") >= max_lines)), F.lit("_record_cut"))))
     return joined.select(*file, F.concat_ws(":", "_home.b", "_home.n", "_cut").alias("record"), value, "lines", errors.alias("parse_errors"))
 
 
@@ -197,14 +194,15 @@ def record_start(records: DataFrame, separator: str = ",", value: str = "value")
 def quoted_records(lines: DataFrame, part: list[str], order: str, value: str = "value") -> DataFrame:
     """Records of a delimited text with line breaks inside quotes: a line starts one when the quotes before it are balanced.
 
-    The running number of quotes is carried from block to block; an unfinished tail is dropped.
+    The running number of quotes is carried from block to block; an unfinished tail is kept and flagged in ``parse_errors``.
     """
     file, block = (part[:-1], F.col(part[-1])) if len(part) > 1 else (part, F.lit(0))
     counted = lines.withColumn("_q", F.length(F.regexp_replace(F.col(value), '[^"]', "")))
     running = chunked_scan(counted, file, order, block, _run=("sum", "_q"))
     marked = running.withColumn("_open", (F.col("_run") - F.col("_q")) % 2 == 1).drop("_q", "_run")
     joined = assemble_records(marked, ~F.col("_open"), part, order, value)
-    return joined.where(F.length(F.regexp_replace(F.col(value), '[^"]', "")) % 2 == 0)
+    unfinished = F.when(F.length(F.regexp_replace(F.col(value), '[^"]', "")) % 2 == 1, F.array(F.lit("_record_unfinished"))).otherwise(F.array().cast("array<string>"))
+    return joined.withColumn("parse_errors", F.concat("parse_errors", unfinished))
 
 
 def decode_avro(c: Column, schema: str) -> Column:

@@ -180,25 +180,17 @@ WARM_DAYS, MONTH_DAYS = 35, 31
 DEFAULT_RETENTION, MIN_RETENTION, MAX_RETENTION = 90, 7, 3650
 
 
-def retention_days(asked) -> int:
-    """Days asked for, within reason; 90 without a usable figure."""
-    try:
-        days = int(asked or 0)
-    except (TypeError, ValueError):
-        days = 0
-    return DEFAULT_RETENTION if days <= 0 else max(MIN_RETENTION, min(MAX_RETENTION, days))
-
-
-def days_to_drop(asked) -> int:
-    return max(WARM_DAYS + 1, retention_days(asked) + MONTH_DAYS)
-
-
 def retention_plan(months: DataFrame, today: dt.date, asked=None) -> DataFrame:
-    """What to do with each monthly partition (``month`` = yyyy_MM): keep hot, compact (warm) or drop."""
-    born = F.to_date(F.col("month"), "yyyy_MM")
-    age = F.datediff(F.lit(today), born)
-    action = F.when(age >= days_to_drop(asked), F.lit("drop")).when(age >= WARM_DAYS, F.lit("warm")).otherwise(F.lit("hot"))
-    return months.select("month", age.alias("age_days"), action.alias("action"))
+    """What to do with each monthly partition (``month`` = yyyy_MM): keep hot, compact (warm) or drop.
+
+    ``asked`` is the retention in days as somebody typed it, or a column of such texts: a positive whole number counts, within
+    bounds, anything else means the default. A month goes when all of its days are past the retention and it has been warm.
+    """
+    typed = (asked if isinstance(asked, Column) else F.lit(None if asked is None else str(asked))).try_cast("int")
+    kept = F.when(typed > 0, F.least(F.greatest(typed, F.lit(MIN_RETENTION)), F.lit(MAX_RETENTION))).otherwise(F.lit(DEFAULT_RETENTION))
+    rows = months.withColumns({"age_days": F.datediff(F.lit(today), F.to_date("month", "yyyy_MM")), "drop_after": F.greatest(kept + MONTH_DAYS, F.lit(WARM_DAYS + 1))})
+    action = F.when(F.col("age_days") >= F.col("drop_after"), "drop").when(F.col("age_days") >= WARM_DAYS, "warm").otherwise("hot")
+    return rows.select("month", "age_days", action.alias("action"))
 
 
 def apply_retention(spark: SparkSession, path: str, today: dt.date, asked=None, files_per_month: int = 1) -> list[tuple[str, str]]:

@@ -160,10 +160,12 @@ def test_trend_and_gaps(spark):
 
 
 def test_windows_of_a_point_and_of_an_interval():
-    w = change.windows(T0)
-    assert (w["end"] - w["start"]) == dt.timedelta(hours=2) and w["baseline_start"] == w["start"] - dt.timedelta(hours=24)
-    w = change.windows(T0, T0 + dt.timedelta(days=2))
-    assert w["baseline_start"] == T0 - dt.timedelta(days=6)
+    w = change.Comparison.around(T0)
+    assert (w.end - w.start) == dt.timedelta(hours=2) and w.baseline_start == w.start - dt.timedelta(hours=24)
+    w = change.Comparison.of(T0, T0 + dt.timedelta(days=2))
+    assert w.baseline_start == T0 - dt.timedelta(days=6)
+    with pytest.raises(ValueError):
+        change.Comparison.of(T0, T0)
 
 
 def test_changes_ignore_coordinates_and_derived_failures(spark):
@@ -237,7 +239,14 @@ def test_records_across_blocks_and_limits(spark):
 def test_quoted_records(spark):
     rows = [("f", 1, 'a,"one'), ("f", 2, ""), ("f", 3, 'two",x'), ("f", 4, "b,c,d"), ("f", 5, 'e,"open')]
     df = spark.createDataFrame(rows, "file string, n int, value string")
-    assert sorted(r["value"] for r in readers.quoted_records(df, ["file"], "n").collect()) == ['a,"one\n\ntwo",x', "b,c,d"]
+    assert sorted((r["value"], list(r["parse_errors"])) for r in readers.quoted_records(df, ["file"], "n").collect()) == [
+        ('a,"one\n\ntwo",x', []), ("b,c,d", []), ('e,"open', ["_record_unfinished"])]
+
+
+def test_a_quoted_record_has_any_number_of_lines(spark):
+    rows = [("f", 0, 'a,"0')] + [("f", i, str(i)) for i in range(1, 700)] + [("f", 700, 'end"'), ("f", 701, "b,c")]
+    got = readers.quoted_records(spark.createDataFrame(rows, "file string, n int, value string").repartition(3), ["file"], "n").collect()
+    assert sorted(r["lines"] for r in got) == [1, 701] and not any(r["parse_errors"] for r in got)
 
 
 def test_latest_by_id_and_upsert(spark, tmp_path):

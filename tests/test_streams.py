@@ -55,8 +55,10 @@ def test_throttle_batch_and_stream_agree(spark, tmp_path):
 
 
 @pytest.mark.parametrize("asked, days", [(None, 121), (0, 121), ("x", 121), (1, 38), (7, 38), (90, 121), (99999, 3681)])
-def test_days_to_drop(asked, days):
-    assert jobs.days_to_drop(asked) == days
+def test_days_to_drop(spark, asked, days):
+    months = spark.createDataFrame([("2026_01",)], "month string")
+    born = dt.date(2026, 1, 1)
+    assert [one(jobs.retention_plan(months, born + dt.timedelta(days=d), asked))["action"] for d in (days - 1, days)] == ["warm", "drop"]
 
 
 def test_retention_drops_and_compacts(spark, tmp_path):
