@@ -23,15 +23,6 @@ def masked(c: Column) -> Column:
     return F.sha2(c.cast("string"), 256)
 
 
-def display_mask(c: Column) -> Column:
-    """Letters and digits hidden, shape kept, for showing."""
-    return F.mask(c)
-
-
-def mask_columns(df, *names: str):
-    return df.withColumns({n: masked(F.col(n)) for n in names})
-
-
 def in_share(share: float, *columns: Column) -> Column:
     """Whether a row is in a share of all rows that its key alone decides, so that it is the same in every run and plan."""
     digest = F.md5(F.concat_ws("|", *[c.cast("string") for c in columns]))

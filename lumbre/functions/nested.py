@@ -90,12 +90,6 @@ def promote(df: DataFrame, area: str, reserved: tuple[str, ...] = ()) -> DataFra
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c != area], *moved)
 
 
-def json_leaf(c: Column, *path: str | int) -> Column:
-    """A leaf of a JSON text, reading element 0 of arrays when asked for by index."""
-    expr = "$" + "".join(f"[{p}]" if isinstance(p, int) else f".{p}" for p in path)
-    return F.get_json_object(c, expr)
-
-
 def parse_json(c: Column, schema: str) -> Column:
     """Permissive: a broken text gives NULL leaves instead of failing the row."""
     return F.from_json(c, schema, {"mode": "PERMISSIVE"})

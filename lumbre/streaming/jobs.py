@@ -28,6 +28,21 @@ def run_once(df: DataFrame, path: str, mode: str = "append", fmt: str = "parquet
     return df.sparkSession.read.format(fmt).schema(df.schema).load(path)
 
 
+def run_once_latest(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """Everything available now, windows that are still open included: the newest state of each key.
+
+    Each micro-batch writes the rows it changed into a folder of its own, so a batch that is run again replaces its own rows;
+    a later run goes on from the checkpoint and adds newer states of the windows left open.
+    """
+    def save(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    for_each_batch(df, save, f"{path}__checkpoint", "update").awaitTermination()
+    rows = df.sparkSession.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, batch long").parquet(path)
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in df.columns if c not in keys]), "batch").alias("_row"))
+    return newest.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
+
+
 def for_each_batch(df: DataFrame, action, checkpoint: str, mode: str = "append", trigger: dict | None = None):
     return df.writeStream.foreachBatch(action).outputMode(mode).option("checkpointLocation", checkpoint) \
         .trigger(**(trigger or ONCE)).start()
@@ -61,7 +76,7 @@ def sliding_sums(df: DataFrame, ts: str, step: str, width: str, delay: str, feat
     return grouped.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *features)
 
 
-def profile_merger(path: str, entity: str, ts: str, measures: list[str], buckets: int = 32):
+def profile_merger(path: str, entity: str, ts: str, measures: list[str]):
     """``foreachBatch`` action: per-entity partial sums of the batch, merged into the stored profile.
 
     What is stored are sums and counts, so batches merge exactly; averages are
@@ -138,7 +153,7 @@ def throttled_alerts(alerts: DataFrame, monitor: str, at: str, minutes: int = 60
 
 
 def throttled_alert_stream(alerts: DataFrame, monitor: str, at: str, minutes: int = 60) -> DataFrame:
-    """The same on a stream: the state of a monitor is the time of its last alert, dropped when it no longer matters."""
+    """The same on a stream: the state of a monitor is one number, the time of its last alert, and stays as long as the query."""
     from pyspark.sql.streaming.state import GroupStateTimeout
     import pandas as pd
     span = minutes * 60
