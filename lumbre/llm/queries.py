@@ -99,7 +99,15 @@ def op4_substring_dedup(spark, base):
     return marked.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query()
+@query(rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '{_SPACED}'), []) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 4], ' ')) AS g FROM d, unnest(range(1, greatest(len(w) - 3, CASE WHEN len(w) > 0 THEN 2 ELSE 1 END))) AS t(i)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS root FROM d UNION SELECT e.b, r.root FROM r JOIN e ON r.doc_id = e.a)
+SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(root) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id""")
 def op7_ngram_jaccard_join(spark, base):
     return jaccard.near_duplicates(table(spark, base, "documents").select("doc_id", "text"))
 
@@ -128,7 +136,33 @@ def op8_quality_classifier(spark, base):
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 
 
-@query()
+def _url_sql(depth: int = 4) -> str:
+    """The same rules and the same tree, a few common tables for each level."""
+    fits = [(r, v, f"(host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}')") for r, v in sorted(RULES, key=lambda x: -len(x[0]))]
+    rule, verdict = (f"CASE {' '.join(f"WHEN {c} THEN '{x[k]}'" for *x, c in fits)} END" for k in (0, 1))
+    out = [rf"""u AS (SELECT page_id, CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+v AS (SELECT page_id, {_LOWER.replace('text', "regexp_extract(rest, '^[^/?#]*')", 1)} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+bad AS (SELECT doc_id, max(CAST(quality = 0 OR toxic = 1 AS BIGINT)) AS bad FROM labels GROUP BY 1),
+w AS (SELECT v.*, bad, regexp_replace(path, '[0-9]+', '<n>', 'g') AS wild FROM v LEFT JOIN bad ON doc_id = TRY_CAST(regexp_extract(path, '([0-9]{{1,18}})[^0-9/]*/?$', 1) AS BIGINT)),
+q0 AS (SELECT host, regexp_replace(wild, '^/', '') AS shape, '' AS node, count(*) AS n, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad FROM w GROUP BY 1, 2)"""]
+    for k in range(depth):
+        piece = f"split_part(shape, '/', {k + 1})" if k < depth - 1 else f"array_to_string(string_split(shape, '/')[{depth}:], '/')"
+        out.append(f"""s{k} AS (SELECT *, CASE WHEN len(string_split(shape, '/')) > {k} THEN {piece} ELSE '$' END AS seg FROM q{k}),
+c{k} AS (SELECT host, node, seg, sum(n) AS n, sum(labelled) AS l, sum(bad) AS b FROM s{k} GROUP BY ALL),
+z{k} AS (SELECT *, sum(n) OVER p AS pn, (sum(b) OVER p + 0.5) / (sum(l) OVER p + 1) AS r FROM c{k} WINDOW p AS (PARTITION BY host, node)),
+a{k} AS (SELECT host, node, seg FROM z{k} WHERE seg <> '$' AND n >= 5 AND n >= 0.02 * pn AND abs(b - l * r) / sqrt(greatest(l, 1) * r * (1 - r)) >= 2.58),
+q{k + 1} AS (SELECT host, shape, node || CASE WHEN seg = '$' THEN '' WHEN (host, node, seg) IN (SELECT (host, node, seg) FROM a{k}) THEN '/' || seg ELSE '/*' END AS node, n, labelled, bad FROM s{k})""")
+    out.append(f"""g AS (SELECT (coalesce(sum(bad), 0) + 1.0) / (coalesce(sum(labelled), 0) + 2.0) AS g FROM q{depth}),
+h AS (SELECT host, sum(labelled) AS hl, sum(bad) AS hb FROM q{depth} GROUP BY 1),
+f AS (SELECT host, node, 1 - (sum(bad) + 5 * (any_value(hb) + 5 * any_value(g)) / (any_value(hl) + 5)) / (sum(labelled) + 5) AS purity FROM q{depth} JOIN h USING (host), g GROUP BY 1, 2),
+t AS (SELECT host, shape, purity FROM q{depth} JOIN f USING (host, node))""")
+    return f"""WITH {', '.join(out)}
+SELECT page_id, w.host, path, {rule.replace('host', 'w.host')} AS rule, coalesce({verdict.replace('host', 'w.host')}, CASE WHEN purity < 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM w LEFT JOIN t ON t.host = w.host AND t.shape = regexp_replace(wild, '^/', '')"""
+
+
+# paths here hold no UUIDs or hexadecimal strings, so the SQL has the wildcard of numbers alone
+@query(_url_sql())
 def op1_url_filters(spark, base):
     # a page's label is that of the document its path ends with: bad if of low quality or toxic
     pages = table(spark, base, "pages").select("page_id", "url")
