@@ -45,15 +45,17 @@ CASE WHEN user_id % 7 = 0 THEN 'root' WHEN user_id % 7 = 1 THEN 'contractor_ext'
     _top("techniques", "technique", "count(*)", _SIEM)))
 def board_siem(t):
     c = F.col
-    return panels.board(siem_view(t), [
+    view = siem_view(t).select("event_id", "ts", "user_id", c("event.dataset").alias("dataset"), c("event.outcome").alias("outcome"), c("event.action").alias("action"),
+                               c("threat.matched").alias("threat_matched"), c("threat.technique.id").alias("technique"), c("user.name").alias("user_name"), c("rule.name").alias("rule_name"))
+    return panels.board(view, [
         {"type": "metric", "title": "events"}, {"type": "metric", "title": "denied", "query": c("outcome") == "failure"},
-        {"type": "metric", "title": "threat hits", "query": c("threat_matched") == "true"}, {"type": "metric", "title": "sources", "metric": "cardinality", "agg_field": "user_id"},
+        {"type": "metric", "title": "threat hits", "query": c("threat_matched")}, {"type": "metric", "title": "sources", "metric": "cardinality", "agg_field": "user_id"},
         {"type": "area", "title": "by source", "split": "dataset"},
-        {"type": "table", "title": "blocked", "field": "user_id", "query": (c("dataset") == "fortigate") & (c("threat_matched") == "true")},
+        {"type": "table", "title": "blocked", "field": "user_id", "query": (c("dataset") == "fortigate") & (c("threat_matched"))},
         {"type": "bar", "title": "signatures", "field": "rule_name"}, {"type": "area", "title": "logins", "split": "outcome", "query": c("dataset") == "auth"},
         {"type": "table", "title": "failed users", "field": "user_name", "query": (c("dataset") == "auth") & (c("outcome") == "failure")},
         {"type": "bar", "title": "cloud actions", "field": "action", "query": c("dataset") == "cloudaudit"},
-        {"type": "line", "title": "threat line", "query": c("threat_matched") == "true"}, {"type": "bar", "title": "techniques", "field": "technique"}], "ts")
+        {"type": "line", "title": "threat line", "query": c("threat_matched")}, {"type": "bar", "title": "techniques", "field": "technique"}], "ts")
 
 
 @query("2.18 A1 A3 A7 A10", _all(

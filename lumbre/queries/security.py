@@ -60,12 +60,13 @@ def siem_view(t):
     """The events as the normalised rows of four security sources, under standard names."""
     k, u, v = F.col("event_type"), F.col("user_id"), F.col("value")
     named = {
+        "event.dataset": F.when(k == "error", F.lit("waf")).when(k == "view", F.lit("cloudaudit")).when(k == "click", F.lit("auth")).otherwise(F.lit("fortigate")),
         "event.category": F.when(k == "purchase", F.lit("intrusion_detection")).otherwise(F.lit("other")),
         "event.severity_name": F.when(v > 60, F.lit("critical")).otherwise(F.lit("low")),
         "threat.matched": u % 5 == 0,
         "event.action": F.when(k == "click", F.when(v > 30, F.lit("ssh_login")).otherwise(F.lit("sudo"))).when(k == "view", F.when(v > 30, F.lit("createAccessKey")).otherwise(F.lit("deleteTracker"))),
         "event.outcome": F.when(k == "click", F.when(u % 2 == 0, F.lit("failure")).otherwise(F.lit("success"))),
-        "user.name": F.when(u % 7 == 0, F.lit("root")).otherwise(F.lit("other")),
+        "user.name": F.when(u % 7 == 0, F.lit("root")).when(u % 7 == 1, F.lit("contractor_ext")).otherwise(F.lit("other")),
         "user.roles": F.when(u % 7 == 1, F.lit("external")).otherwise(F.lit("internal")),
         "threat.technique.id": F.when(v < 10, F.lit("T1003")),
         "rule.name": F.when(k == "error", F.when(v > 50, F.lit("sqli")).when(v > 25, F.lit("webshell")).otherwise(F.lit("xss")))}
