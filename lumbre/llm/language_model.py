@@ -9,6 +9,7 @@ are averaged.  Scoring carries the state through whole documents in the same way
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -81,7 +82,11 @@ def start(seed: int = 5) -> dict[str, np.ndarray]:
 
 def step(p: dict, symbol: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
     g, a = p["x"][symbol], h @ p["u"]
-    zr = 1 / (1 + np.exp(-(g[:, :2 * HIDDEN] + a[:, :2 * HIDDEN])))
+    zr = g[:, :2 * HIDDEN] + a[:, :2 * HIDDEN]
+    np.negative(zr, out=zr)
+    np.exp(zr, out=zr)
+    zr += 1
+    np.reciprocal(zr, out=zr)
     z, r, an = zr[:, :HIDDEN], zr[:, HIDDEN:], a[:, 2 * HIDDEN:]
     n = np.tanh(g[:, 2 * HIDDEN:] + r * an)
     return n + z * (h - n), (h, z, r, n, an)
@@ -93,12 +98,29 @@ def log_softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _chosen(x: np.ndarray, at: np.ndarray, bound: float) -> np.ndarray:
+    """Log softmax of one column of each row; rows are not shifted if ``bound`` on their values keeps exp in range."""
+    if bound > 80:
+        x -= x.max(axis=1, keepdims=True)
+    said = x[np.arange(len(x)), at]
+    return said - np.log(np.exp(x, out=x).sum(axis=1))
+
+
+def _bound(w: np.ndarray, b: np.ndarray, axis: int) -> float:
+    """Largest output of a layer whose inputs lie in -1 to 1, as states do."""
+    return float((np.abs(w).sum(axis=axis) + np.abs(b)).max())
+
+
 def outputs(p: dict, h: np.ndarray, target: np.ndarray, grad: dict | None = None):
     """Natural log probability of each target symbol (a shape class is one symbol here); with ``grad``, also the gradient by ``h``."""
     rows, kind = np.arange(len(h)), class_of(target)
-    logs = log_softmax(h @ p["c"] + p["cb"])
-    said = logs[rows, kind].astype(np.float64)
-    if grad is not None:
+    logits = h @ p["c"]
+    logits += p["cb"]
+    if grad is None:
+        said = _chosen(logits, kind, _bound(p["c"], p["cb"], 0)).astype(np.float64)
+    else:
+        logs = log_softmax(logits)
+        said = logs[rows, kind].astype(np.float64)
         d = np.exp(logs)
         d[rows, kind] -= 1
         grad["c"], grad["cb"], back = h.T @ d, d.sum(axis=0), d @ p["c"].T
@@ -109,9 +131,12 @@ def outputs(p: dict, h: np.ndarray, target: np.ndarray, grad: dict | None = None
     for g in range(GROUPS):
         at = inner[cuts[g]:cuts[g + 1]]
         if len(at):
-            logs, word = log_softmax(h[at] @ p["w"][g].T + p["wb"][g]), (target[at] - SINGLE) % GROUP
-            said[at] += logs[np.arange(len(at)), word]
-            if grad is not None:
+            logits, word = h[at] @ p["w"][g].T + p["wb"][g], (target[at] - SINGLE) % GROUP
+            if grad is None:
+                said[at] += _chosen(logits, word, _bound(p["w"][g], p["wb"][g], 1))
+            else:
+                logs = log_softmax(logits)
+                said[at] += logs[np.arange(len(at)), word]
                 d = np.exp(logs)
                 d[np.arange(len(at)), word] -= 1
                 grad["w"][g], grad["wb"][g] = d.T @ h[at], d.sum(axis=0)
@@ -127,7 +152,6 @@ class Lanes:
         ends = np.zeros(min(lanes, max(1, len(sizes))), np.int64)
         lane, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
         heap = [(0, k) for k in range(len(ends))]
-        import heapq
         for d in order:
             used, k = heapq.heappop(heap)
             lane[d], offset[d] = k, used
@@ -142,9 +166,9 @@ class Lanes:
         doc = np.repeat(np.arange(len(sizes)), sizes)
         within = np.arange(len(symbols)) - first[doc]
         self.row, self.lane = offset[doc] + within, lane[doc]
-        self.target = np.full((self.steps, len(ends)), END, np.int64)
+        self.target = np.full((self.steps, len(ends)), END, np.int32)
         self.target[self.row, self.lane] = symbols
-        self.input = np.full((self.steps, len(ends)), END, np.int64)
+        self.input = np.full((self.steps, len(ends)), END, np.int32)
         later = within > 0
         self.input[self.row[later], self.lane[later]] = symbols[np.flatnonzero(later) - 1]
         self.fresh = np.zeros((self.steps, len(ends)), bool)
@@ -154,7 +178,7 @@ class Lanes:
 def log_probabilities(p: dict, symbols: np.ndarray, sizes: np.ndarray, lanes: int = LANES, window: int = 64) -> np.ndarray:
     """Natural log probability of each symbol of whole documents given all before it."""
     side = Lanes(symbols, sizes, lanes)
-    out = np.zeros(side.target.shape, np.float64)
+    out = np.zeros(side.target.shape, np.float32)
     h = np.zeros((side.target.shape[1], HIDDEN), np.float32)
     for a in range(0, side.steps, window):
         b, states, targets = min(a + window, side.steps), [], []
@@ -208,8 +232,10 @@ def train(p: dict, symbols: np.ndarray, sizes: np.ndarray, memory: dict, rate: f
             dh[side.fresh[t, :m]] = 0
         grad["u"] = du
         fed = np.concatenate([side.input[t, :m] for t in range(b - 1, a - 1, -1)])
+        order = np.argsort(fed, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(fed[order]) > 0))
         grad["x"] = np.zeros_like(p["x"])
-        np.add.at(grad["x"], fed, np.concatenate(dx))
+        grad["x"][fed[order[first]]] = np.add.reduceat(np.concatenate(dx)[order], first, axis=0)
         scale = 1 / max(1, alive.sum())
         for k, g in grad.items():  # root mean square of each parameter's gradients scales its steps
             g = np.clip(g * scale * 100, -5, 5)
@@ -250,7 +276,7 @@ def vocabulary(docs: DataFrame, text: str, most_kept: int = 4096) -> Vocabulary:
     return Vocabulary(keys[order], order.astype(np.int64), counts[order])
 
 
-def fit(docs: DataFrame, key: str, text: str, rounds: int = 2, every: int = 16, run_windows: int = 4) -> tuple[Vocabulary, dict]:
+def fit(docs: DataFrame, key: str, text: str, rounds: int = 2, every: int = 32, run_windows: int = 4) -> tuple[Vocabulary, dict]:
     """Vocabulary and parameters learnt from all rows of ``docs``.
 
     In each of ``rounds`` every document trains with a run of ``run_windows`` windows out of each ``every`` windows it has (a short
@@ -364,28 +390,28 @@ def score(docs: DataFrame, train_on, key: str = "doc_id", text: str = "text", ro
         head = words.keys & np.uint64(31)
         # what a shape class holds beside the frequent words: counts, different words and one for the unseen
         mass = np.array([max(1.0, seen.get(s, (0, 0))[0] - words.counts[head == s].sum() + seen.get(s, (0, 0))[1] - (head == s).sum() + 1) for s in range(SHAPES)])
-        n_tokens, n_known, base, model = [], [], [], []
-        end = int(totals[np.searchsorted(unique, END_KEY)])
+        end, all_sizes, all_c, all_symbols = int(totals[np.searchsorted(unique, END_KEY)]), [], [], []
         for _, rows, keys, shapes, doc in _tokens(left.column("text")):
             # each text's words, then its end
             sizes = np.bincount(doc, minlength=rows) + 1
-            stop = np.cumsum(sizes) - 1
             inside = np.ones(sizes.sum(), bool)
-            inside[stop] = False
-            c, symbols = np.full(len(inside), end, np.int64), np.full(len(inside), END, np.int64)
+            inside[np.cumsum(sizes) - 1] = False
+            c, symbols = np.full(len(inside), end, np.int64), np.full(len(inside), END, np.int32)
             c[inside] = totals[np.searchsorted(unique, keys)]
             symbols[inside] = words.symbol(keys, shapes)
-            logs = log_probabilities(net, symbols, sizes) / np.log(10)
-            rare = (symbols >= HEAD) & (symbols < END)
-            logs[rare] += np.log10((c[rare] + 1) / mass[symbols[rare] - HEAD])
-            owner = np.repeat(np.arange(rows), sizes)
-            n_tokens.append(sizes)
-            n_known.append(np.bincount(owner, weights=c > 0, minlength=rows).astype(np.int64))
-            base.append(np.bincount(owner, weights=np.log10((c + 1) / (all_n + all_v + 1)), minlength=rows))
-            model.append(np.bincount(owner, weights=logs, minlength=rows))
+            all_sizes.append(sizes)
+            all_c.append(c)
+            all_symbols.append(symbols)
+        # all documents of the bucket side by side, so that a long one does not run alone
+        sizes, c, symbols = np.concatenate(all_sizes), np.concatenate(all_c), np.concatenate(all_symbols)
+        logs = log_probabilities(net, symbols, sizes) / np.log(10)
+        rare = (symbols >= HEAD) & (symbols < END)
+        logs[rare] += np.log10((c[rare] + 1) / mass[symbols[rare] - HEAD])
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        sums = lambda weights: np.bincount(owner, weights=weights, minlength=len(sizes))
         held = [not t for t in left.column("train").to_pylist()]
-        return pa.Table.from_arrays([left.column("key"), pa.array(held, pa.bool_()), pa.array(np.concatenate(n_tokens), pa.int64()), pa.array(np.concatenate(n_known), pa.int64()),
-                                     pa.array(np.full(len(held), all_n), pa.int64()), pa.array(np.concatenate(base)), pa.array(np.concatenate(model))], schema=arrow)
+        return pa.Table.from_arrays([left.column("key"), pa.array(held, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(sums(c > 0).astype(np.int64), pa.int64()),
+                                     pa.array(np.full(len(held), all_n), pa.int64()), pa.array(sums(np.log10((c + 1) / (all_n + all_v + 1)))), pa.array(sums(logs))], schema=arrow)
 
     out = d.groupBy("bucket").cogroup(notes.groupBy("bucket")).applyInArrow(finish, schema)
     return out.withColumnRenamed("key", key)
