@@ -8,8 +8,6 @@ Windows that repeat are extended to twice their length, as long as any survive,
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame

@@ -167,7 +167,7 @@ def features(column, model: np.ndarray | None, memory: dict | None = None):
         if model is not None:
             for row, spelling in disguised(raw):
                 if spelling not in memory:
-                    if len(memory) > 50_000:
+                    if len(memory) > 20_000:
                         memory.clear()
                     memory[spelling] = {w for said in viterbi(spelling.strip(".,;:?!\"'()"), model) for w in said.split() if len(w) > 2}
                 if memory[spelling]:
