@@ -47,7 +47,7 @@ def _joined(signatures: Column) -> Column:
 
 
 def fingerprint(rows: DataFrame, known: DataFrame, keys: list[str], texts: list[str]) -> DataFrame:
-    """``rows`` with ``fingerprint_<text>`` for each of the columns ``texts``; ``keys`` tell rows apart and partition them.
+    """``rows`` with ``fingerprint_<text>`` for each of the columns ``texts``; ``keys`` (never null) tell rows apart and partition them: a join or grouping by them moves no text.
 
     A text without terms of the lexicon (null, empty, odd) has the hash of its whole text after ``~`` as fingerprint.
     """
@@ -58,7 +58,7 @@ def fingerprint(rows: DataFrame, known: DataFrame, keys: list[str], texts: list[
     signed = held.groupBy(*keys, "which", "subset").agg(sign.alias("sign"))
     per = signed.groupBy(*keys).agg(*[F.map_from_entries(F.collect_list(F.when(F.col("which") == i, F.struct("subset", "sign")))).alias(f"m{i}") for i in range(len(texts))])
     per = per.withColumnsRenamed({k: f"own_{k}" for k in keys})
-    out = rows.join(per, [F.col(k).eqNullSafe(F.col(f"own_{k}")) for k in keys], "left").drop(*[f"own_{k}" for k in keys])
+    out = rows.join(per, [F.col(k) == F.col(f"own_{k}") for k in keys], "left").drop(*[f"own_{k}" for k in keys])
     for i, t in enumerate(texts):
         plain = F.concat(F.lit("~"), F.md5(F.coalesce(F.col(t), F.lit(""))))
         out = out.withColumn(f"fingerprint_{t}", F.when(F.size(F.coalesce(f"m{i}", F.create_map())) > 0, _joined(F.col(f"m{i}"))).otherwise(plain))
