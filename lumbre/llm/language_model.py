@@ -279,8 +279,8 @@ def vocabulary(docs: DataFrame, text: str, most_kept: int = 4096) -> Vocabulary:
 def fit(docs: DataFrame, key: str, text: str, rounds: int = 2, every: int = 32, run_windows: int = 4) -> tuple[Vocabulary, dict]:
     """Vocabulary and parameters learnt from all rows of ``docs``.
 
-    In each of ``rounds`` every document trains with a run of ``run_windows`` windows out of each ``every`` windows it has (a short
-    document with its own words), at a place that its key and the round choose, so the work grows with the corpus.
+    In each of ``rounds`` documents train with runs of ``run_windows`` windows out of every ``every`` windows, at places that key and round
+    choose; each word of the corpus has the same chance, whatever the length of its document, so the work grows with the corpus.
     """
     spark = docs.sparkSession
     rows = docs.select(F.xxhash64(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
@@ -309,14 +309,11 @@ def fit(docs: DataFrame, key: str, text: str, rounds: int = 2, every: int = 32,
                     for r in range(count):
                         s = np.append(symbols[edges[r]:edges[r + 1]], END)
                         span, cycle = run_windows * WINDOW, every * WINDOW
-                        if len(s) <= span:  # a short document is a run itself, once in as many rounds as a long one's share
-                            if (places[first + r] + n) % (every // run_windows) == 0:
-                                held.append(s)
-                                sizes.append(len(s))
-                        else:
-                            for at in range((places[first + r] >> 8) % max(1, min(cycle, len(s)) - span) + 0, len(s), cycle):
-                                held.append(s[at:at + span])
-                                sizes.append(len(held[-1]))
+                        for at in range((places[first + r] + n * cycle // rounds) % cycle, len(s) + span - 1, cycle):
+                            part = s[max(0, at - span + 1):at + 1]  # a run ends at each of these places, so all words have the same chance
+                            if len(part):
+                                held.append(part)
+                                sizes.append(len(part))
                     if sum(sizes) > 60_000:
                         learn()
             learn()
