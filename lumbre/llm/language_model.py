@@ -10,6 +10,7 @@ are averaged.  Scoring carries the state through whole documents in the same way
 from __future__ import annotations
 
 import heapq
+from collections import deque
 from dataclasses import dataclass
 
 import numpy as np
@@ -92,10 +93,13 @@ def step(p: dict, symbol: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]
     return n + z * (h - n), (h, z, r, n, an)
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
+def softmax(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Softmax of each row, in place of ``x``, and the logarithm of one column of each."""
     x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
+    said = x[np.arange(len(x)), at]
+    total = np.exp(x, out=x).sum(axis=1)
+    x /= total[:, None]
+    return x, said - np.log(total)
 
 
 def _chosen(x: np.ndarray, at: np.ndarray, bound: float) -> np.ndarray:
@@ -119,9 +123,8 @@ def outputs(p: dict, h: np.ndarray, target: np.ndarray, grad: dict | None = None
     if grad is None:
         said = _chosen(logits, kind, _bound(p["c"], p["cb"], 0)).astype(np.float64)
     else:
-        logs = log_softmax(logits)
-        said = logs[rows, kind].astype(np.float64)
-        d = np.exp(logs)
+        d, logs = softmax(logits, kind)
+        said = logs.astype(np.float64)
         d[rows, kind] -= 1
         grad["c"], grad["cb"], back = h.T @ d, d.sum(axis=0), d @ p["c"].T
         grad["w"], grad["wb"] = np.zeros_like(p["w"]), np.zeros_like(p["wb"])
@@ -135,9 +138,8 @@ def outputs(p: dict, h: np.ndarray, target: np.ndarray, grad: dict | None = None
             if grad is None:
                 said[at] += _chosen(logits, word, _bound(p["w"][g], p["wb"][g], 1))
             else:
-                logs = log_softmax(logits)
-                said[at] += logs[np.arange(len(at)), word]
-                d = np.exp(logs)
+                d, logs = softmax(logits, word)
+                said[at] += logs
                 d[np.arange(len(at)), word] -= 1
                 grad["w"][g], grad["wb"][g] = d.T @ h[at], d.sum(axis=0)
                 back[at] += d @ p["w"][g]
@@ -200,48 +202,104 @@ def log_probabilities(p: dict, symbols: np.ndarray, sizes: np.ndarray, lanes: in
     return out[side.row, side.lane]
 
 
-def train(p: dict, symbols: np.ndarray, sizes: np.ndarray, memory: dict, rate: float, lanes: int = 128) -> None:
-    """One pass of truncated backpropagation over documents in lanes; ``p`` and the optimiser's ``memory`` change in place."""
-    side = Lanes(symbols, sizes, lanes)
-    h = np.zeros((side.target.shape[1], HIDDEN), np.float32)
-    for a in range(0, side.steps, WINDOW):
-        m = int(side.running[a])
-        b = min(a + WINDOW, side.steps)
-        saved, states = [], []
-        for t in range(a, b):
-            now = h[:m].copy()
-            now[side.fresh[t, :m]] = 0
-            h[:m], kept = step(p, side.input[t, :m], now)
+class Trainer:
+    """Truncated backpropagation over whole documents in lanes; ``p`` and the optimiser's ``memory`` change in place.
+
+    A lane takes the next document when its own has ended, and carries its state from window to window, also from one call of
+    ``learn`` to the next.  A step counts by its words, so the few lanes that are left at the end weigh no more than others.
+    """
+
+    def __init__(self, p: dict, memory: dict, lanes: int = 128):
+        self.p, self.memory, self.lanes, self.words = p, memory, lanes, 0
+        self.h = np.zeros((lanes, HIDDEN), np.float32)
+        self.waiting: deque = deque()
+        self.doc, self.at = [np.zeros(1, np.int32)] * lanes, [0] * lanes
+
+    def add(self, symbols: np.ndarray) -> None:
+        """One document, with its end; the input of its first word is an end, too."""
+        self.waiting.append(np.append(END, symbols).astype(np.int32))
+
+    def learn(self, rate, finish: bool = False) -> None:
+        """Steps at ``rate(words before)`` while documents wait; with ``finish``, until all have ended."""
+        while self.waiting or (finish and any(at + 1 < len(doc) for doc, at in zip(self.doc, self.at))):
+            self._window(rate(self.words))
+
+    def _dealt(self):
+        """For the lanes with words, (lane, step): input, target, whether there is a word, whether a document starts."""
+        fed, target = np.full((self.lanes, WINDOW), END, np.int32), np.full((self.lanes, WINDOW), END, np.int32)
+        alive, fresh = np.zeros((self.lanes, WINDOW), bool), np.zeros((self.lanes, WINDOW), bool)
+        for k in range(self.lanes):
+            done = 0
+            while done < WINDOW:
+                if self.at[k] + 1 == len(self.doc[k]):
+                    if not self.waiting:
+                        break
+                    self.doc[k], self.at[k] = self.waiting.popleft(), 0
+                    fresh[k, done] = True
+                doc, at = self.doc[k], self.at[k]
+                n = min(WINDOW - done, len(doc) - 1 - at)
+                fed[k, done:done + n], target[k, done:done + n], alive[k, done:done + n] = doc[at:at + n], doc[at + 1:at + 1 + n], True
+                self.at[k], done = at + n, done + n
+        used = np.flatnonzero(alive[:, 0])
+        return used, fed[used], target[used], alive[used], fresh[used]
+
+    def _window(self, rate: float) -> None:
+        p, (used, fed, target, alive, fresh) = self.p, self._dealt()
+        m, steps = len(used), int(alive.sum(axis=1).max())
+        h = self.h[used]
+        fed, target, alive, fresh = (np.ascontiguousarray(x.T[:steps]) for x in (fed, target, alive, fresh))
+        starts, saved, states = fresh.any(axis=1), [], np.empty((steps, m, HIDDEN), np.float32)
+        for t in range(steps):
+            if starts[t]:
+                h = np.where(fresh[t][:, None], np.float32(0), h)
+            h, kept = step(p, fed[t], h)
             saved.append(kept)
-            states.append(h[:m].copy())
-        alive = np.concatenate([np.arange(m) < side.running[t] for t in range(a, b)])
-        grad: dict = {}
-        back = np.zeros((len(alive), HIDDEN), np.float32)
-        _, back[alive] = outputs(p, np.concatenate(states)[alive], np.concatenate([side.target[t, :m] for t in range(a, b)])[alive], grad)
-        dx, du, dh = [], np.zeros_like(p["u"]), np.zeros((m, HIDDEN), np.float32)
-        for t in range(b - 1, a - 1, -1):
-            before, z, r, n, an = saved[t - a]
-            dh = dh + back[(t - a) * m:(t - a + 1) * m]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before - n) * z * (1 - z)
-            dr = dn * an * r * (1 - r)
-            da = np.concatenate([dz, dr, dn * r], axis=1)
-            dx.append(np.concatenate([dz, dr, dn], axis=1))
-            du += before.T @ da
-            dh = dh * z + da @ p["u"].T
-            dh[side.fresh[t, :m]] = 0
-        grad["u"] = du
-        fed = np.concatenate([side.input[t, :m] for t in range(b - 1, a - 1, -1)])
-        order = np.argsort(fed, kind="stable")
-        first = np.flatnonzero(np.append(True, np.diff(fed[order]) > 0))
+            states[t] = h
+        self.h[used] = h
+        flat, grad = alive.ravel(), {}
+        states = states.reshape(-1, HIDDEN)
+        if flat.all():
+            _, back = outputs(p, states, target.ravel(), grad)
+        else:
+            back = np.zeros((len(flat), HIDDEN), np.float32)
+            _, back[flat] = outputs(p, states[flat], target.ravel()[flat], grad)
+        dx, da_all, dh = np.empty((steps, m, 3 * HIDDEN), np.float32), np.empty((steps, m, 3 * HIDDEN), np.float32), np.zeros((m, HIDDEN), np.float32)
+        for t in range(steps - 1, -1, -1):
+            before, z, r, n, an = saved[t]
+            dh = dh + back[t * m:(t + 1) * m]
+            keep = dh * z
+            dn = (dh - keep) * (1 - n * n)
+            dx[t, :, :HIDDEN] = keep * (1 - z) * (before - n)
+            dx[t, :, HIDDEN:2 * HIDDEN] = dn * an * r * (1 - r)
+            dx[t, :, 2 * HIDDEN:] = dn
+            da = da_all[t]
+            da[:] = dx[t]
+            da[:, 2 * HIDDEN:] *= r
+            dh = keep + da @ p["u"].T
+            if starts[t]:
+                dh[fresh[t]] = 0
+        grad["u"] = np.concatenate([kept[0] for kept in saved]).T @ da_all.reshape(-1, 3 * HIDDEN)
+        order = np.argsort(fed.ravel(), kind="stable")
+        ordered = fed.ravel()[order]
+        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
         grad["x"] = np.zeros_like(p["x"])
-        grad["x"][fed[order[first]]] = np.add.reduceat(np.concatenate(dx)[order], first, axis=0)
-        scale = 1 / max(1, alive.sum())
+        grad["x"][ordered[first]] = np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
+        words = int(flat.sum())
+        rate *= words / (self.lanes * WINDOW)
         for k, g in grad.items():  # root mean square of each parameter's gradients scales its steps
-            g = np.clip(g * scale * 100, -5, 5)
-            seen = memory.setdefault(k, np.zeros_like(p[k]))
+            g = np.clip(g * (100 / words), -5, 5)
+            seen = self.memory.setdefault(k, np.zeros_like(p[k]))
             seen += 0.05 * (g * g - seen)
             p[k] -= rate * g / (np.sqrt(seen) + 1e-2)
+        self.words += words
+
+
+def train(p: dict, symbols: np.ndarray, sizes: np.ndarray, memory: dict, rate: float, lanes: int = 128) -> None:
+    """One pass over documents, each with its own end as last symbol."""
+    trainer = Trainer(p, memory, min(lanes, max(1, len(sizes))))
+    for part in np.split(symbols, np.cumsum(sizes)[:-1]):
+        trainer.add(part)
+    trainer.learn(lambda _: rate, finish=True)
 
 
 def _packed(p: dict) -> bytes:
@@ -276,14 +334,13 @@ def vocabulary(docs: DataFrame, text: str, most_kept: int = 4096) -> Vocabulary:
     return Vocabulary(keys[order], order.astype(np.int64), counts[order])
 
 
-def fit(docs: DataFrame, key: str, text: str, rounds: int = 2, every: int = 32, run_windows: int = 4) -> tuple[Vocabulary, dict]:
-    """Vocabulary and parameters learnt from all rows of ``docs``.
+def fit(docs: DataFrame, key: str, text: str, rounds: int = 2) -> tuple[Vocabulary, dict]:
+    """Vocabulary and parameters learnt from all words of all rows of ``docs``, in one pass.
 
-    In each of ``rounds`` documents train with runs of ``run_windows`` windows out of every ``every`` windows, at places that key and round
-    choose; each word of the corpus has the same chance, whatever the length of its document, so the work grows with the corpus.
+    Each row belongs to one of ``rounds`` by its key; a round starts from the parameters of the one before, averaged over the tasks.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.xxhash64(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+    rows = docs.select(F.xxhash64(key, text).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     known, p = vocabulary(rows, "t"), start()
     for n in range(rounds):
         shared = spark.sparkContext.broadcast((known, _packed(p)))
@@ -291,36 +348,21 @@ def fit(docs: DataFrame, key: str, text: str, rounds: int = 2, every: int = 32,
         def run(batches, n=n, shared=shared):
             from pyspark import TaskContext
             words, blob = shared.value
-            own, memory, seen, held, sizes = _unpacked(blob), {}, 0, [], []
-
-            def learn():
-                nonlocal seen
-                if held:
-                    train(own, np.concatenate(held), np.array(sizes), memory, 0.02 / (1 + n) / (1 + seen / 2e6))
-                    seen += sum(sizes)
-                    held.clear()
-                    sizes.clear()
-
+            own = _unpacked(blob)
+            trainer = Trainer(own, {})
+            rate = lambda seen: 0.02 / (1 + n) / (1 + seen / 2e6)
             for batch in batches:
-                places = batch.column(0).to_pylist()
-                for first, count, keys, shapes, doc in _tokens(batch.column(1)):
+                for _, count, keys, shapes, doc in _tokens(batch.column(0)):
                     symbols = words.symbol(keys, shapes)
                     edges = np.searchsorted(doc, np.arange(count + 1))
-                    for r in range(count):
-                        s = np.append(symbols[edges[r]:edges[r + 1]], END)
-                        span, cycle = run_windows * WINDOW, every * WINDOW
-                        for at in range((places[first + r] + n * cycle // rounds) % cycle, len(s) + span - 1, cycle):
-                            part = s[max(0, at - span + 1):at + 1]  # a run ends at each of these places, so all words have the same chance
-                            if len(part):
-                                held.append(part)
-                                sizes.append(len(part))
-                    if sum(sizes) > 60_000:
-                        learn()
-            learn()
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(seen)]), pa.array([_packed(own)], pa.binary())], names=["id", "weight", "p"])
-
-        parts = rows.mapInArrow(run, "id long, weight double, p binary")
+                    for r in np.argsort(edges[:-1] - edges[1:], kind="stable"):  # long ones first, so that lanes end together
+                        trainer.add(np.append(symbols[edges[r]:edges[r + 1]], END))
+                    trainer.learn(rate)
+            trainer.learn(rate, finish=True)
+            if trainer.words:
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(trainer.words)]), pa.array([_packed(own)], pa.binary())], names=["id", "weight", "p"])
+
+        parts = rows.where(F.pmod("k", F.lit(rounds)) == n).select("t").mapInArrow(run, "id long, weight double, p binary")
         p = _averaged(parts) or p
     return known, p
 

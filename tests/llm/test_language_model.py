@@ -77,6 +77,30 @@ def test_training_learns_a_pattern():
     assert lm.log_probabilities(p, symbols, np.array([1600])).mean() > before + 2
 
 
+def test_every_word_trains_once(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{j % 11}" for j in range(n))) for i, n in enumerate((5000, 3, 0, 700, 40, 1300, 64, 1))]
+    seen, averaged = [], lm._averaged
+    monkeypatch.setattr(lm, "_averaged", lambda parts: seen.append(parts.agg(F.sum("weight")).first()[0] or 0) or averaged(parts))
+    lm.fit(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    assert sum(seen) == sum(len(t.split()) + 1 for _, t in rows)
+
+
+def test_training_carries_the_state_and_starts_at_documents():
+    pick, p = np.random.default_rng(3), lm.start()
+    docs = [pick.integers(0, lm.HEAD, n) for n in (150, 70, 20)]
+    trainer = lm.Trainer(p, {}, 1)
+    for d in docs[:2]:
+        trainer.add(d)
+        trainer.learn(lambda _: 0.0)
+    trainer.add(docs[2])
+    trainer.learn(lambda _: 0.0, finish=True)
+    h, last = np.zeros((1, lm.HIDDEN), np.float32), lm.END
+    for s in docs[2]:
+        h, _ = lm.step(p, np.array([last]), h)
+        last = s
+    assert trainer.words == 240 and np.allclose(trainer.h, h, atol=1e-5)
+
+
 def test_odd_rows(odd, no_rows):
     rows = lm.score(odd, F.col("doc_id") != 9, rounds=1).collect()
     assert len(rows) == odd.count() and all(math.isfinite(r["score"]) and math.isfinite(r["base_score"]) for r in rows)
