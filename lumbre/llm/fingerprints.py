@@ -3,7 +3,8 @@
 The lexicon holds the terms whose share of documents lies in a band of inverse document frequency.  It has random
 subsets of three sizes; of each, the distinct terms of a text in it are sorted and hashed.  The fingerprint is the list of
 these hashes.  A change to a text changes the hashes of those subsets alone that hold a term which came or went, so the
-share of equal ones measures likeness; small subsets serve long texts and large ones short texts.
+share of equal ones measures likeness; small subsets serve long texts and large ones short texts.  The terms of a text
+outside the band have random subsets of their own, which count where a text has hardly any term in the band.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from lumbre.session import cut_lineage
 
 #: (a subset holds one term in so many, number of subsets)
 SUBSETS = ((16, 16), (128, 24), (1024, 24))
+#: the same for the terms outside the lexicon
+OWN = ((8, 8), (64, 12), (512, 12))
 EMPTY = "...."
 
 
@@ -24,36 +27,44 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, text: str = "text", low: float = 0.001, high: float = 0.1) -> DataFrame:
-    """(``term`` as a hash, ``subset``) for terms in ``low`` to ``high`` of all documents, once for each subset that holds them.
+    """(``term`` as a hash, ``subset``) for terms in ``low`` to ``high`` of all different texts, once for each subset that holds them.
 
-    Its size is bounded at any corpus size: a term takes at least ``low`` of the documents, so there are at most 1 / ``low`` times as many
-    terms as a document has on average.
+    Its size is bounded at any corpus size: a term takes at least ``low`` of the texts, so there are at most 1 / ``low`` times as many
+    terms as a text has on average.
     """
-    total = docs.count()
-    seen = docs.select(F.explode(terms(F.col(text))).alias("w")).select(F.xxhash64("w").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    total = docs.select(F.xxhash64(text).alias("b")).distinct().count()
+    seen = docs.select(text).distinct().select(F.explode(terms(F.col(text))).alias("w")).select(F.xxhash64("w").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     kept = seen.where((F.col("df") >= low * total) & (F.col("df") <= max(high * total, 2)))
-    first, places = 0, []
-    for every, count in SUBSETS:
+    return cut_lineage(kept.select("term", F.explode(_places(SUBSETS, 0)).alias("subset")), "lexicon")
+
+
+def _places(subsets, first: int) -> Column:
+    """The subsets, numbered from ``first``, that hold ``term``."""
+    places = []
+    for every, count in subsets:
         place = F.pmod(F.xxhash64("term", F.lit(every)), F.lit(every)).cast("int")
         places.append(F.when(place < count, place + first))
         first += count
-    return cut_lineage(kept.select("term", F.explode(F.array_compact(F.array(*places))).alias("subset")), "lexicon")
+    return F.array_compact(F.array(*places))
 
 
 def _joined(signatures: Column) -> Column:
     """The fingerprint out of a map from subset to hash."""
-    n = sum(count for _, count in SUBSETS)
+    n = sum(count for _, count in SUBSETS + OWN)
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.element_at(signatures, i), F.lit(EMPTY))), "")
 
 
 def fingerprint(rows: DataFrame, known: DataFrame, keys: list[str], texts: list[str]) -> DataFrame:
     """``rows`` with ``fingerprint_<text>`` for each of the columns ``texts``; ``keys`` (never null) tell rows apart and partition them: a join or grouping by them moves no text.
 
-    A text without terms of the lexicon (null, empty, odd) has the hash of its whole text after ``~`` as fingerprint.
+    The hashes of the lexicon's subsets come first, then those of the subsets of other terms.  A text without terms (null, empty,
+    odd) has the hash of its whole text after ``~`` as fingerprint.
     """
     which = F.explode(F.array(*[F.struct(F.lit(i).alias("which"), terms(F.coalesce(F.col(t), F.lit(""))).alias("terms")) for i, t in enumerate(texts)]))
     held = rows.select(*keys, which.alias("x")).select(*keys, "x.which", F.explode("x.terms").alias("w")).select(*keys, "which", F.xxhash64("w").alias("term"))
-    held = held.join(F.broadcast(known), "term")  # bounded, see lexicon()
+    held = held.join(F.broadcast(known), "term", "left")  # bounded, see lexicon()
+    own = _places(OWN, sum(count for _, count in SUBSETS))
+    held = held.select(*keys, "which", "term", F.explode(F.when(F.col("subset").isNotNull(), F.array("subset")).otherwise(own)).alias("subset"))
     sign = F.lpad(F.right(F.hex(F.xxhash64(F.array_sort(F.collect_set("term")))), F.lit(4)), 4, "0")
     signed = held.groupBy(*keys, "which", "subset").agg(sign.alias("sign"))
     per = signed.groupBy(*keys).agg(*[F.map_from_entries(F.collect_list(F.when(F.col("which") == i, F.struct("subset", "sign")))).alias(f"m{i}") for i in range(len(texts))])
@@ -68,21 +79,33 @@ def fingerprint(rows: DataFrame, known: DataFrame, keys: list[str], texts: list[
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1: of the subset size at which the two agree most, the share of equal hashes among the subsets that hold a term of either.
 
-    A size counts if three subsets or more hold a term, or if no size has three.  Equal fingerprints have likeness 1; a
+    A size counts if three subsets or more hold a term, or if no size has three.  If one of the two has terms in fewer than three of the
+    lexicon's largest subsets, the subsets of other terms count beside the lexicon's.  Equal fingerprints alone have likeness 1; a
     fingerprint of a text without terms is like its equal alone.
     """
-    shares, first = [], 0
-    for _, count in SUBSETS:
-        pair = lambda i: (F.substring(a, i * 4 + 1, 4), F.substring(b, i * 4 + 1, 4))
-        used = F.aggregate(F.sequence(F.lit(first), F.lit(first + count - 1)), F.struct(F.lit(0).alias("n"), F.lit(0).alias("same")), lambda s, i: F.struct(
-            (s["n"] + F.when((pair(i)[0] != EMPTY) | (pair(i)[1] != EMPTY), 1).otherwise(0)).alias("n"),
-            (s["same"] + F.when((pair(i)[0] == pair(i)[1]) & (pair(i)[0] != EMPTY), 1).otherwise(0)).alias("same")))
-        shares.append(used)
+    def compared(first: int, count: int) -> Column:
+        """Subsets that hold a term of either, of ``a``, of ``b``, and equal ones."""
+        def add(s: Column, i: Column) -> Column:
+            x, y = F.substring(a, i * 4 + 1, 4), F.substring(b, i * 4 + 1, 4)
+            one = lambda c: F.when(c, 1).otherwise(0)
+            return F.struct((s["n"] + one((x != EMPTY) | (y != EMPTY))).alias("n"), (s["a"] + one(x != EMPTY)).alias("a"), (s["b"] + one(y != EMPTY)).alias("b"),
+                            (s["same"] + one((x == y) & (x != EMPTY))).alias("same"))
+        return F.aggregate(F.sequence(F.lit(first), F.lit(first + count - 1)), F.struct(*[F.lit(0).alias(c) for c in ("n", "a", "b", "same")]), add)
+
+    def agreed(sizes: list[tuple[Column, Column]]) -> Column:
+        firm = F.greatest(*[F.when(n >= 3, same / n) for n, same in sizes])
+        weak = F.greatest(*[F.when(n > 0, same / n) for n, same in sizes])
+        return F.coalesce(firm, weak, F.lit(0.0))
+
+    parts, first = [], 0
+    for _, count in SUBSETS + OWN:
+        parts.append(compared(first, count))
         first += count
-    firm = F.greatest(*[F.when(u["n"] >= 3, u["same"] / u["n"]) for u in shares])
-    weak = F.greatest(*[F.when(u["n"] > 0, u["same"] / u["n"]) for u in shares])
+    lexical, other = parts[:len(SUBSETS)], parts[len(SUBSETS):]
+    thin = F.least(lexical[0]["a"], lexical[0]["b"]) < 3
+    share = F.when(thin, agreed([(x["n"] + y["n"], x["same"] + y["same"]) for x, y in zip(lexical, other)])).otherwise(agreed([(x["n"], x["same"]) for x in lexical]))
     odd = F.startswith(a, F.lit("~")) | F.startswith(b, F.lit("~"))
-    return F.when(a == b, 1.0).when(odd, 0.0).otherwise(F.coalesce(firm, weak, F.lit(0.0))).cast("double")
+    return F.when(a == b, 1.0).when(odd, 0.0).otherwise(F.least(share, F.lit(0.999))).cast("double")
 
 
 def followers(ids: DataFrame, key: str, tie: str) -> DataFrame:

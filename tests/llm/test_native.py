@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,6 +85,29 @@ def test_fingerprints_of_odd_rows(odd, no_rows, spark):
     assert one["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest()
 
 
+def _mixed(spark, hot):
+    """Texts of many subjects, with the texts ``hot`` between them."""
+    pick = random.Random(6)
+    pool = [f"term{i}" for i in range(400)]
+    texts = [*hot, *(" ".join(pick.sample(pool, 40)) for _ in range(60))]
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+def test_copies_do_not_push_terms_out_of_the_lexicon(spark):
+    hot = " ".join(f"hot{i}" for i in range(40))
+    known = {r["term"] for r in fingerprints.lexicon(_mixed(spark, [hot] * 30)).collect()}
+    assert {r["h"] for r in spark.createDataFrame([(w,) for w in hot.split()], "w string").select(F.xxhash64("w").alias("h")).collect()} <= known
+
+
+@pytest.mark.parametrize("copies, options", [(30, {}), (2, {"low": 0.1, "high": 0.9})])
+def test_near_copies_with_terms_outside_the_lexicon(spark, copies, options):
+    shared = [f"hot{i}" for i in range(60)]
+    hot = [" ".join(w for j, w in enumerate(shared) if j != i) for i in range(copies)]
+    got = {r["doc_id"]: r for r in fingerprints.compare_with_next(_mixed(spark, hot), **options).collect()}
+    assert all(got[i]["near_next"] > 0.5 for i in range(copies - 1)) and all(got[i]["near_edited"] > 0.2 for i in range(copies))
+    assert sum(got[i]["near_next"] for i in range(copies - 1, copies + 59)) / 60 < 0.2
+
+
 @pytest.mark.parametrize("name", ["op1_url_filters", "op10_document_fingerprints"])
 def test_no_python_in_the_plans(spark, name):
     import io
