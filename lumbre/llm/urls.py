@@ -3,8 +3,8 @@
 All steps are DataFrame operations.  Paths are first generalised by the shape of their segments (numbers, hexadecimal
 strings, UUIDs become wildcards), which leaves few different ones per host.  The tree then grows level by level from the
 root: under each node a branch stays apart if it has support and its share of bad labels differs from its parent's beyond
-chance; all others, rare or statistically alike, are merged into one wildcard branch.  A leaf is a template; it is rejected
-if its labelled purity, smoothed towards its host's and that towards all hosts', is too low.
+chance; all others, rare or statistically alike, are merged into one wildcard branch.  It grows as deep as a node can still
+split, which takes pages with both labels.  A leaf is a template; it is rejected if its labelled purity, smoothed towards its host's and that towards all hosts', is too low.
 """
 
 from __future__ import annotations
@@ -42,34 +42,43 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return rule, verdict
 
 
-def shape(path: Column, depth: int) -> Column:
-    """Segments of a path with variable parts as wildcards; segments from ``depth`` on are one."""
+def shape(path: Column) -> Column:
+    """A path without its first slash, with variable parts as wildcards."""
     wild = F.regexp_replace(path, r"(?<=/)[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?=[/.]|$)", "<uuid>")
     wild = F.regexp_replace(wild, r"(?<=/)(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{8,}(?=[/.]|$)", "<hex>")
     wild = F.regexp_replace(wild, r"[0-9]+", "<n>")
-    return F.split(F.regexp_replace(wild, "^/", ""), "/", depth)
+    return F.regexp_replace(wild, "^/", "")
 
 
-def templates(pages: DataFrame, depth: int = 4, support: int = 5, share: float = 0.02, least_z: float = 2.58, smoothing: float = 5.0) -> DataFrame:
+def templates(pages: DataFrame, support: int = 5, least_z: float = 2.58, smoothing: float = 5.0) -> DataFrame:
     """(``host``, ``shape``, ``template``, ``purity``, ``labelled``) of ``pages`` with ``host``, ``path``, ``bad`` (0, 1 or null: no label).
 
     ``shape`` is the text of ``shape()``, the key that a page finds its template by.
     """
     own = F.col("bad").cast("long")
     sums = lambda *names: [F.sum(n).alias(n) for n in names]
-    q = pages.select("host", F.array_join(shape(F.col("path"), depth), "/").alias("shape"), own.alias("bad"))
+    q = pages.select("host", shape(F.col("path")).alias("shape"), own.alias("bad"))
     q = q.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    q = cut_lineage(q.withColumns({"node": F.lit(""), "parts": F.split("shape", "/", depth)}), "shapes")
-    for level in range(depth):
+    q = cut_lineage(q.withColumns({"node": F.lit(""), "parts": F.split("shape", "/")}), "shapes")
+
+    def can_split() -> bool:
+        """Whether a node has both labels, without which no branch differs, and deeper pages enough for a branch."""
+        nodes = q.groupBy("host", "node").agg(*sums("labelled", "bad"), F.sum(F.when(F.size("parts") > level, F.col("n"))).alias("deeper"))
+        return not nodes.where((F.col("bad") > 0) & (F.col("bad") < F.col("labelled")) & (F.col("deeper") >= support)).isEmpty()
+
+    level = 0
+    while can_split():
         q = q.withColumn("segment", F.when(F.size("parts") > level, F.get("parts", F.lit(level))).otherwise(END))
         child = q.groupBy("host", "node", "segment").agg(*sums("n", "labelled", "bad"))
-        parent = child.groupBy("host", "node").agg(F.sum("n").alias("pn"), F.sum("labelled").alias("pl"), F.sum("bad").alias("pb"))
+        parent = child.groupBy("host", "node").agg(F.sum("labelled").alias("pl"), F.sum("bad").alias("pb"))
         rate = (F.col("pb") + 0.5) / (F.col("pl") + 1)
         z = F.abs(F.col("bad") - F.col("labelled") * rate) / F.sqrt(F.greatest(F.col("labelled"), F.lit(1)) * rate * (1 - rate))
-        apart = child.where(F.col("n") >= support).join(parent, ["host", "node"]).where((F.col("n") >= share * F.col("pn")) & (z >= least_z) & (F.col("segment") != END))
+        apart = child.where(F.col("n") >= support).join(parent, ["host", "node"]).where((z >= least_z) & (F.col("segment") != END))
         q = q.join(apart.select("host", "node", "segment", F.lit(True).alias("apart")), ["host", "node", "segment"], "left")
         step = F.when(F.col("segment") == END, F.lit("")).when(F.col("apart"), F.concat(F.lit("/"), "segment")).otherwise("/*")
         q = cut_lineage(q.withColumn("node", F.concat("node", step)).drop("segment", "apart"), "templates")
+        level += 1
+    q = q.withColumn("node", F.concat("node", F.repeat(F.lit("/*"), F.greatest(F.size("parts") - level, F.lit(0)))))
     hosts = q.groupBy("host").agg(F.sum("labelled").alias("hl"), F.sum("bad").alias("hb"))
     total = q.agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b")).first()
     everywhere = ((total["b"] or 0) + 1.0) / ((total["l"] or 0) + 2.0)
@@ -79,7 +88,7 @@ def templates(pages: DataFrame, depth: int = 4, support: int = 5, share: float =
     return q.select("host", "node", "shape").join(leaves, ["host", "node"]).select("host", "shape", F.col("node").alias("template"), "purity", "labelled")
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", bad: str = "bad", least_purity: float = 0.5, depth: int = 4, **options) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", bad: str = "bad", least_purity: float = 0.5, **options) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule``, ``verdict`` (allow or block), ``template`` and ``purity``; columns of these names are replaced.
 
     A rule's verdict goes before the template's.  Rows are kept as they are, repeated ones too; a null or relative url has an
@@ -89,9 +98,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", bad:
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns if c not in names]).alias("row"), F.col(url).cast("string").alias("url"), F.col(bad).cast("long").alias("bad"))
     rows = rows.select("row", "bad", host.alias("host"), path.alias("path"))
-    known = templates(rows, depth, **options)
+    known = templates(rows, **options)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"shape": F.array_join(shape(F.col("path"), depth), "/"), "rule": rule, "verdict": verdict})
+    rows = rows.withColumns({"shape": shape(F.col("path")), "rule": rule, "verdict": verdict})
     out = rows.join(known, ["host", "shape"], "left")
     learnt = F.when(F.col("purity") < least_purity, "block").otherwise("allow")
     return out.select("row.*", "host", "path", "rule", F.coalesce("verdict", learnt).alias("verdict"), "template", "purity")

@@ -51,6 +51,20 @@ def test_templates_block_what_is_bad(spark):
     assert by["http://h.org/news/3"]["template"] == by["http://h.org/news/30"]["template"]
 
 
+def test_a_small_section_of_a_large_host_splits(spark):
+    rows = [(f"http://h.org/{chr(97 + k % 26)}{chr(97 + k // 26)}/{i}", 0) for k in range(60) for i in range(60)] + [(f"http://h.org/worst/{i}", 1) for i in range(30)]
+    got = urls.judge(spark.createDataFrame(rows, "url string, bad int"), []).collect()
+    assert {r["verdict"] for r in got if r["bad"]} == {"block"} and {r["verdict"] for r in got if not r["bad"]} == {"allow"}
+
+
+def test_the_tree_grows_to_the_segment_that_differs(spark):
+    tails = [a + b for a in "cdefghij" for b in "klmno"]
+    rows = [(f"http://h.org/a/b/c/d/e/{kind}/{t}", bad) for kind, bad in (("good", 0), ("worst", 1)) for t in tails]
+    got = urls.judge(spark.createDataFrame(rows, "url string, bad int"), []).collect()
+    assert {r["template"] for r in got} == {"/*/*/*/*/*/good/*", "/*/*/*/*/*/worst/*"}
+    assert all((r["verdict"] == "block") == bool(r["bad"]) for r in got)
+
+
 def test_url_odd_rows(odd):
     rows = odd.withColumn("url", F.concat(F.lit("http://h.org/"), "text")).withColumn("bad", F.lit(None).cast("int"))
     got = urls.judge(rows, RULES)
