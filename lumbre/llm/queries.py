@@ -8,7 +8,8 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumbre.llm import conversations, decontamination, fingerprints, jaccard, language_model, packing, quality, substrings, toxicity, urls
+from lumbre.llm import (conversations, decontamination, fingerprints, impact_index, jaccard, language_model, negatives, packing, phrases, quality, substrings,
+                        toxicity, urls)
 from lumbre.session import configure, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,3 +186,52 @@ _TOKENS = rf"list_concat(coalesce(regexp_extract_all({_LOWER}, '{_SPACED}'), [])
 def op6_lm_scoring(spark, base):
     docs = table(spark, base, "documents").select("doc_id", "text")
     return language_model.score(docs, ~held_out(parts=7, part=2))
+
+
+_VECTORS = """
+WITH v AS (SELECT vec_id, label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)"""
+
+
+@query(rf"""{_VECTORS},
+l AS (SELECT vec_id, e, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM v WHERE label IS NOT NULL),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.e, c.e)::BIGINT AS score
+  FROM l a, l c WHERE a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5
+""")
+def op12_hard_negatives(spark, base):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, base, "embeddings"), label, F.col("id") % 100 == 0)
+
+
+@query(rf"""{_VECTORS}
+SELECT q.vec_id AS query_id, (row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, c.e) DESC, c.vec_id))::INT AS rank,
+  c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id QUALIFY rank <= 5
+""")
+def op13_exact_topk(spark, base):
+    return impact_index.topk(table(spark, base, "embeddings"), F.col("id") % 50 == 0)
+
+
+@query(r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+size AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM w, range(1, 4) AS t(k), unnest(range(1, len(w) - k + 2)) AS u(i) GROUP BY ALL),
+c AS (SELECT lang, k AS size, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE k > 1 AND f >= 10),
+cut AS (SELECT c.lang, c.size, phrase, a, k, array_to_string(w[:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS rest FROM c, range(1, 3) AS t(k) WHERE k < c.size),
+s AS (SELECT cut.lang, cut.size, cut.phrase, a, cut.k, x.f AS l, y.f AS r, ((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cut JOIN g x ON x.lang = cut.lang AND x.phrase = head AND x.k = cut.k JOIN g y ON y.lang = cut.lang AND y.phrase = rest AND y.k = cut.size - cut.k),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM c WHERE size = 3) GROUP BY ALL)
+SELECT m.lang, row_number() OVER (PARTITION BY m.lang ORDER BY score DESC, a DESC, m.phrase) AS rank, m.phrase, a, l, r, n, score
+FROM m JOIN size USING (lang) LEFT JOIN inside ON inside.lang = m.lang AND inside.phrase = m.phrase
+WHERE longer IS NULL OR 100 * longer < 50 * a QUALIFY rank <= 2000
+""")
+def op11_phrase_collocations(spark, base):
+    return phrases.collocations(table(spark, base, "documents"))
