@@ -26,16 +26,18 @@ def correlate_aggregates(df: DataFrame, key: str, left: Column, right: Column, l
         .where((F.col(left_name) > 0) & (F.col(right_name) > 0))
 
 
-def window_matches(left: DataFrame, right: DataFrame, key: str, ts: str, seconds: int, before: bool = True) -> DataFrame:
+def window_matches(left: DataFrame, right: DataFrame, key: str, ts: str, seconds: int, before: bool = True, weight: str | None = None) -> DataFrame:
     """Per distinct (key, time) of ``left``: how many rows of ``right`` lie within the window around it.
 
+    ``weight`` names a column that says for how many rows a row stands.
+
     No pair of rows is ever formed: the count is the difference of two running
     counts, read at the two ends of the window. ``before=False`` only looks forward.
     """
     # Both ends of the window are included; a probe sorts after (end) or before (start) the events of its instant.
     span = seconds * 1_000_000
     at = lambda d: d.where(F.col(key).isNotNull() & F.col(ts).isNotNull()) \
-        .groupBy(F.col(key), micros(F.col(ts)).alias("us")).agg(F.count(F.lit(1)).alias("n"))
+        .groupBy(F.col(key), micros(F.col(ts)).alias("us")).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
     events = at(right).select(key, (F.col("us") * 3 + 1).alias("o"), F.col("n"), F.lit(None).cast("bigint").alias("origin"),
                               F.lit(0).alias("sign"), F.lit(0).cast("bigint").alias("n_left"))
     start = F.col("us") - (span if before else 0)

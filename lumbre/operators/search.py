@@ -58,6 +58,11 @@ def _leaders(scored: DataFrame, id_column: str, n: int) -> DataFrame:
     return scored.orderBy(F.desc("score"), F.asc(id_column)).limit(n).where(F.col("score") > 0)
 
 
+def words_only(counts: DataFrame, id_column: str, name: str, n: int) -> DataFrame:
+    """Top ``n`` by the words of one variant of ``word_counts`` that looks up a single word."""
+    return _leaders(_score(counts, id_column, name, 1), id_column, n)
+
+
 def bm25(docs: DataFrame, id_column: str, text: str, query: str, n: int = 5, stem: bool = False) -> DataFrame:
     """Top ``n`` texts for a query by BM25.
 

@@ -1,5 +1,7 @@
 """Lines of every supported format, made from the driver tables, parsed, and compared with the columns they came from."""
 
+from functools import reduce
+
 from pyspark.sql import Window, functions as F
 
 from lumbre.functions import dates, missing, nested, net, numbers
@@ -253,9 +255,37 @@ def continuation_detection(t):
     return readers.has_continuations(lines.select(value.alias("value")))
 
 
-@query("S15", r"""SELECT '^"?\d+"?,' AS start""")
+# kinds of ids and dates that begin a record; what is expected follows from the lengths and shapes of the values themselves
+_STARTS = {"hex12": ("substr(md5(o_orderkey::VARCHAR), 1, 12)", lambda k: F.substring(F.md5(k.cast("string")), 1, 12)), "hex16": ("substr(md5(o_orderkey::VARCHAR), 1, 16)", lambda k: F.substring(F.md5(k.cast("string")), 1, 16)),
+           "hex24": ("substr(md5(o_orderkey::VARCHAR), 1, 24)", lambda k: F.substring(F.md5(k.cast("string")), 1, 24)), "mixed": ("substr(md5(o_orderkey::VARCHAR), 1, 9 + o_orderkey % 2)", lambda k: F.substring(F.md5(k.cast("string")), F.lit(1), (9 + k % 2).cast("int"))),
+           "day": ("strftime(o_orderdate, '%d/%m/%Y')", lambda k: F.date_format("o_orderdate", "dd/MM/yyyy")), "minute": ("strftime(o_orderdate, '%Y-%m-%d %H:%M')", lambda k: F.date_format("o_orderdate", "yyyy-MM-dd HH:mm")),
+           "compact": ("strftime(o_orderdate, '%Y%m%d-%H:%M:%S')", lambda k: F.date_format("o_orderdate", "yyyyMMdd-HH:mm:ss")), "code": ("'ORD-' || lpad(o_orderkey::VARCHAR, 9, '0')", lambda k: F.concat(F.lit("ORD-"), F.lpad(k.cast("string"), 9, "0"))),
+           "number": ("o_orderkey::VARCHAR", lambda k: k.cast("string")), "in text": ("o_orderkey::VARCHAR || 'x'", lambda k: F.concat(k.cast("string"), F.lit("x")))}
+_START_SQL = " UNION ALL ".join(f"SELECT '{kind}' AS kind, {sql} AS v FROM orders" for kind, (sql, _) in _STARTS.items())
+
+
+@query("S15", rf"""WITH v AS ({_START_SQL}),
+s AS (SELECT kind, min(length(v)) AS lo, max(length(v)) AS hi, bool_and(regexp_full_match(v, '[0-9a-fA-F]{{8,}}')) AS hex, bool_and(regexp_full_match(v, '\d+')) AS digits,
+  bool_and(regexp_full_match(v, '\d{{2}}/\d{{2}}/\d{{4}}')) AS dmy, bool_and(regexp_full_match(v, '\d{{4}}-\d{{2}}-\d{{2}} \d{{2}}:\d{{2}}')) AS ymd, bool_and(regexp_full_match(v, '\d{{8}}-\d{{2}}:\d{{2}}:\d{{2}}')) AS compact,
+  bool_and(regexp_full_match(v, '[A-Z]{{3}}-\d{{9}}')) AS code FROM v GROUP BY 1)
+SELECT kind, '^"?' || CASE WHEN hex AND lo = hi AND NOT digits THEN '[0-9a-fA-F]{{' || lo || '}}' WHEN ymd THEN '\d{{4}}-\d{{2}}-\d{{2}} \d{{2}}:\d{{2}}' WHEN dmy THEN '\d{{2}}/\d{{2}}/\d{{4}}' WHEN compact THEN '\d{{8}}-\d{{2}}:\d{{2}}:\d{{2}}'
+  WHEN code THEN '[A-Z]{{3}}\-\d{{9}}' WHEN digits THEN '\d+' END || '"?,' AS start FROM s""")
 def record_start_inference(t):
-    return readers.record_start(t.conversations.select(F.concat(text("conv_id"), F.lit(',"'), F.col("role"), F.lit('\nmore text"')).alias("value")))
+    rest = F.concat(F.lit(',"'), F.col("o_orderstatus"), F.lit('\nmore, of the same"'))
+    found = [readers.record_start(t.orders.select(F.concat(token(F.col("o_orderkey")), rest).alias("value"))).select(F.lit(kind).alias("kind"), "start") for kind, (_, token) in _STARTS.items()]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+@query("S6", "SELECT CAST(least(200, greatest(count(*) - 1, 0)) AS BIGINT) AS n, CAST(least(200, greatest(count(*) - 1, 0)) AS BIGINT) AS ordered FROM orders")
+def sampled_lines(t):
+    # one file, of which the last line is cut
+    path = scratch_path(t.spark, "sample")
+    rows = t.orders.orderBy("o_orderkey").select(F.format_string("%012d;%s", "o_orderkey", "o_orderstatus").alias("value"))
+    rows.coalesce(1).write.text(path)
+    sample = readers.sample_lines(readers.read_lines(t.spark, path, metadata=True), 200, cut=True)
+    from pyspark.sql import Window
+    after = F.lag("value").over(Window.partitionBy("file").orderBy("line_no"))
+    return sample.withColumn("before", after).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("before").isNull() | (F.col("before") < F.col("value"))).alias("ordered"))
 
 
 @query("S1 S5 S11 S12", f"""SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1""")

@@ -132,11 +132,16 @@ def daily_volume(t):
     return pf.volume(t.events, "props", F.date_format("ts", "yyyy-MM-dd")).withColumn("bytes_per_event", F.round("bytes_per_event", 4))
 
 
-@query("T21 R4", """SELECT * FROM (VALUES ('[Source][IP]', 'source.ip', 'ip', 1), ('user.name', 'user.name', 'keyword', 1), ('o_orderkey', 'o_orderkey', '', 0)) AS v("column", normalized, standard_type, is_standard)""")
+# the paths that all rows of the table spell, in three spellings, against a table of standard fields
+@query("T21 R4", """WITH e AS (SELECT DISTINCT event_type AS k FROM events), j AS (SELECT DISTINCT unnest(json_keys(props)) AS k FROM events),
+p AS (SELECT '[Event][' || upper(k[1]) || k[2:] || ']' AS "column", 'event.' || k AS normalized FROM e UNION ALL SELECT ' Props.' || upper(k) || ' ', 'props.' || k FROM j UNION ALL SELECT k, k FROM e),
+spec AS (SELECT * FROM (VALUES ('event.click', 'keyword'), ('event.view', 'keyword'), ('props.k', 'long'), ('user.name', 'keyword')) AS v(normalized, type))
+SELECT "column", normalized, coalesce(type, '') AS standard_type, CAST(type IS NOT NULL AS INTEGER) AS is_standard FROM p LEFT JOIN spec USING (normalized)""")
 def standard_paths(t):
-    fields = pf.melt(t.orders.limit(1), ["o_orderkey"]).select("column").unionByName(
-        t.spark.createDataFrame([("[Source][IP]",), ("user.name",)], "column string"))
-    spec = t.spark.createDataFrame([("source.ip", "ip"), ("user.name", "keyword")], "field string, type string")
+    k = F.col("event_type")
+    spelled = F.array_union(F.array(F.concat(F.lit("[Event]["), F.initcap(k), F.lit("]")), k), F.transform(F.json_object_keys("props"), lambda x: F.concat(F.lit(" Props."), F.upper(x), F.lit(" "))))
+    fields = t.events.select(F.explode(spelled).alias("column")).distinct()
+    spec = t.spark.createDataFrame([("event.click", "keyword"), ("Event.View", "keyword"), ("props.k", "long"), ("user.name", "keyword")], "field string, type string")
     out = roles.classify_paths(fields, spec)
     return out.select("column", "normalized", F.coalesce("standard_type", F.lit("")).alias("standard_type"), F.col("is_standard").cast("int").alias("is_standard"))
 

@@ -9,8 +9,9 @@ from lumbre.functions.keys import fingerprint
 from lumbre.queries.registry import query
 from lumbre.queries.security import RULES, _FINDINGS
 from lumbre.session import scratch_path
-from lumbre.sources import readers
-from lumbre.streaming import jobs
+from lumbre.sources import readers, sinks
+from lumbre.sources.keyed import KeyedTable
+from lumbre.streaming import carried, jobs
 
 FMT = "'%Y-%m-%d %H:%M:%S'"
 
@@ -85,11 +86,55 @@ def stream_throttled_alerts(t):
     return jobs.run_once(jobs.throttled_alert_stream(alerts, "monitor", "at"), scratch_path(t.spark, "throttle")).select("monitor", F.unix_seconds("at").alias("s"))
 
 
-@query("X18 J2")
+def _arrivals(t, df, order, pieces: int = 4):
+    """A table as files that arrive one after the other in the order of a number, each a batch of the stream."""
+    path = scratch_path(t.spark, "arrivals")
+    ends = df.agg(F.min(order).alias("a"), F.max(order).alias("b")).first()
+    cuts = [ends["a"] + (ends["b"] - ends["a"]) * i // pieces for i in range(1, pieces)] if ends["a"] is not None else []
+    for lo, hi in zip([None, *cuts], [*cuts, None]):
+        part = df.where((F.lit(True) if lo is None else F.col(order) > lo) & (F.lit(True) if hi is None else F.col(order) <= hi))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", "1").parquet(path)
+
+
+@query("X18 J2", """SELECT e.user_id, strftime(e.ts, '%Y-%m-%d %H:%M:%S.%f') AS at, count(*) AS n_right FROM (SELECT * FROM events WHERE event_type = 'error') e
+JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON e.user_id = p.user_id AND p.ts BETWEEN e.ts AND e.ts + INTERVAL 1 HOUR GROUP BY 1, 2""")
 def stream_correlation(t):
-    k = F.col("event_type")
-    pairs = jobs.correlate_streams(_stream(t).where(k == "error"), _stream(t).where(k == "purchase"), "user_id", "ts", 60)
-    return jobs.run_once(pairs, scratch_path(t.spark, "correlation"))
+    path, k = scratch_path(t.spark, "correlation"), F.col("event_type")
+    rows = t.events.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    source = _arrivals(t, rows, "us")
+    carried.drain(source, carried.correlator(t.spark, path, k == "error", k == "purchase", "user_id", "ts", 3600), path)
+    found = carried.correlations(t.spark, path, rows.schema, "user_id", "ts", 3600)
+    return found.select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "n_right")
+
+
+@query("X16 S14 S16 S3", "SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS lines, md5(text) AS digest FROM documents")
+def stream_multiline(t):
+    # lines as a shipper sends them, with source and offset, in files cut inside records
+    path = scratch_path(t.spark, "multiline")
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    head = F.concat(F.lit("<entry "), F.col("doc_id").cast("string"), F.lit("> "))
+    lines = lines.select(F.concat(F.lit("app"), F.pmod("doc_id", F.lit(5)).cast("string")).alias("source"), (F.col("doc_id") * 1_000_000 + F.col("pos")).alias("offset"),
+                         F.when(F.col("pos") == 0, F.concat(head, "line")).otherwise(F.col("line")).alias("value"))
+    begins = lambda c: c.rlike("^<entry [0-9]+> ")
+    carried.drain(_arrivals(t, lines, "offset"), carried.record_assembler(t.spark, path, begins), path)
+    found = carried.records(t.spark, path, begins)
+    return found.select(F.regexp_extract("value", "^<entry ([0-9]+)> ", 1).cast("bigint").alias("doc_id"), "lines", F.md5(F.regexp_replace("value", "^<entry [0-9]+> ", "")).alias("digest"))
+
+
+@query("E11 X13 A28", """WITH o AS (SELECT user_id, ts, bool_or(event_type = 'purchase') AS ended, count(*) AS n, sum(value) AS v FROM events GROUP BY 1, 2),
+m AS (SELECT *, lag(ts) OVER w AS before, lag(ended) OVER w AS closed FROM o WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+k AS (SELECT *, sum(CASE WHEN before IS NULL OR closed OR ts - before > INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS task FROM m),
+g AS (SELECT user_id, min(ts) AS first, max(ts) AS last, bool_or(ended) AS ended, CAST(sum(n) AS BIGINT) AS events, sum(v) AS v FROM k GROUP BY user_id, task)
+SELECT user_id, strftime(first, '%Y-%m-%d %H:%M:%S') AS first, events, round(v, 2) AS value_sum,
+  CASE WHEN ended THEN 'ended' WHEN last + INTERVAL 6 HOUR < (SELECT max(ts) FROM events) THEN 'timed_out' ELSE 'open' END AS outcome FROM g""")
+def stream_combined_tasks(t):
+    path = scratch_path(t.spark, "tasks")
+    rows = t.events.select("user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    ends = F.col("event_type") == "purchase"
+    carried.drain(_arrivals(t, rows, "us"), carried.task_combiner(t.spark, path, "user_id", "ts", ends, ["value"], 6 * 3600), path)
+    found = carried.combined_tasks(t.spark, path, rows.schema, "user_id", ["value"])
+    return found.select("user_id", iso(F.col("first")).alias("first"), "events", F.round("value_sum", 2).alias("value_sum"), "outcome")
 
 
 @query("X14", """SELECT strftime(m, '%Y_%m') AS month, date_diff('day', m, DATE '2001-08-15') AS age_days,
@@ -106,3 +151,40 @@ def stream_text_ingest(t):
     t.events.select(F.concat(F.lit("id="), F.col("event_id").cast("string"), F.lit("\r")).alias("value")).write.option("compression", "gzip").text(src)
     parsed = readers.stream_lines(t.spark, src, max_files=2).select(F.regexp_extract("value", r"^id=(\d+)$", 1).try_cast("bigint").alias("id"))
     return jobs.run_once(parsed, out).agg(F.count("id").alias("n"), F.sum("id").alias("ids"))
+
+
+@query("K2 X5", f"""SELECT user_id, count(*) AS events, round(max(value), 2) AS top, strftime(max(ts), {FMT}) AS last, 0 AS rewritten_elsewhere FROM events GROUP BY 1""")
+def keyed_upsert(t):
+    # the table is made of all events, then one user's rows come again as a batch that was applied before, then as an empty one
+    path = scratch_path(t.spark, "keyed")
+    table = KeyedTable(t.spark, path, "user_id", {"events": F.sum, "top": F.max, "last": F.max}, buckets=16)
+    rows = t.events.where("user_id IS NOT NULL").select("user_id", F.lit(1).cast("bigint").alias("events"), F.col("value").alias("top"), F.col("ts").cast("timestamp").alias("last"))
+    half = F.col("user_id") % 2 == 0
+    table.update(rows.where(half), 0)
+    table.update(rows.where(~half), 1)
+    before = table.manifest()
+    one = rows.where(F.col("user_id") == rows.agg(F.min("user_id")).scalar())
+    touched = table.update(one, 1) + table.update(one.withColumn("events", F.lit(0).cast("bigint")), 2)
+    after = table.manifest()
+    moved = sum(after["folders"][b] != folder for b, folder in before["folders"].items()) - len(touched)
+    return table.read().select("user_id", "events", F.round("top", 2).alias("top"), iso(F.col("last")).alias("last"), F.lit(moved).alias("rewritten_elsewhere"))
+
+
+@query("S4 X17", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def jdbc_increments(t):
+    # an embedded database that grows between pulls; the second pull dies and is made again
+    from lumbre.sources.increments import Increments
+    path = scratch_path(t.spark, "increments")
+    url, driver = f"jdbc:derby:memory:m{path.rsplit('-', 1)[-1]};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    keys = t.orders.agg(F.min("o_orderkey").alias("a"), F.max("o_orderkey").alias("b")).first()
+    step = None if keys["a"] is None else (keys["b"] - keys["a"]) // 3 + 1
+    source = Increments(t.spark, path, url, "ORDERS", "O_ORDERKEY", driver, partitions=4)
+    for i in range(3 if step else 0):
+        lo = keys["a"] + i * step
+        part = t.orders.where((F.col("o_orderkey") >= lo) & (F.col("o_orderkey") < lo + step)).select("o_orderkey", "o_custkey", "o_totalprice")
+        sinks.write_jdbc(part.toDF("O_ORDERKEY", "O_CUSTKEY", "O_TOTALPRICE"), url, "ORDERS", driver, connections=2)
+        number = source.pull()
+        if i == 1:
+            source.pull(again=number)
+    rows = source.rows()
+    return rows.select(*[F.col(c).alias(c.lower()) for c in rows.columns])

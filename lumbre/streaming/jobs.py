@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lumbre.operators import derived, security, series
 from lumbre.sources import sinks
+from lumbre.sources.folders import file_system
+from lumbre.sources.keyed import KeyedTable
 
 ONCE = {"availableNow": True}
 
@@ -81,8 +83,8 @@ def profile_merger(path: str, entity: str, ts: str, measures: list[str]):
 
     What is stored are sums and counts, so batches merge exactly; averages are
     taken on reading. Memory does not grow with the number of entities because
-    the profile is a table, not stream state. The batch id makes a replayed
-    batch harmless.
+    the profile is a table, not stream state; a batch rewrites the buckets of
+    its own entities. The batch id makes a replayed batch harmless.
     """
     def partial(batch: DataFrame) -> DataFrame:
         aggs = [F.count(ts).alias("events"), F.max(ts).alias("last")]
@@ -113,16 +115,7 @@ def text_merger(path: str, text: str):
 
 def _merge_action(path: str, partial, key: str, merge: dict):
     def action(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        current = sinks.current_table(spark, path)
-        if current is not None:
-            done = current.agg(F.max("batch")).first()[0]
-            if done is not None and done >= batch_id:
-                return
-        fresh = partial(batch)
-        both = fresh if current is None else current.drop("batch").unionByName(fresh)
-        merged = both.groupBy(key).agg(*[f(c).alias(c) for c, f in merge.items()])
-        sinks.replace_generation(merged.withColumn("batch", F.lit(batch_id).cast("bigint")), path)
+        KeyedTable(batch.sparkSession, path, key, merge).update(partial(batch), batch_id)
     return action
 
 
@@ -142,54 +135,57 @@ def high_grades(grades: DataFrame, ts: str = "bucket", interval: str = "10 minut
 def throttled_alerts(alerts: DataFrame, monitor: str, at: str, minutes: int = 60) -> DataFrame:
     """Batch: the alerts of each monitor that are sent, at most one in any ``minutes``.
 
-    A monitor fires at its own interval, so its distinct firing times are few;
-    they are folded in order inside one expression.
+    Distinct firing times are sorted by Spark and read once in order, so a task holds one time a monitor however long its history.
     """
-    times = F.array_sort(F.collect_set(F.unix_seconds(F.col(at).cast("timestamp"))))
-    gap = F.lit(minutes * 60).cast("bigint")
-    sent = F.aggregate(times, F.array().cast("array<bigint>"), lambda acc, t: F.when(
-        (F.size(acc) > 0) & (t - F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) < gap), acc).otherwise(F.array_append(acc, t)))
-    return alerts.groupBy(monitor).agg(sent.alias("_s")).select(monitor, F.explode("_s").alias("_t")).select(monitor, F.timestamp_seconds("_t").alias(at))
+    import pyarrow as pa
+    from pyspark.sql.types import LongType, StructField, StructType
+    span = minutes * 60
+    times = alerts.select(F.col(monitor), F.unix_seconds(F.col(at).cast("timestamp")).alias("_t")).where(F.col(monitor).isNotNull() & F.col("_t").isNotNull()).distinct()
+
+    def run(batches):
+        who, last = None, None
+        for batch in batches:
+            keep = []
+            for i, (m, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if m != who or last is None or t - last >= span:
+                    who, last = m, t
+                    keep.append(i)
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    schema = StructType([alerts.schema[monitor], StructField("_t", LongType())])
+    sent = times.repartition(monitor).sortWithinPartitions(monitor, "_t").mapInArrow(run, schema)
+    return sent.select(monitor, F.timestamp_seconds("_t").alias(at))
 
 
-def throttled_alert_stream(alerts: DataFrame, monitor: str, at: str, minutes: int = 60) -> DataFrame:
-    """The same on a stream: the state of a monitor is one number, the time of its last alert, and stays as long as the query."""
+def throttled_alert_stream(alerts: DataFrame, monitor: str, at: str, minutes: int = 60, delay: str = "10 minutes") -> DataFrame:
+    """The same on a stream.  The state of a monitor is the time of its last alert; it leaves when the watermark (``delay`` behind the
+    newest time) passes the end of the span in which that alert holds others back."""
     from pyspark.sql.streaming.state import GroupStateTimeout
     import pandas as pd
     span = minutes * 60
 
     def step(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         out = []
-        for t in sorted(int(x) for f in frames for x in f["_t"].unique()):
+        for t in sorted({int(x) for f in frames for x in f["_t"].unique()}):
             if last is None or t - last >= span:
                 last = t
                 out.append(t)
         if last is not None:
             state.update((last,))
+            state.setTimeoutTimestamp(max((last + span) * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({monitor: [key[0]] * len(out), "_t": pd.Series(out, dtype="int64")})
 
     kind = alerts.schema[monitor].dataType.simpleString()
-    seconds = alerts.select(F.col(monitor), F.unix_seconds(F.col(at)).alias("_t"))
+    seconds = alerts.withWatermark(at, delay).select(F.col(monitor), F.col(at), F.unix_seconds(F.col(at)).alias("_t"))
     sent = seconds.groupBy(monitor).applyInPandasWithState(step, f"{monitor} {kind}, _t bigint", "last bigint", "append",
-                                                           GroupStateTimeout.NoTimeout)
+                                                           GroupStateTimeout.EventTimeTimeout)
     return sent.select(monitor, F.timestamp_seconds("_t").alias(at))
 
 
-def correlate_streams(left: DataFrame, right: DataFrame, key: str, ts: str, minutes: int) -> DataFrame:
-    """Findings of two streams within the window of each other, counted per key and minute of the left one.
-
-    Each side is reduced to (key, minute) counts before the join, so a hot key
-    sends a handful of rows per minute and not every pair of its events.
-    """
-    span = f"interval {minutes} minutes"
-    side = lambda d, n: d.withWatermark(ts, f"{minutes} minutes").groupBy(F.col(key).alias(f"{n}_key"), F.window(ts, "1 minute").alias("w")) \
-        .agg(F.count(F.lit(1)).alias(f"{n}_n")).select(f"{n}_key", F.col("w.end").alias(f"{n}_at"), f"{n}_n")
-    a, b = side(left, "l"), side(right, "r")
-    near = (F.col("l_key") == F.col("r_key")) & (F.col("r_at") >= F.col("l_at") - F.expr(span)) & (F.col("r_at") <= F.col("l_at") + F.expr(span))
-    return a.join(b, near)
-
-
 # Retention ------------------------------------------------------------------
 WARM_DAYS, MONTH_DAYS = 35, 31
 DEFAULT_RETENTION, MIN_RETENTION, MAX_RETENTION = 90, 7, 3650
@@ -210,7 +206,7 @@ def retention_plan(months: DataFrame, today: dt.date, asked=None) -> DataFrame:
 
 def apply_retention(spark: SparkSession, path: str, today: dt.date, asked=None, files_per_month: int = 1) -> list[tuple[str, str]]:
     """Drop old monthly partitions and rewrite warm ones into fewer files. Returns what was done, one pair per partition."""
-    fs, root = sinks._fs(spark, path)
+    fs, root = file_system(spark, path)
     names = [s.getPath().getName()[len("month="):] for s in fs.listStatus(root)
              if s.isDirectory() and s.getPath().getName().startswith("month=")]
     if not names:
