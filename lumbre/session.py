@@ -15,6 +15,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # texts differ in length by five orders of magnitude: batches for Python are bounded by bytes, not rows alone
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 
