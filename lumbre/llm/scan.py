@@ -6,6 +6,7 @@ holds at most ``CHUNK_BYTES`` of text (or one longer document) in this form.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -48,7 +49,7 @@ def _power(base: int, n: int) -> np.ndarray:
         while k < size:
             have[k:2 * k] = have[:k] * np.uint64(pow(base, k, 1 << 64))
             k *= 2
-        if size <= 1 << 23:
+        if size <= 1 << 21:
             _powers[base] = have
     return have[:n + 1]
 
@@ -136,6 +137,15 @@ def words(column, letters: np.ndarray, lower: bool = False, size: int = CHUNK_BY
         yield Words(lo, hi, part, starts, ends, doc, run_hashes(_VALUES[part], starts, ends))
 
 
+def release() -> None:
+    """Give memory that a task no longer needs back to the machine: its worker process stays for later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than GNU's
+        pass
+
+
 def append_columns(df, fn: Callable, fields: list[tuple[str, str]]):
     """``df`` with more columns, which ``fn`` makes of each Arrow batch (a column of the same name is replaced).
 
@@ -152,5 +162,6 @@ def append_columns(df, fn: Callable, fields: list[tuple[str, str]]):
         for batch in batches:
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([*batch.columns, *fn(batch)], names=[*batch.schema.names, *new])
+        release()
 
     return kept.mapInArrow(run, schema)

@@ -22,6 +22,8 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "
 SEPARATORS = " .-_*~'"
 DISGUISE, REPEAT, JOIN, SPLIT, DROP = 0.7, 0.7, 1.0, 2.0, 3.0
 READINGS = 4
+#: longest spelling whose readings a task remembers
+REMEMBERED = 64
 SYMBOLS = 64
 PREFIXES = (4, 5, 6)
 
@@ -103,10 +105,13 @@ def lattice(spelling: str) -> list[list[tuple[str, float]]]:
 
 
 def viterbi(spelling: str, model: np.ndarray, best: int = READINGS) -> list[str]:
-    """The likeliest readings of a spelling, best first.  A state is the last two symbols; each keeps its best few paths."""
-    states: dict[tuple[int, int], list[tuple[float, str]]] = {(0, 0): [(0.0, "")]}
+    """The likeliest readings of a spelling, best first.  A state is the last two symbols; each keeps its best few paths.
+
+    A path is a chain of back-pointers with a hash of what it says, so a step costs the same however long the spelling is.
+    """
+    states: dict[tuple[int, int], list[tuple]] = {(0, 0): [(0.0, 0, None, "")]}
     for step in [*lattice(spelling), [(" ", 0.0)]]:
-        after: dict[tuple[int, int], list[tuple[float, str]]] = {}
+        after: dict[tuple[int, int], list[tuple]] = {}
         for (a, b), paths in states.items():
             for out, cost in step:
                 p, q, add = a, b, cost
@@ -116,17 +121,40 @@ def viterbi(spelling: str, model: np.ndarray, best: int = READINGS) -> list[str]
                         continue
                     add -= float(model[p, q, s])
                     p, q = (0, 0) if s == 0 else (q, s)
-                after.setdefault((p, q), []).extend((total + add, said + out) for total, said in paths)
+                told = after.setdefault((p, q), [])
+                for path in paths:
+                    said = path[1]
+                    for c in out:
+                        said = (said * 1_000_003 + ord(c) + 1) % _PRIME
+                    told.append((path[0] + add, said, path, out))
         states = {}
         for key, paths in after.items():
-            kept: list[tuple[float, str]] = []
-            for path in sorted(paths):
-                if all(path[1] != x[1] for x in kept):
-                    kept.append(path)
-                    if len(kept) == best:
-                        break
-            states[key] = kept
-    return [said for _, said in sorted(p for paths in states.values() for p in paths)[:best]]
+            if len(paths) > 1:
+                paths.sort(key=_rank)
+                kept: list[tuple] = []
+                for path in paths:
+                    if all(path[1] != x[1] for x in kept):
+                        kept.append(path)
+                        if len(kept) == best:
+                            break
+                paths = kept
+            states[key] = paths
+    return [_said(path) for path in sorted((p for paths in states.values() for p in paths), key=_rank)[:best]]
+
+
+_PRIME = (1 << 61) - 1
+
+
+def _rank(path: tuple) -> tuple:
+    return path[0], path[1]
+
+
+def _said(path: tuple) -> str:
+    out = []
+    while path is not None:
+        out.append(path[3])
+        path = path[2]
+    return "".join(reversed(out))
 
 
 def disguised(words: scan.Words) -> list[tuple[int, str]]:
@@ -166,12 +194,15 @@ def features(column, model: np.ndarray | None, memory: dict | None = None):
         restored: dict[int, set[str]] = {}
         if model is not None:
             for row, spelling in disguised(raw):
-                if spelling not in memory:
-                    if len(memory) > 20_000:
-                        memory.clear()
-                    memory[spelling] = {w for said in viterbi(spelling.strip(".,;:?!\"'()"), model) for w in said.split() if len(w) > 2}
-                if memory[spelling]:
-                    restored.setdefault(row, set()).update(memory[spelling])
+                found = memory.get(spelling)
+                if found is None:
+                    found = {w for said in viterbi(spelling.strip(".,;:?!\"'()"), model) for w in said.split() if len(w) > 2}
+                    if len(spelling) <= REMEMBERED:
+                        if len(memory) > 20_000:
+                            memory.clear()
+                        memory[spelling] = found
+                if found:
+                    restored.setdefault(row, set()).update(found)
         said = [(row, w) for row, found in sorted(restored.items()) for w in sorted(found)]
         extra = next(scan.words(pa.array([w for _, w in said], pa.string()), _WORD, size=1 << 40), None) if said else None
         parts = [_hashed(words, words.doc)]
@@ -315,35 +346,49 @@ def isotonic(x: np.ndarray, pos: np.ndarray, n: np.ndarray, prior: float) -> tup
     return np.array([v for vs, _, _ in blocks for v in vs]), np.maximum.accumulate(score)
 
 
-def _evidence(docs: DataFrame, model: Model, kept: list[str], text: str = "t", words: bool = False) -> DataFrame:
+def _evidence(docs: DataFrame, model: Model, kept: list[str], text: str = "t", words: bool = False, inside: str | None = None) -> DataFrame:
+    """``kept`` columns with ``evidence``; the text is a column, or a field of the struct column ``inside`` (and so sent once)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     memory: dict = {}
 
     def run(batch: pa.RecordBatch) -> list:
         m = shared.value
+        column = batch.column(batch.schema.names.index(inside or text))
+        if inside:
+            column = column.field(text).cast(pa.string())
         total, found = [], []
-        for _, rows, row, hashes, owner, restored in features(batch.column(batch.schema.names.index(text)), m.trigrams, memory):
+        for _, rows, row, hashes, owner, restored in features(column, m.trigrams, memory):
             total.append(evidence(rows, row, hashes, owner, m.features, m.weights))
             if words:
                 found += [sorted(restored.get(r, ())) for r in range(rows)]
         return [pa.array(np.concatenate(total)), *([pa.array(found, pa.list_(pa.string()))] if words else [])]
 
-    return scan.append_columns(docs.select(text, *kept), run, [("evidence", "double"), *([("restored", "array<string>")] if words else [])])
-
+    return scan.append_columns(docs.select(*([] if inside else [text]), *kept), run, [("evidence", "double"), *([("restored", "array<string>")] if words else [])])
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``score`` (0 to 1, higher: likelier toxic) and ``restored`` (words read out of disguised spellings, sorted).
 
-    Null and empty texts have no evidence and get the score of such texts; equal texts get equal scores; columns named
-    ``score`` or ``restored`` are replaced.
-    """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("score", "restored")]).alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    found = _evidence(rows, model, ["row"], words=True)
+def _calibrated(model: Model):
+    """Evidence as a score."""
     x, y = [float(v) for v in model.evidence], [float(v) for v in model.scores]
     shown = F.lit(y[0])
     for k in range(1, len(x)):
         if y[k] > y[k - 1]:
             shown = F.when(F.col("evidence") >= (x[k] + x[k - 1]) / 2, F.lit(y[k])).otherwise(shown)
     # evidence orders documents of one step
-    fine = F.least(F.lit(1.0), F.greatest(F.lit(0.0), shown + F.lit(1e-4) * F.tanh(F.col("evidence") / 20)))
-    return found.select("row.*", fine.alias("score"), "restored")
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), shown + F.lit(1e-4) * F.tanh(F.col("evidence") / 20)))
+
+
+def below(docs: DataFrame, model: Model, threshold: float, text: str = "text") -> DataFrame:
+    """The documents whose score is below ``threshold``, as they are."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return _evidence(rows, model, ["row"], text, inside="row").where(_calibrated(model) < threshold).select("row.*")
+
+
+def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``docs`` with ``score`` (0 to 1, higher: likelier toxic) and ``restored`` (words read out of disguised spellings, sorted).
+
+    Null and empty texts have no evidence and get the score of such texts; equal texts get equal scores; columns named
+    ``score`` or ``restored`` are replaced.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("score", "restored")]).alias("row"))
+    found = _evidence(rows, model, ["row"], text, words=True, inside="row")
+    return found.select("row.*", _calibrated(model).alias("score"), "restored")
