@@ -6,6 +6,8 @@ the next; all but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +19,7 @@ from lumbre.session import configure, cut_lineage, table
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not likely toxic, judged as ``op2_toxicity`` does."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return toxicity.score(rows, model).where("score < 0.7").select("row.*")
+    return toxicity.below(docs, model, 0.7)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +47,16 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-STAGES = [("toxicity", without_toxic), ("near duplicates", without_near_duplicates), ("substring dedup", without_repeats), ("benchmark decontamination", without_benchmark), ("packing", packed)]
+def _set_up(stage):
+    """The stage with the session's settings applied, as it may be called alone."""
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(configure(spark), docs, sf_dir)
+    return run_stage
+
+
+STAGES = [(name, _set_up(stage)) for name, stage in (
+    ("toxicity", without_toxic), ("near duplicates", without_near_duplicates), ("substring dedup", without_repeats), ("benchmark decontamination", without_benchmark), ("packing", packed))]
 
 #: packing and the learnt stages have no SQL; tests hold the stages against brute force
 ORACLE_SQL = None
