@@ -9,7 +9,6 @@ are averaged.  Scoring carries the state through whole documents in the same way
 
 from __future__ import annotations
 
-import heapq
 from collections import deque
 from dataclasses import dataclass
 
@@ -23,10 +22,55 @@ from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, St
 from lumbre.llm import scan, tally
 
 SHAPES = 24
-#: single frequent words, and classes of frequent words with so many words each
-SINGLE, GROUPS, GROUP = 32, 31, 32
-HEAD = SINGLE + GROUPS * GROUP
-HIDDEN, WINDOW, LANES = 32, 32, 192
+HIDDEN, WINDOW, LANES = 32, 32, 128
+#: a vocabulary of side * side frequent words: at least 32 * 32; four times as many whenever the training text has sixteen times the
+#: words (distinct words grow about as the root of all), up to 256 * 256, which bounds what is sent to tasks
+LEAST_SIDE, MOST_SIDE, WORDS_AT_LEAST = 32, 256, 1 << 27
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Symbols 0 to ``head`` - 1 are frequent words, then come the shapes and the end.
+
+    The ``side`` most frequent words are classes of their own, the others fall into ``side`` - 1 classes of ``side`` words.
+    """
+
+    side: int
+
+    @property
+    def head(self) -> int:
+        return self.side * self.side
+
+    @property
+    def end(self) -> int:
+        return self.head + SHAPES
+
+    @property
+    def symbols(self) -> int:
+        return self.end + 1
+
+    @property
+    def classes(self) -> int:
+        return 2 * self.side + SHAPES
+
+    def class_of(self, symbols: np.ndarray) -> np.ndarray:
+        return np.where(symbols < self.head, np.where(symbols < self.side, symbols, self.side - 1 + symbols // self.side), symbols - self.head + 2 * self.side - 1)
+
+
+def layout_for(words: int) -> Layout:
+    side = LEAST_SIDE
+    while side < MOST_SIDE and words >= WORDS_AT_LEAST * (side // LEAST_SIDE) ** 4 * 16:
+        side *= 2
+    return Layout(side)
+
+
+def layout_of(p: dict) -> Layout:
+    return Layout(p["w"].shape[1])
+
+
+#: the smallest layout
+SMALLEST = Layout(LEAST_SIDE)
+HEAD, END, SYMBOLS = SMALLEST.head, SMALLEST.end, SMALLEST.symbols
 END_KEY = np.uint64(0x5EED0E0D5EED0E0D & ~31 | 24)
 ROWS_PER_BUCKET = 4000
 
@@ -56,29 +100,22 @@ class Vocabulary:
     keys: np.ndarray
     symbols: np.ndarray
     counts: np.ndarray
+    layout: Layout = SMALLEST
 
     def symbol(self, keys: np.ndarray, shapes: np.ndarray) -> np.ndarray:
         if not len(self.keys):
-            return HEAD + shapes
+            return self.layout.head + shapes
         at = np.searchsorted(self.keys, keys)
         at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == keys, self.symbols[at], HEAD + shapes)
-
-
-END = HEAD + SHAPES
-SYMBOLS = END + 1
-CLASSES = SINGLE + GROUPS + SHAPES + 1
+        return np.where(self.keys[at] == keys, self.symbols[at], self.layout.head + shapes)
 
 
-def class_of(symbols: np.ndarray) -> np.ndarray:
-    return np.where(symbols < SINGLE, symbols, np.where(symbols < HEAD, SINGLE + (symbols - SINGLE) // GROUP, symbols - HEAD + SINGLE + GROUPS))
-
-
-def start(seed: int = 5) -> dict[str, np.ndarray]:
+def start(layout: Layout = SMALLEST, seed: int = 5) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     normal = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
-    return {"x": normal(SYMBOLS, 3 * HIDDEN), "u": normal(HIDDEN, 3 * HIDDEN), "c": normal(HIDDEN, CLASSES), "cb": np.zeros(CLASSES, np.float32),
-            "w": normal(GROUPS, GROUP, HIDDEN), "wb": np.zeros((GROUPS, GROUP), np.float32)}
+    groups, n = layout.side - 1, layout.classes
+    return {"x": normal(layout.symbols, 3 * HIDDEN), "u": normal(HIDDEN, 3 * HIDDEN), "c": normal(HIDDEN, n), "cb": np.zeros(n, np.float32),
+            "w": normal(groups, layout.side, HIDDEN), "wb": np.zeros((groups, layout.side), np.float32)}
 
 
 def step(p: dict, symbol: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
@@ -117,7 +154,8 @@ def _bound(w: np.ndarray, b: np.ndarray, axis: int) -> float:
 
 def outputs(p: dict, h: np.ndarray, target: np.ndarray, grad: dict | None = None):
     """Natural log probability of each target symbol (a shape class is one symbol here); with ``grad``, also the gradient by ``h``."""
-    rows, kind = np.arange(len(h)), class_of(target)
+    lay = layout_of(p)
+    rows, kind, side = np.arange(len(h)), lay.class_of(target), lay.side
     logits = h @ p["c"]
     logits += p["cb"]
     if grad is None:
@@ -128,13 +166,13 @@ def outputs(p: dict, h: np.ndarray, target: np.ndarray, grad: dict | None = None
         d[rows, kind] -= 1
         grad["c"], grad["cb"], back = h.T @ d, d.sum(axis=0), d @ p["c"].T
         grad["w"], grad["wb"] = np.zeros_like(p["w"]), np.zeros_like(p["wb"])
-    inner = np.flatnonzero((target >= SINGLE) & (target < HEAD))
+    inner = np.flatnonzero((target >= side) & (target < lay.head))
     inner = inner[np.argsort(kind[inner], kind="stable")]
-    cuts = np.searchsorted(kind[inner], SINGLE + np.arange(GROUPS + 1))
-    for g in range(GROUPS):
+    cuts = np.searchsorted(kind[inner], side + np.arange(side))
+    for g in range(side - 1):
         at = inner[cuts[g]:cuts[g + 1]]
         if len(at):
-            logits, word = h[at] @ p["w"][g].T + p["wb"][g], (target[at] - SINGLE) % GROUP
+            logits, word = h[at] @ p["w"][g].T + p["wb"][g], target[at] % side
             if grad is None:
                 said[at] += _chosen(logits, word, _bound(p["w"][g], p["wb"][g], 1))
             else:
@@ -146,108 +184,92 @@ def outputs(p: dict, h: np.ndarray, target: np.ndarray, grad: dict | None = None
     return (said, back) if grad is not None else said
 
 
-class Lanes:
-    """Documents side by side: each lane runs through whole documents, one after the other, the state starting anew at each."""
-
-    def __init__(self, symbols: np.ndarray, sizes: np.ndarray, lanes: int):
-        order = np.argsort(-sizes, kind="stable")
-        ends = np.zeros(min(lanes, max(1, len(sizes))), np.int64)
-        lane, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-        heap = [(0, k) for k in range(len(ends))]
-        for d in order:
-            used, k = heapq.heappop(heap)
-            lane[d], offset[d] = k, used
-            ends[k] = used + sizes[d]
-            heapq.heappush(heap, (int(ends[k]), k))
-        rank = np.empty(len(ends), np.int64)
-        rank[np.argsort(-ends, kind="stable")] = np.arange(len(ends))  # longest lanes first, so that those still running are a prefix
-        lane, ends = rank[lane], np.sort(ends)[::-1]
-        self.steps = int(ends[0]) if len(ends) else 0
-        self.running = np.searchsorted(-ends, -np.arange(self.steps), "left")
-        first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        within = np.arange(len(symbols)) - first[doc]
-        self.row, self.lane = offset[doc] + within, lane[doc]
-        self.target = np.full((self.steps, len(ends)), END, np.int32)
-        self.target[self.row, self.lane] = symbols
-        self.input = np.full((self.steps, len(ends)), END, np.int32)
-        later = within > 0
-        self.input[self.row[later], self.lane[later]] = symbols[np.flatnonzero(later) - 1]
-        self.fresh = np.zeros((self.steps, len(ends)), bool)
-        self.fresh[self.row[~later], self.lane[~later]] = True
-
-
-def log_probabilities(p: dict, symbols: np.ndarray, sizes: np.ndarray, lanes: int = LANES, window: int = 64) -> np.ndarray:
-    """Natural log probability of each symbol of whole documents given all before it."""
-    side = Lanes(symbols, sizes, lanes)
-    out = np.zeros(side.target.shape, np.float32)
-    h = np.zeros((side.target.shape[1], HIDDEN), np.float32)
-    for a in range(0, side.steps, window):
-        b, states, targets = min(a + window, side.steps), [], []
-        for t in range(a, b):
-            m = side.running[t]
-            now = h[:m]
-            if side.fresh[t].any():
-                now[side.fresh[t, :m]] = 0
-            new, _ = step(p, side.input[t, :m], now)
-            h[:m] = new
-            states.append(new)
-            targets.append(side.target[t, :m])
-        said = outputs(p, np.concatenate(states), np.concatenate(targets))
-        at = 0
-        for t in range(a, b):
-            m = side.running[t]
-            out[t, :m] = said[at:at + m]
-            at += m
-    return out[side.row, side.lane]
-
-
-class Trainer:
-    """Truncated backpropagation over whole documents in lanes; ``p`` and the optimiser's ``memory`` change in place.
+class Walk:
+    """Documents side by side: a lane takes the next document when its own has ended, and its state begins anew there.
 
-    A lane takes the next document when its own has ended, and carries its state from window to window, also from one call of
-    ``learn`` to the next.  A step counts by its words, so the few lanes that are left at the end weigh no more than others.
+    Memory is that of the documents and of one window of all lanes, however long a document is.
     """
 
-    def __init__(self, p: dict, memory: dict, lanes: int = 128):
-        self.p, self.memory, self.lanes, self.words = p, memory, lanes, 0
+    def __init__(self, lanes: int, end: int):
+        self.lanes, self.end = lanes, end
         self.h = np.zeros((lanes, HIDDEN), np.float32)
         self.waiting: deque = deque()
-        self.doc, self.at = [np.zeros(1, np.int32)] * lanes, [0] * lanes
+        self.doc, self.at, self.place = [np.zeros(1, np.int32)] * lanes, [0] * lanes, [0] * lanes
 
-    def add(self, symbols: np.ndarray) -> None:
-        """One document, with its end; the input of its first word is an end, too."""
-        self.waiting.append(np.append(END, symbols).astype(np.int32))
+    def add(self, symbols: np.ndarray, place: int = 0) -> None:
+        """One document; the input of its first word is an end.  ``place`` is where its first word stands among all."""
+        self.waiting.append((np.append(self.end, symbols).astype(np.int32), place))
 
-    def learn(self, rate, finish: bool = False) -> None:
-        """Steps at ``rate(words before)`` while documents wait; with ``finish``, until all have ended."""
-        while self.waiting or (finish and any(at + 1 < len(doc) for doc, at in zip(self.doc, self.at))):
-            self._window(rate(self.words))
+    def running(self) -> bool:
+        return any(at + 1 < len(doc) for doc, at in zip(self.doc, self.at))
 
-    def _dealt(self):
-        """For the lanes with words, (lane, step): input, target, whether there is a word, whether a document starts."""
-        fed, target = np.full((self.lanes, WINDOW), END, np.int32), np.full((self.lanes, WINDOW), END, np.int32)
-        alive, fresh = np.zeros((self.lanes, WINDOW), bool), np.zeros((self.lanes, WINDOW), bool)
+    def dealt(self, width: int, places: bool = False):
+        """For the lanes with words, (step, lane): input, target, whether there is a word, whether a document starts, where the word stands."""
+        fed, target = np.full((self.lanes, width), self.end, np.int32), np.full((self.lanes, width), self.end, np.int32)
+        alive, fresh = np.zeros((self.lanes, width), bool), np.zeros((self.lanes, width), bool)
+        where = np.zeros((self.lanes, width), np.int64) if places else None
         for k in range(self.lanes):
             done = 0
-            while done < WINDOW:
+            while done < width:
                 if self.at[k] + 1 == len(self.doc[k]):
                     if not self.waiting:
                         break
-                    self.doc[k], self.at[k] = self.waiting.popleft(), 0
+                    (self.doc[k], self.place[k]), self.at[k] = self.waiting.popleft(), 0
                     fresh[k, done] = True
                 doc, at = self.doc[k], self.at[k]
-                n = min(WINDOW - done, len(doc) - 1 - at)
+                n = min(width - done, len(doc) - 1 - at)
                 fed[k, done:done + n], target[k, done:done + n], alive[k, done:done + n] = doc[at:at + n], doc[at + 1:at + 1 + n], True
+                if places:
+                    where[k, done:done + n] = np.arange(self.place[k] + at, self.place[k] + at + n)
                 self.at[k], done = at + n, done + n
         used = np.flatnonzero(alive[:, 0])
-        return used, fed[used], target[used], alive[used], fresh[used]
+        steps = int(alive.sum(axis=1).max())
+        return used, *(np.ascontiguousarray(x[used, :steps].T) for x in (fed, target, alive, fresh, *([where] if places else [])))
+
+
+def log_probabilities(p: dict, symbols: np.ndarray, sizes: np.ndarray, lanes: int = LANES, window: int = 32) -> np.ndarray:
+    """Natural log probability of each symbol of whole documents given all before it."""
+    walk, first = Walk(min(lanes, max(1, len(sizes))), layout_of(p).end), np.cumsum(sizes) - sizes
+    for d in np.argsort(-sizes, kind="stable"):  # long ones first, so that lanes end together
+        if sizes[d]:
+            walk.add(symbols[first[d]:first[d] + sizes[d]], int(first[d]))
+    out = np.empty(len(symbols), np.float32)
+    while walk.waiting or walk.running():
+        used, fed, target, alive, fresh, where = walk.dealt(window, places=True)
+        h, starts = walk.h[used], fresh.any(axis=1)
+        states = np.empty((*fed.shape, HIDDEN), np.float32)
+        for t in range(len(fed)):
+            if starts[t]:
+                h[fresh[t]] = 0
+            h, _ = step(p, fed[t], h)
+            states[t] = h
+        walk.h[used] = h
+        if alive.all():
+            out[where.ravel()] = outputs(p, states.reshape(-1, HIDDEN), target.ravel())
+        else:
+            out[where[alive]] = outputs(p, states[alive], target[alive])
+    return out
+
+
+class Trainer(Walk):
+    """Truncated backpropagation over whole documents in lanes; ``p`` and the optimiser's ``memory`` change in place.
+
+    Lanes carry their state from window to window, also from one call of ``learn`` to the next.  A step counts by its words, so the
+    few lanes that are left at the end weigh no more than others.
+    """
+
+    def __init__(self, p: dict, memory: dict, lanes: int = LANES):
+        super().__init__(lanes, layout_of(p).end)
+        self.p, self.memory, self.words = p, memory, 0
+
+    def learn(self, rate, finish: bool = False) -> None:
+        """Steps at ``rate(words before)`` while documents wait; with ``finish``, until all have ended."""
+        while self.waiting or (finish and self.running()):
+            self._window(rate(self.words))
 
     def _window(self, rate: float) -> None:
-        p, (used, fed, target, alive, fresh) = self.p, self._dealt()
-        m, steps = len(used), int(alive.sum(axis=1).max())
-        h = self.h[used]
-        fed, target, alive, fresh = (np.ascontiguousarray(x.T[:steps]) for x in (fed, target, alive, fresh))
+        p, (used, fed, target, alive, fresh) = self.p, self.dealt(WINDOW)
+        m, steps, h = len(used), len(fed), self.h[used]
         starts, saved, states = fresh.any(axis=1), [], np.empty((steps, m, HIDDEN), np.float32)
         for t in range(steps):
             if starts[t]:
@@ -263,22 +285,24 @@ class Trainer:
         else:
             back = np.zeros((len(flat), HIDDEN), np.float32)
             _, back[flat] = outputs(p, states[flat], target.ravel()[flat], grad)
+        before, z, r, n, an = (np.stack(x) for x in zip(*saved))
+        # what the gradient of a state is multiplied by, for all steps at once
+        at_update, at_new, at_reset = z * (1 - z) * (before - n), (1 - z) * (1 - n * n), an * r * (1 - r)
+        back, turned = back.reshape(steps, m, HIDDEN), np.ascontiguousarray(p["u"].T)
         dx, da_all, dh = np.empty((steps, m, 3 * HIDDEN), np.float32), np.empty((steps, m, 3 * HIDDEN), np.float32), np.zeros((m, HIDDEN), np.float32)
         for t in range(steps - 1, -1, -1):
-            before, z, r, n, an = saved[t]
-            dh = dh + back[t * m:(t + 1) * m]
-            keep = dh * z
-            dn = (dh - keep) * (1 - n * n)
-            dx[t, :, :HIDDEN] = keep * (1 - z) * (before - n)
-            dx[t, :, HIDDEN:2 * HIDDEN] = dn * an * r * (1 - r)
+            dh += back[t]
+            da, dn = da_all[t], dh * at_new[t]
+            np.multiply(dh, at_update[t], out=da[:, :HIDDEN])
+            np.multiply(dn, at_reset[t], out=da[:, HIDDEN:2 * HIDDEN])
+            np.multiply(dn, r[t], out=da[:, 2 * HIDDEN:])
             dx[t, :, 2 * HIDDEN:] = dn
-            da = da_all[t]
-            da[:] = dx[t]
-            da[:, 2 * HIDDEN:] *= r
-            dh = keep + da @ p["u"].T
+            dh *= z[t]
+            dh += da @ turned
             if starts[t]:
                 dh[fresh[t]] = 0
-        grad["u"] = np.concatenate([kept[0] for kept in saved]).T @ da_all.reshape(-1, 3 * HIDDEN)
+        dx[:, :, :2 * HIDDEN] = da_all[:, :, :2 * HIDDEN]
+        grad["u"] = before.reshape(-1, HIDDEN).T @ da_all.reshape(-1, 3 * HIDDEN)
         order = np.argsort(fed.ravel(), kind="stable")
         ordered = fed.ravel()[order]
         first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
@@ -294,7 +318,7 @@ class Trainer:
         self.words += words
 
 
-def train(p: dict, symbols: np.ndarray, sizes: np.ndarray, memory: dict, rate: float, lanes: int = 128) -> None:
+def train(p: dict, symbols: np.ndarray, sizes: np.ndarray, memory: dict, rate: float, lanes: int = LANES) -> None:
     """One pass over documents, each with its own end as last symbol."""
     trainer = Trainer(p, memory, min(lanes, max(1, len(sizes))))
     for part in np.split(symbols, np.cumsum(sizes)[:-1]):
@@ -306,32 +330,52 @@ def _packed(p: dict) -> bytes:
     return b"".join(p[k].astype(np.float32).tobytes() for k in sorted(p))
 
 
-def _unpacked(blob: bytes) -> dict:
-    p, at, values = start(), 0, np.frombuffer(blob, np.float32)
+def _unpacked(blob: bytes, layout: Layout) -> dict:
+    p, at, values = start(layout), 0, np.frombuffer(blob, np.float32)
     for k in sorted(p):
         p[k] = values[at:at + p[k].size].reshape(p[k].shape).copy()
         at += p[k].size
     return p
 
 
-def vocabulary(docs: DataFrame, text: str, most_kept: int = 4096) -> Vocabulary:
-    """The HEAD most frequent words of the documents, from the most frequent of each task."""
+def vocabulary(docs: DataFrame, text: str, flush: int = 1 << 21) -> Vocabulary:
+    """The most frequent words of the documents by exact counts; how many grows with the number of words.
+
+    A task adds up its words and sends each different one once, or once for every ``flush`` different ones.
+    """
     def run(batches):
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged(parts):
+            keys = np.concatenate([k for k, _ in parts])
+            order = np.argsort(keys)
+            keys, counts = keys[order], np.concatenate([n for _, n in parts])[order]
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+            return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+        def sent(keys, counts):
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["key", "n"])
+
         for batch in batches:
-            for _, _, found, _, _ in _tokens(batch.column(0)):
-                new, n = tally.unique(found)
-                merged, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
-                total = np.bincount(at, weights=np.concatenate([counts, n]), minlength=len(merged)).astype(np.int64)
-                top = np.argsort(-total, kind="stable")[:most_kept]
-                keys, counts = merged[top], total[top]
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["key", "n"])
+            for _, rows, found, _, _ in _tokens(batch.column(0)):
+                keys, counts = tally.unique(found)
+                held.append((np.append(keys, END_KEY), np.append(counts, rows).astype(np.int64)))
+                while len(held) > 1 and len(held[-2][0]) < 2 * len(held[-1][0]):  # parts of like size, so each count is merged few times
+                    held[-2:] = [merged(held[-2:])]
+                if len(held[0][0]) > flush:
+                    yield sent(*held.pop(0))
+        if held:
+            yield sent(*merged(held))
 
     rows = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).mapInArrow(run, "key long, n long")
-    rows = rows.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(HEAD).collect()
-    keys = np.array([r["key"] for r in rows], np.int64).view(np.uint64)
-    counts, order = np.array([r["n"] for r in rows], np.int64), np.argsort(keys)
-    return Vocabulary(keys[order], order.astype(np.int64), counts[order])
+    totals = rows.groupBy("key").agg(F.sum("n").alias("n"))
+    from lumbre.session import cut_lineage
+    totals = cut_lineage(totals, "words")
+    layout = layout_for(totals.agg(F.sum("n")).first()[0] or 0)
+    top = totals.where(F.col("key") != int(END_KEY.astype(np.int64))).orderBy(F.desc("n"), "key").limit(layout.head).toPandas()
+    keys, counts = top["key"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    order = np.argsort(keys)
+    return Vocabulary(keys[order], order.astype(np.int64), counts[order], layout)
 
 
 def fit(docs: DataFrame, key: str, text: str, rounds: int = 2) -> tuple[Vocabulary, dict]:
@@ -341,14 +385,15 @@ def fit(docs: DataFrame, key: str, text: str, rounds: int = 2) -> tuple[Vocabula
     """
     spark = docs.sparkSession
     rows = docs.select(F.xxhash64(key, text).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    known, p = vocabulary(rows, "t"), start()
+    known = vocabulary(rows, "t")
+    p = start(known.layout)
     for n in range(rounds):
         shared = spark.sparkContext.broadcast((known, _packed(p)))
 
         def run(batches, n=n, shared=shared):
             from pyspark import TaskContext
             words, blob = shared.value
-            own = _unpacked(blob)
+            own = _unpacked(blob, words.layout)
             trainer = Trainer(own, {})
             rate = lambda seen: 0.02 / (1 + n) / (1 + seen / 2e6)
             for batch in batches:
@@ -356,18 +401,19 @@ def fit(docs: DataFrame, key: str, text: str, rounds: int = 2) -> tuple[Vocabula
                     symbols = words.symbol(keys, shapes)
                     edges = np.searchsorted(doc, np.arange(count + 1))
                     for r in np.argsort(edges[:-1] - edges[1:], kind="stable"):  # long ones first, so that lanes end together
-                        trainer.add(np.append(symbols[edges[r]:edges[r + 1]], END))
+                        trainer.add(np.append(symbols[edges[r]:edges[r + 1]], words.layout.end))
                     trainer.learn(rate)
             trainer.learn(rate, finish=True)
+            scan.release()
             if trainer.words:
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(trainer.words)]), pa.array([_packed(own)], pa.binary())], names=["id", "weight", "p"])
 
         parts = rows.where(F.pmod("k", F.lit(rounds)) == n).select("t").mapInArrow(run, "id long, weight double, p binary")
-        p = _averaged(parts) or p
+        p = _averaged(parts, known.layout) or p
     return known, p
 
 
-def _averaged(parts: DataFrame, fan_in: int = 16) -> dict | None:
+def _averaged(parts: DataFrame, layout: Layout, fan_in: int = 16) -> dict | None:
     """Weighted mean of parameters, in a tree so that no task or driver holds many."""
     from lumbre.session import cut_lineage
     schema = pa.schema([("id", pa.int64()), ("weight", pa.float64()), ("p", pa.binary())])
@@ -381,7 +427,7 @@ def _averaged(parts: DataFrame, fan_in: int = 16) -> dict | None:
     while parts.select("id").limit(2).count() > 1:
         parts = cut_lineage(parts.groupBy(F.floor(F.col("id") / fan_in)).applyInArrow(mean, "id long, weight double, p binary"), "parameters")
     row = parts.first()
-    return _unpacked(bytes(row["p"])) if row else None
+    return _unpacked(bytes(row["p"]), layout) if row else None
 
 
 def score(docs: DataFrame, train_on, key: str = "doc_id", text: str = "text", rows_per_bucket: int = ROWS_PER_BUCKET, **options) -> DataFrame:
@@ -391,6 +437,7 @@ def score(docs: DataFrame, train_on, key: str = "doc_id", text: str = "text", ro
     lower-cased (A-Z); tokens are runs of characters other than space and tab to carriage return, then one end.  ``base_score`` is the sum of
     log10((c + 1) / (N + V + 1)) with c the token's training count, N all and V the distinct training tokens; ``score`` is the log10
     probability of the text under the recurrent model.  A null or empty text is the end alone; equal texts have equal base scores.
+    Tasks learn from the rows they read and are averaged, so the same rows dealt out otherwise give other (not better or worse) scores.
     """
     d = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.coalesce(train_on, F.lit(False)).alias("train"))
     known, p = fit(d.where("train"), "key", "text", **options)
@@ -421,21 +468,21 @@ def score(docs: DataFrame, train_on, key: str = "doc_id", text: str = "text", ro
         if not left.num_rows:
             return arrow.empty_table()
         words, blob = shared.value
-        net = _unpacked(blob)
+        net, lay = _unpacked(blob, words.layout), words.layout
         totals, _ = tally.received(right)
         unique, _ = counted(left)
         seen = {s["shape"]: (s["n"], s["v"]) for s in right.column("stats")[0].as_py()}
         all_n, all_v = sum(n for n, _ in seen.values()), sum(v for _, v in seen.values())
         head = words.keys & np.uint64(31)
         # what a shape class holds beside the frequent words: counts, different words and one for the unseen
-        mass = np.array([max(1.0, seen.get(s, (0, 0))[0] - words.counts[head == s].sum() + seen.get(s, (0, 0))[1] - (head == s).sum() + 1) for s in range(SHAPES)])
+        mass = np.array([max(1.0, seen.get(s, (0, 0))[0] - int(words.counts[head == s].sum()) + seen.get(s, (0, 0))[1] - int((head == s).sum()) + 1) for s in range(SHAPES)])
         end, all_sizes, all_c, all_symbols = int(totals[np.searchsorted(unique, END_KEY)]), [], [], []
         for _, rows, keys, shapes, doc in _tokens(left.column("text")):
             # each text's words, then its end
             sizes = np.bincount(doc, minlength=rows) + 1
             inside = np.ones(sizes.sum(), bool)
             inside[np.cumsum(sizes) - 1] = False
-            c, symbols = np.full(len(inside), end, np.int64), np.full(len(inside), END, np.int32)
+            c, symbols = np.full(len(inside), end, np.int64), np.full(len(inside), lay.end, np.int32)
             c[inside] = totals[np.searchsorted(unique, keys)]
             symbols[inside] = words.symbol(keys, shapes)
             all_sizes.append(sizes)
@@ -444,8 +491,8 @@ def score(docs: DataFrame, train_on, key: str = "doc_id", text: str = "text", ro
         # all documents of the bucket side by side, so that a long one does not run alone
         sizes, c, symbols = np.concatenate(all_sizes), np.concatenate(all_c), np.concatenate(all_symbols)
         logs = log_probabilities(net, symbols, sizes) / np.log(10)
-        rare = (symbols >= HEAD) & (symbols < END)
-        logs[rare] += np.log10((c[rare] + 1) / mass[symbols[rare] - HEAD])
+        rare = (symbols >= lay.head) & (symbols < lay.end)
+        logs[rare] += np.log10((c[rare] + 1) / mass[symbols[rare] - lay.head])
         owner = np.repeat(np.arange(len(sizes)), sizes)
         sums = lambda weights: np.bincount(owner, weights=weights, minlength=len(sizes))
         held = [not t for t in left.column("train").to_pylist()]

@@ -213,7 +213,7 @@ def _doubling(order, grown, length: int, ranges: int, arrow: pa.Schema):
         at = kinds.index("state")
         keys, _ = tally.unique(grown(left, np.frombuffer(right.column("keys")[at].as_py(), np.uint64), length)[0])
         parts = sorted((r, c) for k, r, c in zip(kinds, right.column("range").to_pylist(), right.column("counts").to_pylist()) if k == "total")
-        totals = np.concatenate([np.frombuffer(c, "<u4") for _, c in parts]) if parts else np.zeros(0, "<u4")
+        totals = np.concatenate([tally.read_numbers(c) for _, c in parts]) if parts else np.zeros(0, np.uint64)
         keys = keys[totals > 1]
         _, has = grown(left, keys, 2 * length)
         longest = np.where(has, 2 * length, np.frombuffer(right.column("counts")[at].as_py(), "<u8"))

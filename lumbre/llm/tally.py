@@ -32,12 +32,23 @@ def noted(bucket: int, keys: np.ndarray, counts: np.ndarray, ranges: int, passen
     place = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
     used = np.unique(place)
     cuts = np.append(np.searchsorted(place, used), len(keys))
-    rows = [(bucket, int(r), keys[a:b].tobytes(), counts[a:b].astype("<u4").tobytes()) for r, a, b in zip(used, cuts[:-1], cuts[1:])]
+    rows = [(bucket, int(r), keys[a:b].tobytes(), numbers(counts[a:b])) for r, a, b in zip(used, cuts[:-1], cuts[1:])]
     if passenger is not None:
         rows.append((bucket, -1 - bucket, b"", passenger))
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, _SCHEMA.types)], schema=_SCHEMA)
 
 
+def numbers(values: np.ndarray) -> bytes:
+    """Whole numbers of up to 64 bits in as few bytes each as the largest needs, which the first byte says."""
+    most = int(values.max()) if len(values) else 0
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+
+
+def read_numbers(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.uint64) if data else np.zeros(0, np.uint64)
+
+
 def unique(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys = np.sort(keys)
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
@@ -59,7 +70,7 @@ def send_on(docs: DataFrame, notes: DataFrame, keys: Callable[[pa.Table, np.ndar
         if not left.num_rows:
             return _SCHEMA.empty_table()
         totals, _ = received(right)
-        return noted(bucket_of(left), *keys(left, totals), ranges, totals.astype("<u4").tobytes())
+        return noted(bucket_of(left), *keys(left, totals), ranges, numbers(totals))
     return docs.groupBy("bucket").cogroup(notes.groupBy("bucket")).applyInArrow(run, NOTES)
 
 
@@ -73,7 +84,7 @@ def add_up(sent: DataFrame, shapes: int = 0) -> DataFrame:
         if table.column("range")[0].as_py() < 0:
             return table
         blobs = [np.frombuffer(b, np.uint64) for b in table.column("keys").to_pylist()]
-        counts = np.concatenate([np.frombuffer(b, "<u4") for b in table.column("counts").to_pylist()]).astype(np.uint64)
+        counts = np.concatenate([read_numbers(b) for b in table.column("counts").to_pylist()])
         keys, sizes = np.concatenate(blobs), [len(b) for b in blobs]
         order = np.argsort(keys, kind="stable")
         ordered = keys[order]
@@ -81,14 +92,13 @@ def add_up(sent: DataFrame, shapes: int = 0) -> DataFrame:
         sums = np.add.reduceat(counts[order], first) if len(keys) else counts
         total = np.empty(len(keys), np.uint64)
         total[order] = np.repeat(sums, np.diff(np.append(first, len(keys))))
-        total = np.minimum(total, np.uint64(0xFFFFFFFF)).astype("<u4")
         ends = np.cumsum(sizes)
         told = [b""] * len(sizes)
         if shapes:
             shape, counted = (ordered[first] % np.uint64(shapes)).astype(np.int64), sums > 0
             told[0] = np.stack([np.bincount(shape, weights=w, minlength=shapes) for w in (sums, counted)], axis=1).astype(">i8").tobytes()
         return pa.table([table.column("bucket"), table.column("range"), pa.array(told, pa.binary()),
-                         pa.array([total[e - s:e].tobytes() for s, e in zip(sizes, ends)], pa.binary())], schema=_SCHEMA)
+                         pa.array([numbers(total[e - s:e]) for s, e in zip(sizes, ends)], pa.binary())], schema=_SCHEMA)
     return sent.groupBy("range").applyInArrow(run, NOTES)
 
 
@@ -101,9 +111,9 @@ def statistics(keys):
 def received(notes: pa.Table) -> tuple[np.ndarray, np.ndarray | None]:
     """Totals in the order of the keys sent, and the passenger."""
     parts = sorted(zip(notes.column("range").to_pylist(), notes.column("counts").to_pylist()))
-    totals = [np.frombuffer(b, "<u4") for r, b in parts if r >= 0]
-    before = [np.frombuffer(b, "<u4") for r, b in parts if r < 0]
-    return np.concatenate(totals) if totals else np.zeros(0, "<u4"), before[0] if before else None
+    totals = [read_numbers(b) for r, b in parts if r >= 0]
+    before = [read_numbers(b) for r, b in parts if r < 0]
+    return np.concatenate(totals) if totals else np.zeros(0, np.uint64), before[0] if before else None
 
 
 def deliver(docs: DataFrame, notes: DataFrame, fn: Callable[[pa.Table, np.ndarray, np.ndarray | None], Iterable], schema: str) -> DataFrame:
