@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import re
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def fingerprint(*columns: Column, sep: str = "|") -> Column:
@@ -23,6 +25,20 @@ def masked(c: Column) -> Column:
     return F.sha2(c.cast("string"), 256)
 
 
+def row_uuid(*columns: Column) -> Column:
+    """A UUID that the columns alone decide (version 5 form over SHA-256), so a row keeps it in every run."""
+    h = F.substring(fingerprint(*columns), 1, 32)
+    variant = F.substring(F.lit("89ab"), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1), F.lit(1))
+    cut = lambda a, n: F.substring(h, a, n)
+    return F.concat(cut(1, 8), F.lit("-"), cut(9, 4), F.lit("-5"), cut(14, 3), F.lit("-"), variant, cut(18, 3), F.lit("-"), cut(21, 12))
+
+
+def prune(df: DataFrame, keep: list[str], drop: list[str] = ()) -> DataFrame:
+    """Only columns whose name holds one of the regular expressions ``keep`` and none of ``drop``."""
+    fits = lambda n, rules: any(re.search(r, n) for r in rules)
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if fits(c, keep) and not fits(c, drop)])
+
+
 def in_share(share: float, *columns: Column) -> Column:
     """Whether a row is in a share of all rows that its key alone decides, so that it is the same in every run and plan."""
     digest = F.md5(F.concat_ws("|", *[c.cast("string") for c in columns]))

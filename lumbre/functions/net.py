@@ -6,6 +6,8 @@ import ipaddress
 
 from pyspark.sql import Column, functions as F
 
+from lumbre.functions.nested import let
+
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IPV4 = rf"(?:{_OCTET}\.){{3}}{_OCTET}"
 _H = r"[0-9A-Fa-f]{1,4}"
@@ -14,24 +16,49 @@ IPV6 = (rf"(?:(?:{_H}:){{7}}{_H}|(?:{_H}:){{1,7}}:|(?:{_H}:){{1,6}}:{_H}|(?:{_H}
         rf"|{_H}:(?::{_H}){{1,6}}|:(?:(?::{_H}){{1,7}}|:))")
 
 
+_V4_TAIL = rf"(?:::(?:(?:{_H}:){{0,5}})|(?:{_H}:){{6}}|(?:{_H}:){{1,5}}:)"
+IPV6_WITH_V4 = rf"{_V4_TAIL}{IPV4}"
+#: the first twelve bytes of an IPv4 address among the 128-bit ones
+MAPPED = "00000000000000000000ffff"
+
+
 def is_ip(c: Column) -> Column:
-    return F.coalesce(F.trim(c).rlike(rf"^(?:{IPV4}|{IPV6})$"), F.lit(False))
+    return F.coalesce(F.trim(c).rlike(rf"^(?:{IPV4}|{IPV6}|{IPV6_WITH_V4})$"), F.lit(False))
+
+
+def address_key(c: Column) -> Column:
+    """The address as 16 bytes that sort as addresses do, NULL if it is none; IPv4 and its mapped spellings are the same key."""
+    def packed(text: Column) -> Column:
+        # four octets as eight digits; an address of eight groups as 32
+        octets = lambda v4: F.array_join(F.transform(F.split(v4, r"\."), lambda o: F.lpad(F.hex(o.cast("bigint")), 2, "0")), "")
+        tail = F.substring_index(text, ":", -1)
+        unfolded = F.when(tail.contains("."), let(octets(tail), lambda d: F.concat(F.substring(text, F.lit(1), F.length(text) - F.length(tail)), F.substring(d, 1, 4), F.lit(":"), F.substring(d, 5, 4)))).otherwise(text)
+        groups = lambda part: F.filter(F.split(part, ":"), lambda g: g != "")
 
+        def filled(halves: Column) -> Column:
+            left, right = halves[0], halves[1]
+            zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(0), F.lit(8) - F.size(left) - F.size(right)))
+            return F.array_join(F.transform(F.concat(left, F.when(F.size(halves) > 1, zeros).otherwise(F.array().cast("array<string>")), right), lambda g: F.lpad(g, 4, "0")), "")
+        parts = let(F.split(unfolded, "::"), lambda h: F.array(groups(F.coalesce(F.get(h, F.lit(0)), F.lit(""))), groups(F.coalesce(F.get(h, F.lit(1)), F.lit("")))))
+        return F.when(text.contains(":"), let(parts, filled)).otherwise(F.concat(F.lit(MAPPED), octets(text)))
 
-def ipv4_number(c: Column) -> Column:
-    """The address as a 32-bit number in a bigint, NULL if it is not one."""
-    parts = F.split(F.when(c.rlike(rf"^{IPV4}$"), c), r"\.")
-    return sum((parts[i].cast("bigint") * F.lit(256 ** (3 - i)) for i in range(1, 4)),
-               parts[0].cast("bigint") * F.lit(256 ** 3))
+    text = F.lower(F.trim(c))
+    return let(F.when(is_ip(c), text), lambda t: let(packed(t), lambda h: F.when(F.length(h) == 32, F.unhex(h))))
 
 
 def in_network(c: Column, *networks: str) -> Column:
-    """The IPv4 address lies in any of the CIDR blocks."""
-    number = ipv4_number(c)
+    """The address lies in any of the CIDR blocks, IPv4 or IPv6; a mapped address counts as the IPv4 one that it holds."""
+    nets = [ipaddress.ip_network(text) for text in networks]
+    if all(n.version == 4 for n in nets):
+        number = F.coalesce(ipv4_number(c), ipv4_number(F.regexp_extract(F.lower(F.trim(c)), rf"^::ffff:({IPV4})$", 1)))
+        hits = [number.between(int(n.network_address), int(n.broadcast_address)) for n in nets]
+    else:
+        key = address_key(c)
+        bound = lambda a: F.lit(bytes.fromhex(MAPPED) + a.packed if a.version == 4 else a.packed)
+        hits = [key.between(bound(n.network_address), bound(n.broadcast_address)) for n in nets]
     hit = F.lit(False)
-    for text in networks:
-        net = ipaddress.ip_network(text)
-        hit = hit | number.between(int(net.network_address), int(net.broadcast_address))
+    for h in hits:
+        hit = hit | h
     return F.coalesce(hit, F.lit(False))
 
 

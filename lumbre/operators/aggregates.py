@@ -52,6 +52,37 @@ def date_histogram(df: DataFrame, ts: str, interval: str, aggs: dict[str, Column
         .agg(*[c.alias(n) for n, c in aggs.items()])
 
 
+#: widths that an automatic histogram may take, in seconds: 1 second to a year
+WIDTHS = (1, 5, 10, 30, 60, 300, 600, 1800, 3600, 10_800, 43_200, 86_400, 604_800, 2_592_000, 31_536_000)
+
+
+def auto_date_histogram(df: DataFrame, ts: str, aggs: dict[str, Column], most: int = 100, by: list[str] = (), bucket: str = "bucket") -> DataFrame:
+    """The same with the smallest of ``WIDTHS`` that gives ``most`` buckets at most over the rows' range (the largest, if none does).
+
+    The width is worked out inside the plan from one aggregate of the same rows.
+    """
+    rows = df.where(F.col(ts).isNotNull()).withColumn("_s", F.unix_seconds(F.col(ts).cast("timestamp")))
+    lo, hi = F.min("_s"), F.max("_s")
+    fits = lambda w: F.floor(hi / w) - F.floor(lo / w) < most
+    chosen = F.when(fits(WIDTHS[0]), F.lit(WIDTHS[0]))
+    for w in WIDTHS[1:-1]:
+        chosen = chosen.when(fits(w), F.lit(w))
+    width = rows.agg(chosen.otherwise(F.lit(WIDTHS[-1])).cast("bigint").alias("w")).scalar()
+    placed = rows.withColumn("_w", width).withColumn(bucket, F.timestamp_seconds(F.floor(F.col("_s") / F.col("_w")) * F.col("_w")))
+    return placed.groupBy(bucket, *by).agg(*[c.alias(n) for n, c in aggs.items()])
+
+
+def quantile_rollup(df: DataFrame, ts: str, interval: str, by: list[str], measure: str, k: int = 800) -> DataFrame:
+    """Rollup rows that keep a mergeable quantile sketch of the measure (rank error below 1 per cent at ``k`` = 800)."""
+    return date_histogram(df, ts, interval, {"events": F.count(F.lit(1)), "sketch": F.kll_sketch_agg_double(F.col(measure).cast("double"), k)}, by)
+
+
+def merged_quantiles(rollup: DataFrame, interval: str, by: list[str], percents: tuple[int, ...] = PANEL_PERCENTILES) -> DataFrame:
+    """A coarser rollup and its percentiles out of the stored sketches, without the rows."""
+    grouped = rollup.groupBy(time_bucket(F.col("bucket"), interval).alias("period"), *by).agg(F.sum("events").alias("events"), F.kll_merge_agg_double("sketch").alias("_s"))
+    return grouped.select("period", *by, "events", *[F.kll_sketch_get_quantile_double("_s", F.lit(p / 100.0)).alias(f"p{p}") for p in percents])
+
+
 def time_bucket(ts: Column, interval: str) -> Column:
     """``hour``, ``day``, ``month`` … or a width such as ``15 minutes``."""
     if " " in interval:

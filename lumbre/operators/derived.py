@@ -137,9 +137,31 @@ def funnel_reach(df: DataFrame, key: str, code: str) -> DataFrame:
     return df.select(key, code).distinct().groupBy(code).agg(F.count(F.lit(1)).alias("reached"))
 
 
-def slim_items(items: Column, keep: int = 4) -> Column:
-    """First items of an array of structs."""
-    return F.slice(items, 1, keep)
+def slim_items(items: Column, keep: int = 4, leaves: dict[str, str] | None = None) -> Column:
+    """First items of an array of structs, with the chosen leaves (new name → name) only."""
+    kept = F.slice(items, 1, keep)
+    return F.transform(kept, lambda x: F.struct(*[x[old].alias(new) for new, old in leaves.items()])) if leaves else kept
+
+
+def slim_document(df: DataFrame, leaves: dict[str, str], items: dict[str, tuple[str, dict[str, str]]], keep: int = 4) -> DataFrame:
+    """A document reduced to some leaves (new name → path) and the first items of its arrays (new name → path, leaves of an item).
+
+    A null array counts as empty.
+    """
+    arrays = [F.coalesce(slim_items(F.col(path), keep, inner), slim_items(F.slice(F.array(F.get(F.col(path), F.lit(0))), 2, 1), keep, inner)).alias(name) for name, (path, inner) in items.items()]
+    return df.select(*[F.col(path).alias(name) for name, path in leaves.items()], *arrays)
+
+
+def with_failure(df: DataFrame, column: str, ok: list | None = None, fails: list | None = None) -> DataFrame:
+    """``<column>_falla``: the value where it is a failure, else NULL.
+
+    A failure is a value of the list ``fails``, or any present value outside the list ``ok``; exactly one of them is given.
+    """
+    if (ok is None) == (fails is None):
+        raise ValueError("give either the values that are fine or those that are failures")
+    c = F.col(column)
+    bad = c.isin(*fails) if fails is not None else ~c.isin(*ok)
+    return df.withColumn(f"{column.rpartition('.')[2]}_falla", F.when(c.isNotNull() & bad, c))
 
 
 def query_log_summary(log: DataFrame, by: str, n: int = 15) -> DataFrame:

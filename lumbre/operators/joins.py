@@ -127,6 +127,25 @@ def geoip(df: DataFrame, ip: str, ranges: DataFrame, columns: list[str]) -> Data
     return df.withColumn("_n", number).join(found, "_n", "left").drop("_n")
 
 
+def address_places(df: DataFrame, ip: str, ranges: DataFrame, columns: list[str]) -> DataFrame:
+    """Address of either kind → place, from a table of disjoint ranges (``start`` and ``end`` as address texts).
+
+    Distinct addresses and range starts are scanned together as 16-byte keys, sliced by their first four bytes (IPv4 ones by the
+    first two of theirs); the result joins back by key.
+    """
+    key = net.address_key
+    place = F.struct(key(F.col("end")).alias("end"), *[F.col(c) for c in columns])
+    starts = ranges.select(key(F.col("start")).alias("n"), place.alias("place"), F.lit(0).alias("probe")).where(F.col("n").isNotNull())
+    wanted = df.select(key(F.col(ip)).alias("n")).where(F.col("n").isNotNull()).distinct() \
+        .select("n", F.lit(None).cast(starts.schema["place"].dataType).alias("place"), F.lit(1).alias("probe"))
+    both = starts.unionByName(wanted).withColumn("o", F.concat(F.col("n"), F.when(F.col("probe") == 1, F.unhex(F.lit("01"))).otherwise(F.unhex(F.lit("00")))))
+    part = F.when(F.substring("n", 1, 4) == F.unhex(F.lit("00000000")), F.substring("n", 1, 14)).otherwise(F.substring("n", 1, 4))
+    scanned = chunked_scan(both, [], "o", part, hit=("last", "place"))
+    found = scanned.where((F.col("probe") == 1) & (F.col("hit.end") >= F.col("n"))) \
+        .select(F.col("n").alias("_n"), *[F.col(f"hit.{c}").alias(c) for c in columns])
+    return df.withColumn("_n", key(F.col(ip))).join(found, "_n", "left").drop("_n")
+
+
 def share_found(judged: DataFrame, texts: DataFrame, text: str, id_column: str) -> DataFrame:
     """Judged rows with the id of their text, and one way to see how many have one."""
     ids = texts.groupBy(text).agg(F.min(id_column).alias(id_column))

@@ -10,6 +10,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lumbre.functions.text import contains_phrase
+from lumbre.operators import joins
 
 # Severity of each level (1 is the highest).
 SEVERITY = {"critical": 1, "high": 2, "medium": 3, "low": 4}
@@ -41,6 +42,47 @@ def matched_rules(rules: list[Rule]) -> Column:
     return F.array_compact(F.array(*[F.when(condition(r), F.lit(r.title)) for r in rules]))
 
 
+@dataclass(frozen=True)
+class Correlation:
+    """Events of one source followed by events of another within ``minutes``, both of one campaign."""
+    title: str
+    campaign: str
+    left: str
+    right: str
+    minutes: int
+
+
+def campaign_correlations(df: DataFrame, correlations: list[Correlation], campaign: str, source: str, ts: str) -> DataFrame:
+    """For each correlation that was found: its left events with a right one in the window, pairs, first and last left event.
+
+    Correlations of one window are found in one pass; a row goes in once for each side that it is on.
+    """
+    def side(these: list[Correlation], which: str) -> DataFrame:
+        titles = F.array_compact(F.array(*[F.when((F.col(campaign) == c.campaign) & (F.col(source) == getattr(c, which)), F.lit(c.title)) for c in these]))
+        return df.select(F.explode(titles).alias("correlation"), F.col(ts).alias("_at"))
+
+    def found(minutes: int) -> DataFrame:
+        these = [c for c in correlations if c.minutes == minutes]
+        near = joins.window_matches(side(these, "left"), side(these, "right"), "correlation", "_at", minutes * 60, before=False)
+        return near.groupBy("correlation").agg(F.sum("n_left").alias("findings"), F.sum(F.col("n_left") * F.col("n_right")).alias("matches"), F.min("_at").alias("first_at"), F.max("_at").alias("last_at"))
+    return reduce(DataFrame.unionByName, [found(m) for m in sorted({c.minutes for c in correlations})])
+
+
+# The tactics of an attack in the order of its course.
+TACTICS = ("Reconnaissance", "Resource Development", "Initial Access", "Execution", "Persistence", "Privilege Escalation", "Defense Evasion", "Credential Access", "Discovery",
+           "Lateral Movement", "Collection", "Command and Control", "Exfiltration", "Impact")
+
+
+def with_techniques(df: DataFrame, column: str, techniques: DataFrame) -> DataFrame:
+    """Rows with ``technique``, ``tactic`` and ``stage`` (place of the tactic in the course of an attack, from 1) out of a user's table.
+
+    ``techniques``: value, technique, tactic, one row a value.  Rows without an entry get NULLs.
+    """
+    stage = F.array_position(F.array(*[F.lit(t) for t in TACTICS]), F.col("tactic"))
+    table = techniques.select(F.col("value").alias(column), "technique", "tactic", F.when(stage > 0, stage.cast("int")).alias("stage"))
+    return joins.lookup(df, table, column, ["technique", "tactic", "stage"])
+
+
 def scan(df: DataFrame, rules: list[Rule]) -> DataFrame:
     """Rows that match something, with ``rules``."""
     hit = reduce(lambda a, b: a | b, [condition(r) for r in rules])

@@ -7,6 +7,7 @@ from lumbre.functions.dates import iso
 from lumbre.operators import aggregates as ag, series
 from lumbre.plans import keyvalue
 from lumbre.queries.registry import query
+from lumbre.session import scratch_path
 
 FMT = "'%Y-%m-%d %H:%M:%S'"
 
@@ -300,6 +301,30 @@ def throttled_events(t):
     return ag.throttle(t.events, ["user_id"], "ts", "day", 2, "event_id").select("event_id", "user_id")
 
 
+_FITS = " ".join(f"WHEN floor(hi / {w}) - floor(lo / {w}) < 60 THEN {w}" for w in ag.WIDTHS[:-1])
+
+
+@query("A9 A17", f"""WITH r AS (SELECT floor(min(epoch(ts))) AS lo, floor(max(epoch(ts))) AS hi FROM events), w AS (SELECT CASE {_FITS} ELSE {ag.WIDTHS[-1]} END AS w FROM r)
+SELECT strftime(make_timestamp(CAST(floor(floor(epoch(ts)) / w) * w * 1000000 AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS bucket, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events, w GROUP BY 1, 2""")
+def automatic_histogram(t):
+    out = ag.auto_date_histogram(t.events, "ts", {"n": F.count(F.lit(1)), "total": F.sum("value")}, 60, ["event_type"])
+    return out.select(iso(F.col("bucket")).alias("bucket"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+# percentiles of a day out of hourly sketches: their true rank, by all rows of the day, is within two per cent
+@query("A24 A23 A5 E14", """SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS events, true AS p50, true AS p95, true AS p99 FROM events WHERE value IS NOT NULL GROUP BY ALL""")
+def rollup_percentiles_daily(t):
+    path = scratch_path(t.spark, "sketches")
+    rows = t.events.where("value IS NOT NULL")
+    ag.quantile_rollup(rows, "ts", "hour", ["event_type"], "value").write.parquet(path)
+    days = ag.merged_quantiles(t.spark.read.parquet(path), "day", ["event_type"])
+    q = days.select(F.date_format("period", "yyyy-MM-dd").alias("day"), "event_type", "events", *[F.col(f"p{p}").alias(f"q{p}") for p in (50, 95, 99)])
+    told = rows.withColumn("day", F.date_format("ts", "yyyy-MM-dd")).join(q, ["day", "event_type"])
+    one = F.lit(1.0)
+    fits = lambda p: ((F.count_if(F.col("value") < F.col(f"q{p}")) - one) / F.count(F.lit(1)) <= p / 100 + 0.02) & ((F.count_if(F.col("value") <= F.col(f"q{p}")) + one) / F.count(F.lit(1)) >= p / 100 - 0.02)
+    return told.groupBy("day", "event_type", "events").agg(*[fits(p).alias(f"p{p}") for p in (50, 95, 99)])
+
+
 @query("E11", f"""SELECT l_orderkey, count(*) AS steps, strftime(min(l_shipdate), {FMT}) AS started, strftime(max(l_shipdate), {FMT}) AS ended,
 round(sum(l_extendedprice), 2) AS amount FROM lineitem GROUP BY 1""")
 def combined_order_lines(t):

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lumbre.functions import net
 from lumbre.functions.dates import iso
 from lumbre.operators import joins, scan
 from lumbre.queries.registry import query
@@ -132,6 +133,23 @@ def signup_to_purchase_elapsed(t):
     return out.select("user_id", micro("ts").alias("at"), F.round("elapsed_s", 3).alias("elapsed_s"))
 
 
+# a third of the addresses each IPv4, mapped and IPv6
+@query("E7 E16 N13", """WITH e AS (SELECT event_id % 3 AS kind, user_id * 65537 % 1600 AS k FROM events)
+SELECT CASE kind WHEN 0 THEN 'v4' WHEN 1 THEN 'mapped' ELSE 'v6' END AS kind, n_name, count(*) AS n, CAST(sum(CASE WHEN kind < 2 AND k < 256 OR kind = 2 AND k < 1024 THEN 1 ELSE 0 END) AS BIGINT) AS near
+FROM e LEFT JOIN nation ON k >= n_nationkey * 64 AND k < n_nationkey * 64 + 60 GROUP BY ALL""")
+def mixed_address_places(t):
+    k, kind = F.col("user_id") * 65537 % 1600, F.col("event_id") % 3
+    v4 = F.concat_ws(".", F.lit("10"), F.lit("0"), F.floor(k / 256).cast("string"), (k % 256).cast("string"))
+    ip = F.when(kind == 0, v4).when(kind == 1, F.concat(F.lit("::ffff:"), v4)).otherwise(F.concat(F.lit("2001:DB8::"), F.hex(k.cast("bigint"))))
+    as_v4 = lambda x: F.concat_ws(".", F.lit("10"), F.lit("0"), F.floor(x / 256).cast("string"), (x % 256).cast("string"))
+    as_v6 = lambda x: F.concat(F.lit("2001:db8:0:0::"), F.hex(x.cast("bigint")))
+    lo, hi = F.col("n_nationkey") * 64, F.col("n_nationkey") * 64 + 59
+    ranges = t.nation.select(as_v4(lo).alias("start"), as_v4(hi).alias("end"), "n_name").unionByName(t.nation.select(as_v6(lo).alias("start"), as_v6(hi).alias("end"), "n_name"))
+    rows = t.events.select(F.when(kind == 0, "v4").when(kind == 1, "mapped").otherwise("v6").alias("kind"), ip.alias("ip"))
+    near = net.in_network(F.col("ip"), "10.0.0.0/24", "2001:db8::/118")
+    return joins.address_places(rows, "ip", ranges, ["n_name"]).groupBy("kind", "n_name").agg(F.count(F.lit(1)).alias("n"), F.count_if(near).alias("near"))
+
+
 @query("E7", """SELECT n_name, count(*) AS n FROM (SELECT user_id * 65537 % 1600 AS k FROM events) JOIN nation ON k >= n_nationkey * 64 AND k < n_nationkey * 64 + 60 GROUP BY 1""")
 def geoip_places(t):
     k = F.col("user_id") * 65537 % 1600

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from lumbre.functions import dates, missing, nested, net, numbers
 from lumbre.functions.dates import iso
-from lumbre.functions.keys import composite_key, fingerprint, in_share, masked
+from lumbre.functions.keys import composite_key, fingerprint, in_share, masked, prune, row_uuid
 from lumbre.operators import derived
 from lumbre.plans import delimited, fix, formats, grok, keyvalue
 from lumbre.queries.registry import query
@@ -58,14 +58,16 @@ def csv_line_roundtrip(t):
                                                    F.col("price").try_cast("double").alias("o_totalprice"), F.col("priority").alias("o_orderpriority"))
 
 
-@query("P12", "SELECT ';' AS separator, 4 AS columns")
+@query("P12", """WITH l AS (SELECT regexp_replace(concat_ws(';', o_orderkey, o_orderstatus, o_totalprice, '"a;b,' || o_orderpriority || '"'), '"[^"]*"', '', 'g') AS v FROM orders),
+c AS (SELECT sep, place, len(v) - len(replace(v, sep, '')) + 1 AS columns, count(*) AS n FROM l, (VALUES (',', 0), (';', 1), ('|', 2), (chr(9), 3)) AS s(sep, place) GROUP BY ALL)
+SELECT sep AS separator, CAST(columns AS INTEGER) AS columns FROM c WHERE columns >= 2 AND n >= floor((SELECT count(*) FROM orders) * 0.9) ORDER BY columns DESC, place LIMIT 1""")
 def delimiter_choice(t):
     lines = t.spread("orders").select(F.concat_ws(";", text("o_orderkey"), F.col("o_orderstatus"), text("o_totalprice"),
                                         F.concat(F.lit('"a;b,'), F.col("o_orderpriority"), F.lit('"'))).alias("value"))
     return delimited.choose_separator(lines)
 
 
-@query("P13", "SELECT true AS is_header")
+@query("P13", """SELECT bool_and(TRY_CAST(CAST(o_orderkey AS VARCHAR) AS DOUBLE) IS NOT NULL) OR bool_and(TRY_CAST(o_orderstatus AS DOUBLE) IS NOT NULL) OR NOT bool_or(o_orderstatus = 'Status') AS is_header FROM orders""")
 def header_detection(t):
     lines = t.spread("orders").select(F.concat_ws(",", text("o_orderkey"), F.col("o_orderstatus"), text("o_totalprice")).alias("value"))
     return delimited.looks_like_header(lines, "Order key,Status,Total", ",")
@@ -413,10 +415,11 @@ def composite_keys(t):
     return t.events.select(composite_key(F.col("user_id"), F.col("event_id")).alias("operation_key"))
 
 
-@query("R11", """SELECT o_orderstatus_falla, count(*) AS n FROM (SELECT CASE WHEN o_orderstatus NOT IN ('O', 'F') THEN o_orderstatus ELSE 'none' END AS o_orderstatus_falla FROM orders) GROUP BY 1""")
+@query("R11", """SELECT CASE WHEN o_orderstatus NOT IN ('O', 'F') THEN o_orderstatus END AS o_orderstatus_falla,
+CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN o_orderpriority END AS o_orderpriority_falla, count(*) AS n FROM orders GROUP BY ALL""")
 def failure_column(t):
-    falla = F.when(~F.col("o_orderstatus").isin("O", "F"), F.col("o_orderstatus"))
-    return t.orders.select(F.coalesce(falla, F.lit("none")).alias("o_orderstatus_falla")).groupBy("o_orderstatus_falla").agg(F.count(F.lit(1)).alias("n"))
+    rows = derived.with_failure(derived.with_failure(t.orders, "o_orderstatus", ok=["O", "F"]), "o_orderpriority", fails=["1-URGENT", "2-HIGH"])
+    return rows.groupBy("o_orderstatus_falla", "o_orderpriority_falla").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("R12 T23", """SELECT CAST(count(*) FILTER (WHERE c_custkey % 5 NOT IN (0, 1)) AS BIGINT) AS located, count(*) AS n FROM customer""")
@@ -432,6 +435,24 @@ def slim_items(t):
     return t.documents.select("doc_id", derived.slim_items(items).alias("i")).select("doc_id", F.size("i").cast("bigint").alias("kept"), F.col("i")[0]["w"].alias("head"))
 
 
+@query("R16 N10", """WITH i AS (SELECT l_orderkey, l_partkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k, count(*) OVER (PARTITION BY l_orderkey) AS lines FROM lineitem)
+SELECT l_orderkey AS order_id, CAST(any_value(lines) AS BIGINT) AS n_lines, count(*) AS kept, CAST(sum(l_partkey) AS BIGINT) AS parts, sum(CAST(l_quantity AS DOUBLE)) AS quantity FROM i WHERE k <= 4 GROUP BY 1""")
+def slim_orders(t):
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    docs = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("lines"), F.max("l_shipdate").alias("shipped"))
+    docs = docs.select(F.struct(F.col("l_orderkey").alias("id"), F.struct(F.col("shipped").alias("at"), F.size("lines").cast("bigint").alias("n")).alias("sent")).alias("order"), "lines")
+    slim = derived.slim_document(docs, {"order_id": "order.id", "n_lines": "order.sent.n"}, {"products": ("lines", {"part": "l_partkey", "quantity": "l_quantity"})})
+    total = lambda leaf, kind: F.aggregate("products", F.lit(0).cast(kind), lambda s, x: s + x[leaf].cast(kind))
+    return slim.select("order_id", "n_lines", F.size("products").cast("bigint").alias("kept"), total("part", "bigint").alias("parts"), total("quantity", "double").alias("quantity"))
+
+
+@query("E18 R5", """SELECT event_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', 1 + ('0x' || substr(h, 17, 1))::INT % 4, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS row_uuid
+FROM (SELECT event_id, substr(sha256(event_id || '|' || event_type), 1, 32) AS h FROM events)""")
+def uuid_and_prune(t):
+    rows = t.events.withColumn("row_uuid", row_uuid(F.col("event_id"), F.col("event_type")))
+    return prune(rows, ["^event_", "uuid$"], ["_type$"])
+
+
 @query("R20", "SELECT sha256(c_mktsegment) AS c_mktsegment, count(*) AS n FROM customer GROUP BY 1")
 def masking_counts(t):
     return t.customer.groupBy(masked(F.col("c_mktsegment")).alias("c_mktsegment")).agg(F.count(F.lit(1)).alias("n"))
@@ -462,7 +483,8 @@ def cloned_and_banded(t):
     return t.events.select("event_id", F.explode(F.array(F.lit("original"), F.lit("copy"))).alias("clone"), band.alias("band"))
 
 
-@query("P22", "SELECT true AS is_csv")
+@query("P22", """SELECT count(*) FILTER (WHERE abs(len(v) - len(replace(v, ',', '')) - 3) <= 2) >= greatest(1, floor(count(*) / 2)) AS is_csv
+FROM (SELECT concat_ws(',', o_orderkey, o_orderstatus, o_totalprice, o_orderpriority) AS v FROM orders)""")
 def csv_heuristic(t):
     lines = t.orders.select(F.concat_ws(",", text("o_orderkey"), F.col("o_orderstatus"), text("o_totalprice"), F.col("o_orderpriority")).alias("value"))
     return formats.looks_like_csv(lines, "key,status,total,priority")

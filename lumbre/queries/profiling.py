@@ -146,25 +146,27 @@ def standard_paths(t):
     return out.select("column", "normalized", F.coalesce("standard_type", F.lit("")).alias("standard_type"), F.col("is_standard").cast("int").alias("is_standard"))
 
 
-@query("T23", "SELECT 'geo_lat' AS lat, 'geo_long' AS lon, '' AS pair")
+@query("T23", """SELECT CASE WHEN bool_and(c_custkey % 90 BETWEEN -90 AND 90) THEN 'geo_lat' ELSE '' END AS lat, CASE WHEN bool_and(c_custkey % 180 BETWEEN -180 AND 180) THEN 'geo_long' ELSE '' END AS lon,
+CASE WHEN bool_and(regexp_full_match(c_name, '-?[0-9.]+,-?[0-9.]+')) THEN 'location' ELSE '' END AS pair FROM customer""")
 def geo_columns(t):
     df = t.customer.select((F.col("c_custkey") % 90).cast("double").alias("geo_lat"), (F.col("c_custkey") % 180).cast("double").alias("geo_long"),
                            F.col("c_name").alias("location"))
     return roles.geo_columns(df, df.columns).select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lat", "lon", "pair")])
 
 
-@query("T24", """SELECT 'mail' AS "column", CAST(1.0 AS DOUBLE) AS hit_rate""")
+@query("T24", """SELECT "column", hit_rate FROM (SELECT 'mail' AS "column", avg(CAST(regexp_matches(lower(replace(c_name, '#', '')) || '@mail.example.org', '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$') AS DOUBLE)) AS hit_rate FROM customer
+UNION ALL SELECT 'c_mktsegment', avg(CAST(regexp_matches(c_mktsegment, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$') AS DOUBLE)) FROM customer) WHERE hit_rate >= 0.5""")
 def personal_values(t):
     df = t.customer.select(F.concat(F.lower(F.translate("c_name", "#", "")), F.lit("@mail.example.org")).alias("mail"), "c_mktsegment")
     return roles.sensitive_values(df, df.columns)
 
 
-@query("T8 SR7", """SELECT 'conversations' AS "table", 'text' AS "column", 1 AS rank""")
+@query("T8 SR7", """SELECT 'conversations' AS "table", 'text' AS "column", 1 AS rank FROM conversations HAVING avg(length(text)) > 60 AND avg(CAST(contains(trim(text), ' ') AS INTEGER)) > 0.5""")
 def searchable_fields(t):
     return roles.free_text_fields(pf.profile(t.conversations, "conversations"))
 
 
-@query("T12", "SELECT 'fecha' AS event_time")
+@query("T12", "SELECT 'fecha' AS event_time FROM orders HAVING bool_and(o_orderdate IS NOT NULL)")
 def event_time_column(t):
     return pf.event_time(pf.profile(_text_orders(t)))
 

@@ -24,15 +24,22 @@ def bm25_topk(t):
     return sr.bm25(t.spread("documents", "doc_id", "text"), "doc_id", "text", ASK, 10).withColumn("score", F.round("score", 6))
 
 
-@query("SR1 F18")
-def lexical_topk(t):
-    return sr.lexical(t.spread("documents", "doc_id", "text"), "doc_id", "text", ASK, 10)
+_STEMMED = "list_transform({}, lambda x: CASE WHEN length(x) >= 5 THEN regexp_replace(x, '^(.*?)(?:" + tx._ENDINGS + r")$', '\1') ELSE x END)"
+_STEM = f"list_filter({_STEMMED}, lambda x: x <> '')"
 
 
-# the index is made over the whole table and asked afterwards; ties go by the text's digest
-_STEM = "list_filter(list_transform({}, lambda x: CASE WHEN length(x) >= 5 THEN regexp_replace(x, '^(.*?)(?:" + tx._ENDINGS + r")$', '\1') ELSE x END), lambda x: x <> '')"
+@query("SR1 F18", f"""WITH d AS (SELECT doc_id, {WORDS} AS w, regexp_split_to_array('{ASK}', ' ') AS asked FROM documents),
+f AS (SELECT doc_id, 'p' AS field, w, asked AS q FROM d UNION ALL SELECT doc_id, 's', {_STEMMED.format("w")}, {_STEMMED.format("asked")} FROM d), z AS (SELECT field, count(*) AS n, avg(len(w)) AS mean FROM f GROUP BY 1),
+p AS (SELECT doc_id, field, len(w) AS len, term, len(list_filter(w, lambda x: x = term)) AS tf FROM (SELECT doc_id, field, w, unnest(list_distinct(q)) AS term FROM f)),
+h AS (SELECT field, term, count(*) AS df FROM p WHERE tf > 0 GROUP BY ALL),
+s AS (SELECT doc_id, field, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) AS s FROM p JOIN h USING (field, term) JOIN z USING (field) WHERE tf > 0 GROUP BY ALL),
+l AS (SELECT doc_id, s FROM s QUALIFY row_number() OVER (PARTITION BY field ORDER BY s DESC, doc_id) <= 10)
+SELECT doc_id, round(max(s), 6) AS score FROM l GROUP BY 1 ORDER BY max(s) DESC, doc_id LIMIT 10""")
+def lexical_topk(t):
+    return sr.lexical(t.documents, "doc_id", "text", ASK, 10).withColumn("score", F.round("score", 6))
 
 
+# the index is made over the whole table and asked afterwards; ties go by the text's digest
 def _index_sql(fields: dict[str, tuple[str, str]]) -> str:
     parts = " UNION ALL ".join(f"SELECT sha256(text) AS text_id, '{name}' AS field, {expr} AS w, {asked} AS q FROM d" for name, (expr, asked) in fields.items())
     return f"""WITH d AS (SELECT text, {WORDS} AS w, list_distinct(regexp_split_to_array('{ASK}', ' ')) AS asked FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)),

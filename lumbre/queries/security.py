@@ -6,6 +6,7 @@ from lumbre.functions.nested import nest
 
 from lumbre.operators import security as sec
 from lumbre.operators.security import Rule
+from lumbre.functions.dates import iso
 from lumbre.queries.registry import query
 
 RULES = [
@@ -44,7 +45,7 @@ def rule_coverage(t):
     return sec.rule_coverage(banded(t), rules).select("rule", F.round("coverage", 6).alias("coverage"), F.col("accepted").cast("int").alias("accepted"))
 
 
-@query("F20 J12", "SELECT 'ghost' AS rule, 'event_type' AS field, 'never_seen' AS value")
+@query("F20 J12", "SELECT 'ghost' AS rule, 'event_type' AS field, v AS value FROM (VALUES ('error'), ('never_seen')) AS x(v) WHERE v NOT IN (SELECT event_type FROM events)")
 def ungrounded_literals(t):
     return sec.ungrounded(banded(t), [*RULES, Rule("ghost", "low", {"event_type": ["error", "never_seen"], "band": "top"})]).select("rule", "field", "value")
 
@@ -105,10 +106,21 @@ def month_range(t):
     return sec.month_range(t.orders, "o_orderdate")
 
 
-@query("R19 J5", """SELECT CASE event_type WHEN 'error' THEN 'T1190' WHEN 'click' THEN 'T1110' WHEN 'signup' THEN 'T1078' ELSE '' END AS technique, count(*) AS n FROM events GROUP BY 1""")
+@query("R19 J5", """SELECT technique, tactic, stage, count(*) AS n FROM events LEFT JOIN (VALUES ('error', 'T1190', 'Initial Access', 3), ('click', 'T1110', 'Credential Access', 8), ('signup', 'T1078', 'Persistence', 5),
+('purchase', 'T9999', 'Unheard of', NULL)) AS v(event_type, technique, tactic, stage) USING (event_type) GROUP BY ALL""")
 def mitre_enrichment(t):
-    # The dimension is a literal list of a few rows, so it is broadcast.
-    table = t.spark.createDataFrame([("error", "T1190", "Initial Access"), ("click", "T1110", "Credential Access"), ("signup", "T1078", "Persistence")],
-                                    "event_type string, technique string, tactic string")
-    out = t.events.join(F.broadcast(table), "event_type", "left")
-    return out.groupBy(F.coalesce("technique", F.lit("")).alias("technique")).agg(F.count(F.lit(1)).alias("n"))
+    table = t.spark.createDataFrame([("error", "T1190", "Initial Access"), ("click", "T1110", "Credential Access"), ("signup", "T1078", "Persistence"), ("purchase", "T9999", "Unheard of")],
+                                    "value string, technique string, tactic string")
+    return sec.with_techniques(t.events, "event_type", table).groupBy("technique", "tactic", "stage").agg(F.count(F.lit(1)).alias("n"))
+
+
+_CAMPAIGNS = (sec.Correlation("web break-in", "CMP-1", "error", "signup", 120), sec.Correlation("lateral move", "CMP-3", "click", "purchase", 300), sec.Correlation("short", "CMP-3", "view", "purchase", 120),
+              sec.Correlation("never", "CMP-9", "view", "purchase", 120))
+
+
+@query("SE4 J2", " UNION ALL ".join(f"""SELECT * FROM (SELECT '{c.title}' AS correlation, count(DISTINCT l.event_id) AS findings, count(*) AS matches, strftime(min(l.ts), '%Y-%m-%d %H:%M:%S') AS first_at, strftime(max(l.ts), '%Y-%m-%d %H:%M:%S') AS last_at
+FROM events l JOIN events r ON 'CMP-' || (l.user_id % 4) = '{c.campaign}' AND 'CMP-' || (r.user_id % 4) = '{c.campaign}' AND l.event_type = '{c.left}' AND r.event_type = '{c.right}' AND r.ts BETWEEN l.ts AND l.ts + INTERVAL {c.minutes} MINUTE) WHERE matches > 0""" for c in _CAMPAIGNS))
+def campaign_correlations(t):
+    rows = t.events.withColumn("campaign", F.concat(F.lit("CMP-"), (F.col("user_id") % 4).cast("string")))
+    found = sec.campaign_correlations(rows, list(_CAMPAIGNS), "campaign", "event_type", "ts")
+    return found.select("correlation", "findings", "matches", iso(F.col("first_at")).alias("first_at"), iso(F.col("last_at")).alias("last_at"))
