@@ -546,3 +546,40 @@ def quarantine_replays(t):
     line = F.when(F.col("event_type") == "error", F.concat(F.lit("broken "), F.col("event_type"))).otherwise(good)
     rows = formats.parse_lines(t.events.select("event_id", line.alias("value")), "syslog_iso")
     return sinks.split_quarantine(rows)[1].select("event_id", "raw_line")
+
+
+@query("E20", """SELECT event_id AS octets, '10.0.' || ((user_id // 256) % 256) || '.' || (user_id % 256) AS source, CAST(event_id % 65536 AS BIGINT) AS source_port, CAST(6 AS BIGINT) AS protocol, true AS whole FROM events""")
+def netflow_roundtrip(t):
+    hexed = lambda c, n: F.lpad(F.hex(c.cast("bigint")), 2 * n, "0")
+    fixed = lambda n: F.lit("00" * n)
+    user = F.concat(F.lit("0A00"), hexed(F.floor(F.col("user_id") / 256) % 256, 1), hexed(F.col("user_id") % 256, 1))
+    flow = F.concat(user, fixed(4 + 4 + 2 + 2 + 4), hexed(F.col("event_id"), 4), fixed(4 + 4), hexed(F.col("event_id") % 65536, 2), fixed(2 + 1 + 1), F.lit("06"), fixed(1 + 2 + 2 + 1 + 1 + 2))
+    packets = t.events.select(F.floor(F.col("event_id") / 3).alias("packet"), flow.alias("flow")).groupBy("packet").agg(F.collect_list("flow").alias("flows"))
+    header = F.concat(F.lit("0005"), hexed(F.size("flows"), 2), fixed(4 + 4 + 4), hexed(F.col("packet"), 4), fixed(1 + 1 + 2))
+    payloads = packets.select(F.unhex(F.concat(header, F.array_join("flows", ""))).alias("value"))
+    return readers.flow_records(payloads).select("octets", "source", "source_port", "protocol", F.col("packet.whole").alias("whole"))
+
+
+@query("E20", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+def bulk_roundtrip(t):
+    o = t.orders.withColumn("n", F.col("o_orderkey"))
+    action = F.to_json(F.struct(F.struct(F.col("o_orderkey").cast("string").alias("_id")).alias("index")))
+    lines = o.select(F.explode(F.array(F.struct((F.col("n") * 2).alias("line"), action.alias("value")), F.struct((F.col("n") * 2 + 1).alias("line"), F.to_json(F.struct("o_orderstatus", "o_totalprice")).alias("value")))).alias("l")).select("l.*")
+    pairs = readers.bulk_actions(lines, "line")
+    doc = F.from_json("document", "o_orderstatus string, o_totalprice double")
+    return pairs.select(F.get_json_object("action", "$.index._id").cast("bigint").alias("o_orderkey"), doc["o_orderstatus"].alias("o_orderstatus"), doc["o_totalprice"].alias("o_totalprice"))
+
+
+@query("E20 P29", "SELECT event_id, event_type FROM events")
+def cloud_trail_roundtrip(t):
+    files = t.events.groupBy(F.pmod("event_id", F.lit(50)).alias("file")).agg(F.to_json(F.struct(F.collect_list(F.struct("event_id", "event_type")).alias("Records"))).alias("value"))
+    rows = readers.cloud_trail_records(files.select("value"))
+    return rows.select(F.from_json("value", "event_id bigint, event_type string").alias("r")).select("r.*")
+
+
+@query("K3 E5", "SELECT strftime(ts, '%Y') AS year, strftime(ts, '%m') AS month, strftime(ts, '%d') AS day, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY ALL")
+def archived_events(t):
+    path = scratch_path(t.spark, "archive")
+    sinks.write_archive(t.events.select("event_id", "event_type", "ts"), path, "ts")
+    back = t.spark.read.schema("event_id bigint, event_type string, ts string, year string, month string, day string").json(f"{path}/transactions")
+    return back.groupBy("year", "month", "day").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))

@@ -291,3 +291,41 @@ def bulk_actions(lines: DataFrame, order: str, value: str = "value") -> DataFram
     n = F.col(order)
     action = F.when(n % 2 == 0, F.col(value))
     return lines.groupBy(F.floor(n / 2).alias("pair")).agg(F.max(action).alias("action"), F.max(F.when(n % 2 == 1, F.col(value))).alias("document"))
+
+
+# The layout of a flow export packet of version 5, name and bytes of each field in order.
+FLOW_HEADER = (("version", 2), ("count", 2), ("uptime_ms", 4), ("seconds", 4), ("nanoseconds", 4), ("sequence", 4), ("engine_type", 1), ("engine_id", 1), ("sampling", 2))
+FLOW_RECORD = (("source", 4), ("destination", 4), ("next_hop", 4), ("input", 2), ("output", 2), ("packets", 4), ("octets", 4), ("first_ms", 4), ("last_ms", 4), ("source_port", 2),
+               ("destination_port", 2), ("pad1", 1), ("tcp_flags", 1), ("protocol", 1), ("tos", 1), ("source_as", 2), ("destination_as", 2), ("source_mask", 1), ("destination_mask", 1), ("pad2", 2))
+_ADDRESSES = ("source", "destination", "next_hop")
+
+
+def _fields(payload: Column, start: Column, layout) -> list[Column]:
+    """Big-endian numbers of a fixed layout that begins at the byte ``start`` (from 0)."""
+    out, at = [], 0
+    for name, size in layout:
+        number = F.conv(F.hex(F.substring(payload, start + (at + 1), F.lit(size))), 16, 10).cast("bigint")
+        if name in _ADDRESSES:
+            octets = [F.floor(number / 256 ** k).cast("bigint") % 256 for k in (3, 2, 1, 0)]
+            number = F.concat_ws(".", *[o.cast("string") for o in octets])
+        if not name.startswith("pad"):
+            out.append(number.alias(name))
+        at += size
+    return out
+
+
+def flow_records(df: DataFrame, payload: str = "value") -> DataFrame:
+    """One row for each flow of the packets of version 5 in a binary column: ``packet`` (sequence, seconds, whole) and the flow's fields.
+
+    A packet that is cut off has the flows that are whole, and ``whole`` false; payloads of other versions give one row with
+    ``whole`` false and no flow.
+    """
+    head, one = sum(n for _, n in FLOW_HEADER), sum(n for _, n in FLOW_RECORD)
+    others = [c for c in df.columns if c != payload]
+    header = df.select(*others, F.col(payload).alias("_p"), F.struct(*_fields(F.col(payload), F.lit(0), FLOW_HEADER)).alias("_h"))
+    held = F.greatest(F.lit(0), F.least(F.col("_h.count"), F.floor((F.length("_p") - head) / one)))
+    is_five = F.coalesce((F.col("_h.version") == 5) & (F.length("_p") >= head), F.lit(False))
+    places = F.when(is_five & (held > 0), F.sequence(F.lit(0).cast("bigint"), held.cast("bigint") - 1))
+    rows = header.withColumns({"packet": F.struct(F.col("_h.sequence").alias("sequence"), F.col("_h.seconds").alias("seconds"), (is_five & (held == F.col("_h.count"))).alias("whole")), "_i": places})
+    rows = rows.select(*others, "packet", "_p", F.explode_outer("_i").alias("_i"))
+    return rows.select(*others, "packet", *_fields(F.col("_p"), (F.col("_i") * one + head).cast("int"), FLOW_RECORD))

@@ -15,16 +15,14 @@ sys.path.insert(0, ROOT)
 # Connectors that need a service or a driver of their own: where they are and what tests them.
 ELSEWHERE = {
     "S2": "`sources.readers.read_kafka`, `kafka_options` (test_streams; the Kafka package is not on the test classpath)",
-    "S4": "`sources.readers.read_jdbc_since`, `high_water_mark` (test_streams, embedded Derby)",
     "K4": "`sources.readers.stream_lines(archive=…)` (test_streams)",
     "X3": "`sources.readers.read_kafka(stream=True)` (needs the Kafka package)",
-    "X17": "`sources.readers.read_jdbc_since`, `high_water_mark` (test_streams)",
     "E1": "`sources.readers.read_lines`, `stream_lines` on a local path (test_streams)",
     "E2": "posted events are landed as files or in Kafka, then S1 or S2",
     "E3": "`sources.sinks.write_kafka`, `stream_to_kafka`, `kafka_rows` (row form tested in test_streams)",
     "E4": "`sources.sinks.write_jdbc`, `jdbc_batch_writer` (test_streams, embedded Derby)",
     "E6": "`sources.sinks.print_stream`",
-    "E19": "`sources.readers.read_jdbc_since` then `operators.joins.lookup`",
+    "E19": "`sources.increments.Increments` (query `jdbc_increments`) then `operators.joins.lookup` (query `lookup_nation_left`)",
 }
 
 
