@@ -72,3 +72,71 @@ def test_lasso_keeps_the_rule_that_matters():
     x = (pick.random((400, 20)) > 0.5).astype(float)
     b, w = quality.lasso(x, x[:, 3], 0.02)
     assert np.argmax(np.abs(w)) == 3 and (w != 0).sum() <= 3
+
+
+def likeliest(spelling, model):
+    """All readings of a spelling by walking every path of its lattice, with the cost of the cheapest path to each."""
+    found = {}
+
+    def walk(steps, p, q, cost, said):
+        if not steps:
+            found[said] = min(cost, found.get(said, np.inf))
+            return
+        for out, more in steps[0]:
+            a, b, add = p, q, more
+            for byte in out.encode():
+                s = int(toxicity._SYMBOL[byte])
+                if s == 0 and b == 0:
+                    continue
+                add -= float(model[a, b, s])
+                a, b = (0, 0) if s == 0 else (b, s)
+            walk(steps[1:], a, b, cost + add, said + out)
+    walk([*toxicity.lattice(spelling), [(" ", 0.0)]], 0, 0, 0.0, "")
+    return found
+
+
+def test_viterbi_finds_the_cheapest_reading():
+    pick = np.random.default_rng(9)
+    model = toxicity.language_model(pick.integers(0, 300, 64 ** 3).astype(float))
+    for _ in range(150):
+        spelling = "".join(pick.choice(list("abil0134$!. -5t"), pick.integers(1, 8)))
+        costs = likeliest(spelling, model)
+        said = toxicity.viterbi(spelling, model)
+        assert costs[said[0]] == pytest.approx(min(costs.values())), spelling
+        assert [costs[s] for s in said] == sorted(costs[s] for s in said)
+
+
+def test_very_long_words_take_time_in_proportion():
+    import time
+    pick = np.random.default_rng(10)
+    model = toxicity.language_model(pick.integers(0, 300, 64 ** 3).astype(float))
+    took = []
+    for n in (20_000, 80_000):
+        word = "".join(pick.choice(list("abcdefghijklmnop0123456789"), n))
+        start = time.process_time()
+        assert len(toxicity.viterbi(word, model)[0]) > n / 2
+        took.append(time.process_time() - start)
+    assert took[1] < 10 * took[0]
+
+
+def test_scores_equal_plain_python(spark, documents):
+    """Evidence of each document from its different words one by one, whatever is beside it in a batch."""
+    import re
+
+    import pyarrow as pa
+    from lumbre.llm import scan
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = toxicity.fit(documents, labels, least_z=1.5)
+    known = dict(zip(model.features.tolist(), model.weights.tolist()))
+    assert known
+
+    def weight(word):
+        words = next(scan.words(pa.array([word]), toxicity._WORD, lower=True))
+        return max((known[h] for h in toxicity._hashed(words, words.doc)[1].tolist() if h in known), default=0.0)
+
+    got = {r["doc_id"]: r for r in toxicity._evidence(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("t")), model, ["doc_id"], words=True).select("doc_id", "evidence", "restored").collect()}
+    for r in documents.select("doc_id", "text").collect():
+        text = r["text"] or ""
+        lower = text.translate({i: i + 32 for i in range(65, 91)})
+        words = set(re.findall(r"[a-z0-9\x80-\U0010ffff]+", lower)) | set(got[r["doc_id"]]["restored"])
+        assert got[r["doc_id"]]["evidence"] == pytest.approx(sum(weight(w) for w in words), abs=1e-6)

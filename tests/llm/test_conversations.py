@@ -37,3 +37,31 @@ def test_rendered_pieces_and_mask(spark):
 def test_no_rows(spark):
     none = fold(spark, [(1, 0, "message", None, "user", "x")]).limit(0)
     assert c.digest(c.render(none)).collect() == []
+
+
+def brute_digest(turns):
+    import hashlib
+    loss = "".join(t for r, t in turns if r == "assistant")
+    whole = sum(len(c.HEAD) + len(c.escape(r)) + len(c.BREAK) + len(c.escape(t)) + len(c.END) for r, t in turns)
+    return len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), whole
+
+
+def digests(df, key):
+    return {r[key]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"], r["formatted_chars"]) for r in df.collect()}
+
+
+def test_odd_rows(spark, odd):
+    """Null keys and texts, long texts, repeated rows and clashing names: a repeated row without a message id is a turn of its own."""
+    from pyspark.sql import functions as F
+    events = odd.withColumns({"seq": F.length(F.coalesce("text", F.lit(""))).cast("long"), "kind": F.lit(None).cast("string"), "msg_id": F.lit(None).cast("string"), "role": F.lit("assistant"), "conv": F.lit("clash"), "piece": F.lit(1)})
+    got = digests(c.digest(c.render(c.fold(events, conversation="doc_id"), conversation="doc_id"), conversation="doc_id"), "doc_id")
+    turns = {}
+    for r in odd.collect():
+        turns.setdefault(r["doc_id"], []).append(r["text"] or "")
+    assert got == {k: brute_digest([("assistant", t) for t in sorted(v, key=len)]) for k, v in turns.items()}
+
+
+def test_a_long_conversation(spark):
+    rows = [(1, i, "message", None, "assistant" if i % 2 else "user", f"turn {i} \\ ### </turn>") for i in range(20_000)] + [(2, 0, "message", None, "user", "x")]
+    got = digests(c.digest(c.render(fold(spark, rows))), "conv_id")
+    assert got == {k: brute_digest([(r[4], r[5]) for r in rows if r[0] == k]) for k in (1, 2)}

@@ -78,3 +78,31 @@ def test_odd_rows(spark, odd):
 
 def test_no_rows(no_rows):
     assert packing.pack(no_rows, tokenizer_path()).collect() == []
+
+
+def test_the_query_equals_the_tokenizer_over_a_table(spark, documents):
+    """Every id of every document lies in exactly one piece, at the place that the piece says."""
+    import zlib
+
+    from lumbre.llm.queries import QUERIES
+    tokenizer, pieces, windows = Tokenizer.from_file(tokenizer_path()), defaultdict(list), defaultdict(list)
+    for r in QUERIES["op3_packing"](spark, "/root/testdata/sf0.001").collect():
+        pieces[r["doc_id"]].append(r)
+        windows[r["sequence_id"]].append((r["offset"], r["length"]))
+    for d in documents.select("doc_id", "text").collect():
+        ids = np.array([*tokenizer.encode(d["text"] or "", add_special_tokens=False).ids, 1], "<u4")
+        at = 0
+        for r in sorted(pieces.pop(d["doc_id"]), key=lambda r: r["start"]):
+            assert (r["start"], r["doc_tokens"]) == (at, len(ids))
+            assert r["ids_crc32"] == zlib.crc32(ids[at:at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    assert not pieces
+    for held in windows.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    padding = sum(2048 - t for t in (sum(n for _, n in held) for held in windows.values()) if t & (t - 1))
+    assert padding < 0.02 * sum(n for held in windows.values() for _, n in held)
