@@ -2,8 +2,8 @@
 
 A log holds events of conversations, ordered by a sequence number.  ``fold`` gives one row per message after all deltas,
 edits and regenerations; ``render`` writes each message in a template that marks turns, with control strings inside texts
-escaped; ``parse`` reads rendered pieces back.  Rendering and parsing walk sorted rows with the state of one conversation,
-so a conversation of any length needs the memory of its current turn alone.
+escaped; ``parse`` reads rendered pieces back.  Formatting and reading happen where the rows are; what runs along a
+conversation (the last message id, numbers, offsets) is scanned by slices of the sequence, and only its digest is one stream.
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from lumbre.llm import scan
+from lumbre.operators.scan import chunked_scan
+
 HEAD, BREAK, END, MASKED = "### ", ":\n", "</turn>\n", "assistant"
 # A backslash stands before every control string, and before every backslash, inside a role or a text.
 _CONTROL = re.compile(r"\\|### |</turn>|:\n")
@@ -45,10 +48,10 @@ def fold(events: DataFrame, conversation: str = "conv_id", sequence: str = "seq"
                       F.col(message).cast("string").alias("msg"), F.col(role).cast("string").alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     e = e.groupBy(*e.columns).agg(F.count("*").alias("n"))
     e = e.withColumn("n", F.when(F.col("msg").isNull() & (F.col("kind") == "message"), F.col("n")).otherwise(F.lit(1)))
-    # an event without an id takes the id of the last one before it that has one; the running frame streams over sorted rows
+    # an event without an id takes the id of the last one before it that has one, by slices of the sequence
     own = F.when(F.col("msg").isNull() & (F.col("kind") == "message"), F.concat(F.lit("#"), F.col("seq").cast("string"), F.lit("/"), F.xxhash64("role", "text").cast("string"))).otherwise(F.concat(F.lit("="), "msg"))
-    order = Window.partitionBy("conv").orderBy(F.col("seq").asc_nulls_first(), "kind", "text", "role")
-    e = e.withColumn("msg", F.coalesce(F.last(own, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit("")))
+    e = e.withColumns({"own": own, "_key": _key(), "_order": F.struct("seq", "kind", "text", "role")})
+    e = chunked_scan(e, ["_key"], "_order", _slice("seq"), _msg=("last", "own")).withColumn("msg", F.coalesce("_msg", F.lit(""))).drop("_msg", "own", "_key", "_order")
     starts = F.col("kind") != "delta"
     last = e.groupBy("conv", "msg").agg(F.max(F.when(starts, F.col("seq"))).alias("reset"))
     e = e.join(last.withColumnRenamed("conv", "c").withColumnRenamed("msg", "m"), F.col("conv").eqNullSafe(F.col("c")) & (F.col("msg") == F.col("m")), "left")
@@ -60,35 +63,41 @@ def fold(events: DataFrame, conversation: str = "conv_id", sequence: str = "seq"
             .select(F.col("conv").alias(conversation), "position", "msg", "role", "text", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy")).drop("copy"))
 
 
-def _per_conversation(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Rows of a conversation in one task, in order; sorting spills, and nothing is collected."""
-    return rows.repartition(F.col(keys[0])).sortWithinPartitions(*[F.col(k).asc_nulls_first() for k in keys])
+#: sequence numbers in one slice of a conversation
+SLICE = 4096
+
+
+def _key():
+    """The conversation as a text that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col("conv").cast("string")), F.lit(""))
+
+
+def _slice(position: str):
+    return F.floor(F.coalesce(F.col(position), F.lit(-(1 << 62))) / SLICE)
 
 
 def render(messages: DataFrame, conversation: str = "conv_id", masked: str = MASKED) -> DataFrame:
     """One piece for each message of ``fold``: the conversation column, ``piece`` (from 0), ``formatted``, ``offset`` (code points of the
     pieces before it), ``loss_start`` and ``loss_length`` (code points of ``formatted`` under the loss mask; 0 if none).
 
-    A conversation's output is its pieces in order.  Only texts of the role ``masked`` are under the mask, whole.
+    A conversation's output is its pieces in order.  Only texts of the role ``masked`` are under the mask, whole.  Messages are
+    formatted where they are; numbers and offsets are running sums over slices, so a long conversation is many tasks' work.
     """
-    kind = messages.schema[conversation].dataType
-    rows = _per_conversation(messages.select(F.col(conversation).alias("conv"), "position", "msg", "role", "text"), ("conv", "position", "msg"))
-    schema = pa.schema([("conv", to_arrow_type(kind)), ("piece", pa.int64()), ("formatted", pa.string()), ("offset", pa.int64()), ("loss_start", pa.int64()), ("loss_length", pa.int64())])
-
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        current, piece, offset = None, 0, 0
-        for batch in batches:
-            out = []
-            for conv, role, text in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                if (conv,) != current:
-                    current, piece, offset = (conv,), 0, 0
-                head, body = HEAD + escape(role) + BREAK, escape(text)
-                out.append((conv, piece, head + body + END, offset, len(head) if role == masked else 0, len(body) if role == masked else 0))
-                piece, offset = piece + 1, offset + len(head) + len(body) + len(END)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 6, schema.types)], schema=schema)
-
-    out = rows.mapInArrow(run, f"conv {kind.simpleString()}, piece long, formatted string, offset long, loss_start long, loss_length long")
-    return out.withColumnRenamed("conv", conversation)
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+        out = []
+        for role, text in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist()):
+            head, body = HEAD + escape(role) + BREAK, escape(text)
+            out.append((head + body + END, len(head) if role == masked else 0, len(body) if role == masked else 0, len(head) + len(body) + len(END)))
+        columns = list(zip(*out)) if out else [()] * 4
+        return [pa.array(columns[0], pa.string()), *[pa.array(c, pa.int64()) for c in columns[1:]]]
+
+    rows = messages.select(F.col(conversation).alias("conv"), "position", "msg", "role", "text")
+    same = F.row_number().over(Window.partitionBy("conv", "position", "msg").orderBy("role", "text"))  # copies of a message without id
+    rows = rows.withColumn("copy", same)
+    rows = scan.append_columns(rows, run, [("formatted", "string"), ("loss_start", "long"), ("loss_length", "long"), ("length", "long")]).drop("role", "text")
+    rows = rows.withColumns({"_key": _key(), "_order": F.struct("position", "msg", "copy"), "one": F.lit(1)})
+    rows = chunked_scan(rows, ["_key"], "_order", _slice("position"), piece=("sum", "one"), upto=("sum", "length"))
+    return rows.select(F.col("conv").alias(conversation), (F.col("piece") - 1).alias("piece"), "formatted", (F.col("upto") - F.col("length")).alias("offset"), "loss_start", "loss_length")
 
 
 _TURN = re.compile(r"### ((?:[^\\#<:]|\\(?:\\|### |</turn>|:\n)|\\|#(?!## )|<(?!/turn>)|:(?!\n))*):\n((?:[^\\#<:]|\\(?:\\|### |</turn>|:\n)|\\|#(?!## )|<(?!/turn>)|:(?!\n))*)</turn>\n", re.S)
@@ -103,9 +112,25 @@ def parse(piece: str) -> tuple[str, str, int, int]:
 
 
 def digest(pieces: DataFrame, conversation: str = "conv_id") -> DataFrame:
-    """Read rendered pieces back: turns, digest of all turns, and length and digest of the texts under the loss mask, by conversation."""
+    """Read rendered pieces back: turns, digest of all turns, and length and digest of the texts under the loss mask, by conversation.
+
+    Pieces are read where they are.  A digest takes its bytes in order, so what is left to one task a conversation is to sort them
+    (which spills) and to hash.
+    """
     kind = pieces.schema[conversation].dataType
-    rows = _per_conversation(pieces.select(F.col(conversation).alias("conv"), "piece", "formatted", "loss_start", "loss_length"), ("conv", "piece"))
+
+    def read(batch: pa.RecordBatch) -> list[pa.Array]:
+        out = []
+        for formatted, start, length in zip(*(batch.column(c).to_pylist() for c in ("formatted", "loss_start", "loss_length"))):
+            role, text, _, _ = parse(formatted)
+            under = unescape(formatted[start:start + length])
+            out.append((f"{role}\n{text}\n".encode(), under.encode(), len(under), len(formatted)))
+        columns = list(zip(*out)) if out else [()] * 4
+        return [pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())]
+
+    rows = pieces.select(F.col(conversation).alias("conv"), "piece", "formatted", "loss_start", "loss_length")
+    rows = scan.append_columns(rows, read, [("turn", "binary"), ("under", "binary"), ("n_under", "long"), ("n_formatted", "long")]).select("conv", "piece", "turn", "under", "n_under", "n_formatted")
+    rows = rows.repartition("conv").sortWithinPartitions(F.col("conv").asc_nulls_first(), "piece")
     names = ("conv", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
     schema = pa.schema(list(zip(names, (to_arrow_type(kind), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()))))
 
@@ -122,17 +147,15 @@ def digest(pieces: DataFrame, conversation: str = "conv_id") -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
         for batch in batches:
-            for conv, _, formatted, start, length in zip(*(c.to_pylist() for c in batch.columns)):
+            for conv, _, turn, under, n_under, n_formatted in zip(*(c.to_pylist() for c in batch.columns)):
                 if state is None or conv != state["conv"]:
                     close()
                     state = {"conv": conv, "n": 0, "turns": hashlib.sha256(), "loss": 0, "masked": hashlib.sha256(), "chars": 0}
-                role, text, _, _ = parse(formatted)
                 state["n"] += 1
-                state["turns"].update(f"{role}\n{text}\n".encode())
-                under = unescape(formatted[start:start + length])
-                state["loss"] += len(under)
-                state["masked"].update(under.encode())
-                state["chars"] += len(formatted)
+                state["turns"].update(turn)
+                state["masked"].update(under)
+                state["loss"] += n_under
+                state["chars"] += n_formatted
             yield drain()
         close()
         yield drain()
