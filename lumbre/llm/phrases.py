@@ -5,9 +5,9 @@ a chunk goes on over the first words of the next one, as many as a phrase has bu
 in it.  Equal passages give equal chunks: the dictionary of different chunks with their parse frequencies stands for the corpus.
 Phrases are counted inside the different chunks, weighted by frequency, each by the chunk in which it starts, so overlaps count once.
 
-Counts add up over 128-bit hashes: a bucket of the dictionary sends each of its different phrases once to the phrase's range and gets the total
-back.  Words and two-word phrases go first; a longer phrase is sent only where both its parts reached the threshold.  The bucket
-of the smallest number that holds a phrase reaching the threshold then says its words.
+Counts add up over 96-bit hashes, length by length: a bucket of the dictionary sends each of its different words once to the word's range
+and gets the total back, then so for longer phrases, each only where both its parts of one word less reached the threshold.  The
+bucket of the smallest number that holds a phrase reaching the threshold then says its words.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumbre.llm import scan
+from lumbre.llm.tally import numbers, read_numbers
 from lumbre.session import cut_lineage
 
 #: one chunk begins every ``EVERY`` words on average and none goes on beyond ``LONGEST``; bytes of text for a bucket
@@ -31,8 +32,8 @@ BORDER[[*b".,;:!?", 10, 11, 12, 13]] = True
 WORD[BORDER] = WORD[[9, 32]] = False
 _NOTE = pa.schema([("bucket", pa.int64()), ("range", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("speaks", pa.binary())])
 NOTES = "bucket long, range long, keys binary, counts binary, speaks binary"
-CHUNKS = pa.schema([("bucket", pa.int64()), ("lang", pa.string()), ("chunk", pa.binary()), ("freq", pa.int64())])
-_KEY = np.dtype([("a", "<u8"), ("b", "<u8")])
+CHUNKS = "bucket long, lang string, chunks binary"
+_KEY = np.dtype([("a", "<u8"), ("b", "<u4")])
 
 
 def word_chunks(words: scan.Words, size: int):
@@ -77,7 +78,8 @@ def word_chunks(words: scan.Words, size: int):
 
 
 def chunk_rows(batches, size: int, n: int):
-    """(bucket, lang, chunk, freq): different chunks of each part of a batch."""
+    """(bucket, lang, chunks): the different chunks of a batch with their counts, those of one bucket and language packed together."""
+    kinds = pa.schema([("bucket", pa.int64()), ("lang", pa.string()), ("chunks", pa.binary())])
     for batch in batches:
         parts, langs = [], batch.column("lang")
         for words in scan.words(batch.column("text"), WORD, lower=True):
@@ -85,8 +87,30 @@ def chunk_rows(batches, size: int, n: int):
                 row, chunks, hashes = word_chunks(words, size)
                 parts.append(pa.table({"bucket": (hashes % np.uint64(n)).astype(np.int64), "lang": langs.slice(words.first, words.rows).take(pa.array(row)), "chunk": chunks}))
         if parts:
-            table = pa.concat_tables(parts).group_by(["bucket", "lang", "chunk"]).aggregate([([], "count_all")])
-            yield from table.rename_columns(["bucket", "lang", "chunk", "freq"]).cast(CHUNKS).to_batches(max_chunksize=1 << 16)
+            table = pa.concat_tables(parts).group_by(["bucket", "lang", "chunk"]).aggregate([([], "count_all")]).sort_by([("bucket", "ascending"), ("lang", "ascending")])
+            bucket, lang = table.column("bucket").to_numpy(), table.column("lang").combine_chunks().dictionary_encode()
+            lang = lang.combine_chunks() if isinstance(lang, pa.ChunkedArray) else lang
+            code = lang.indices.to_numpy()
+            first = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (code[1:] != code[:-1])))
+            data, offsets = binary(table.column("chunk"))
+            counts = table.column("count_all").to_numpy()
+            blobs = [packed(data[offsets[i]:offsets[j]], np.diff(offsets[i:j + 1]), counts[i:j]) for i, j in zip(first, np.append(first[1:], len(bucket)))]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), lang.dictionary.take(pa.array(code[first])).cast(pa.string()), pa.array(blobs, pa.binary())], schema=kinds)
+        del parts
+    scan.release()
+
+
+def packed(text: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> bytes:
+    """Chunks end to end, with the length and count of each, compressed."""
+    parts = [numbers(lengths), numbers(counts), text.tobytes()]
+    whole = b"".join(len(x).to_bytes(8, "little") for x in parts[:2]) + b"".join(parts)
+    return len(whole).to_bytes(8, "little") + pa.compress(whole, codec="zstd", asbytes=True)
+
+
+def unpacked(blob: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+    whole = pa.decompress(memoryview(blob)[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
+    a, b = int.from_bytes(whole[:8], "little"), int.from_bytes(whole[8:16], "little")
+    return whole[16 + a + b:], read_numbers(whole[16:16 + a]), read_numbers(whole[16 + a:16 + a + b])
 
 
 def binary(column) -> tuple[np.ndarray, np.ndarray]:
@@ -109,6 +133,11 @@ class Dictionary:
     """
 
     def __init__(self, table: pa.Table):
+        texts, lengths, counts = zip(*(unpacked(b) for b in table.column("chunks").to_pylist()))
+        lengths, counts, owner = np.concatenate(lengths), np.concatenate(counts).astype(np.int64), np.repeat(np.arange(len(lengths)), [len(x) for x in lengths])
+        edges = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        chunks = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(b"".join(texts))])
+        table = pa.table({"lang": table.column("lang").take(pa.array(owner)), "chunk": chunks, "freq": counts})
         table = table.group_by(["lang", "chunk"]).aggregate([("freq", "sum")]).sort_by([("lang", "ascending"), ("chunk", "ascending")])
         self.langs = table.column("lang").combine_chunks().dictionary_encode()
         self.langs = self.langs.combine_chunks() if isinstance(self.langs, pa.ChunkedArray) else self.langs
@@ -137,18 +166,22 @@ class Dictionary:
             seed = np.array([int(scan.run_hashes(values[s], np.array([0]), np.array([len(s)]))[0]) for s in seeds] or [0], np.uint64)
             self.hashes.append(scan.mix(scan.run_hashes(values[data], offsets[:-1], offsets[1:])[place] + scan.mix(~seed)[self.lang]))
 
-    def phrases(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places where phrases of ``k`` words start, and their keys."""
-        fits = self.weight > 0
+    def phrases(self, k: int, before: np.ndarray | None = None, least: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Places where phrases of ``k`` words stand in a chunk, and their keys; given the totals of phrases of one word less by
+        place, only those whose two such parts have ``least`` or more.  Those that a chunk does not own have weight 0."""
+        fits = np.ones(len(self.starts), bool)
         for i in range(1, k):
-            fits = fits & np.append(self.joined[i:], np.zeros(min(i, len(fits)), bool))
+            fits &= np.append(self.joined[i:], np.zeros(min(i, len(fits)), bool))
+        if before is not None:
+            common = before >= least
+            fits &= common & np.append(common[1:], False)
         at = np.flatnonzero(fits)
         key = np.empty(len(at), _KEY)
         for name, h in zip(("a", "b"), self.hashes):
             value = h[at]
             for i in range(1, k):
                 value = scan.mix(value + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(3) + h[at + i]
-            key[name] = scan.mix(value)
+            key[name] = scan.mix(value) & np.uint64((1 << 8 * _KEY[name].itemsize) - 1)
         return at, key
 
     def text(self, at: int, k: int) -> str:
@@ -170,29 +203,30 @@ def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.append(True, ~same)) if len(keys) else np.zeros(0, np.int64)
 
 
-def numbers(values: np.ndarray) -> bytes:
-    """Whole numbers in as few bytes each as the largest needs, which the first byte says."""
-    most = int(values.max()) if len(values) else 0
-    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
-    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+def key_bytes(keys: np.ndarray) -> bytes:
+    """Sorted keys with like bytes side by side, of which the highest hardly change and so compress away."""
+    return np.ascontiguousarray(keys["a"]).view(np.uint8).reshape(-1, 8).T[::-1].tobytes() + np.ascontiguousarray(keys["b"]).tobytes()
 
 
-def read_numbers(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.uint64)
+def read_keys(data: bytes) -> np.ndarray:
+    n = len(data) // _KEY.itemsize
+    keys = np.empty(n, _KEY)
+    keys["a"] = np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * n).reshape(8, n)[::-1].T).view("<u8").ravel()
+    keys["b"] = np.frombuffer(data, "<u4", n, 8 * n)
+    return keys
 
 
-def notes(bucket: int, keys: np.ndarray, weights: np.ndarray, ranges: int, passenger: list[bytes] | None = None) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-    """Each different key once with its weight, cut at the borders of ranges; the order and the first of each key."""
+def notes(bucket: int, keys: np.ndarray, weights: np.ndarray, ranges: int, passenger: bytes | None = None) -> pa.Table:
+    """Each different key once with its weight, cut at the borders of ranges; a passenger travels under a range of its own."""
     order, first = grouped(keys)
-    own, sums = keys[order][first], np.add.reduceat(weights[order], first) if len(first) else weights
+    own, sums = keys[order][first], np.add.reduceat(weights[order], first) if len(first) else weights[:0]
     place = ((own["a"] >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
     used, at = np.unique(place, return_index=True)
     cuts = np.append(at, len(own))
-    rows = [(bucket, int(r), own[a:b].tobytes(), numbers(sums[a:b]), b"") for r, a, b in zip(used, cuts[:-1], cuts[1:])]
+    rows = [(bucket, int(r), key_bytes(own[a:b]), numbers(sums[a:b]), b"") for r, a, b in zip(used, cuts[:-1], cuts[1:])]
     if passenger is not None:
-        rows.append((bucket, -1 - bucket, passenger[0], passenger[1], b""))
-    table = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, _NOTE.types)], schema=_NOTE)
-    return table, order, first
+        rows.append((bucket, -1 - bucket, passenger, b"", b""))
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, _NOTE.types)], schema=_NOTE)
 
 
 def total(sent: DataFrame) -> DataFrame:
@@ -203,7 +237,7 @@ def total(sent: DataFrame) -> DataFrame:
         buckets = table.column("bucket").to_numpy()
         by = np.argsort(buckets, kind="stable")  # rows in the order of buckets, so that the first of equal keys is the smallest
         table = table.take(pa.array(by))
-        blobs = [np.frombuffer(b, _KEY) for b in table.column("keys").to_pylist()]
+        blobs = [read_keys(b) for b in table.column("keys").to_pylist()]
         counts = np.concatenate([read_numbers(b) for b in table.column("counts").to_pylist()])
         keys, sizes = np.concatenate(blobs), [len(b) for b in blobs]
         order, first = grouped(keys)
@@ -218,87 +252,76 @@ def total(sent: DataFrame) -> DataFrame:
     return sent.groupBy("range").applyInArrow(run, NOTES)
 
 
-def received(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes] | None]:
-    """Totals and who speaks, in the order of the keys sent, and the passenger."""
+def received(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length so far: totals and who speaks, in the order of the keys sent."""
     rows = sorted(zip(table.column("range").to_pylist(), table.column("counts").to_pylist(), table.column("speaks").to_pylist(), table.column("keys").to_pylist()))
     got = [(read_numbers(c), s) for r, c, s, _ in rows if r >= 0]
     totals = np.concatenate([c for c, _ in got]) if got else np.zeros(0, np.uint64)
     speaks = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8), count=len(c)) for c, s in got]).astype(bool) if got else np.zeros(0, bool)
-    return totals, speaks, next(([k, c] for r, c, _, k in rows if r < 0), None)
+    blob = next((k for r, _, _, k in rows if r < 0), b"")
+    levels = []
+    while blob:
+        n, m = int.from_bytes(blob[:8], "little"), int.from_bytes(blob[8:16], "little")
+        before = read_numbers(blob[16:16 + n])
+        levels.append((before, np.unpackbits(np.frombuffer(blob, np.uint8, m, 16 + n), count=len(before)).astype(bool)))
+        blob = blob[16 + n + m:]
+    return [*levels, (totals, speaks)]
+
+
+def passenger(levels: list[tuple[np.ndarray, np.ndarray]]) -> bytes:
+    parts = [(numbers(t), np.packbits(s).tobytes()) for t, s in levels]
+    return b"".join(len(a).to_bytes(8, "little") + len(b).to_bytes(8, "little") + a + b for a, b in parts)
 
 
 def frequent(docs: DataFrame, least: int, size: int = 3, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(lang, k, phrase, f): phrases of up to ``size`` (2 or 3) words that occur ``least`` times or oftener in a language.
+    """(lang, k, phrase, f): phrases of up to ``size`` words that occur ``least`` times or oftener in a language.
 
     Rows with a null phrase and k = 0 hold numbers of words of a language, to be added up.
     """
     volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(volume / bucket_bytes))
-    chunks = docs.mapInArrow(lambda batches: chunk_rows(batches, size, n), "bucket long, lang string, chunk binary, freq long")
+    chunks = docs.mapInArrow(lambda batches: chunk_rows(batches, size, n), CHUNKS)
     by_bucket = lambda df: df.groupBy("bucket")
 
-    def short(words: Dictionary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        one, first = words.phrases(1)
-        two, second = words.phrases(2)
-        return np.concatenate([one, two]), np.concatenate([first, second]), np.arange(len(one) + len(two)) < len(one)
-
-    def send(table: pa.Table) -> pa.Table:
-        words = Dictionary(table)
-        at, keys, _ = short(words)
-        return notes(table.column("bucket")[0].as_py(), keys, words.weight[at], n)[0]
-
-    def pairs_by_place(words: Dictionary, totals: np.ndarray) -> tuple:
-        """Totals of two-word phrases by place; a chunk's last own word is followed by words of the next, whose phrases it does not own."""
-        at, keys, single = short(words)
-        order, first = grouped(keys)
-        out = np.zeros(len(words.starts) + 1, np.uint64)
-        each = np.repeat(totals, np.diff(np.append(first, len(order))))
-        two = ~single[order]
-        out[at[order][two]] = each[two]
-        return at, order, first, single, out
+    def walked(words: Dictionary, levels: list):
+        """For each length whose totals are known: length, places in the order of keys, first of each key, totals, who speaks; at last the totals by place."""
+        before = None
+        for k, (totals, speaks) in enumerate(levels, 1):
+            at, keys = words.phrases(k, before, least)
+            order, first = grouped(keys)
+            before = np.zeros(len(words.starts), np.uint64)
+            before[at[order]] = np.repeat(totals, np.diff(np.append(first, len(order))))
+            yield k, at[order], first, totals, speaks, before
+
+    def send(table: pa.Table, levels: list) -> pa.Table:
+        words, before = Dictionary(table), None
+        for *_, before in walked(words, levels):
+            pass
+        at, keys = words.phrases(len(levels) + 1, before, least)
+        out = notes(table.column("bucket")[0].as_py(), keys, words.weight[at], n, passenger(levels) if levels else None)
+        del words, at, keys, before
+        scan.release()
+        return out
 
     def send_on(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return _NOTE.empty_table()
-        words = Dictionary(left)
-        totals, speaks, _ = received(right)
-        _, _, _, _, pairs = pairs_by_place(words, totals)
-        at, keys = candidates(words, pairs)
-        return notes(left.column("bucket")[0].as_py(), keys, words.weight[at], n, [np.packbits(speaks).tobytes(), numbers(totals)])[0]
-
-    def candidates(words: Dictionary, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at, keys = words.phrases(3)
-        known = words.weight[at + 1] > 0  # the second pair is the next chunk's, so its total is not known here: kept
-        common = (pairs[at] >= least) & (~known | (pairs[at + 1] >= least))
-        return at[common], keys[common]
+        return send(left, received(right)) if left.num_rows else _NOTE.empty_table()
 
     def say(left: pa.Table, right: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         if left.num_rows:
             words = Dictionary(left)
-            totals3, speaks3, rider = received(right)
-            totals, speaks = read_numbers(rider[1]), None
-            speaks = np.unpackbits(np.frombuffer(rider[0], np.uint8), count=len(totals)).astype(bool)
             names = words.langs.dictionary.to_pylist()
             counts = np.zeros(len(names), np.int64)
             np.add.at(counts, words.lang, words.weight.astype(np.int64))
             rows += [(name, 0, None, int(c)) for name, c in zip(names, counts)]
-            at, order, first, single, pairs = pairs_by_place(words, totals)
-            for i in np.flatnonzero(speaks & (totals >= least)):
-                place = order[first[i]]
-                k = 1 if single[place] else 2
-                rows.append((names[words.lang[at[place]]], k, words.text(at[place], k), int(totals[i])))
-            if size > 2:
-                at, keys = candidates(words, pairs)
-                order, first = grouped(keys)
-                for i in np.flatnonzero(speaks3 & (totals3 >= least)):
-                    place = at[order[first[i]]]
-                    rows.append((names[words.lang[place]], 3, words.text(place, 3), int(totals3[i])))
+            for k, at, first, totals, speaks, _ in walked(words, received(right)):
+                rows += [(names[words.lang[at[first[i]]]], k, words.text(at[first[i]], k), int(totals[i])) for i in np.flatnonzero(speaks & (totals >= least))]
         return pa.table([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.int64())],
                         names=["lang", "k", "phrase", "f"])
 
-    back = total(by_bucket(chunks).applyInArrow(send, NOTES))
-    back = total(by_bucket(chunks).cogroup(by_bucket(back)).applyInArrow(send_on, NOTES))
+    back = total(by_bucket(chunks).applyInArrow(lambda table: send(table, []), NOTES))
+    for _ in range(size - 1):
+        back = total(by_bucket(chunks).cogroup(by_bucket(back)).applyInArrow(send_on, NOTES))
     return by_bucket(chunks).cogroup(by_bucket(back)).applyInArrow(say, "lang string, k int, phrase string, f long")
 
 

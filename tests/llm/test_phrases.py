@@ -76,6 +76,16 @@ def test_keys_that_share_a_half():
     assert [tuple(k) for k in keys[order][first]] == [(5, 1), (5, 2), (7, 0)]
 
 
+def test_packed_keys_and_chunks():
+    pick = np.random.default_rng(7)
+    keys = np.empty(1000, phrases._KEY)
+    keys["a"], keys["b"] = np.sort(pick.integers(0, 1 << 63, 1000)), pick.integers(0, 1 << 32, 1000)
+    assert (phrases.read_keys(phrases.key_bytes(keys)) == keys).all() and len(phrases.read_keys(phrases.key_bytes(keys[:0]))) == 0
+    text = np.frombuffer(b" one two three", np.uint8)
+    got = phrases.unpacked(phrases.packed(text, np.array([4, 10]), np.array([1, 70_000])))
+    assert got[0] == text.tobytes() and got[1].tolist() == [4, 10] and got[2].tolist() == [1, 70_000]
+
+
 def test_numbers_of_any_size():
     for values in ([], [0, 255], [256], [1 << 20, 3], [1 << 40, 1]):
         got = phrases.read_numbers(phrases.numbers(np.array(values, np.uint64)))
