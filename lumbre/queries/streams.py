@@ -50,7 +50,7 @@ def stream_entity_profile(t):
 @query("X7 A25", "SELECT md5(text) AS digest, count(*) AS count FROM conversations GROUP BY text")
 def stream_distinct_texts(t):
     path = scratch_path(t.spark, "texts")
-    source = t.spark.readStream.schema(t.conversations.schema).option("pathGlobFilter", "conversations.parquet").parquet(t.base)
+    source = jobs.table_stream(t.spark, t.base, "conversations", t.conversations.schema)
     jobs.for_each_batch(source, jobs.text_merger(path, "text"), f"{path}__checkpoint").awaitTermination()
     from lumbre.sources.sinks import current_table
     return current_table(t.spark, path).select(F.md5("text").alias("digest"), "count")

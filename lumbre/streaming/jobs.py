@@ -16,10 +16,18 @@ ONCE = {"availableNow": True}
 
 def event_stream(spark: SparkSession, folder: str, name: str, schema, ts: str = "ts", max_files: int | None = None) -> DataFrame:
     """A Parquet table as a stream; its time becomes a zoned timestamp, which watermarks require."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
+    return table_stream(spark, folder, name, schema, max_files).withColumn(ts, F.col(ts).cast("timestamp"))
+
+
+def table_stream(spark: SparkSession, folder: str, name: str, schema, max_files: int | None = None) -> DataFrame:
+    """The Parquet table ``name`` of a folder as a stream, be it one file or a folder of files.
+
+    The pattern is in the path, where it finds both; a plain path to a file is refused, and a file filter does not look into folders.
+    """
+    reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", str(max_files))
-    return reader.parquet(folder).withColumn(ts, F.col(ts).cast("timestamp"))
+    return reader.parquet(f"{folder.rstrip('/')}/{name}.parquet*")
 
 
 def run_once(df: DataFrame, path: str, mode: str = "append", fmt: str = "parquet") -> DataFrame:
