@@ -86,15 +86,15 @@ def stream_throttled_alerts(t):
     return jobs.run_once(jobs.throttled_alert_stream(alerts, "monitor", "at"), scratch_path(t.spark, "throttle")).select("monitor", F.unix_seconds("at").alias("s"))
 
 
-def _arrivals(t, df, order, pieces: int = 4):
-    """A table as files that arrive one after the other in the order of a number, each a batch of the stream."""
-    path = scratch_path(t.spark, "arrivals")
+def _drained(t, df, order, action, path: str, pieces: int = 4) -> None:
+    """A table that arrives in pieces, in the order of a number: each piece is written in parallel and is one batch of the stream, which goes on after it."""
+    arrived = f"{path}/arrivals"
     ends = df.agg(F.min(order).alias("a"), F.max(order).alias("b")).first()
     cuts = [ends["a"] + (ends["b"] - ends["a"]) * i // pieces for i in range(1, pieces)] if ends["a"] is not None else []
     for lo, hi in zip([None, *cuts], [*cuts, None]):
         part = df.where((F.lit(True) if lo is None else F.col(order) > lo) & (F.lit(True) if hi is None else F.col(order) <= hi))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", "1").parquet(path)
+        part.write.mode("append").parquet(arrived)
+        carried.drain(t.spark.readStream.schema(df.schema).parquet(arrived), action, path)
 
 
 @query("X18 J2", """SELECT e.user_id, strftime(e.ts, '%Y-%m-%d %H:%M:%S.%f') AS at, count(*) AS n_right FROM (SELECT * FROM events WHERE event_type = 'error') e
@@ -102,8 +102,7 @@ JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON e.user_id = p.use
 def stream_correlation(t):
     path, k = scratch_path(t.spark, "correlation"), F.col("event_type")
     rows = t.events.select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    source = _arrivals(t, rows, "us")
-    carried.drain(source, carried.correlator(t.spark, path, k == "error", k == "purchase", "user_id", "ts", 3600), path)
+    _drained(t, rows, "us", carried.correlator(t.spark, path, k == "error", k == "purchase", "user_id", "ts", 3600), path)
     found = carried.correlations(t.spark, path, rows.schema, "user_id", "ts", 3600)
     return found.select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "n_right")
 
@@ -117,7 +116,7 @@ def stream_multiline(t):
     lines = lines.select(F.concat(F.lit("app"), F.pmod("doc_id", F.lit(5)).cast("string")).alias("source"), (F.col("doc_id") * 1_000_000 + F.col("pos")).alias("offset"),
                          F.when(F.col("pos") == 0, F.concat(head, "line")).otherwise(F.col("line")).alias("value"))
     begins = lambda c: c.rlike("^<entry [0-9]+> ")
-    carried.drain(_arrivals(t, lines, "offset"), carried.record_assembler(t.spark, path, begins), path)
+    _drained(t, lines, "offset", carried.record_assembler(t.spark, path, begins), path)
     found = carried.records(t.spark, path, begins)
     return found.select(F.regexp_extract("value", "^<entry ([0-9]+)> ", 1).cast("bigint").alias("doc_id"), "lines", F.md5(F.regexp_replace("value", "^<entry [0-9]+> ", "")).alias("digest"))
 
@@ -132,7 +131,7 @@ def stream_combined_tasks(t):
     path = scratch_path(t.spark, "tasks")
     rows = t.events.select("user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     ends = F.col("event_type") == "purchase"
-    carried.drain(_arrivals(t, rows, "us"), carried.task_combiner(t.spark, path, "user_id", "ts", ends, ["value"], 6 * 3600), path)
+    _drained(t, rows, "us", carried.task_combiner(t.spark, path, "user_id", "ts", ends, ["value"], 6 * 3600), path)
     found = carried.combined_tasks(t.spark, path, rows.schema, "user_id", ["value"])
     return found.select("user_id", iso(F.col("first")).alias("first"), "events", F.round("value_sum", 2).alias("value_sum"), "outcome")
 
