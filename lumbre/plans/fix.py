@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lumbre.functions.nested import let, pairs_to_map
+from lumbre.functions.nested import pairs_to_map
 from lumbre.plans.grok import capture
 
 # Tag → (field name, type). s text, t long text, f decimal, i integer, d UTC time.
@@ -100,7 +100,7 @@ ENVELOPES = {
 }
 ANY_ENVELOPE = "|".join(f"(?:{rx})" for rx, _ in ENVELOPES.values())
 _MESSAGE = r"(?:^|[\s:|\x01])8=FIXT?\.\d"
-_FIX_TIME = r"^(\d{4})(\d{2})(\d{2})-(\d{2}):(\d{2}):(\d{2})(?:\.(\d{1,9}))?$"
+_FIX_TIME = r"^\d{8}-\d{2}:\d{2}:\d{2}(?:\.\d{1,9})?$"
 # An application log runs on the server's clock; the protocol's own times are UTC.
 LOG_ZONE = "America/Argentina/Buenos_Aires"
 _LIMIT_MS = 60_000
@@ -126,17 +126,18 @@ def detect(lines: DataFrame, value: str = "value") -> DataFrame:
 
 def fix_time(c: Column) -> Column:
     """UTC timestamp of a protocol time, milliseconds at most."""
-    millis = F.rpad(F.substring(F.regexp_extract(c, _FIX_TIME, 7), 1, 3), 3, "0")
-    text = F.concat(F.substring(c, 1, 17), F.lit("."), millis)
-    return F.when(c.rlike(_FIX_TIME), F.try_to_timestamp(text, F.lit("yyyyMMdd-HH:mm:ss.SSS")))
+    part = lambda at, n: F.substring(c, at, n)
+    text = F.concat(part(1, 4), F.lit("-"), part(5, 2), F.lit("-"), part(7, 2), F.lit(" "), part(10, 12))
+    return F.when(c.rlike(_FIX_TIME), text.try_cast("timestamp"))
 
 
 def tag_map(payload: Column) -> Column:
     """tag → raw value; the first occurrence of a repeated tag wins."""
-    message = F.regexp_extract(payload, r"(8=FIX[\s\S]*)$", 1)
-    parts = F.filter(F.split(message, r"[|\x01]"), lambda p: p.rlike(r"^\d+="))
-    return let(parts, lambda ps: pairs_to_map(F.transform(ps, lambda p: F.substring_index(p, "=", 1)),
-                                              F.transform(ps, lambda p: F.substr(p, F.instr(p, "=") + F.lit(1))), keep="first"))
+    # found as text: a regular expression to the end walks every character of the line
+    at = F.instr(payload, "8=FIX")
+    message = F.when(at > 0, F.substr(payload, at)).when(payload.isNotNull(), F.lit(""))
+    part = F.lit(r"(?:^|[|\x01])(\d+)=([^|\x01]*)")
+    return pairs_to_map(F.regexp_extract_all(message, part, F.lit(1)), F.regexp_extract_all(message, part, F.lit(2)), keep="first")
 
 
 def label(tag: int, code: Column) -> Column:
@@ -156,6 +157,11 @@ def decode(lines: DataFrame, envelope: str, value: str = "value", zone: str = LO
     df = df.withColumns({"_payload": payload, "_msg": is_message, "_session": get("session"), "_logger": get("logger"),
                          "_tags": F.when(is_message, tag_map(payload))})
     raw = lambda tag: F.try_element_at(F.col("_tags"), F.lit(str(tag)))
+    logged = F.try_to_timestamp(F.translate(F.translate(get("ts"), ",", "."), "T", " "), F.lit("yyyy-MM-dd HH:mm:ss.SSS"))
+    # columns of their own, so that what uses a time several times does not parse it again
+    df = df.withColumns({"_received": F.to_utc_timestamp(logged, zone) if envelope == "slf4j" else fix_time(get("ts")),
+                         "_sent": fix_time(raw(52)), "_made": fix_time(raw(60))})
+    received, sent, made = F.col("_received"), F.col("_sent"), F.col("_made")
 
     fields: dict[str, Column] = {}
     for tag, (name, kind) in TAGS.items():
@@ -199,9 +205,6 @@ def decode(lines: DataFrame, envelope: str, value: str = "value", zone: str = LO
                                       - F.regexp_extract(event, jump, 1).try_cast("bigint")),
         "fix_monto_ejecutado": F.when(qty > 0, F.round(qty * px, 2)),
     })
-    logged = F.try_to_timestamp(F.translate(F.translate(get("ts"), ",", "."), "T", " "), F.lit("yyyy-MM-dd HH:mm:ss.SSS"))
-    received = F.to_utc_timestamp(logged, zone) if envelope == "slf4j" else fix_time(get("ts"))
-    sent, made = fix_time(raw(52)), fix_time(raw(60))
     fields["@timestamp"] = received
     fields["fix_demora_ms"] = _credible(sent, made)
     fields["fix_latencia_ms"] = F.when(direction == "entrante", _credible(received, sent))

@@ -165,7 +165,7 @@ def capture(c: Column, regex: str, names: list[str], fields: list[str] | None =
     head = "" if regex.startswith("^") else r"^[\s\S]*?"
     tail = "" if regex.endswith("$") else r"[\s\S]*$"
     # The input holds no separator, so one at the start tells a match from an untouched line.
-    joined = F.regexp_replace(F.translate(c, _SEPARATOR, " "), head + regex + tail,
+    joined = F.regexp_replace(F.replace(c, F.lit(_SEPARATOR), F.lit(" ")), head + regex + tail,
                               "".join(f"{_SEPARATOR}${i + 1}" for i in range(len(names))))
     order: dict[str, list[int]] = {n: [] for n in fields or []}
     for i, n in enumerate(names):
