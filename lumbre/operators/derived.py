@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lumbre.functions.nested import let
 from lumbre.operators.aggregates import time_bucket
 
 
@@ -109,18 +110,25 @@ def merged_templates(templates: DataFrame, max_variants: int = 8) -> DataFrame:
 
 def funnel(steps: Column) -> Column:
     """Summary of the ordered steps of one event (array of struct code, index, status, timedout, lateResp)."""
-    ordered = F.array_sort(steps, lambda a, b: F.coalesce(a["index"].try_cast("int"), F.lit(0)) - F.coalesce(b["index"].try_cast("int"), F.lit(0)))
-    ok = F.filter(ordered, lambda s: s["status"] == "C")
-    bad = F.filter(ordered, lambda s: ~s["status"].eqNullSafe(F.lit("C")))
-    last = F.try_element_at(ordered, F.lit(-1))
-    timeout = F.exists(ordered, lambda s: s["timedout"].eqNullSafe(F.lit("True")))
-    return F.when(F.size(steps) > 0, F.struct(
-        F.size(ordered).alias("steps_total"), F.size(ok).alias("steps_completed"),
-        F.transform(ordered, lambda s: s["code"]).alias("steps_reached"), F.transform(ok, lambda s: s["code"]).alias("steps_ok"),
-        last["code"].alias("last_step_code"), last["index"].try_cast("int").alias("last_step_index"),
-        last["status"].alias("last_step_status"), F.try_element_at(ok, F.lit(-1))["code"].alias("deepest_ok_code"),
-        ((F.size(ok) < F.size(ordered)) | timeout).alias("failed"), F.get(bad, 0)["code"].alias("failed_at_code"),
-        timeout.alias("had_timeout"), F.exists(ordered, lambda s: s["lateResp"].eqNullSafe(F.lit("True"))).alias("had_late_resp")))
+    def ranked(given: Column) -> Column:
+        # native comparison of index and place, so that equal indexes keep their order
+        return F.sort_array(F.transform(given, lambda s, i: F.struct(
+            F.coalesce(s["index"].try_cast("int"), F.lit(0)).alias("at"), i.alias("place"), *[s[c].alias(c) for c in ("code", "index", "status", "timedout", "lateResp")])))
+
+    def summary(ordered: Column, ok: Column) -> Column:
+        bad = F.filter(ordered, lambda s: ~s["status"].eqNullSafe(F.lit("C")))
+        last = F.try_element_at(ordered, F.lit(-1))
+        timeout = F.exists(ordered, lambda s: s["timedout"].eqNullSafe(F.lit("True")))
+        return F.struct(
+            F.size(ordered).alias("steps_total"), F.size(ok).alias("steps_completed"),
+            F.transform(ordered, lambda s: s["code"]).alias("steps_reached"), F.transform(ok, lambda s: s["code"]).alias("steps_ok"),
+            last["code"].alias("last_step_code"), last["index"].try_cast("int").alias("last_step_index"),
+            last["status"].alias("last_step_status"), F.try_element_at(ok, F.lit(-1))["code"].alias("deepest_ok_code"),
+            ((F.size(ok) < F.size(ordered)) | timeout).alias("failed"), F.get(bad, 0)["code"].alias("failed_at_code"),
+            timeout.alias("had_timeout"), F.exists(ordered, lambda s: s["lateResp"].eqNullSafe(F.lit("True"))).alias("had_late_resp"))
+
+    # sorted and filtered once for all fields
+    return F.when(F.size(steps) > 0, let(ranked(steps), lambda ordered: let(F.filter(ordered, lambda s: s["status"] == "C"), lambda ok: summary(ordered, ok))))
 
 
 def funnel_from_rows(df: DataFrame, key: str, index: str, code: str, ok: Column) -> DataFrame:

@@ -89,7 +89,7 @@ def step_array_funnel(t):
     steps = F.array(step("confirm", 10, F.col("l_linestatus") == "F"), step("validate", 0, F.lit(True)), step("check", 2, F.col("l_returnflag") != "R"))
     doc = F.to_json(F.struct(F.struct(steps.alias("steps")).alias("data")))
     parsed = F.from_json(doc, "data struct<steps:array<struct<code:string,index:string,status:string,timedout:string,lateResp:string>>>")
-    df = t.lineitem.select("l_linenumber", "l_returnflag", "l_linestatus", parsed.alias("p")).withColumn("f", derived.funnel(F.col("p.data.steps")))
+    df = t.spread("lineitem", "l_linenumber", "l_returnflag", "l_linestatus").select("l_linenumber", "l_returnflag", "l_linestatus", parsed.alias("p")).withColumn("f", derived.funnel(F.col("p.data.steps")))
     return df.groupBy("l_linenumber", "l_returnflag", "l_linestatus").agg(
         F.count(F.lit(1)).alias("n"), F.sum("f.steps_total").alias("steps"), F.sum("f.steps_completed").alias("completed"),
         F.max(F.coalesce("f.failed_at_code", F.lit(""))).alias("failed_at"))
