@@ -2,12 +2,12 @@
 
 from functools import reduce
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from lumbre.functions import dates, missing, nested, net, numbers
 from lumbre.functions.dates import iso
 from lumbre.functions.keys import composite_key, fingerprint, in_share, masked, prune, row_uuid
-from lumbre.operators import derived
+from lumbre.operators import derived, scan
 from lumbre.plans import delimited, fix, formats, grok, keyvalue
 from lumbre.queries.registry import query
 from lumbre.session import scratch_path
@@ -503,10 +503,12 @@ def thinned_events(t):
 @query("S14", """SELECT o_orderstatus AS status, count(*) AS lines, md5(string_agg(CAST(o_orderkey AS VARCHAR), chr(10) ORDER BY o_orderkey)) AS body, 0 AS errors FROM orders GROUP BY 1""")
 def long_quoted_records(t):
     """One record per order status whose quoted cell has a line for each order."""
-    w = Window.partitionBy("o_orderstatus").orderBy("o_orderkey")
-    n, last = F.row_number().over(w), F.lead("o_orderkey").over(w).isNull()
-    line = F.concat(F.when(n == 1, F.concat(F.col("o_orderstatus"), F.lit(',"'))).otherwise(""), text("o_orderkey"), F.when(last, '"').otherwise(""))
-    records = readers.quoted_records(t.orders.select(F.col("o_orderstatus").alias("file"), n.alias("n"), line.alias("value")), ["file"], "n")
+    # numbered by slices of the keys, so that no status has to fit in one task
+    ones = t.orders.select("o_orderstatus", "o_orderkey", F.lit(1).alias("one"))
+    numbered = scan.chunked_scan(ones, ["o_orderstatus"], "o_orderkey", F.floor(F.col("o_orderkey") / 100_000), n=("sum", "one"))
+    numbered = numbered.join(ones.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("all")), "o_orderstatus")
+    line = F.concat(F.when(F.col("n") == 1, F.concat(F.col("o_orderstatus"), F.lit(',"'))).otherwise(""), text("o_orderkey"), F.when(F.col("n") == F.col("all"), '"').otherwise(""))
+    records = readers.quoted_records(numbered.select(F.col("o_orderstatus").alias("file"), F.floor((F.col("n") - 1) / 100_000).alias("block"), "n", line.alias("value")), ["file", "block"], "n")
     return records.select(F.substring_index("value", ",", 1).alias("status"), F.col("lines").cast("bigint").alias("lines"),
                           F.md5(F.regexp_extract("value", r'"([^"]*)"', 1)).alias("body"), F.size("parse_errors").alias("errors"))
 
