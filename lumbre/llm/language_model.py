@@ -9,6 +9,8 @@ are averaged.  Scoring carries the state through whole documents in the same way
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections import deque
 from dataclasses import dataclass
 
@@ -23,6 +25,8 @@ from lumbre.llm import scan, tally
 
 SHAPES = 24
 HIDDEN, WINDOW, LANES = 32, 32, 128
+#: documents scored side by side; unlike the lanes of training, they change no result
+SCORED = 512
 #: a vocabulary of side * side frequent words: at least 32 * 32; four times as many whenever the training text has sixteen times the
 #: words (distinct words grow about as the root of all), up to 256 * 256, which bounds what is sent to tasks
 LEAST_SIDE, MOST_SIDE, WORDS_AT_LEAST = 32, 256, 1 << 27
@@ -118,70 +122,138 @@ def start(layout: Layout = SMALLEST, seed: int = 5) -> dict[str, np.ndarray]:
             "w": normal(groups, layout.side, HIDDEN), "wb": np.zeros((groups, layout.side), np.float32)}
 
 
-def step(p: dict, symbol: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
-    g, a = p["x"][symbol], h @ p["u"]
-    zr = g[:, :2 * HIDDEN] + a[:, :2 * HIDDEN]
-    np.negative(zr, out=zr)
-    np.exp(zr, out=zr)
-    zr += 1
-    np.reciprocal(zr, out=zr)
-    z, r, an = zr[:, :HIDDEN], zr[:, HIDDEN:], a[:, 2 * HIDDEN:]
-    n = np.tanh(g[:, 2 * HIDDEN:] + r * an)
-    return n + z * (h - n), (h, z, r, n, an)
+#: numbers of a block that is gone through several times, so that it stays near the core
+BLOCK = 1 << 17
 
 
-def softmax(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Softmax of each row, in place of ``x``, and the logarithm of one column of each."""
-    x -= x.max(axis=1, keepdims=True)
-    said = x[np.arange(len(x)), at]
-    total = np.exp(x, out=x).sum(axis=1)
-    x /= total[:, None]
-    return x, said - np.log(total)
+class Space:
+    """Arrays that are used again from window to window, by name: a new one of some MB for each step costs more than the step."""
 
+    def __init__(self, dtype=np.float32):
+        self.dtype, self.held = dtype, {}
 
-def _chosen(x: np.ndarray, at: np.ndarray, bound: float) -> np.ndarray:
-    """Log softmax of one column of each row; rows are not shifted if ``bound`` on their values keeps exp in range."""
-    if bound > 80:
-        x -= x.max(axis=1, keepdims=True)
-    said = x[np.arange(len(x)), at]
-    return said - np.log(np.exp(x, out=x).sum(axis=1))
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        size, flat = math.prod(shape), self.held.get(name)
+        if flat is None or len(flat) < size:
+            flat = self.held[name] = np.empty(size, self.dtype)
+        return flat[:size].reshape(shape)
 
 
-def _bound(w: np.ndarray, b: np.ndarray, axis: int) -> float:
-    """Largest output of a layer whose inputs lie in -1 to 1, as states do."""
-    return float((np.abs(w).sum(axis=axis) + np.abs(b)).max())
+def inputs(p: dict, symbols: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+    """What ``forward`` reads: the input rows of ``symbols`` and the turned weights of the state, both with negated gates."""
+    rows, turned = np.array(p["x"][symbols]), np.array(p["u"].T, order="C")
+    rows[:, :2 * HIDDEN] *= -1
+    turned[:2 * HIDDEN] *= -1
+    return rows, turned
 
 
-def outputs(p: dict, h: np.ndarray, target: np.ndarray, grad: dict | None = None):
-    """Natural log probability of each target symbol (a shape class is one symbol here); with ``grad``, also the gradient by ``h``."""
-    lay = layout_of(p)
-    rows, kind, side = np.arange(len(h)), lay.class_of(target), lay.side
-    logits = h @ p["c"]
-    logits += p["cb"]
+def forward(rows: np.ndarray, turned: np.ndarray, fed: np.ndarray, fresh: np.ndarray, h: np.ndarray, space: Space, keep: bool = False):
+    """States (step, HIDDEN, lane) of a window that feeds ``rows`` numbered by ``fed`` (step, lane) and goes on from ``h`` (HIDDEN, lane).
+
+    With ``keep``, also what the gradient needs.  A step's features are rows and its lanes lie side by side, so every part of a step is one block.
+    """
+    steps, m = fed.shape
+    states, kept, per = space("states", steps, HIDDEN, m), steps if keep else 1, max(1, BLOCK // (4 * HIDDEN * m))
+    before, said = space("before", kept, HIDDEN, m), space("said", kept, 3 * HIDDEN, m)
+    gates, news = space("gates", kept, 2 * HIDDEN, m), space("news", kept, HIDDEN, m)
+    starts = fresh.any(axis=1)
+    for t in range(steps):
+        if t % per == 0:
+            part = fed[t:t + per]
+            dealt = np.take(rows, part.ravel(), axis=0, out=space("dealt", part.size, 3 * HIDDEN), mode="clip")
+            given = space("given", len(part), 3 * HIDDEN, m)
+            np.copyto(given, dealt.reshape(len(part), m, 3 * HIDDEN).transpose(0, 2, 1))
+        x, k = given[t % per], t if keep else 0
+        if keep or starts[t]:
+            before[k] = h
+            h = before[k]
+            if starts[t]:
+                h[:, fresh[t]] = 0
+        a, zr, n, after = said[k], gates[k], news[k], states[t]
+        np.matmul(turned, h, out=a)
+        np.add(a[:2 * HIDDEN], x[:2 * HIDDEN], out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        np.multiply(zr[HIDDEN:], a[2 * HIDDEN:], out=n)
+        n += x[2 * HIDDEN:]
+        np.tanh(n, out=n)
+        np.subtract(h, n, out=after)
+        after *= zr[:HIDDEN]
+        after += n
+        h = after
+    return (states, (before, gates[:, :HIDDEN], gates[:, HIDDEN:], news, said[:, 2 * HIDDEN:])) if keep else states
+
+
+def step(p: dict, symbol: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """One step of each row of ``h`` (lane, HIDDEN)."""
+    states, kept = forward(*inputs(p), symbol[None], np.zeros((1, len(symbol)), bool), h.T, Space(p["u"].dtype), keep=True)
+    return states[0].T, kept
+
+
+def said(p: dict, states: np.ndarray, target: np.ndarray, space: Space, alive: np.ndarray | None = None, grad: dict | None = None):
+    """Natural log probability of each target symbol (step, lane); a shape class is one symbol here.
+
+    With ``grad``, also the gradient by the states, of targets that are ``alive``; of the words' weights, ``grad`` has the ``groups`` met.
+    """
+    lay, (steps, _, m), c = layout_of(p), states.shape, p["c"]
+    n, side, kind, turned = lay.classes, lay.side, lay.class_of(target), states.transpose(0, 2, 1)
+    logs, per = np.empty((steps, m)), max(1, BLOCK // (lay.classes * m))
+    bounded = float((np.abs(c).sum(axis=0) + np.abs(p["cb"])).max()) < 80  # states lie in -1 to 1, so exp stays in range
+    if grad is not None:
+        grad["c"], grad["cb"], back = np.zeros_like(c), np.zeros_like(p["cb"]), space("back", steps, HIDDEN, m)
+    for a in range(0, steps, per):
+        b = min(a + per, steps)
+        d = np.matmul(c.T, states[a:b], out=space("classes", b - a, n, m))
+        d += p["cb"][:, None]
+        if not bounded:
+            d -= d.max(axis=1, keepdims=True)
+        place, flat = (np.arange(b - a)[:, None] * n + kind[a:b]) * m + np.arange(m), d.reshape(-1)
+        logs[a:b] = flat[place]
+        total = np.exp(d, out=d).sum(axis=1)
+        logs[a:b] -= np.log(total)
+        if grad is not None:
+            d *= np.reciprocal(total, out=total)[:, None]
+            flat[place] -= 1
+            if alive is not None:
+                d *= alive[a:b, None]
+            grad["c"] += np.matmul(d, turned[a:b]).sum(axis=0).T
+            grad["cb"] += d.sum(axis=2).sum(axis=0)
+            np.matmul(c, d, out=back[a:b])
+    inner = (target >= side) & (target < lay.head)
+    inner = np.flatnonzero(inner if alive is None else inner & alive)
+    group = target.ravel()[inner] // side - 1
+    order = np.argsort(group.astype(np.uint16), kind="stable")
+    inner, group = inner[order], group[order]
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
+    parts = list(zip(group[first].tolist(), first.tolist(), np.append(first[1:], len(group)).tolist()))
+    at, word, rows = np.divmod(inner, m), target.ravel()[inner] % side, np.arange(len(inner))
+    h, d, ones = turned[at], space("inner", len(inner), side), np.ones(max(len(inner), side), states.dtype)
+    for g, a, b in parts:
+        np.matmul(h[a:b], p["w"][g].T, out=d[a:b])
+    d += p["wb"][group]
+    d -= d.max(axis=1, keepdims=True)
+    more = d[rows, word].astype(np.float64)
+    total = np.exp(d, out=d) @ ones[:side]
+    logs.reshape(-1)[inner] += more - np.log(total)
     if grad is None:
-        said = _chosen(logits, kind, _bound(p["c"], p["cb"], 0)).astype(np.float64)
-    else:
-        d, logs = softmax(logits, kind)
-        said = logs.astype(np.float64)
-        d[rows, kind] -= 1
-        grad["c"], grad["cb"], back = h.T @ d, d.sum(axis=0), d @ p["c"].T
-        grad["w"], grad["wb"] = np.zeros_like(p["w"]), np.zeros_like(p["wb"])
-    inner = np.flatnonzero((target >= side) & (target < lay.head))
-    inner = inner[np.argsort(kind[inner], kind="stable")]
-    cuts = np.searchsorted(kind[inner], side + np.arange(side))
-    for g in range(side - 1):
-        at = inner[cuts[g]:cuts[g + 1]]
-        if len(at):
-            logits, word = h[at] @ p["w"][g].T + p["wb"][g], target[at] % side
-            if grad is None:
-                said[at] += _chosen(logits, word, _bound(p["w"][g], p["wb"][g], 1))
-            else:
-                d, logs = softmax(logits, word)
-                said[at] += logs
-                d[np.arange(len(at)), word] -= 1
-                grad["w"][g], grad["wb"][g] = d.T @ h[at], d.sum(axis=0)
-                back[at] += d @ p["w"][g]
-    return (said, back) if grad is not None else said
+        return logs
+    d *= np.reciprocal(total)[:, None]
+    d[rows, word] -= 1
+    gw, gwb, moved = np.empty((len(parts), side, HIDDEN), h.dtype), np.empty((len(parts), side), h.dtype), np.empty_like(h)
+    for k, (g, a, b) in enumerate(parts):
+        np.matmul(d[a:b].T, h[a:b], out=gw[k])
+        np.matmul(ones[:b - a], d[a:b], out=gwb[k])
+        np.matmul(d[a:b], p["w"][g], out=moved[a:b])
+    back.transpose(0, 2, 1)[at] += moved
+    grad["groups"], grad["w"], grad["wb"] = group[first], gw, gwb
+    return logs, back
+
+
+def outputs(p: dict, h: np.ndarray, target: np.ndarray, grad: dict | None = None):
+    """``said`` of one step, for the rows of ``h`` (lane, HIDDEN)."""
+    got = said(p, np.ascontiguousarray(h.T)[None], target[None], Space(np.result_type(h, p["c"])), grad=grad)
+    return got[0] if grad is None else (got[0][0], got[1][0].T)
 
 
 class Walk:
@@ -194,60 +266,61 @@ class Walk:
         self.lanes, self.end = lanes, end
         self.h = np.zeros((lanes, HIDDEN), np.float32)
         self.waiting: deque = deque()
-        self.doc, self.at, self.place = [np.zeros(1, np.int32)] * lanes, [0] * lanes, [0] * lanes
+        self.doc, self.at = [np.zeros(1, np.int32)] * lanes, [0] * lanes
 
-    def add(self, symbols: np.ndarray, place: int = 0) -> None:
-        """One document; the input of its first word is an end.  ``place`` is where its first word stands among all."""
-        self.waiting.append((np.append(self.end, symbols).astype(np.int32), place))
+    def add(self, symbols: np.ndarray) -> None:
+        """One document; the input of its first word is an end."""
+        self.waiting.append(np.append(self.end, symbols).astype(np.int32))
 
     def running(self) -> bool:
         return any(at + 1 < len(doc) for doc, at in zip(self.doc, self.at))
 
-    def dealt(self, width: int, places: bool = False):
-        """For the lanes with words, (step, lane): input, target, whether there is a word, whether a document starts, where the word stands."""
+    def dealt(self, width: int):
+        """For the lanes with words, (step, lane): input, target, whether there is a word, whether a document starts."""
         fed, target = np.full((self.lanes, width), self.end, np.int32), np.full((self.lanes, width), self.end, np.int32)
-        alive, fresh = np.zeros((self.lanes, width), bool), np.zeros((self.lanes, width), bool)
-        where = np.zeros((self.lanes, width), np.int64) if places else None
+        filled, fresh = np.zeros(self.lanes, np.int64), np.zeros((self.lanes, width), bool)
         for k in range(self.lanes):
             done = 0
             while done < width:
                 if self.at[k] + 1 == len(self.doc[k]):
                     if not self.waiting:
                         break
-                    (self.doc[k], self.place[k]), self.at[k] = self.waiting.popleft(), 0
+                    self.doc[k], self.at[k] = self.waiting.popleft(), 0
                     fresh[k, done] = True
                 doc, at = self.doc[k], self.at[k]
                 n = min(width - done, len(doc) - 1 - at)
-                fed[k, done:done + n], target[k, done:done + n], alive[k, done:done + n] = doc[at:at + n], doc[at + 1:at + 1 + n], True
-                if places:
-                    where[k, done:done + n] = np.arange(self.place[k] + at, self.place[k] + at + n)
+                fed[k, done:done + n], target[k, done:done + n] = doc[at:at + n], doc[at + 1:at + 1 + n]
                 self.at[k], done = at + n, done + n
-        used = np.flatnonzero(alive[:, 0])
-        steps = int(alive.sum(axis=1).max())
-        return used, *(np.ascontiguousarray(x[used, :steps].T) for x in (fed, target, alive, fresh, *([where] if places else [])))
+            filled[k] = done
+        used, steps, alive = np.flatnonzero(filled), int(filled.max()), np.arange(width) < filled[:, None]
+        return used, *(np.ascontiguousarray(x[used, :steps].T) for x in (fed, target, alive, fresh))
 
 
-def log_probabilities(p: dict, symbols: np.ndarray, sizes: np.ndarray, lanes: int = LANES, window: int = 32) -> np.ndarray:
+def log_probabilities(p: dict, symbols: np.ndarray, sizes: np.ndarray, lanes: int = SCORED, window: int = WINDOW) -> np.ndarray:
     """Natural log probability of each symbol of whole documents given all before it."""
-    walk, first = Walk(min(lanes, max(1, len(sizes))), layout_of(p).end), np.cumsum(sizes) - sizes
+    out, space, (rows, turned) = np.empty(len(symbols), np.float32), Space(), inputs(p)
+    first, loads, docs = np.cumsum(sizes) - sizes, [(0, k) for k in range(min(lanes, max(1, len(sizes))))], [[] for _ in range(lanes)]
     for d in np.argsort(-sizes, kind="stable"):  # long ones first, so that lanes end together
-        if sizes[d]:
-            walk.add(symbols[first[d]:first[d] + sizes[d]], int(first[d]))
-    out = np.empty(len(symbols), np.float32)
-    while walk.waiting or walk.running():
-        used, fed, target, alive, fresh, where = walk.dealt(window, places=True)
-        h, starts = walk.h[used], fresh.any(axis=1)
-        states = np.empty((*fed.shape, HIDDEN), np.float32)
-        for t in range(len(fed)):
-            if starts[t]:
-                h[fresh[t]] = 0
-            h, _ = step(p, fed[t], h)
-            states[t] = h
-        walk.h[used] = h
-        if alive.all():
-            out[where.ravel()] = outputs(p, states.reshape(-1, HIDDEN), target.ravel())
-        else:
-            out[where[alive]] = outputs(p, states[alive], target[alive])
+        load, k = heapq.heappop(loads)
+        docs[k].append(d)
+        heapq.heappush(loads, (load + int(sizes[d]), k))
+    # lanes with much left come first, so those with a word at a step are the first ones; each is a run of places of words
+    loads = sorted((-load, k) for load, k in loads if load)
+    ends = np.array([-load for load, _ in loads], np.int64)
+    starts, dealt = np.cumsum(ends) - ends, np.array([d for _, k in loads for d in docs[k]], np.int64)
+    place = np.repeat(first[dealt] - np.cumsum(sizes[dealt]) + sizes[dealt], sizes[dealt]) + np.arange(len(symbols))
+    fed, fresh = np.append(np.int32(layout_of(p).end), symbols[:-1].astype(np.int32)), np.zeros(len(symbols), bool)
+    fresh[first[sizes > 0]] = True
+    fed[fresh] = layout_of(p).end
+    h = np.zeros((HIDDEN, len(ends)), np.float32)
+    for t in range(0, int(ends.max(initial=0)), window):
+        m, steps = int(np.searchsorted(-ends, -t)), t + np.arange(min(window, int(ends[0]) - t))[:, None]
+        alive = steps < ends[:m]
+        at = place[np.where(alive, starts[:m] + steps, starts[:m])]
+        states = forward(rows, turned, fed[at], fresh[at] & alive, h[:, :m], space)
+        h = states[-1].copy()
+        logs = said(p, states, symbols[at], space)
+        out[at[alive]] = logs[alive]
     return out
 
 
@@ -260,7 +333,7 @@ class Trainer(Walk):
 
     def __init__(self, p: dict, memory: dict, lanes: int = LANES):
         super().__init__(lanes, layout_of(p).end)
-        self.p, self.memory, self.words = p, memory, 0
+        self.p, self.memory, self.words, self.space = p, memory, 0, Space()
 
     def learn(self, rate, finish: bool = False) -> None:
         """Steps at ``rate(words before)`` while documents wait; with ``finish``, until all have ended."""
@@ -268,55 +341,78 @@ class Trainer(Walk):
             self._window(rate(self.words))
 
     def _window(self, rate: float) -> None:
-        p, (used, fed, target, alive, fresh) = self.p, self.dealt(WINDOW)
-        m, steps, h = len(used), len(fed), self.h[used]
-        starts, saved, states = fresh.any(axis=1), [], np.empty((steps, m, HIDDEN), np.float32)
-        for t in range(steps):
-            if starts[t]:
-                h = np.where(fresh[t][:, None], np.float32(0), h)
-            h, kept = step(p, fed[t], h)
-            saved.append(kept)
-            states[t] = h
-        self.h[used] = h
-        flat, grad = alive.ravel(), {}
-        states = states.reshape(-1, HIDDEN)
-        if flat.all():
-            _, back = outputs(p, states, target.ravel(), grad)
-        else:
-            back = np.zeros((len(flat), HIDDEN), np.float32)
-            _, back[flat] = outputs(p, states[flat], target.ravel()[flat], grad)
-        before, z, r, n, an = (np.stack(x) for x in zip(*saved))
-        # what the gradient of a state is multiplied by, for all steps at once
-        at_update, at_new, at_reset = z * (1 - z) * (before - n), (1 - z) * (1 - n * n), an * r * (1 - r)
-        back, turned = back.reshape(steps, m, HIDDEN), np.ascontiguousarray(p["u"].T)
-        dx, da_all, dh = np.empty((steps, m, 3 * HIDDEN), np.float32), np.empty((steps, m, 3 * HIDDEN), np.float32), np.zeros((m, HIDDEN), np.float32)
-        for t in range(steps - 1, -1, -1):
-            dh += back[t]
-            da, dn = da_all[t], dh * at_new[t]
-            np.multiply(dh, at_update[t], out=da[:, :HIDDEN])
-            np.multiply(dn, at_reset[t], out=da[:, HIDDEN:2 * HIDDEN])
-            np.multiply(dn, r[t], out=da[:, 2 * HIDDEN:])
-            dx[t, :, 2 * HIDDEN:] = dn
-            dh *= z[t]
-            dh += da @ turned
-            if starts[t]:
-                dh[fresh[t]] = 0
-        dx[:, :, :2 * HIDDEN] = da_all[:, :, :2 * HIDDEN]
-        grad["u"] = before.reshape(-1, HIDDEN).T @ da_all.reshape(-1, 3 * HIDDEN)
-        order = np.argsort(fed.ravel(), kind="stable")
-        ordered = fed.ravel()[order]
-        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        grad["x"] = np.zeros_like(p["x"])
-        grad["x"][ordered[first]] = np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
-        words = int(flat.sum())
+        p, space, (used, fed, target, alive, fresh) = self.p, self.space, self.dealt(WINDOW)
+        steps, m = fed.shape
+        # the window's different symbols, and the places of each one after the other
+        fed = fed.ravel()
+        order = np.argsort(fed.astype(np.uint16) if len(p["x"]) <= 1 << 16 else fed, kind="stable")
+        change = np.append(True, np.diff(fed[order]) != 0)
+        first = np.flatnonzero(change)
+        symbols, at = fed[order[first]], np.empty(len(fed), np.int64)
+        at[order] = np.cumsum(change) - 1
+        states, (before, z, r, n, an) = forward(*inputs(p, symbols), at.reshape(steps, m), fresh, self.h[used].T, space, keep=True)
+        self.h[used] = states[-1].T
+        words, starts, grad = int(alive.sum()), fresh.any(axis=1), {}
+        _, back = said(p, states, target, space, None if words == alive.size else alive, grad)
+        da_all, dn_all, dh = space("da", steps, 3 * HIDDEN, m), space("dn", steps, HIDDEN, m), np.zeros((HIDDEN, m), np.float32)
+        through, per = space("through", HIDDEN, m), max(1, BLOCK // (8 * HIDDEN * m))
+        for b in range(steps, 0, -per):
+            a = max(0, b - per)
+            # what the gradient of a state is multiplied by, for some steps at once
+            zs, rs, ns = z[a:b], r[a:b], n[a:b]
+            left = np.subtract(1, zs, out=space("left", b - a, HIDDEN, m))
+            at_update = np.subtract(before[a:b], ns, out=space("update", b - a, HIDDEN, m))
+            at_update *= zs
+            at_update *= left
+            at_new = np.multiply(ns, ns, out=space("new", b - a, HIDDEN, m))
+            np.subtract(1, at_new, out=at_new)
+            at_new *= left
+            at_reset = np.subtract(1, rs, out=space("reset", b - a, HIDDEN, m))
+            at_reset *= rs
+            at_reset *= an[a:b]
+            for t in range(b - 1, a - 1, -1):
+                dh += back[t]
+                k, da, dn = t - a, da_all[t], dn_all[t]
+                np.multiply(dh, at_update[k], out=da[:HIDDEN])
+                np.multiply(dh, at_new[k], out=dn)
+                np.multiply(dn, at_reset[k], out=da[HIDDEN:2 * HIDDEN])
+                np.multiply(dn, rs[k], out=da[2 * HIDDEN:])
+                dh *= zs[k]
+                dh += np.matmul(p["u"], da, out=through)
+                if starts[t]:
+                    dh[:, fresh[t]] = 0
+        dx = space("dx", 3 * HIDDEN, steps, m)
+        dx[:2 * HIDDEN], dx[2 * HIDDEN:] = da_all[:, :2 * HIDDEN].transpose(1, 0, 2), dn_all.transpose(1, 0, 2)
+        dx = np.take(dx.reshape(3 * HIDDEN, -1), order, axis=1, out=space("ordered", 3 * HIDDEN, steps * m), mode="clip")
+        grad["x"] = np.add.reduceat(dx, first, axis=1).T
+        grad["u"] = np.matmul(before, da_all.transpose(0, 2, 1)).sum(axis=0)
         rate *= words / (self.lanes * WINDOW)
-        for k, g in grad.items():  # root mean square of each parameter's gradients scales its steps
-            g = np.clip(g * (100 / words), -5, 5)
-            seen = self.memory.setdefault(k, np.zeros_like(p[k]))
-            seen += 0.05 * (g * g - seen)
-            p[k] -= rate * g / (np.sqrt(seen) + 1e-2)
+        groups = grad.pop("groups")
+        at = {"x": symbols, "w": groups, "wb": groups}
+        self.memory["windows"] = self.memory.get("windows", 0) + 1
+        for k, g in grad.items():
+            self._move(k, g * np.float32(100 / words), rate, at.get(k))
         self.words += words
 
+    def _move(self, k: str, g: np.ndarray, rate: float, rows: np.ndarray | None) -> None:
+        """The root mean square of a parameter's gradients scales its steps.
+
+        With ``rows``, the gradient of all other rows is zero: they do not move, and what is remembered of them fades when they are met again.
+        """
+        p, now = self.p[k], self.memory["windows"]
+        np.clip(g, -5, 5, out=g)
+        if k not in self.memory:
+            self.memory[k], self.memory[k + " last"] = np.zeros_like(p), np.zeros(len(p), np.int64)
+        seen, last, at = self.memory[k], self.memory[k + " last"], slice(None)
+        old = seen
+        if rows is not None:
+            at = rows
+            old = seen[at] * (0.95 ** (now - 1 - last[at])).astype(np.float32).reshape(-1, *[1] * (p.ndim - 1))
+            last[at] = now
+        old += 0.05 * (g * g - old)
+        seen[at] = old
+        p[at] -= rate * g / (np.sqrt(old) + 1e-2)
+
 
 def train(p: dict, symbols: np.ndarray, sizes: np.ndarray, memory: dict, rate: float, lanes: int = LANES) -> None:
     """One pass over documents, each with its own end as last symbol."""
@@ -447,14 +543,16 @@ def score(docs: DataFrame, train_on, key: str = "doc_id", text: str = "text", ro
     ranges = max(64, n // 2)
 
     def counted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """The different keys and the training count of each: those of all rows and those learnt from are sorted apart, which needs no order of rows."""
         learn = np.array(table.column("train").to_pylist(), bool)
-        parts, used = [np.full(len(learn), END_KEY)], [learn]
+        parts, used = [np.full(len(learn), END_KEY)], [np.full(learn.sum(), END_KEY)]
         for first, _, keys, _, doc in _tokens(table.column("text")):
             parts.append(keys)
-            used.append(learn[first + doc])
-        keys, used = np.concatenate(parts), np.concatenate(used)
-        unique, at = np.unique(keys, return_inverse=True)
-        return unique, np.bincount(at, weights=used, minlength=len(unique)).astype(np.int64)
+            used.append(keys[learn[first + doc]])
+        unique, (learnt, n) = tally.unique(np.concatenate(parts))[0], tally.unique(np.concatenate(used))
+        counts = np.zeros(len(unique), np.int64)
+        counts[np.searchsorted(unique, learnt)] = n
+        return unique, counts
 
     notes = tally.add_up(tally.send(d, counted, ranges), shapes=32)
     stats = notes.where(F.length("keys") > 0).select(F.explode(tally.statistics("keys")).alias("s")).groupBy(F.col("s.shape").alias("shape")).agg(F.sum("s.n").alias("n"), F.sum("s.v").alias("v"))
@@ -470,26 +568,28 @@ def score(docs: DataFrame, train_on, key: str = "doc_id", text: str = "text", ro
         words, blob = shared.value
         net, lay = _unpacked(blob, words.layout), words.layout
         totals, _ = tally.received(right)
-        unique, _ = counted(left)
         seen = {s["shape"]: (s["n"], s["v"]) for s in right.column("stats")[0].as_py()}
         all_n, all_v = sum(n for n, _ in seen.values()), sum(v for _, v in seen.values())
         head = words.keys & np.uint64(31)
         # what a shape class holds beside the frequent words: counts, different words and one for the unseen
         mass = np.array([max(1.0, seen.get(s, (0, 0))[0] - int(words.counts[head == s].sum()) + seen.get(s, (0, 0))[1] - int((head == s).sum()) + 1) for s in range(SHAPES)])
-        end, all_sizes, all_c, all_symbols = int(totals[np.searchsorted(unique, END_KEY)]), [], [], []
+        all_sizes, all_keys, all_symbols = [], [], []
         for _, rows, keys, shapes, doc in _tokens(left.column("text")):
             # each text's words, then its end
             sizes = np.bincount(doc, minlength=rows) + 1
             inside = np.ones(sizes.sum(), bool)
             inside[np.cumsum(sizes) - 1] = False
-            c, symbols = np.full(len(inside), end, np.int64), np.full(len(inside), lay.end, np.int32)
-            c[inside] = totals[np.searchsorted(unique, keys)]
-            symbols[inside] = words.symbol(keys, shapes)
+            said_keys, symbols = np.full(len(inside), END_KEY), np.full(len(inside), lay.end, np.int32)
+            said_keys[inside], symbols[inside] = keys, words.symbol(keys, shapes)
             all_sizes.append(sizes)
-            all_c.append(c)
+            all_keys.append(said_keys)
             all_symbols.append(symbols)
         # all documents of the bucket side by side, so that a long one does not run alone
-        sizes, c, symbols = np.concatenate(all_sizes), np.concatenate(all_c), np.concatenate(all_symbols)
+        sizes, keys, symbols = np.concatenate(all_sizes), np.concatenate(all_keys), np.concatenate(all_symbols)
+        # the totals are in the order of the different keys
+        order, c = np.argsort(keys), np.empty(len(keys), np.int64)
+        keys = keys[order]
+        c[order] = totals.astype(np.int64)[np.cumsum(np.append(False, keys[1:] != keys[:-1]))]
         logs = log_probabilities(net, symbols, sizes) / np.log(10)
         rare = (symbols >= lay.head) & (symbols < lay.end)
         logs[rare] += np.log10((c[rare] + 1) / mass[symbols[rare] - lay.head])

@@ -176,3 +176,48 @@ def test_odd_rows(odd, no_rows):
     assert all(r["n_tokens"] == 1 for r in rows if r["doc_id"] in (2, 3, 4)) and sum(r["held_out"] for r in rows) == 2
     assert lm.score(no_rows, F.lit(True), rounds=1).collect() == []
     assert all(r["train_tokens"] == 0 for r in lm.score(odd, F.lit(False), rounds=1).collect())
+
+
+def test_a_window_costs_by_the_words_it_meets():
+    """The parameters of the largest vocabulary take 34 MB: a window that meets a few words makes no copy of them."""
+    import tracemalloc
+    trainer = lm.Trainer(lm.start(lm.Layout(256)), {}, 1)
+    trainer.add(np.arange(lm.WINDOW))
+    trainer.learn(lambda _: 0.01, finish=True)
+    tracemalloc.start()
+    trainer.add(np.arange(1000, 1000 + lm.WINDOW))
+    trainer.learn(lambda _: 0.01, finish=True)
+    assert tracemalloc.get_traced_memory()[1] < 5e6
+    tracemalloc.stop()
+
+
+def test_rows_that_no_window_meets_fade_as_if_each_had(monkeypatch):
+    pick, move, got = np.random.default_rng(9), lm.Trainer._move, []
+    docs = [pick.integers(low, low + 60, 50) for low in (0, 500, 0, 980, 20)]
+
+    def dense(self, k, g, rate, rows):
+        if rows is not None:
+            full = np.zeros_like(self.p[k])
+            full[rows] = g
+            g = full
+        move(self, k, g, rate, None)
+
+    for fn in (move, dense):
+        monkeypatch.setattr(lm.Trainer, "_move", fn)
+        trainer = lm.Trainer(lm.start(), {}, 1)
+        for d in docs:
+            trainer.add(d)
+        trainer.learn(lambda _: 0.02, finish=True)
+        got.append(trainer.p)
+    assert all(np.allclose(got[0][k], got[1][k], atol=1e-5) for k in got[0]) and not np.allclose(got[0]["x"], lm.start()["x"])
+
+
+def test_places_do_not_matter_to_scores():
+    """Empty documents, more lanes than documents and windows that end anywhere."""
+    pick, p = np.random.default_rng(11), lm.start()
+    sizes = np.array([0, 40, 1, 0, 33, 64, 7, 0])
+    symbols = pick.integers(0, lm.SYMBOLS, sizes.sum())
+    want = np.concatenate([alone(p, d) for d in np.split(symbols, np.cumsum(sizes)[:-1]) if len(d)])
+    for lanes in (1, 3, 50):
+        assert np.allclose(lm.log_probabilities(p, symbols, sizes, lanes=lanes, window=8), want, atol=1e-4)
+    assert len(lm.log_probabilities(p, symbols[:0], np.zeros(2, np.int64))) == 0
