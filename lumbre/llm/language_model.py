@@ -9,6 +9,7 @@ are averaged.  Scoring carries the state through whole documents in the same way
 
 from __future__ import annotations
 
+import functools
 import heapq
 import math
 from collections import deque
@@ -26,7 +27,7 @@ from lumbre.llm import scan, tally
 SHAPES = 24
 HIDDEN, WINDOW, LANES = 32, 32, 128
 #: documents scored side by side; unlike the lanes of training, they change no result
-SCORED = 512
+SCORED = 256
 #: a vocabulary of side * side frequent words: at least 32 * 32; four times as many whenever the training text has sixteen times the
 #: words (distinct words grow about as the root of all), up to 256 * 256, which bounds what is sent to tasks
 LEAST_SIDE, MOST_SIDE, WORDS_AT_LEAST = 32, 256, 1 << 27
@@ -83,16 +84,22 @@ def keyed(words: scan.Words) -> tuple[np.ndarray, np.ndarray]:
     """Keys of words, whose last five bits are the shape, and the shapes: last character, length, characters beyond ASCII."""
     size = words.ends - words.starts
     last = words.data[words.ends - 1] if len(size) else words.data[:0]
-    tail = np.where(last == 46, 0, np.where(last == 44, 1, 2))
-    length = np.searchsorted([5, 8, 11], size, "right")
-    wide = np.concatenate([[0], np.cumsum(words.data >= 128)])
-    shapes = (tail * 4 + length) * 2 + (wide[words.ends] > wide[words.starts])
-    return words.hashes & ~np.uint64(31) | shapes.astype(np.uint64), shapes.astype(np.int64)
+    tail = 2 - (last == 44).view(np.int8) - 2 * (last == 46).view(np.int8)
+    length = (size >= 5).view(np.int8) + (size >= 8).view(np.int8) + (size >= 11).view(np.int8)
+    shapes = ((tail * 4 + length) * 2).astype(np.int64)
+    wide = words.data >= 128
+    places = np.flatnonzero(wide)
+    if len(places) < len(size):
+        shapes[np.searchsorted(words.starts, places, "right") - 1] |= 1
+    elif len(size):
+        wide = np.append(0, np.cumsum(wide, dtype=np.int32))
+        shapes += wide[words.ends] > wide[words.starts]
+    return words.hashes & ~np.uint64(31) | shapes.view(np.uint64), shapes
 
 
 def _tokens(column):
     """For each chunk: (first row, rows, keys, shapes, row of each word)."""
-    for words in scan.words(column, scan.NOT_SPACE, lower=True):
+    for words in scan.words(column, scan.NOT_SPACE, lower=True, size=TEXT):
         keys, shapes = keyed(words)
         yield words.first, words.rows, keys, shapes, words.doc
 
@@ -106,12 +113,22 @@ class Vocabulary:
     counts: np.ndarray
     layout: Layout = SMALLEST
 
+    @functools.cached_property
+    def _index(self) -> tuple[np.ndarray, int]:
+        """Where the keys with each value of the first 16 bits begin, and the most that share one."""
+        first = np.searchsorted(self.keys >> np.uint64(48), np.arange(1 << 16, dtype=np.uint64))
+        return first.astype(np.int32), int(np.diff(np.append(first, len(self.keys))).max())
+
     def symbol(self, keys: np.ndarray, shapes: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return self.layout.head + shapes
-        at = np.searchsorted(self.keys, keys)
-        at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == keys, self.symbols[at], self.layout.head + shapes)
+        out = self.layout.head + shapes
+        if len(self.keys):
+            first, most = self._index
+            at = first[keys >> np.uint64(48)]
+            for _ in range(most):
+                np.minimum(at, len(self.keys) - 1, out=at)
+                np.copyto(out, self.symbols[at], where=self.keys[at] == keys)
+                at += 1
+        return out
 
 
 def start(layout: Layout = SMALLEST, seed: int = 5) -> dict[str, np.ndarray]:
@@ -122,6 +139,10 @@ def start(layout: Layout = SMALLEST, seed: int = 5) -> dict[str, np.ndarray]:
             "w": normal(groups, layout.side, HIDDEN), "wb": np.zeros((groups, layout.side), np.float32)}
 
 
+#: words of documents that a training task holds before it learns, and the length from which a document does not wait for the others
+HELD, LONG = 1 << 21, 32 * WINDOW
+#: bytes of text that are cut into words at once
+TEXT = 1 << 16
 #: numbers of a block that is gone through several times, so that it stays near the core
 BLOCK = 1 << 17
 
@@ -140,55 +161,65 @@ class Space:
 
 
 def inputs(p: dict, symbols: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
-    """What ``forward`` reads: the input rows of ``symbols`` and the turned weights of the state, both with negated gates."""
-    rows, turned = np.array(p["x"][symbols]), np.array(p["u"].T, order="C")
-    rows[:, :2 * HIDDEN] *= -1
-    turned[:2 * HIDDEN] *= -1
-    return rows, turned
+    """What ``forward`` reads, by part (update, reset, new): the input rows of ``symbols`` and the weights of the state, both with halved gates."""
+    rows, weights = _parts(p["x"][symbols]), _parts(p["u"])
+    rows[:2] *= 0.5
+    weights[:2] *= 0.5
+    return rows, weights
+
 
+def _parts(x: np.ndarray) -> np.ndarray:
+    return np.array(x.reshape(len(x), 3, HIDDEN).transpose(1, 0, 2), order="C")
 
-def forward(rows: np.ndarray, turned: np.ndarray, fed: np.ndarray, fresh: np.ndarray, h: np.ndarray, space: Space, keep: bool = False):
-    """States (step, HIDDEN, lane) of a window that feeds ``rows`` numbered by ``fed`` (step, lane) and goes on from ``h`` (HIDDEN, lane).
 
-    With ``keep``, also what the gradient needs.  A step's features are rows and its lanes lie side by side, so every part of a step is one block.
+def forward(rows: np.ndarray, weights: np.ndarray, fed: np.ndarray, fresh: np.ndarray, h: np.ndarray, space: Space, keep: bool = False):
+    """States (step, lane, HIDDEN) of a window that feeds ``rows`` numbered by ``fed`` (step, lane) and goes on from ``h`` (lane, HIDDEN).
+
+    Every part of a step is one block of lanes.  With ``keep``, also the states before each step (of lanes that start there, what they
+    had before) and what the gradient is multiplied by on its way back: (step, 5, lane, HIDDEN).
     """
     steps, m = fed.shape
-    states, kept, per = space("states", steps, HIDDEN, m), steps if keep else 1, max(1, BLOCK // (4 * HIDDEN * m))
-    before, said = space("before", kept, HIDDEN, m), space("said", kept, 3 * HIDDEN, m)
-    gates, news = space("gates", kept, 2 * HIDDEN, m), space("news", kept, HIDDEN, m)
-    starts = fresh.any(axis=1)
+    states, per = space("states", steps + 1, m, HIDDEN), max(1, BLOCK // (4 * HIDDEN * m))
+    factors, a, new = space("factors", steps if keep else 1, 5, m, HIDDEN), space("said", 3, m, HIDDEN), space("new", m, HIDDEN)
+    left, begun, starts = space("left", m, HIDDEN), space("begun", m, HIDDEN), fresh.any(axis=1)
+    states[0] = h
     for t in range(steps):
         if t % per == 0:
             part = fed[t:t + per]
-            dealt = np.take(rows, part.ravel(), axis=0, out=space("dealt", part.size, 3 * HIDDEN), mode="clip")
-            given = space("given", len(part), 3 * HIDDEN, m)
-            np.copyto(given, dealt.reshape(len(part), m, 3 * HIDDEN).transpose(0, 2, 1))
-        x, k = given[t % per], t if keep else 0
-        if keep or starts[t]:
-            before[k] = h
-            h = before[k]
-            if starts[t]:
-                h[:, fresh[t]] = 0
-        a, zr, n, after = said[k], gates[k], news[k], states[t]
-        np.matmul(turned, h, out=a)
-        np.add(a[:2 * HIDDEN], x[:2 * HIDDEN], out=zr)
-        np.exp(zr, out=zr)
-        zr += 1
-        np.reciprocal(zr, out=zr)
-        np.multiply(zr[HIDDEN:], a[2 * HIDDEN:], out=n)
-        n += x[2 * HIDDEN:]
-        np.tanh(n, out=n)
-        np.subtract(h, n, out=after)
-        after *= zr[:HIDDEN]
-        after += n
-        h = after
-    return (states, (before, gates[:, :HIDDEN], gates[:, HIDDEN:], news, said[:, 2 * HIDDEN:])) if keep else states
+            given = np.take(rows, part.ravel(), axis=1, out=space("given", 3, part.size, HIDDEN), mode="clip").reshape(3, len(part), m, HIDDEN)
+        x, h, after, factor = given[:, t % per], states[t], states[t + 1], factors[t if keep else 0]
+        if starts[t]:
+            np.copyto(begun, h)
+            begun[fresh[t]] = 0
+            h = begun
+        gates, (update, reset, at_reset, at_new, at_update) = factor[:2], factor
+        np.matmul(h, weights, out=a)
+        np.add(a[:2], x[:2], out=gates)
+        np.tanh(gates, out=gates)  # 1 / (1 + exp(-v)) is (1 + tanh(v / 2)) / 2
+        gates *= 0.5
+        gates += 0.5
+        np.multiply(reset, a[2], out=new)
+        new += x[2]
+        np.tanh(new, out=new)
+        np.subtract(h, new, out=after)
+        after *= update
+        if keep:
+            np.subtract(1, update, out=left)
+            np.multiply(after, left, out=at_update)
+            np.multiply(new, new, out=at_new)
+            np.subtract(1, at_new, out=at_new)
+            at_new *= left
+            np.subtract(1, reset, out=at_reset)
+            at_reset *= reset
+            at_reset *= a[2]
+        after += new
+    return (states[1:], (states[:-1], factors)) if keep else states[1:]
 
 
 def step(p: dict, symbol: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
     """One step of each row of ``h`` (lane, HIDDEN)."""
-    states, kept = forward(*inputs(p), symbol[None], np.zeros((1, len(symbol)), bool), h.T, Space(p["u"].dtype), keep=True)
-    return states[0].T, kept
+    states, kept = forward(*inputs(p), symbol[None], np.zeros((1, len(symbol)), bool), h, Space(p["u"].dtype), keep=True)
+    return states[0], kept
 
 
 def said(p: dict, states: np.ndarray, target: np.ndarray, space: Space, alive: np.ndarray | None = None, grad: dict | None = None):
@@ -196,64 +227,84 @@ def said(p: dict, states: np.ndarray, target: np.ndarray, space: Space, alive: n
 
     With ``grad``, also the gradient by the states, of targets that are ``alive``; of the words' weights, ``grad`` has the ``groups`` met.
     """
-    lay, (steps, _, m), c = layout_of(p), states.shape, p["c"]
-    n, side, kind, turned = lay.classes, lay.side, lay.class_of(target), states.transpose(0, 2, 1)
-    logs, per = np.empty((steps, m)), max(1, BLOCK // (lay.classes * m))
-    bounded = float((np.abs(c).sum(axis=0) + np.abs(p["cb"])).max()) < 80  # states lie in -1 to 1, so exp stays in range
+    lay, c, cb, dtype = layout_of(p), p["c"], p["cb"], states.dtype
+    n, side, places = lay.classes, lay.side, target.size
+    h, goal, alive = states.reshape(places, HIDDEN), target.ravel(), None if alive is None else alive.ravel()
+    logs, kind, per = np.empty(places), lay.class_of(goal), max(1, BLOCK // n)
+    # a bias multiplies what exp returns
+    bounded = _bounded(np.vstack([c, cb]).T)
+    bias = np.exp(cb) if bounded else np.ones_like(cb)
     if grad is not None:
-        grad["c"], grad["cb"], back = np.zeros_like(c), np.zeros_like(p["cb"]), space("back", steps, HIDDEN, m)
-    for a in range(0, steps, per):
-        b = min(a + per, steps)
-        d = np.matmul(c.T, states[a:b], out=space("classes", b - a, n, m))
-        d += p["cb"][:, None]
+        gc, gcb, back, turned = np.zeros_like(c.T), np.zeros_like(cb), space("back", places, HIDDEN), np.array((c * bias).T, order="C")
+    for a in range(0, places, per):
+        b = min(a + per, places)
+        e, of = np.matmul(h[a:b], c, out=space("classes", b - a, n)), kind[a:b]
         if not bounded:
-            d -= d.max(axis=1, keepdims=True)
-        place, flat = (np.arange(b - a)[:, None] * n + kind[a:b]) * m + np.arange(m), d.reshape(-1)
+            e += cb
+            e -= e.max(axis=1, keepdims=True)
+        place, flat = np.arange(0, e.size, n) + of, e.reshape(-1)
         logs[a:b] = flat[place]
-        total = np.exp(d, out=d).sum(axis=1)
+        if bounded:
+            logs[a:b] += cb[of]
+        total = np.exp(e, out=e) @ bias
         logs[a:b] -= np.log(total)
         if grad is not None:
-            d *= np.reciprocal(total, out=total)[:, None]
-            flat[place] -= 1
+            # shares are never made: what they are multiplied with has fewer columns to be divided by the total
+            flat[place] -= total / bias[of]
+            share = np.reciprocal(total, out=total)
             if alive is not None:
-                d *= alive[a:b, None]
-            grad["c"] += np.matmul(d, turned[a:b]).sum(axis=0).T
-            grad["cb"] += d.sum(axis=2).sum(axis=0)
-            np.matmul(c, d, out=back[a:b])
-    inner = (target >= side) & (target < lay.head)
+                share *= alive[a:b]
+            gc += e.T @ np.multiply(h[a:b], share[:, None], out=space("scaled", b - a, HIDDEN))
+            gcb += share @ e
+            np.matmul(e, turned, out=back[a:b])
+            back[a:b] *= share[:, None]
+    inner = (goal >= side) & (goal < lay.head)
     inner = np.flatnonzero(inner if alive is None else inner & alive)
-    group = target.ravel()[inner] // side - 1
-    order = np.argsort(group.astype(np.uint16), kind="stable")
+    group = goal[inner] // side - 1
+    order, first = _runs(group, len(p["w"]))
     inner, group = inner[order], group[order]
-    first = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
-    parts = list(zip(group[first].tolist(), first.tolist(), np.append(first[1:], len(group)).tolist()))
-    at, word, rows = np.divmod(inner, m), target.ravel()[inner] % side, np.arange(len(inner))
-    h, d, ones = turned[at], space("inner", len(inner), side), np.ones(max(len(inner), side), states.dtype)
-    for g, a, b in parts:
-        np.matmul(h[a:b], p["w"][g].T, out=d[a:b])
-    d += p["wb"][group]
-    d -= d.max(axis=1, keepdims=True)
+    groups, word, rows = group[first], goal[inner] % side, np.arange(len(inner))
+    # the last column of a state is one, of the words' weights their biases
+    own, d = space("own", len(inner), HIDDEN + 1), space("inner", len(inner), side)
+    own[:, :HIDDEN], own[:, HIDDEN] = h[inner], 1
+    w = np.concatenate([p["w"][groups], p["wb"][groups][..., None]], axis=2)
+    parts = list(zip(first.tolist(), np.append(first[1:], len(group)).tolist()))
+    for k, (a, b) in enumerate(parts):
+        np.matmul(own[a:b], w[k].T, out=d[a:b])
+    if not _bounded(w):
+        d -= d.max(axis=1, keepdims=True)
     more = d[rows, word].astype(np.float64)
-    total = np.exp(d, out=d) @ ones[:side]
-    logs.reshape(-1)[inner] += more - np.log(total)
+    total = np.exp(d, out=d) @ np.ones(side, dtype)
+    logs[inner] += more - np.log(total)
     if grad is None:
-        return logs
+        return logs.reshape(target.shape)
     d *= np.reciprocal(total)[:, None]
     d[rows, word] -= 1
-    gw, gwb, moved = np.empty((len(parts), side, HIDDEN), h.dtype), np.empty((len(parts), side), h.dtype), np.empty_like(h)
-    for k, (g, a, b) in enumerate(parts):
-        np.matmul(d[a:b].T, h[a:b], out=gw[k])
-        np.matmul(ones[:b - a], d[a:b], out=gwb[k])
-        np.matmul(d[a:b], p["w"][g], out=moved[a:b])
-    back.transpose(0, 2, 1)[at] += moved
-    grad["groups"], grad["w"], grad["wb"] = group[first], gw, gwb
-    return logs, back
+    gw, moved = np.empty((len(parts), side, HIDDEN + 1), dtype), space("moved", len(inner), HIDDEN)
+    for k, (a, b) in enumerate(parts):
+        np.matmul(d[a:b].T, own[a:b], out=gw[k])
+        np.matmul(d[a:b], w[k, :, :HIDDEN], out=moved[a:b])
+    back[inner] += moved
+    grad["c"], grad["cb"], grad["groups"], grad["w"], grad["wb"] = gc.T * bias, gcb * bias, groups, gw[..., :HIDDEN], gw[..., HIDDEN]
+    return logs.reshape(target.shape), back.reshape(states.shape)
+
+
+def _bounded(weights: np.ndarray) -> bool:
+    """Whether exp stays well in range: states lie in -1 to 1, so the sum of a word's weights bounds what it gets."""
+    return float(np.abs(weights).sum(axis=-1).max(initial=0)) < 60
+
+
+def _runs(values: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts whole numbers and where each different one begins in it."""
+    order = np.argsort(values.astype(np.uint16) if below <= 1 << 16 else values, kind="stable")
+    values = values[order]
+    return order, np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
 
 
 def outputs(p: dict, h: np.ndarray, target: np.ndarray, grad: dict | None = None):
     """``said`` of one step, for the rows of ``h`` (lane, HIDDEN)."""
-    got = said(p, np.ascontiguousarray(h.T)[None], target[None], Space(np.result_type(h, p["c"])), grad=grad)
-    return got[0] if grad is None else (got[0][0], got[1][0].T)
+    got = said(p, np.ascontiguousarray(h)[None], target[None], Space(np.result_type(h, p["c"])), grad=grad)
+    return got[0] if grad is None else (got[0][0], got[1][0])
 
 
 class Walk:
@@ -266,39 +317,57 @@ class Walk:
         self.lanes, self.end = lanes, end
         self.h = np.zeros((lanes, HIDDEN), np.float32)
         self.waiting: deque = deque()
-        self.doc, self.at = [np.zeros(1, np.int32)] * lanes, [0] * lanes
+        #: the documents one after the other, from place 2 on; each lane's next input and its document's last word; documents not begun
+        self.text, self.at, self.last, self.next = np.full(2, end, np.int32), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), deque()
 
     def add(self, symbols: np.ndarray) -> None:
         """One document; the input of its first word is an end."""
-        self.waiting.append(np.append(self.end, symbols).astype(np.int32))
+        self.waiting.append(np.append(np.int32(self.end), symbols.astype(np.int32)))
+
+    def add_all(self, docs: list[np.ndarray]) -> None:
+        """Long documents begin first, so that none of them is left alone when the others have ended; the rest keep their order."""
+        for doc in sorted(docs, key=lambda d: -len(d) if len(d) > LONG else -LONG):
+            self.add(doc)
 
     def running(self) -> bool:
-        return any(at + 1 < len(doc) for doc, at in zip(self.doc, self.at))
+        return bool((self.last > self.at).any())
+
+    def _lay(self) -> None:
+        """Documents that were added come behind what is left of the others."""
+        left = [(int(a), int(b)) for a, b in zip(self.at, self.last)] + list(self.next)
+        pieces = [self.text[a:b + 1] if b > a else self.text[:0] for a, b in left] + list(self.waiting)
+        sizes = np.array([len(piece) for piece in pieces])
+        starts = 2 + np.cumsum(sizes) - sizes
+        self.text = np.concatenate([self.text[:2], *pieces])
+        self.at = np.where(sizes > 0, starts, 0)[:self.lanes]
+        self.last = np.where(sizes > 0, starts + sizes - 1, 0)[:self.lanes]
+        self.next = deque((a, a + n - 1) for a, n in zip(starts[self.lanes:].tolist(), sizes[self.lanes:].tolist()))
+        self.waiting.clear()
 
     def dealt(self, width: int):
         """For the lanes with words, (step, lane): input, target, whether there is a word, whether a document starts."""
-        fed, target = np.full((self.lanes, width), self.end, np.int32), np.full((self.lanes, width), self.end, np.int32)
-        filled, fresh = np.zeros(self.lanes, np.int64), np.zeros((self.lanes, width), bool)
-        for k in range(self.lanes):
-            done = 0
-            while done < width:
-                if self.at[k] + 1 == len(self.doc[k]):
-                    if not self.waiting:
-                        break
-                    self.doc[k], self.at[k] = self.waiting.popleft(), 0
-                    fresh[k, done] = True
-                doc, at = self.doc[k], self.at[k]
-                n = min(width - done, len(doc) - 1 - at)
-                fed[k, done:done + n], target[k, done:done + n] = doc[at:at + n], doc[at + 1:at + 1 + n]
-                self.at[k], done = at + n, done + n
-            filled[k] = done
+        if self.waiting:
+            self._lay()
+        places, fresh = self.at[:, None] + np.arange(width), np.zeros((self.lanes, width), bool)
+        filled = np.minimum(self.last - self.at, width)
+        self.at += filled
+        for k in np.flatnonzero(filled < width):
+            done = int(filled[k])
+            while done < width and self.next:
+                at, last = self.next.popleft()
+                n = min(width - done, last - at)
+                places[k, done:done + n] = np.arange(at, at + n)
+                fresh[k, done] = True
+                self.at[k], self.last[k], done = at + n, last, done + n
+            places[k, done:], filled[k] = 0, done
         used, steps, alive = np.flatnonzero(filled), int(filled.max()), np.arange(width) < filled[:, None]
-        return used, *(np.ascontiguousarray(x[used, :steps].T) for x in (fed, target, alive, fresh))
+        places = places[used, :steps].T
+        return used, self.text[places], self.text[places + 1], *(np.ascontiguousarray(x[used, :steps].T) for x in (alive, fresh))
 
 
 def log_probabilities(p: dict, symbols: np.ndarray, sizes: np.ndarray, lanes: int = SCORED, window: int = WINDOW) -> np.ndarray:
     """Natural log probability of each symbol of whole documents given all before it."""
-    out, space, (rows, turned) = np.empty(len(symbols), np.float32), Space(), inputs(p)
+    out, space, (rows, weights) = np.empty(len(symbols), np.float32), Space(), inputs(p)
     first, loads, docs = np.cumsum(sizes) - sizes, [(0, k) for k in range(min(lanes, max(1, len(sizes))))], [[] for _ in range(lanes)]
     for d in np.argsort(-sizes, kind="stable"):  # long ones first, so that lanes end together
         load, k = heapq.heappop(loads)
@@ -312,12 +381,12 @@ def log_probabilities(p: dict, symbols: np.ndarray, sizes: np.ndarray, lanes: in
     fed, fresh = np.append(np.int32(layout_of(p).end), symbols[:-1].astype(np.int32)), np.zeros(len(symbols), bool)
     fresh[first[sizes > 0]] = True
     fed[fresh] = layout_of(p).end
-    h = np.zeros((HIDDEN, len(ends)), np.float32)
+    h = np.zeros((len(ends), HIDDEN), np.float32)
     for t in range(0, int(ends.max(initial=0)), window):
         m, steps = int(np.searchsorted(-ends, -t)), t + np.arange(min(window, int(ends[0]) - t))[:, None]
         alive = steps < ends[:m]
         at = place[np.where(alive, starts[:m] + steps, starts[:m])]
-        states = forward(rows, turned, fed[at], fresh[at] & alive, h[:, :m], space)
+        states = forward(rows, weights, fed[at], fresh[at] & alive, h[:m], space)
         h = states[-1].copy()
         logs = said(p, states, symbols[at], space)
         out[at[alive]] = logs[alive]
@@ -337,57 +406,57 @@ class Trainer(Walk):
 
     def learn(self, rate, finish: bool = False) -> None:
         """Steps at ``rate(words before)`` while documents wait; with ``finish``, until all have ended."""
-        while self.waiting or (finish and self.running()):
+        while self.waiting or self.next or (finish and self.running()):
             self._window(rate(self.words))
 
     def _window(self, rate: float) -> None:
         p, space, (used, fed, target, alive, fresh) = self.p, self.space, self.dealt(WINDOW)
         steps, m = fed.shape
-        # the window's different symbols, and the places of each one after the other
+        # the window's different symbols, and the places of each one after the other; those that are met equally often stand side by side
         fed = fed.ravel()
-        order = np.argsort(fed.astype(np.uint16) if len(p["x"]) <= 1 << 16 else fed, kind="stable")
-        change = np.append(True, np.diff(fed[order]) != 0)
-        first = np.flatnonzero(change)
-        symbols, at = fed[order[first]], np.empty(len(fed), np.int64)
-        at[order] = np.cumsum(change) - 1
-        states, (before, z, r, n, an) = forward(*inputs(p, symbols), at.reshape(steps, m), fresh, self.h[used].T, space, keep=True)
-        self.h[used] = states[-1].T
+        order, first = _runs(fed, len(p["x"]))
+        times = np.diff(np.append(first, len(fed)))
+        by = np.argsort(times, kind="stable")
+        symbols, number, at = fed[order[first[by]]], np.empty(len(first), np.int64), np.empty(len(fed), np.int64)
+        number[by] = np.arange(len(by))
+        at[order], times = np.repeat(number, times), times[by]
+        order = _runs(at, len(by))[0]
+        states, (before, factors) = forward(*inputs(p, symbols), at.reshape(steps, m), fresh, self.h[used], space, keep=True)
+        self.h[used] = states[-1]
         words, starts, grad = int(alive.sum()), fresh.any(axis=1), {}
         _, back = said(p, states, target, space, None if words == alive.size else alive, grad)
-        da_all, dn_all, dh = space("da", steps, 3 * HIDDEN, m), space("dn", steps, HIDDEN, m), np.zeros((HIDDEN, m), np.float32)
-        through, per = space("through", HIDDEN, m), max(1, BLOCK // (8 * HIDDEN * m))
+        before[fresh] = 0
+        dh, through, per = np.zeros((m, HIDDEN), np.float32), space("through", 3, m, HIDDEN), max(1, BLOCK // (8 * HIDDEN * m))
+        turned, gu = np.array(_parts(p["u"])[[0, 2, 1]].transpose(0, 2, 1), order="C"), np.zeros((3, HIDDEN, HIDDEN), np.float32)
+        dx, gx = space("dx", steps, m, 3, HIDDEN), np.empty((len(symbols), 3 * HIDDEN), np.float32)
         for b in range(steps, 0, -per):
             a = max(0, b - per)
-            # what the gradient of a state is multiplied by, for some steps at once
-            zs, rs, ns = z[a:b], r[a:b], n[a:b]
-            left = np.subtract(1, zs, out=space("left", b - a, HIDDEN, m))
-            at_update = np.subtract(before[a:b], ns, out=space("update", b - a, HIDDEN, m))
-            at_update *= zs
-            at_update *= left
-            at_new = np.multiply(ns, ns, out=space("new", b - a, HIDDEN, m))
-            np.subtract(1, at_new, out=at_new)
-            at_new *= left
-            at_reset = np.subtract(1, rs, out=space("reset", b - a, HIDDEN, m))
-            at_reset *= rs
-            at_reset *= an[a:b]
+            # gradients by what enters some steps: the new part, then the parts of the state's product, update, new and reset
+            entered = space("entered", 4, b - a, m, HIDDEN)
             for t in range(b - 1, a - 1, -1):
                 dh += back[t]
-                k, da, dn = t - a, da_all[t], dn_all[t]
-                np.multiply(dh, at_update[k], out=da[:HIDDEN])
-                np.multiply(dh, at_new[k], out=dn)
-                np.multiply(dn, at_reset[k], out=da[HIDDEN:2 * HIDDEN])
-                np.multiply(dn, rs[k], out=da[2 * HIDDEN:])
-                dh *= zs[k]
-                dh += np.matmul(p["u"], da, out=through)
+                d, factor = entered[:, t - a], factors[t]
+                np.multiply(dh, factor[3:], out=d[:2])
+                np.multiply(d[0], factor[1:3], out=d[2:])
+                np.matmul(d[1:], turned, out=through)
+                dh *= factor[0]
+                for part in through:
+                    dh += part
                 if starts[t]:
-                    dh[:, fresh[t]] = 0
-        dx = space("dx", 3 * HIDDEN, steps, m)
-        dx[:2 * HIDDEN], dx[2 * HIDDEN:] = da_all[:, :2 * HIDDEN].transpose(1, 0, 2), dn_all.transpose(1, 0, 2)
-        dx = np.take(dx.reshape(3 * HIDDEN, -1), order, axis=1, out=space("ordered", 3 * HIDDEN, steps * m), mode="clip")
-        grad["x"] = np.add.reduceat(dx, first, axis=1).T
-        grad["u"] = np.matmul(before, da_all.transpose(0, 2, 1)).sum(axis=0)
+                    dh[fresh[t]] = 0
+            gu += np.matmul(before[a:b].reshape(-1, HIDDEN).T, entered[1:].reshape(3, -1, HIDDEN))
+            for part, k in enumerate((1, 3, 0)):
+                dx[a:b, :, part] = entered[k]
+        dx, done = np.take(dx.reshape(-1, 3 * HIDDEN), order, axis=0, out=space("ordered", steps * m, 3 * HIDDEN), mode="clip"), 0
+        cuts = np.append(np.flatnonzero(np.append(True, times[1:] != times[:-1])), len(times)).tolist()
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            often = int(times[a])
+            np.add.reduce(dx[done:done + (b - a) * often].reshape(b - a, often, -1), axis=1, out=gx[a:b])
+            done += (b - a) * often
+        grad["x"], grad["u"] = gx, np.concatenate([gu[0], gu[2], gu[1]], axis=1)
         rate *= words / (self.lanes * WINDOW)
         groups = grad.pop("groups")
+        groups = None if len(groups) == len(p["w"]) else groups
         at = {"x": symbols, "w": groups, "wb": groups}
         self.memory["windows"] = self.memory.get("windows", 0) + 1
         for k, g in grad.items():
@@ -403,15 +472,20 @@ class Trainer(Walk):
         np.clip(g, -5, 5, out=g)
         if k not in self.memory:
             self.memory[k], self.memory[k + " last"] = np.zeros_like(p), np.zeros(len(p), np.int64)
-        seen, last, at = self.memory[k], self.memory[k + " last"], slice(None)
-        old = seen
+        seen, last, at = self.memory[k], self.memory[k + " last"], slice(None) if rows is None else rows
+        old = seen[at]
+        old *= (0.95 ** (now - last[at])).astype(np.float32).reshape(-1, *[1] * (p.ndim - 1))
+        last[at] = now
+        step = np.multiply(g, g, out=self.space("step", *g.shape))
+        step *= 0.05
+        old += step
         if rows is not None:
-            at = rows
-            old = seen[at] * (0.95 ** (now - 1 - last[at])).astype(np.float32).reshape(-1, *[1] * (p.ndim - 1))
-            last[at] = now
-        old += 0.05 * (g * g - old)
-        seen[at] = old
-        p[at] -= rate * g / (np.sqrt(old) + 1e-2)
+            seen[at] = old
+        np.sqrt(old, out=step)
+        step += 1e-2
+        np.divide(g, step, out=step)
+        step *= rate
+        p[at] -= step
 
 
 def train(p: dict, symbols: np.ndarray, sizes: np.ndarray, memory: dict, rate: float, lanes: int = LANES) -> None:
@@ -422,6 +496,14 @@ def train(p: dict, symbols: np.ndarray, sizes: np.ndarray, memory: dict, rate: f
     trainer.learn(lambda _: rate, finish=True)
 
 
+def _order(keys: np.ndarray) -> np.ndarray:
+    """An order that sorts 64-bit keys: their first bits are sorted with their places behind them, which is faster than to sort places."""
+    place = np.uint64((1 << len(keys).bit_length()) - 1)
+    order = (np.sort(keys & ~place | np.arange(len(keys), dtype=np.uint64)) & place).astype(np.int64)
+    ordered = keys[order]
+    return np.argsort(keys) if (ordered[1:] < ordered[:-1]).any() else order  # different keys with the same first bits
+
+
 def _packed(p: dict) -> bytes:
     return b"".join(p[k].astype(np.float32).tobytes() for k in sorted(p))
 
@@ -452,14 +534,20 @@ def vocabulary(docs: DataFrame, text: str, flush: int = 1 << 21) -> Vocabulary:
         def sent(keys, counts):
             return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["key", "n"])
 
+        words: list[np.ndarray] = []
         for batch in batches:
             for _, rows, found, _, _ in _tokens(batch.column(0)):
-                keys, counts = tally.unique(found)
-                held.append((np.append(keys, END_KEY), np.append(counts, rows).astype(np.int64)))
+                words += [found, np.full(rows, END_KEY)]
+                if sum(map(len, words)) < min(flush, 1 << 20):  # to sort many words once is cheaper than to merge counts
+                    continue
+                held.append(tally.unique(np.concatenate(words)))
+                words = []
                 while len(held) > 1 and len(held[-2][0]) < 2 * len(held[-1][0]):  # parts of like size, so each count is merged few times
                     held[-2:] = [merged(held[-2:])]
                 if len(held[0][0]) > flush:
                     yield sent(*held.pop(0))
+        if words:
+            held.append(tally.unique(np.concatenate(words)))
         if held:
             yield sent(*merged(held))
 
@@ -492,13 +580,18 @@ def fit(docs: DataFrame, key: str, text: str, rounds: int = 2) -> tuple[Vocabula
             own = _unpacked(blob, words.layout)
             trainer = Trainer(own, {})
             rate = lambda seen: 0.02 / (1 + n) / (1 + seen / 2e6)
+            held, size = [], 0
             for batch in batches:
                 for _, count, keys, shapes, doc in _tokens(batch.column(0)):
-                    symbols = words.symbol(keys, shapes)
+                    symbols = words.symbol(keys, shapes).astype(np.int32)
                     edges = np.searchsorted(doc, np.arange(count + 1))
-                    for r in np.argsort(edges[:-1] - edges[1:], kind="stable"):  # long ones first, so that lanes end together
-                        trainer.add(np.append(symbols[edges[r]:edges[r + 1]], words.layout.end))
-                    trainer.learn(rate)
+                    held += [np.append(symbols[a:b], np.int32(words.layout.end)) for a, b in zip(edges[:-1], edges[1:])]
+                    size += len(symbols) + count
+                    if size >= HELD:
+                        trainer.add_all(held)
+                        trainer.learn(rate)
+                        held, size = [], 0
+            trainer.add_all(held)
             trainer.learn(rate, finish=True)
             scan.release()
             if trainer.words:
@@ -587,7 +680,7 @@ def score(docs: DataFrame, train_on, key: str = "doc_id", text: str = "text", ro
         # all documents of the bucket side by side, so that a long one does not run alone
         sizes, keys, symbols = np.concatenate(all_sizes), np.concatenate(all_keys), np.concatenate(all_symbols)
         # the totals are in the order of the different keys
-        order, c = np.argsort(keys), np.empty(len(keys), np.int64)
+        order, c = _order(keys), np.empty(len(keys), np.int64)
         keys = keys[order]
         c[order] = totals.astype(np.int64)[np.cumsum(np.append(False, keys[1:] != keys[:-1]))]
         logs = log_probabilities(net, symbols, sizes) / np.log(10)

@@ -17,8 +17,6 @@ import pyarrow.compute as pc
 CHUNK_BYTES = 1 << 20
 _P, _Q = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _VALUES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _powers: dict[int, np.ndarray] = {}
 
 #: words are runs of bytes other than space and the control characters tab to carriage return
@@ -123,7 +121,7 @@ def words(column, letters: np.ndarray, lower: bool = False, size: int = CHUNK_BY
     for lo, hi in chunks(offsets, size):
         part = data[offsets[lo]:offsets[hi]]
         if lower:
-            part = _LOWER[part]
+            part = part + ((part - np.uint8(65) < 26).view(np.uint8) << 5)  # A to Z
         inside = letters[part]
         bounds = offsets[lo:hi + 1] - offsets[lo]
         fresh = np.zeros(len(part) + 1, bool)

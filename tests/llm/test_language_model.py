@@ -221,3 +221,38 @@ def test_places_do_not_matter_to_scores():
     for lanes in (1, 3, 50):
         assert np.allclose(lm.log_probabilities(p, symbols, sizes, lanes=lanes, window=8), want, atol=1e-4)
     assert len(lm.log_probabilities(p, symbols[:0], np.zeros(2, np.int64))) == 0
+
+
+def test_a_long_document_does_not_train_alone():
+    """A long text that comes last had been walked in one lane when all others had ended."""
+    pick = np.random.default_rng(12)
+    docs = [pick.integers(0, lm.HEAD, 400) for _ in range(100)] + [pick.integers(0, lm.HEAD, 8000)]
+    trainer = lm.Trainer(lm.start(), {}, 6)
+    trainer.add_all(docs)
+    trainer.learn(lambda _: 0.01, finish=True)
+    assert trainer.words == 48_000 and trainer.memory["windows"] <= 1.1 * 48_000 / (6 * lm.WINDOW)
+
+
+def test_orders_and_symbols_of_keys_that_share_their_first_bits():
+    pick = np.random.default_rng(13)
+    near = np.uint64(0xABCD << 48) + pick.integers(0, 1 << 20, 300).astype(np.uint64)  # places take more bits than they differ in
+    keys = np.concatenate([near, near, pick.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2)])
+    assert (np.diff(keys[lm._order(keys)].astype(object)) >= 0).all() and sorted(lm._order(keys)) == list(range(len(keys)))
+    assert len(lm._order(keys[:0])) == 0
+    known = np.unique(np.concatenate([near[:40], keys[-50:], np.array([0, (1 << 64) - 1], np.uint64)]))
+    words = lm.Vocabulary(known, np.arange(len(known))[::-1].copy(), np.ones(len(known), np.int64))
+    place = {int(k): len(known) - 1 - i for i, k in enumerate(known)}
+    asked = np.concatenate([keys, known])
+    assert words.symbol(asked, np.full(len(asked), 3)).tolist() == [place.get(int(k), lm.HEAD + 3) for k in asked]
+
+
+def test_shapes_of_words():
+    """Last character, length in bytes and bytes beyond ASCII, in texts with few and with many of these."""
+    for text in ("plain words. of, many lengths, internationalisation é. AZ[@`{ " * 40, "漢字 漢, 漢字漢字漢字. x é."):
+        said = next(lm.scan.words(lm.pa.array([text, None, text[:9]]), lm.scan.NOT_SPACE, lower=True))
+        _, shapes = lm.keyed(said)
+        want = []
+        for w in [w for t in (text, text[:9]) for w in t.translate(LOW).split()]:
+            b = w.encode()
+            want.append((({".": 0, ",": 1}.get(w[-1], 2)) * 4 + sum(len(b) >= n for n in (5, 8, 11))) * 2 + (max(b) >= 128))
+        assert shapes.tolist() == want
